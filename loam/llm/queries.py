@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_decontaminate
+from .media import op2_media_columns
 from .mixing import op1_mix_sources
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources,)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_media_columns, op4_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
