@@ -129,7 +129,7 @@ def branching(contexts: DataFrame) -> DataFrame:
 def with_places(docs: DataFrame, places: DataFrame, *columns: str) -> DataFrame:
     """``docs`` with the list ``places`` of each; a list is no longer than its text. Every caller's text shuffle is the same one."""
     listed = places.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("places"))
-    return docs.join(listed, "doc", "left")
+    return docs.join(listed.hint("shuffle_hash"), "doc", "left")
 
 
 def place_lists(rows: pa.RecordBatch) -> tuple[np.ndarray, pa.StructArray]:
