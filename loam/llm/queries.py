@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op4_decontaminate
 from .langid import op8_language_id
+from .lm import op5_lm_scoring
 from .media import op2_media_columns
 from .mixing import op1_mix_sources
 from .simhash import op7_simhash_near_dedup
@@ -12,7 +13,7 @@ from .suffix_dedup import op9_suffix_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_media_columns, op3_substring_dedup, op4_decontaminate, op7_simhash_near_dedup, op8_language_id, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_media_columns, op3_substring_dedup, op4_decontaminate, op5_lm_scoring, op7_simhash_near_dedup, op8_language_id, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
