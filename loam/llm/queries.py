@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .decontaminate import op4_decontaminate
 from .langid import op8_language_id
+from .licenses import ORACLE as OP10
+from .licenses import op10_license_scan
 from .lm import op5_lm_scoring
 from .media import op2_media_columns
 from .mixing import op1_mix_sources
@@ -13,8 +15,8 @@ from .suffix_dedup import op9_suffix_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_media_columns, op3_substring_dedup, op4_decontaminate, op5_lm_scoring, op7_simhash_near_dedup, op8_language_id, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_media_columns, op3_substring_dedup, op4_decontaminate, op5_lm_scoring, op7_simhash_near_dedup, op8_language_id, op9_suffix_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_license_scan": OP10}
