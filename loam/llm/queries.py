@@ -9,13 +9,14 @@ from .licenses import op10_license_scan
 from .lm import op5_lm_scoring
 from .media import op2_media_columns
 from .mixing import op1_mix_sources
+from .pii import op6_pii_surrogates
 from .simhash import op7_simhash_near_dedup
 from .substring import op3_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_media_columns, op3_substring_dedup, op4_decontaminate, op5_lm_scoring, op7_simhash_near_dedup, op8_language_id, op9_suffix_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_media_columns, op3_substring_dedup, op4_decontaminate, op5_lm_scoring, op6_pii_surrogates, op7_simhash_near_dedup, op8_language_id, op9_suffix_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
