@@ -143,12 +143,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with its number in ``copy`` (from 1)."""
     plan = plan_mix(written(sized(docs), "sizes"), **options)
-    columns = docs.columns
-    every = docs.withColumn("__h", hash_of(F.col("doc_id"))).alias("d")
-    plan = F.broadcast(plan.select(F.col("source").alias("__of"), "whole", "threshold").alias("p"))
+    columns = [c for c in docs.columns if c != "copy"]  # a column of that name gives way
+    plan = plan.select(F.col("source").alias("__of"), F.col("whole").alias("__whole"), F.col("threshold").alias("__below"))
     return (
-        every.join(plan, F.col("d.source").cast("string").eqNullSafe(F.col("p.__of")))
-        .withColumn("__n", F.col("p.whole") + (F.col("__h") < F.col("p.threshold")).cast("int"))
+        docs.join(F.broadcast(plan), docs["source"].cast("string").eqNullSafe(F.col("__of")))
+        .withColumn("__n", F.col("__whole") + (hash_of(F.col("doc_id")) < F.col("__below")).cast("int"))
         .where("__n > 0")
-        .select(*[F.col("d")[c] for c in columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
+        .select(*columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
     )
