@@ -106,6 +106,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
 
 
+def join_apart(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with an aggregate ``found`` over the same keys; ``found`` has ``same``, the maximum of the last key.
+
+    Joined on the keys alone, the aggregate's own shuffle would serve the join, and Spark could not split a hot key's partition.
+    The additional condition makes both sides be shuffled for the join, which is then split where it is skewed.
+    """
+    found = found.select(*[F.col(k).alias(f"{k}_") for k in keys], *[c for c in found.columns if c not in keys])
+    on = [F.col(k) == F.col(f"{k}_") for k in keys] + [F.col(keys[-1]) == F.col("same")]
+    return rows.join(found, on).drop("same", *[f"{k}_" for k in keys])
+
+
 def repeated_edges(docs: DataFrame, units: Units, window: int, gram: int, step: int) -> tuple[DataFrame, DataFrame]:
     """(edges whose anchor occurs more than once, their contexts), both stored.
 
@@ -113,8 +124,8 @@ def repeated_edges(docs: DataFrame, units: Units, window: int, gram: int, step:
     anchor's partition is split at run time. ``docs`` is ``keyed``. Contexts: m, ctx, copies, first (doc, at, n), contexts.
     """
     edges = docs.mapInArrow(_edges(units, window, gram, step), EDGES)
-    often = edges.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m")
-    edges = written(edges.join(often, "m"), "edges")
+    often = edges.groupBy("m").agg(F.count("*").alias("c"), F.max("m").alias("same")).where("c > 1").drop("c")
+    edges = written(join_apart(edges, often, ["m"]), "edges")
     contexts = edges.groupBy("m", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "at", "n")).alias("first"))
     contexts = written(contexts, "contexts")
     return edges, contexts
@@ -122,8 +133,8 @@ def repeated_edges(docs: DataFrame, units: Units, window: int, gram: int, step:
 
 def branching(contexts: DataFrame) -> DataFrame:
     """One place for each context of an anchor that has several: m, copies, contexts (of the anchor), doc, at, n."""
-    several = contexts.groupBy("m").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    return contexts.join(several, "m").select("m", "copies", "contexts", "first.*")
+    several = contexts.groupBy("m").agg(F.count("*").alias("contexts"), F.max("m").alias("same")).where("contexts > 1")
+    return join_apart(contexts, several, ["m"]).select("m", "copies", "contexts", "first.*")
 
 
 def with_places(docs: DataFrame, places: DataFrame, *columns: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, SIG, Ranges, branching, keyed, place_lists, repeated_edges, sigs, with_places
+from .anchors import NO_ID, SIG, Ranges, branching, join_apart, keyed, place_lists, repeated_edges, sigs, with_places
 from .common import Hashes, table, text_chunks
 from .decontaminate import spread
 
@@ -95,8 +95,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     whole = edges.join(contexts.where("copies > 1").select("m", "ctx"), ["m", "ctx"]).select("doc", "at", "n")
     probes = with_places(docs, branching(contexts), "at", "n", "m", "copies")
     windows = probes.select("doc", "text", "places").mapInArrow(_windows, WINDOWS)
-    often = windows.groupBy("m", "h").agg(F.sum("copies").alias("c")).where("c > 1").select("m", "h")
-    single = windows.where("copies = 1").join(often, ["m", "h"]).select("doc", "at", F.lit(1).alias("n"))
+    often = windows.groupBy("m", "h").agg(F.sum("copies").alias("c"), F.max("h").alias("same")).where("c > 1").drop("c")
+    single = join_apart(windows.where("copies = 1"), often, ["m", "h"]).select("doc", "at", F.lit(1).alias("n"))
     return whole.unionByName(single)
 
 

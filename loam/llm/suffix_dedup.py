@@ -20,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, SIG, Ranges, branching, keyed, place_lists, repeated_edges, sigs, with_places
+from .anchors import NO_ID, SIG, Ranges, branching, join_apart, keyed, place_lists, repeated_edges, sigs, with_places
 from .common import raw_bytes, table, text_chunks
 from .decontaminate import spread
 from .substring import mask_of
-from .suffixsort import packed, share_prefix, two_stage
+from .suffixsort import Blocks, share_prefix, two_stage
 
 WINDOW, GRAM, STEP = 100, 20, 1 << 19
-SORTED = 2000
+#: Contexts of one anchor that are sorted in one piece: some 180 bytes each, so 3 MB of text and 60 times that while sorting.
+SORTED = 16_000
 PIECE = 1 << 20
 SEGMENTS = "m long, doc long, at long, n int, segment binary"
 PLACES = "doc long, at long, n int"
@@ -79,9 +80,9 @@ def later_copies(doc: np.ndarray, at: np.ndarray, n: np.ndarray, segments: pa.Ar
     first = np.concatenate([[0], np.cumsum(size + 1)])
     text = np.zeros(int(first[-1]), np.uint16)
     text[spread(first[:-1], size)] = data[offsets[0] : offsets[-1]].astype(np.uint16) + 1
-    key = packed(text)
-    order = two_stage(text, key)
-    equal = share_prefix(order, key, WINDOW)
+    blocks = Blocks(text)
+    order = two_stage(text, blocks)
+    equal = share_prefix(order, blocks, WINDOW)
     group = np.concatenate([[0], np.cumsum(~equal)])
     some = np.concatenate([equal, [False]]) | np.concatenate([[False], equal])
     p, group = order[some], group[some]
@@ -139,8 +140,9 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     segments = probes.mapInArrow(_segments, SEGMENTS).repartition("m").sortWithinPartitions("m")
     near = segments.mapInArrow(_sorted_pieces, PLACES)
     windows = probes.mapInArrow(_windows, WINDOWS)
-    often = windows.groupBy("m", "h").agg(F.count("*").alias("c"), F.min(F.struct("doc", "at")).alias("f")).where("c > 1")
-    hot = windows.join(often.select("m", "h", F.col("f.doc").alias("d"), F.col("f.at").alias("a")), ["m", "h"])
+    often = windows.groupBy("m", "h").agg(F.count("*").alias("c"), F.min(F.struct("doc", "at")).alias("f"), F.max("h").alias("same"))
+    often = often.where("c > 1").select("m", "h", F.col("f.doc").alias("d"), F.col("f.at").alias("a"), "same")
+    hot = join_apart(windows, often, ["m", "h"])
     hot = hot.where("doc != d or at != a").select("doc", "at", F.lit(1).alias("n"))
     return whole.unionByName(near).unionByName(hot)
 
