@@ -434,6 +434,140 @@ def j19_dependency_manifests(d: Spark) -> str:
       when n in ('dockerfile', 'docker-compose.yml') then 'containers' end as kind, path from files) x where kind is not null group by kind"""
 
 
+# Predicates and projections of single steps
+
+
+@query
+def c26_c29_path_predicates(d: Spark) -> str:
+    weak = X.any_in("bare", ("/assets/", "/asset/", "/static/", "/docs/", "/docs_src/", "/examples/", "/example/", "/samples/", "/sample/"))
+    ignored = " or ".join(d.has("parts", f"'{x}'") for x in (".git", ".venv", "venv", "__pycache__", "node_modules", "dist", "build"))
+    return f"""select path, {d.match('path', r'\.(py|js|ts|cpp|c|h|hpp)$')} as testable, {weak} as weak_entry, {d.has('parts', "'tests'")} or {X.begins('n', 'test_')} or {X.ends('n', '_test.py')} as graph_test,
+      {ignored} as graph_ignored from files"""
+
+
+@query
+def p1_risk_eligible(d: Spark) -> str:
+    return "select path from scored"
+
+
+@query
+def p2_hotspot_eligible(d: Spark) -> str:
+    return "select path, bucket from hotspots"
+
+
+@query
+def p4_patterns(d: Spark) -> str:
+    """Names of the structural patterns that hold: directories that must exist and one file that meets every condition."""
+    rules = {
+        "python_cli": "suf = '.py' and has_main", "web_service": f"{d.has('imports', repr('fastapi'))}", "go_binary": "suf = '.go' and has_main and contains(path, 'cmd/')",
+        "documented": "n = 'readme.md'", "node_package": "n = 'package.json'",
+    }
+    one = " union all ".join(f"select '{k}' as name, {k} as found from p" for k in rules)
+    flags = ", ".join(f"coalesce(bool_or({c}), false) as {k}" for k, c in rules.items())
+    return f"select name from (with p as (select {flags} from files) {one}) x where found"
+
+
+@query
+def p7_entry_predicate(d: Spark) -> str:
+    return "select path, is_entry from files"
+
+
+@query
+def x5_summary(d: Spark) -> str:
+    """The first sentence-like line after a heading, a docstring's first line, or what a manifest says of itself."""
+    text = X.lines(d, "c.content")
+    heads = d.filter(d.sequence("1", d.size("l")), "i", f"left(trim({d.at('l', 'cast(i as int)')}), 1) = '#'")
+    line = f"trim({d.at('l', 'cast(j as int)')})"
+    good = f"j > {d.at('h', '1')} and {line} <> '' and left({line}, 1) not in ('#', '<', '!', '`') and not contains({line}, '|') and (length({line}) >= 15 or right({line}, 1) = '.')"
+    first = d.at(d.filter(d.sequence("1", d.size("l")), "j", good), "1")
+    both = "case when meta_name is not null and meta_description is not null then meta_name || ': ' || meta_description else coalesce(meta_name, meta_description, '') end"
+    return f"""select path, case when suf in ('.md', '.txt') then coalesce(left(trim({d.at('l', f'cast({first} as int)')}), 160), '') when suf in ('.json', '.toml') then left({both}, 160) else '' end as summary
+      from (select *, {heads} as h from (select f.path, f.suf, f.meta_name, f.meta_description, {text} as l from files f join corpus c on f.path = c.path) x) y"""
+
+
+@query
+def x12_bad_identity(d: Spark) -> str:
+    """Lines that cannot name a project: markup, badges, tables, decoration."""
+    v = f"lower(trim({d.at(X.lines(d, 'html'), '1')}))"
+    return f"""select page_id, v is null or v = '' or left(v, 1) = '<' or left(v, 2) = '![' or left(v, 3) = '[![' or left(v, 1) = '`' and right(v, 1) = '`' or contains(v, '|') and (contains(v, '--') or contains(v, '**') or contains(v, '['))
+      or {X.any_in('v', ('align="center"', 'src="http', 'raw.githubusercontent.com', 'shields.io', 'travis-ci.', 'github-ci', 'codecov'))} or contains(v, 'badge') and (contains(v, '.svg') or contains(v, '.png'))
+      or {d.match('v', r'^[-_=~*#.]+$')} as bad from (select page_id, {v} as v from pages) x"""
+
+
+# Joins and rankings that reports are made of
+
+
+@query
+def j6_changed_risks(d: Spark) -> str:
+    return "select c.path, r.score, r.level from (select path from diff where status in ('new', 'modified')) c join risks r on c.path = r.file"
+
+
+@query
+def j9_evidence(d: Spark) -> str:
+    """The fifteen riskiest files with the first five of their issues."""
+    return f"""select r.file, r.score, f.line_count, {d.join(d.slice(d.collect('i.type', 'i.ord'), 5), ';')} as issues from (select file, score from risks order by score desc, file limit 15) r
+      join files f on r.file = f.path join file_issues i on r.file = i.file group by r.file, r.score, f.line_count"""
+
+
+@query
+def j14_test_commands(d: Spark) -> str:
+    return f"""select 'python -m pytest ' || {d.join(d.slice(d.collect('test', 'test'), 4), ' ')} as command from (select distinct c.test_file as test from coverage c
+      join (select path from files where suf = '.py' order by line_count desc, path limit 40) f on c.path = f.path where c.test_file is not null and right(c.test_file, 3) = '.py') t having count(*) > 0"""
+
+
+@query
+def j16_selected_edges(d: Spark) -> str:
+    return f"""select src, dst from (select e.src, e.dst from import_edges e join (select {X.module_name(d, 'path')} as module from (select path from files where suf = '.py' order by line_count desc, path limit 8) s) m
+      on e.src = m.module order by e.src, e.dst limit 10) x"""
+
+
+@query
+def a5_directory_coverage(d: Spark) -> str:
+    """Scanned against all files of each top directory."""
+    return f"""select directory, scanned, actual, {d.half_even('cast(scanned as double) / actual', 3)} as ratio, actual >= 100 and scanned < 0.25 * actual as under from (
+      select {d.at('parts', '1')} as directory, cast(count(*) as bigint) as actual, cast(count_if(suf in ('.py', '.go', '.md')) as bigint) as scanned from files where contains(path, '/') group by 1) x"""
+
+
+@query
+def a17_architecture(d: Spark) -> str:
+    return "select total_files, total_lines, has_tests, has_docs, (select count(*) from (select distinct extension from files) e) as extensions, (select primary_archetype from archetype) as archetype from metrics"
+
+
+@query
+def a18_llm_readiness(d: Spark) -> str:
+    return f"""select cast({d.div('total_size_bytes + 3', '4')} as bigint) as full_tokens, (select count(*) from (select file from top_risks where level in ('high', 'medium') limit 8) r) as focus_files,
+      has_docs and has_tests as ready from metrics"""
+
+
+@query
+def a22_confidence(d: Spark) -> str:
+    return """select case when has_entries then 'high' else 'medium' end as entry_points, case when has_readme then 'high' else 'low' end as identity,
+      case when test_files > 5 then 'high' when test_files > 0 then 'medium' else 'low' end as tests from metrics"""
+
+
+@query
+def a25_release_checks(d: Spark) -> str:
+    return """select name, ok from (select 'readme' as name, has_readme as ok from metrics union all select 'tests', has_tests from metrics union all select 'docs', has_docs from metrics
+      union all select 'no_high_risk', not exists (select 1 from top_risks where level = 'high') from metrics union all select 'healthy', (select score from health) >= 55 from metrics) x"""
+
+
+@query
+def sc8_project_identity(d: Spark) -> str:
+    """The name that the manifest of the highest priority gives, else the first README title."""
+    rank = "case n when 'pyproject.toml' then 1 when 'package.json' then 2 when 'setup.py' then 3 when 'cargo.toml' then 4 when 'go.mod' then 5 when 'cmakelists.txt' then 6 end"
+    return f"""select coalesce(a.name, b.title, 'unknown') as name from (select 1 as one) o left join (select meta_name as name, 1 as one from files where meta_name is not null and {rank} is not null order by {rank}, path limit 1) a on o.one = a.one
+      left join (select doc_title as title, 1 as one from files where n = 'readme.md' and doc_title is not null order by path limit 1) b on o.one = b.one"""
+
+
+@query
+def w10_workflow_hints(d: Spark) -> str:
+    hints = d.array(
+        "case when primary_archetype = 'monorepo' then 'split by package' end", "case when has_entries then 'start from an entry point' end", "case when has_tests then 'run the tests' end",
+        "case when has_docs then 'read the documents' end",
+    )
+    return f"select {d.join(d.slice(d.filter(hints, 'h', 'h is not null'), 5), ';')} as hints from (select m.*, a.primary_archetype from metrics m join archetype a on true) x"
+
+
 # Suggestions
 
 
