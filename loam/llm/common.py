@@ -6,8 +6,7 @@ Executors may be lost at any time, so whatever has to survive is written as Parq
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from loam.sources.store import work_dir, written
+
+__all__ = ["work_dir", "written"]
+
 #: ASCII white space, the separators of "[^\x20\x09-\x0D]+". ``bytes.split()`` splits on exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -27,26 +30,20 @@ ALNUM = bytes(
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+#: Rows that Spark puts into one Arrow batch; its default of 10,000 documents is tens of MB for each task and each direction.
+BATCH_ROWS = 1000
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="loam-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/loam-{uuid.uuid4().hex}"
+def small_batches(spark: SparkSession) -> None:
+    """Makes the session's Arrow batches small, unless they were set to something else."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def written(df: DataFrame, tag: str = "table") -> DataFrame:
-    """Writes ``df`` once to the shared folder and returns the stored table: its lineage ends there."""
-    spark, path = df.sparkSession, f"{work_dir(df.sparkSession)}/{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder."""
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,6 +61,15 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offsets, nulls
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers wait for their next task, and several wait beside each executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_chunks(
     batches: Iterator[pa.RecordBatch], most_bytes: int, column: str = "text"
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -71,21 +77,24 @@ def text_chunks(
 
     Yields (the rows, their bytes, offsets from 0). Memory per step is then bounded by ``most_bytes`` or the longest text.
     """
-    for batch in batches:
-        data, offsets, _ = raw_bytes(batch.column(column))
-        first, n = 0, batch.num_rows
-        while first < n:
-            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most_bytes, "right")) - 1)
-            last = min(last, n)
-            lo, hi = int(offsets[first]), int(offsets[last])
-            yield batch.slice(first, last - first), data[lo:hi], offsets[first : last + 1] - lo
-            first = last
+    try:
+        for batch in batches:
+            data, offsets, _ = raw_bytes(batch.column(column))
+            first, n = 0, batch.num_rows
+            while first < n:
+                last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most_bytes, "right")) - 1)
+                last = min(last, n)
+                lo, hi = int(offsets[first]), int(offsets[last])
+                yield batch.slice(first, last - first), data[lo:hi], offsets[first : last + 1] - lo
+                first = last
+    finally:
+        give_back()
 
 
 class Hashes(dict):
     """Word bytes -> XXH64 as an unsigned 64-bit integer, remembered; emptied when it gets large."""
 
-    MOST = 400_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -111,3 +120,7 @@ def powers(base: int, n: int) -> np.ndarray:
     out[0] = 1
     np.multiply.accumulate(out, out=out)
     return out[:n]
+
+
+#: One memory of word hashes for all operators in a worker.
+word_hashes = Hashes()

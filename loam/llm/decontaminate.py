@@ -188,4 +188,21 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items", "spans")
+
+
+#: The same in DuckDB: every window of every document against every window of every item.
+ORACLE = r"""
+with t as (select row_number() over () as r, doc_id, text from documents),
+low as (select r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from t),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bw as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as k from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0) x),
+dw as (select r, n, i, array_to_string(w[i:i + n - 1], ' ') as k from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from low cross join (select distinct n from bw) l where len(w) >= n) x),
+hits as (select dw.r, dw.i, dw.n, bw.item_id from dw join bw on dw.n = bw.n and dw.k = bw.k),
+words as (select r, count(distinct p) as c from (select r, unnest(range(i, i + n)) as p from hits) x group by r),
+items as (select r, count(*) as c, string_agg(id, ',' order by id) as ids from (select distinct r, cast(item_id as varchar) as id from hits) x group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(words.c, 0) as bigint) as n_hit, cast(coalesce(items.c, 0) as bigint) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(words.c, 0) > 0 as contaminated
+from low left join words on low.r = words.r left join items on low.r = items.r
+"""

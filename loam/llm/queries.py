@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import ORACLE as OP4
 from .decontaminate import op4_decontaminate
 from .langid import op8_language_id
 from .licenses import ORACLE as OP10
@@ -11,6 +12,7 @@ from .media import op2_media_columns
 from .mixing import op1_mix_sources
 from .pii import op6_pii_surrogates
 from .simhash import op7_simhash_near_dedup
+from .substring import ORACLE as OP3
 from .substring import op3_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
 
@@ -20,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": OP10}
+    return {"op3_substring_dedup": OP3, "op4_decontaminate": OP4, "op10_license_scan": OP10}

@@ -19,20 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import NO_ID, SIG, Ranges, branching, join_apart, keyed, place_lists, repeated_edges, sigs, with_places
-from .common import Hashes, table, text_chunks
+from .common import table, text_chunks, word_hashes
 from .decontaminate import spread
 
 WINDOW, GRAM, STEP = 35, 8, 2 << 20
 WINDOWS = "m long, h long, doc long, at long, copies long"
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
-_hashes = Hashes()
-
 
 def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each text."""
     raw, counts, parts = data.tobytes(), [0], []
-    get = _hashes.__getitem__
+    get = word_hashes.__getitem__
     for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
         words = raw[a:b].split()
         parts.append(np.fromiter(map(get, words), np.uint64, len(words)))
@@ -109,3 +107,17 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+#: The same in DuckDB: all windows grouped by their words.
+ORACLE = r"""
+with t as (select row_number() over () as r, doc_id, text from documents),
+d as (select r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from t),
+win as (select r, i, array_to_string(w[i:i + 34], ' ') as k from (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35) x),
+again as (select k from win group by k having count(*) > 1),
+gone as (select r, list(distinct p) as ps from (select win.r, unnest(range(win.i, win.i + 35)) as p from win join again on win.k = again.k) x group by r),
+kept as (select u.r, string_agg(u.x, ' ' order by u.i) as text from (select r, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d) u
+  left join (select r, unnest(ps) as p from gone) g on u.r = g.r and u.i = g.p where g.p is null group by u.r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone.ps), 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join gone on d.r = gone.r left join kept on d.r = kept.r
+"""
