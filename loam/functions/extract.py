@@ -103,7 +103,9 @@ def imports(d: Spark, x: str, ext: str) -> str:
 
 def symbols(d: Spark, x: str, ext: str) -> str:
     m, every = d.multiline, lambda p: d.extract_all(x, p, 1)
-    c = d.concat(every(rf"{m}^\s*(?:{WORD}+\s+)*({WORD}+)::{WORD}*\s*\("), every(rf"{m}^\s*(?:{WORD}+\s+)+({WORD}+)\s*\("), every(rf"{m}^\s*class\s+({WORD}+)"))
+    # Runs of words as one character class: a repeated group would recurse once for each word of a long text.
+    run = r"[\p{L}\p{N}_][\p{L}\p{N}_\s]*\s"
+    c = d.concat(every(rf"{m}^\s*(?:{run})?({WORD}+)::{WORD}*\s*\("), every(rf"{m}^\s*{run}({WORD}+)\s*\("), every(rf"{m}^\s*class\s+({WORD}+)"))
     found = f"""(case when {ext} = '.py' then {every(rf"{m}^\s*(?:async\s+def|def|class)\s+([A-Za-z_][A-Za-z0-9_]*)")}
       when {ext} in ('.js', '.ts') then {every(rf"{m}^\s*(?:export\s+)?(?:async\s+)?(?:function|class|const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)")}
       when {ext} = '.go' then {every(rf"{m}^\s*(?:func|type|struct|interface)\s+([A-Za-z_][A-Za-z0-9_]*)")}

@@ -13,6 +13,12 @@ from .dialect import SPARK
 from .relations import plan
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out a table of fewer files than cores, which one row group would keep in one task; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 class Engine:
     """Analyses of one corpus.
 
@@ -41,6 +47,7 @@ class Engine:
         key = (spark.sparkContext.applicationId, sf_dir)
         if key not in cls._documents:
             tables = {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ("documents", "pages", "events", "conversations", "labels")}
+            tables["documents"] = spread(tables["documents"])
             cls._documents[key] = cls(spark, tables)
         return cls._documents[key]
 

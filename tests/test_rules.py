@@ -42,6 +42,13 @@ def test_facts(files):
     assert (got[".env"].extension, got["a.py"].extension) == (".env", ".py")
 
 
+def test_very_long_texts(files):
+    words = "word another third " * 30_000
+    text = {"a.cpp": words + "\nint f(int x)\n", "b.md": "# T\n" + words, "c.py": "x" * 500_000, "d.ts": words}
+    got = {r.path: r for r in files(text).relation("files").collect()}
+    assert got["a.cpp"].symbols == ["f"] and got["b.md"].doc_title == "T" and got["c.py"].line_count == 1
+
+
 def test_pairings(files):
     names = ["src/server.py", "src/other.py", "src/lib.go", "tests/test_server.py", "tests/test_my_other.py", "x/lib_test.go", "src/zz.py"]
     got = {r.path: (r.status, r.test_file) for r in files(dict.fromkeys(names, "x")).relation("coverage").collect()}
