@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from loam.functions import classify as C
 from loam.functions import extract as X
+from loam.functions import roles as R
 from loam.plans.dialect import Spark
 from loam.plans.relations import DISPLAY, ENTRY_ORDER, LANGUAGES, case
 
@@ -211,6 +212,11 @@ def a6_components(d: Spark) -> str:
     return "select key, file_count, line_count from kept_components"
 
 
+@query
+def c19_component_roles(d: Spark) -> str:
+    return R.component_roles(d, "select key from components")
+
+
 @query
 def w5_component_files(d: Spark) -> str:
     return """select component, path, cast(k as bigint) as k from (select component, path, row_number() over (partition by component order by line_count desc, path) as k

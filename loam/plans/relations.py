@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from loam.functions import classify as C
 from loam.functions import extract as X
+from loam.functions import roles as R
 
 from .dialect import Spark
 
@@ -296,6 +297,16 @@ def components(d: Spark) -> str:
       from files f join (select component, count(*) as n from files where component is not null group by component) c on f.component = c.component) x group by key"""
 
 
+@relation
+def role_names(d: Spark) -> str:
+    return R.dimension(R.ROLES)
+
+
+@relation
+def library_names(d: Spark) -> str:
+    return R.dimension(R.LIBRARIES)
+
+
 @relation
 def kept_components(d: Spark) -> str:
     return """select key, file_count, line_count from components where file_count > 2 or (select count(*) from components) <= 3 or (select count_if(file_count > 2) from components) < 3
