@@ -92,11 +92,13 @@ def text_chunks(
 
 
 class Hashes(dict):
-    """Word bytes -> XXH64 as an unsigned 64-bit integer, remembered; emptied when it gets large."""
+    """Word bytes -> XXH64 as an unsigned 64-bit integer, remembered unless long; emptied when it gets large."""
 
-    MOST = 150_000
+    MOST, LONG = 150_000, 64
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > self.LONG:
+            return xxhash.xxh64_intdigest(word, 42)
         if len(self) >= self.MOST:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 42)
