@@ -1,11 +1,14 @@
 """Near copies by similarity: texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
 PRINTS SimHash fingerprints of 64 bits each are taken of the set of shingles. They are cut into bands of 16 bits; pairs that agree
-in a band meet in a bucket, where the pivot table orders the rows and the first fingerprints' distances choose, for each row, its
-NEAREST closest predecessors. These candidates (a few for each row, however large a group is) are verified on the exact shingle
-sets, and verified links join components. Texts are shuffled twice,
-compressed, by plans that are the same at every size. At a similarity of 0.8 a bit agrees with probability 0.85, so that one of 48 bands
-does with 0.97; at 0.85, with 0.996; a group of several copies has more chances.
+in a band meet in a bucket. There are two passes. In the first, a pivot's distances order each bucket, and each row's closest
+predecessors (a few for each row, however large a group is) are verified on the exact shingle sets; this joins the bulk of a
+group cheaply. In the second, each bucket compares all its rows that are not yet in one component, and every pair within the
+fingerprints' limits is verified: no pair is left out because of others, only because its rows are connected already. What the
+first pass does not offer is thus no loss. The second pass takes as many steps as there are such pairs: few where groups are
+groups, and quadratic in a bucket of texts that are alike but under the similarity.
+Texts are shuffled twice for each pass, compressed, by plans that are the same at every size. At a similarity of 0.8 a bit agrees
+with probability 0.85, so that one of 48 bands does with 0.97; at 0.85, with 0.996; a group of several copies has more chances.
 
 Cases: exact copies (same words) are one node from the start; texts with fewer words than a shingle have one shingle; texts
 without words are all alike; an empty table gives an empty table; a row with a null doc_id belongs to no group; columns stay.
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from pyspark.sql.window import Window
@@ -29,10 +32,12 @@ from .simhash import REFERENCES
 
 WORDS, SIMILARITY = 5, 0.8
 PRINTS, BAND, NEAREST, WITHIN = 12, 16, 2, 512
-#: Closest predecessors of each row that are verified.
+#: Closest predecessors of each row that the first pass verifies.
 VERIFIED = 6
 #: Of the first fingerprint's 64 bits, three standard deviations more than differ on average at a similarity of 0.8.
 FAR = 19
+#: Of the first two fingerprints' 128 bits, four standard deviations more (the second pass).
+FAR_TWO = 36
 #: Of all fingerprints' bits, the share that may differ: 0.15 on average at a similarity of 0.8.
 FAR_ALL = 0.2
 STEP = 2 << 20
@@ -121,6 +126,53 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(held)
 
 
+def others_in_buckets(key: np.ndarray, node: np.ndarray, group: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows in one bucket and two groups, with first two fingerprints (columns of ``fp``) within FAR_TWO bits."""
+    order = np.lexsort((group, key))
+    key, node, group, fp = key[order], node[order], group[order], fp[order]
+    n = len(key)
+    new = np.append(True, key[1:] != key[:-1])
+    bucket = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    other = np.maximum.accumulate(np.where(new | np.append(True, group[1:] != group[:-1]), np.arange(n), 0))
+    live = np.flatnonzero(other > bucket)  # rows before ``other`` are of other groups
+    step = 0
+    while len(live):
+        step += 1
+        live = live[other[live] - bucket[live] >= step]
+        if step > WITHIN:
+            break
+        j = other[live] - step
+        far = np.bitwise_count(fp[live, 0] ^ fp[j, 0]) + np.bitwise_count(fp[live, 1] ^ fp[j, 1])
+        near = far <= FAR_TWO
+        if near.any():
+            yield node[live[near]], node[j[near]]
+
+
+def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in order of key; a bucket is kept until it is whole."""
+
+    def pairs(t: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for a, b in others_in_buckets(*t[:3], np.stack(t[3:], 1).view(np.uint64)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    names = ("key", "node", "root", "fp", "fp2")
+    held: list[list[np.ndarray]] = []
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        new = [np.asarray(rows.column(c)) for c in names]
+        if held and held[-1][0][-1] == new[0][-1]:  # one bucket all along
+            held.append(new)
+            continue
+        whole = [np.concatenate(x) for x in zip(*held, new, strict=True)]
+        cut = int(np.searchsorted(whole[0], whole[0][-1]))
+        if cut:
+            yield from pairs([x[:cut] for x in whole])
+        held = [[x[cut:] for x in whole]]
+    if held:
+        yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches, STEP):
@@ -145,30 +197,53 @@ def _verified(similarity: float):
     return run
 
 
-def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, group: the smallest doc_id of the near copies that a document belongs to."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    printed = written(rows.mapInArrow(_prints(words), "doc_id long, same binary, fp array<long>"), "prints")
-    nodes = printed.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")).where("node is not null")
-    nodes = written(nodes, "nodes")
+def _bands() -> list[Column]:
     per = 64 // BAND
-    bands = [F.lit(k << BAND) + F.shiftrightunsigned(F.col("fp")[k // per], BAND * (k % per)).bitwiseAND(F.lit((1 << BAND) - 1)) for k in range(PRINTS * per)]
-    tables = nodes.select("node", F.col("fp")[0].alias("fp"), F.explode(F.array(*bands)).alias("key"))
+    return [F.lit(k << BAND) + F.shiftrightunsigned(F.col("fp")[k // per], BAND * (k % per)).bitwiseAND(F.lit((1 << BAND) - 1)) for k in range(PRINTS * per)]
+
+
+def _closest(nodes: DataFrame) -> DataFrame:
+    """The first pass's pairs (a, b)."""
+    tables = nodes.select("node", F.col("fp")[0].alias("fp"), F.explode(F.array(*_bands())).alias("key"))
     pairs = tables.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long")
     # A row meets its close predecessors in many bands: the most frequent ones are the closest.
     closest = Window.partitionBy("a").orderBy(F.desc("n"), "b")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(closest)).where(F.col("k") <= VERIFIED).select("a", "b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(closest)).where(F.col("k") <= VERIFIED).select("a", "b")
+
+
+def _unconnected(nodes: DataFrame, star: DataFrame) -> DataFrame:
+    """The second pass's pairs (a, b): all of a bucket that are not in one component of ``star``."""
+    rooted = nodes.join(star.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tables = rooted.select("node", "root", F.col("fp")[0].alias("fp"), F.col("fp")[1].alias("fp2"), F.explode(F.array(*_bands())).alias("key"))
+    return tables.repartition("key").sortWithinPartitions("key").mapInArrow(_others, "a long, b long").distinct()
+
+
+def _verified_links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose shingle sets are similar."""
     # Far from the similarity by all fingerprints (four standard deviations at 0.8): not worth looking at the texts.
     prints_of = lambda k: nodes.select(F.col("node").alias(k), F.col("fp").alias(f"fp_{k}"))
     differ = sum((F.bit_count(F.col("fp_a")[i].bitwiseXOR(F.col("fp_b")[i])) for i in range(PRINTS)), F.lit(0))
     pairs = pairs.join(prints_of("a"), "a").join(prints_of("b"), "b").where(differ <= int(64 * PRINTS * FAR_ALL)).select("a", "b")
     pairs = written(pairs, "near_pairs")
+    if pairs.isEmpty():
+        return pairs
     members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = packed(rows.withColumnRenamed("doc_id", "node")).join(members.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     sets = written(unpacked(texts).mapInArrow(_sets(words), "node long, shingles binary"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    star = components(both.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long"))
+    return written(both.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long"), "near_links")
+
+
+def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, group: the smallest doc_id of the near copies that a document belongs to."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    printed = written(rows.mapInArrow(_prints(words), "doc_id long, same binary, fp array<long>"), "prints")
+    nodes = printed.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")).where("node is not null")
+    nodes = written(nodes, "nodes")
+    first = _verified_links(rows, nodes, _closest(nodes), words, similarity)
+    links = first.unionByName(_verified_links(rows, nodes, _unconnected(nodes, components(first)), words, similarity))
+    star = components(links)
     grouped = nodes.select("same", "node").join(star.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left")
     grouped = grouped.select("same", F.coalesce("root", "node").alias("group"))
     return printed.select("doc_id", "same").join(grouped, "same", "left").select("doc_id", F.coalesce("group", "doc_id").alias("group"))
