@@ -5,7 +5,7 @@ in a band meet in a bucket. There are two passes. In the first, a pivot's distan
 predecessors (a few for each row, however large a group is) are verified on the exact shingle sets; this joins the bulk of a
 group cheaply. In the second, each bucket compares all its rows that are not yet in one component, and every pair within the
 fingerprints' limits is verified: no pair is left out because of others, only because its rows are connected already. What the
-first pass does not offer is thus no loss. The second pass takes as many steps as there are such pairs: few where groups are
+first pass does not offer is thus no loss. Buckets of any size are compared whole; large ones in cells of two parts each. The second pass takes as many steps as there are such pairs: few where groups are
 groups, and quadratic in a bucket of texts that are alike but under the similarity.
 Texts are shuffled twice for each pass, compressed, by plans that are the same at every size. At a similarity of 0.8 a bit agrees
 with probability 0.85, so that one of 48 bands does with 0.97; at 0.85, with 0.996; a group of several copies has more chances.
@@ -38,6 +38,8 @@ VERIFIED = 6
 FAR = 19
 #: Of the first two fingerprints' 128 bits, four standard deviations more (the second pass).
 FAR_TWO = 36
+#: Rows of a bucket, about, up to which the second pass compares it in one task.
+WHOLE = 20_000
 #: Of all fingerprints' bits, the share that may differ: 0.15 on average at a similarity of 0.8.
 FAR_ALL = 0.2
 STEP = 2 << 20
@@ -119,7 +121,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if cut:
             yield pairs([h[:cut] for h in held])
             held = [h[cut:] for h in held]
-        elif len(held[0]) > 100_000:  # what a giant bucket's pieces miss, the other bands' pieces bring
+        elif len(held[0]) > 100_000:  # the second pass compares what a giant bucket's pieces miss
             yield pairs(held)
             held = [h[-WITHIN:] for h in held]
     if len(held[0]):
@@ -139,8 +141,6 @@ def others_in_buckets(key: np.ndarray, node: np.ndarray, group: np.ndarray, fp:
     while len(live):
         step += 1
         live = live[other[live] - bucket[live] >= step]
-        if step > WITHIN:
-            break
         j = other[live] - step
         far = np.bitwise_count(fp[live, 0] ^ fp[j, 0]) + np.bitwise_count(fp[live, 1] ^ fp[j, 1])
         near = far <= FAR_TWO
@@ -211,10 +211,21 @@ def _closest(nodes: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(closest)).where(F.col("k") <= VERIFIED).select("a", "b")
 
 
-def _unconnected(nodes: DataFrame, star: DataFrame) -> DataFrame:
-    """The second pass's pairs (a, b): all of a bucket that are not in one component of ``star``."""
+def _unconnected(nodes: DataFrame, star: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """The second pass's pairs (a, b): all of a bucket that are not in one component of ``star``.
+
+    A bucket of more than ``whole`` rows is dealt into parts, and each two parts meet in a cell of their own.
+    """
     rooted = nodes.join(star.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node"))
     tables = rooted.select("node", "root", F.col("fp")[0].alias("fp"), F.col("fp")[1].alias("fp2"), F.explode(F.array(*_bands())).alias("key"))
+    size = tables.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("r"), F.max("root").alias("s"))
+    large = size.where(F.col("c") > whole).select("key", F.ceil(F.col("c") / whole).cast("int").alias("parts"), (F.col("r") == F.col("s")).alias("one"))
+    tables = tables.join(F.broadcast(large), "key", "left").where("not coalesce(one, false)")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    with_own = F.transform(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), own), lambda p: F.greatest(p, own) * F.col("parts") + F.least(p, own))
+    cells = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(with_own.cast("array<int>"))
+    tables = tables.select("node", "root", "fp", "fp2", "key", F.explode(cells).alias("cell"))
+    tables = tables.withColumn("key", F.shiftleft(F.col("key").cast("long"), 40) + F.col("cell")).drop("cell")
     return tables.repartition("key").sortWithinPartitions("key").mapInArrow(_others, "a long, b long").distinct()
 
 

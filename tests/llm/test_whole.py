@@ -26,3 +26,23 @@ def test_a_link_outside_a_close_group_is_found(spark):
     got = {r.doc_id: r.group for r in near.near_copy_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert all(got[100 * k + 50] == got[100 * k + 1 + j] for k in range(10) for j in range(40))
     assert sum(got[100 * k + 50] == 100 * k for k in range(10)) >= 9  # a pair at 0.81 shares a band with probability 0.97
+
+
+def test_all_rows_of_a_bucket_are_compared(spark):
+    """Pairs far apart in a bucket's order, in one piece and in cells."""
+    rng = np.random.default_rng(12)
+    n = 3000
+    fp = rng.integers(0, 2**63, (n, near.PRINTS), np.int64)
+    fp[:, 2:] = 0  # in the bands of ten fingerprints all are together
+    twins = [(i, i + 1500) for i in range(0, 1500, 100)]
+    for i, j in twins:
+        fp[j] = fp[i]
+        fp[j, :2] ^= np.int64(0x0101010101010101)
+    nodes = spark.createDataFrame([(i, fp[i].tolist()) for i in range(n)], "node long, fp array<long>")
+    star = spark.createDataFrame([(j, i) for i, j in twins[:5]], "u long, v long")
+    differ = np.bitwise_count(fp[:, None, :2] ^ fp[None, :, :2]).sum(2, dtype=int)
+    want = set(zip(*np.nonzero(np.triu(differ <= near.FAR_TWO, 1)), strict=True)) - set(twins[:5])
+    assert want >= set(twins[5:])
+    for whole in (near.WHOLE, 700):
+        got = {(r.b, r.a) for r in near._unconnected(nodes, star, whole).collect()}
+        assert got == want
