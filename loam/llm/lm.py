@@ -3,7 +3,7 @@
 A word's subword probability sums over all segmentations into pieces of an existing vocabulary. Piece weights start from the
 vocabulary's scores and are re-estimated by expectation maximisation over all distinct words of the training documents. A token
 with count c then has probability (c + V * subword probability) / (N + V): what is seen often is scored by its count, what is
-new by the marginal of its spellings. A document's score is the sum over its words and its end.
+new by the marginal of its spellings, whose logarithm is carried (``sub``), so that words of any length keep theirs. A document's score is the sum over its words and its end.
 
 Scale: words are counted with partial sums on both sides of one shuffle. The most frequent words, at most HEAD, are
 broadcast with their scores; the other tokens, one row for each document and distinct word, are joined with the table of counts,
@@ -85,14 +85,14 @@ def _scored(pieces: list[bytes], logs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, logs)
         for rows in gathered(batches):
-            sub = np.exp(lattice.score(rows.column("word").to_pylist()))
+            sub = lattice.score(rows.column("word").to_pylist())
             yield from rows.append_column("sub", pa.array(sub)).to_batches()
 
     return run
 
 
 def _tokens(pieces: list[bytes], logs: np.ndarray, head, totals: tuple[int, int, int]):
-    """For each document one row with the sums over head words and the end, and one for each other word."""
+    """For each document one row with the sums over head words and the end, and one for each other word (``sub``: natural log)."""
     n, v, ends = totals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,7 @@ def _tokens(pieces: list[bytes], logs: np.ndarray, head, totals: tuple[int, int,
             if len(remembered) + len(new) > REMEMBERED:
                 remembered.clear()
                 new = list({w for i, w, _ in tail if held_out[i]})
-            remembered.update(zip(new, np.exp(lattice.score(new)).tolist(), strict=True))
+            remembered.update(zip(new, lattice.score(new).tolist(), strict=True))
             m = len(tail)
             out["doc"] += [docs[i] for i, _, _ in tail]
             out["sig"] += [int(sig[i]) for i, _, _ in tail]
@@ -180,15 +180,16 @@ def score_documents(docs: DataFrame, vocabulary_path: str = VOCABULARY, head: in
     top = words.where(F.col("c") >= head_count(words, head)).collect()
     top_words = [bytes(r.word) for r in top]
     c = np.array([r.c for r in top], float)
-    sub = np.exp(Lattice(pieces, logs).score(top_words))
+    sub = np.exp(Lattice(pieces, logs).score(top_words))  # may round to 0: their counts are 1 at least
     sent = spark.sparkContext.broadcast((top_words, np.log10((c + 0.1) / (n + 0.1 * (v + 1))).tolist(), np.log10((c + v * sub) / (n + v + 1)).tolist()))
     tokens = docs.mapInArrow(_tokens(pieces, logs, sent, (n, v, ends)), TOKENS)
     scored = words.mapInArrow(_scored(pieces, logs), "word binary, c long, sub double").withColumnRenamed("sub", "sub_known")
     joined = tokens.join(scored, "word", "left")
     c, times, sub = F.coalesce("c", F.lit(0)), F.col("times"), F.coalesce("sub_known", "sub")
     base = F.coalesce("base", times * F.log10((c + 0.1) / (n + 0.1 * (v + 1))))
-    least = 1e-300  # a word's lattice always has the bytes' path; only its rounding can reach 0
-    score = F.coalesce("score", times * F.log10((c + F.greatest(v * sub, F.lit(least))) / (n + v + 1)))
+    # Of unseen words the logarithm itself: a long one's probability is no double. Without training words it stands alone.
+    unseen = (sub + math.log(v)) / LOG10 - math.log10(n + v + 1) if v else sub / LOG10
+    score = F.coalesce("score", times * F.when(c > 0, F.log10((c + v * F.exp(sub)) / (n + v + 1))).otherwise(unseen))
     known = F.coalesce("known", F.when(c > 0, times).otherwise(0))
     by_doc = joined.groupBy("doc", "sig").agg(
         F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"), F.sum(known).alias("known"), F.sum(base).alias("base"),

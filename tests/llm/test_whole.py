@@ -1,8 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
+import zlib
+
 import numpy as np
 
-from loam.llm import near
+from loam.llm import lm, near
+from loam.llm.lattice import Lattice, vocabulary
 
 
 def changed(words, at, tag):
@@ -46,3 +50,23 @@ def test_all_rows_of_a_bucket_are_compared(spark):
     for whole in (near.WHOLE, 700):
         got = {(r.b, r.a) for r in near._unconnected(nodes, star, whole).collect()}
         assert got == want
+
+
+def test_long_unseen_words_keep_their_probability(spark):
+    """Also those that no double holds; and without training documents each word has its spellings' probability alone."""
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    other = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 10)
+    words = ["Qz7\u0416" * k for k in (1, 100, 500)]
+    data = list(zip(held, words, strict=True))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    pieces, logs = vocabulary(lm.VOCABULARY)
+    low = [w.encode().replace(b"Q", b"q") for w in words]
+    got = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    for i, sub in zip(held, Lattice(pieces, logs).score(low).tolist(), strict=True):
+        assert math.isclose(got[i], sub / math.log(10), rel_tol=1e-9)
+    both = docs.unionByName(spark.createDataFrame([(other, "some words and some more")], docs.schema))
+    got = {r.doc_id: r.score for r in lm.score_documents(both).collect()}
+    trained = lm.estimate(spark.createDataFrame([(w,) for w in (b"some", b"words", b"and", b"more")], "word binary"), pieces, logs)
+    n, v = 6, 5
+    for i, sub in zip(held, Lattice(pieces, trained).score(low).tolist(), strict=True):
+        assert math.isclose(got[i], (sub + math.log(v)) / math.log(10) - math.log10(n + v + 1) + math.log10((1 + 1) / (n + v + 1)), rel_tol=1e-9)
