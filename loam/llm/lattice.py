@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from .common import mix64
 
-#: No vocabulary piece that is longer takes part.
-LONGEST = 16
-#: Words over this length are scored one by one.
-LONG_WORD = 64
+#: Longer pieces are few; they are looked up only where their first STEM bytes occur.
+STEM = 16
+#: Words of this length or more are scored one by one, in chunks of CHUNK places.
+LONG_WORD, CHUNK = 64, 1 << 16
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64))
 
@@ -27,14 +29,20 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i):
             continue
         piece = model.id_to_piece(i).replace("▁", " ").encode()
-        if len(piece) <= LONGEST:
-            score = model.get_score(i)
-            weight[piece] = 1 / (10 - score) if score <= 0 else 1.0
+        score = model.get_score(i)
+        weight[piece] = 1 / (10 - score) if score <= 0 else 1.0
     pieces = sorted(weight)
     logs = np.log([weight[p] for p in pieces])
     return pieces, logs - np.logaddexp.reduce(logs)
 
 
+def _add(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))."""
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
 class Lattice:
     """Scores words (with their leading space) under piece log probabilities."""
 
@@ -45,6 +53,7 @@ class Lattice:
         if (self.sorted[1:] == self.sorted[:-1]).any():
             raise ValueError("two pieces have one hash")
         self.longest = max(map(len, pieces))
+        self.stems = np.unique(np.array([self._hash(p[:STEM]) for p in pieces if len(p) > STEM], np.uint64))
         self.size = len(pieces)
         # Open addressing: most substrings are no piece and meet an empty place at once.
         self.bits = max(8, (8 * self.size).bit_length())
@@ -95,6 +104,8 @@ class Lattice:
                     ahead[j + 1, on] = np.logaddexp(ahead[j + 1, on], ahead[i, on] + self.logs[slot])
                     if expect is not None:
                         arcs.append((i, j + 1, on, slot))
+                if j - i + 1 == STEM and not np.isin(h, self.stems).any():
+                    break
         if expect is not None:
             behind = np.full((n + 1, rows), -np.inf)
             behind[n] = 0
@@ -104,34 +115,52 @@ class Lattice:
                 np.add.at(expect, slot, np.exp(ahead[i, on] + p - ahead[n, on]))
         return ahead[n]
 
-    def _long(self, word: bytes) -> float:
-        text = BYTE_HASH[np.frombuffer(word, np.uint8)]
+    def _arcs(self, text: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, slots) of the pieces that start at first..last-1 of the word, by start."""
         n = len(text)
-        arcs: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        h = np.zeros(n, np.uint64)
-        for k in range(self.longest):
-            h = h[: n - k] * STEP + text[k:]
+        h, found = np.zeros(last - first, np.uint64), []
+        for k in range(min(self.longest, n - first)):
+            h = h[: min(last, n - k) - first]
+            h = h * STEP + text[first + k : first + k + len(h)]
             on, slot = self._find(h)
-            for i, p in zip(on.tolist(), self.logs[slot].tolist(), strict=True):
-                arcs[i].append((i + k + 1, p))
-            if k + 1 >= n:
+            found.append((on + first, on + first + k + 1, slot))
+            if k + 1 == STEM and not np.isin(h, self.stems).any():
                 break
-        ahead = [-np.inf] * (n + 1)
+        i, j, slot = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(i, kind="stable")
+        return i[order], j[order], slot[order]
+
+    def _long(self, word: bytes, expect: np.ndarray | None = None) -> float:
+        """One word, in memory linear in its length; adds expected piece counts to ``expect``."""
+        text = BYTE_HASH[np.frombuffer(word, np.uint8)]
+        n = len(text)
+        ahead = [-math.inf] * (n + 1)
         ahead[0] = 0.0
-        for i in range(n):
-            for j, p in arcs[i]:
-                a, b = ahead[j], ahead[i] + p
-                ahead[j] = b if a == -np.inf else max(a, b) + float(np.log1p(np.exp(-abs(a - b))))
+        for first in range(0, n, CHUNK):
+            i, j, slot = self._arcs(text, first, min(n, first + CHUNK))
+            for x, y, p in zip(i.tolist(), j.tolist(), self.logs[slot].tolist(), strict=True):
+                ahead[y] = _add(ahead[y], ahead[x] + p)
+        if expect is None or ahead[n] == -math.inf:
+            return ahead[n]
+        behind = [-math.inf] * (n + 1)
+        behind[n] = 0.0
+        for first in reversed(range(0, n, CHUNK)):
+            last = min(n, first + CHUNK)
+            i, j, slot = self._arcs(text, first, last)
+            for x, y, p in zip(i[::-1].tolist(), j[::-1].tolist(), self.logs[slot[::-1]].tolist(), strict=True):
+                behind[x] = _add(behind[x], behind[y] + p)
+            a, z = np.array(ahead[first:last]), np.array(behind[first : last + self.longest])
+            np.add.at(expect, slot, np.exp(a[i - first] + self.logs[slot] + z[j - first] - ahead[n]))
         return ahead[n]
 
     def score(self, words: list[bytes], expect: np.ndarray | None = None) -> np.ndarray:
-        """Natural log probability of each word. ``expect``: gets expected piece counts by slot (of words that are not long)."""
+        """Natural log probability of each word. ``expect``: gets expected piece counts by slot."""
         out = np.zeros(len(words))
         size = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(size).tolist():
             of = np.flatnonzero(size == n)
             if n >= LONG_WORD:
-                out[of] = [self._long(b" " + words[i]) for i in of.tolist()]
+                out[of] = [self._long(b" " + words[i], expect) for i in of.tolist()]
                 continue
             for k in range(0, len(of), 8192):
                 part = of[k : k + 8192]

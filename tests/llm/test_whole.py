@@ -70,3 +70,25 @@ def test_long_unseen_words_keep_their_probability(spark):
     n, v = 6, 5
     for i, sub in zip(held, Lattice(pieces, trained).score(low).tolist(), strict=True):
         assert math.isclose(got[i], (sub + math.log(v)) / math.log(10) - math.log10(n + v + 1) + math.log10((1 + 1) / (n + v + 1)), rel_tol=1e-9)
+
+
+def test_long_words_and_long_pieces_take_part(monkeypatch):
+    """The backward pass of long words counts what that of short ones does, in chunks too; no piece is left out."""
+    from loam.llm import lattice
+
+    pieces, logs = vocabulary(lm.VOCABULARY)
+    assert max(map(len, pieces)) > 16
+    words = ["some\u0436words" * 3, max(pieces, key=len).decode().strip() * 2, "x" * 60]
+    words = [w.encode() for w in words]
+    one = Lattice(pieces, logs)
+    want, got = np.zeros(len(pieces)), np.zeros(len(pieces))
+    short = one.score(words, want)
+    monkeypatch.setattr(lattice, "CHUNK", 7)
+    monkeypatch.setattr(lattice, "LONG_WORD", 1)
+    assert np.allclose(one.score(words, got), short) and np.allclose(got, want, atol=1e-12)
+    assert math.isclose(float(one.by_piece(got) @ [len(p) for p in pieces]), sum(len(w) + 1 for w in words))
+    longest = max(pieces, key=len)
+    plain = [p for p in pieces if len(p) <= lattice.STEM]
+    fewer = Lattice(plain, logs[[pieces.index(p) for p in plain]])
+    word = longest[1:] if longest[:1] == b" " else longest
+    assert one.score([word])[0] > fewer.score([word])[0]
