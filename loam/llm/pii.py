@@ -1,5 +1,7 @@
 """PII: detected entities get keyed surrogates of their type, format, script and gender.
 
+Names are found after titles, as listed given names with a surname, and wherever the same text repeats a name so found or a part
+of it, capitalised; each word of a name is an entity. A name that no title or listed given name ever marks in its text is not found.
 A surrogate is the first string on its format's keyed permutation cycle that is no entity of the corpus. Such a walk is
 injective: different entities get different surrogates, one entity gets the same everywhere, and no surrogate names a real
 entity. Collisions with real entities are found by joining the distinct entities with their surrogates; only those that collide
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .anchors import NO_ID, sigs
 from .common import table, text_chunks, written
-from .surrogates import KEY, Detector, Surrogates, dressed, maybe
+from .surrogates import KEY, Detector, Surrogates, dressed, maybe, units
 
 STEP, SENT, MOST_STEPS = 4 << 20, 50_000, 64
 _KEYS = ["kind", "norm"]
@@ -32,7 +34,7 @@ def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
             text = raw[a:b]
             if maybe(text):
-                out |= {(docs[i].as_py(), int(sig[i]), x.kind, x.norm) for x in find(text.decode())}
+                out |= {(docs[i].as_py(), int(sig[i]), x.kind, u) for x in find(text.decode()) for u in units(x.kind, x.norm)}
         cols = [pa.array(c, t) for c, t in zip(zip(*sorted(out)) if out else [[]] * 4, [pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True)]
         yield pa.RecordBatch.from_arrays(cols, ["doc", "sig", "kind", "norm"])
 
@@ -82,13 +84,16 @@ def _rewrite(key: bytes, sent: dict[tuple[str, str], str], columns: list[str] |
                     mine = {(x["kind"], x["norm"]): x["surrogate"] for x in own[i] or ()} if own else {}
                     out, at = [], 0
                     for x in found:
-                        k = (x.kind, x.norm)
-                        s = mine.get(k) or sent.get(k) or known.get(k)
-                        if s is None:
-                            if len(known) > 100_000:
-                                known.clear()
-                            s = known[k] = made.next(*k)
-                        out += [text[at : x.start], dressed(s, text[x.start : x.end])]
+                        new = []
+                        for u in units(x.kind, x.norm):
+                            k = (x.kind, u)
+                            s = mine.get(k) or sent.get(k) or known.get(k)
+                            if s is None:
+                                if len(known) > 100_000:
+                                    known.clear()
+                                s = known[k] = made.next(*k)
+                            new.append(s)
+                        out += [text[at : x.start], dressed(" ".join(new), text[x.start : x.end])]
                         at = x.end
                     text = "".join([*out, text[at:]]).encode()
                 texts.append(None if nulls[i] else text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 #: Placeholder; pass a secret of your own.
@@ -44,7 +45,20 @@ def _finder() -> re.Pattern:
 
 def maybe(raw: bytes, _digit=re.compile(rb"[0-9]"), _titles=tuple((t + x).encode() for t in TITLES for x in (" ", ". "))) -> bool:
     """Whether a text can hold an entity; cheap."""
-    return _digit.search(raw) is not None or b"@" in raw or b'"' in raw or b"'" in raw or any(t in raw for t in _titles)
+    return _digit.search(raw) is not None or b"@" in raw or b'"' in raw or b"'" in raw or any(t in raw for t in _titles) or maybe_given(raw)
+
+
+#: For bytes.translate: all but ASCII letters turn into spaces.
+_LETTERS_ONLY = bytes(b if 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
+_ASCII_GIVEN = frozenset(w.encode() for n in LISTED if n.isascii() for w in (n.title(), n.upper()))
+_OTHER_GIVEN = tuple(w.encode() for n in LISTED if not n.isascii() for w in (n.title(), n.upper()))
+
+
+def maybe_given(raw: bytes) -> bool:
+    """Whether a text can hold a listed given name; cheap."""
+    if not _ASCII_GIVEN.isdisjoint(raw.translate(_LETTERS_ONLY).split()):
+        return True
+    return not raw.isascii() and any(w in raw for w in _OTHER_GIVEN)
 
 
 @dataclass(frozen=True)
@@ -156,7 +170,8 @@ class Surrogates:
         if word in LISTED:
             group, names = LISTED[word]
             p = Permutation(hashlib.blake2b(group.encode(), key=self.key[:64], digest_size=32).digest(), len(names))
-            return names[p(names.index(word))]
+            order = [p(i) for i in range(len(names))]  # one cycle through the list: no name stays as it is
+            return names[order[(order.index(names.index(word)) + 1) % len(names)]]
         alphabets = _alphabets("name", word)
         while True:
             word = self._permute("name", word, alphabets)
@@ -171,9 +186,48 @@ def dressed(surrogate: str, original: str) -> str:
     return "".join(s.upper() if o.isupper() and len(s.upper()) == 1 else s for s, o in zip(surrogate, original, strict=True))
 
 
+def units(kind: str, norm: str) -> list[str]:
+    """What is permuted on its own: each word of a name, so that a part of it gets the whole's surrogate."""
+    return norm.split(" ") if kind == "name" else [norm]
+
+
+_POSSESSIVE = re.compile(r"['’][sS]?$")
+
+
 class Detector:
+    """Entities by PATTERNS; then listed given names with the surnames after them; then, of all names of the text, every
+    other capitalised whole-word mention of the name or a part of it."""
+
     def __init__(self):
+        import regex
+
         self.finder = _finder()
+        given = "|".join(w for n in LISTED for w in (n.title(), n.upper()))
+        self.given = regex.compile(rf"(?<![\w'’-])(?:{given})(?: (?=[^\W\d_a-z])(?=\p{{Lu}}){_NAME}){{1,2}}")
+        self.titles = {t.lower() for t in TITLES}
+
+    @staticmethod
+    def _found(kind: str, start: int, text: str) -> Found:
+        if kind == "name":
+            text = _POSSESSIVE.sub("", text)
+        return Found(kind, start, start + len(text), normal(kind, text))
+
+    def _more(self, found: list[Found], places) -> list[Found]:
+        """``found`` and those of ``places`` that overlap none of them."""
+        taken = sorted((x.start, x.end) for x in found)
+        starts = [a for a, _ in taken]
+        new = [x for x in places if (k := bisect_left(starts, x.end)) == 0 or taken[k - 1][1] <= x.start]
+        return sorted(found + new, key=lambda x: x.start)
 
     def __call__(self, text: str) -> list[Found]:
-        return [Found(m.lastgroup, m.start(), m.end(), normal(m.lastgroup, m[0])) for m in self.finder.finditer(text)]
+        found = [self._found(m.lastgroup, m.start(), m[0]) for m in self.finder.finditer(text)]
+        if maybe_given(text.encode()):
+            found = self._more(found, (self._found("name", m.start(), m[0]) for m in self.given.finditer(text)))
+        parts = {w for x in found if x.kind == "name" for w in x.norm.split(" ")} - self.titles
+        if parts:
+            import regex
+
+            word = "(?:" + "|".join(sorted(map(regex.escape, parts), key=len, reverse=True)) + r")(?![\w-])"
+            cased = rf"(?=\p{{Lu}})(?i:{word})"
+            found = self._more(found, (self._found("name", m.start(), m[0]) for m in regex.finditer(rf"(?<![\w-]){cased}(?: {cased})*", text)))
+        return found

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from loam.llm import lm, near
+from loam.llm import lm, near, pii
 from loam.llm.lattice import Lattice, vocabulary
 
 
@@ -92,3 +92,25 @@ def test_long_words_and_long_pieces_take_part(monkeypatch):
     fewer = Lattice(plain, logs[[pieces.index(p) for p in plain]])
     word = longest[1:] if longest[:1] == b" " else longest
     assert one.score([word])[0] > fewer.score([word])[0]
+
+
+def test_later_mentions_of_a_name_are_replaced(spark):
+    """Untitled mentions and parts of a name get the same surrogates, word by word; so do listed given names with a surname."""
+    texts = [
+        "Mr John Smith came. Then Smith said that John Smith's car was new; SMITH left the smithy and blacksmith.",
+        "\u201cMaria Keller\u201d wrote. Keller agreed, and so did John.",
+        "\u0412\u0447\u0435\u0440\u0430 \u0418\u0432\u0430\u043d \u041f\u0435\u0442\u0440\u043e\u0432 \u043f\u0440\u0438\u0448\u0451\u043b. \u041f\u0435\u0442\u0440\u043e\u0432 \u0443\u0448\u0451\u043b.",
+        "The smith and the keller; Anna went home.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace_entities(docs, b"key").collect()}
+    a = got[0].text.split()
+    first, last = a[1], a[2].rstrip(".")
+    assert first != "John" and last != "Smith"
+    assert got[0].text == texts[0].replace("John", first).replace("Smith", last).replace("SMITH", last.upper())
+    assert got[0].n_entities == 4 and got[1].n_entities == 2
+    given, family = got[1].text[1:].split("\u201d")[0].split()
+    assert family != "Keller" and got[1].text == texts[1].replace("Maria", given).replace("Keller", family)
+    b = got[2].text.rstrip(".").split()
+    assert b[2] != "\u041f\u0435\u0442\u0440\u043e\u0432" and b[4] == b[2]
+    assert got[3].text == texts[3] and got[3].n_entities == 0
