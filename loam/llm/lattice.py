@@ -19,7 +19,8 @@ BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64))
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces of a SentencePiece model as bytes (a word begins with a space) and log weights from their scores.
 
-    Scores of merge vocabularies are negative ranks; a piece of rank r gets a weight of 1 / (r + 10). Every byte is a piece.
+    A unigram vocabulary's scores would be log probabilities; those of a merge vocabulary are negative ranks, and a piece of rank
+    r gets a probability in proportion to 1 / (r + 10), as words of that rank have by Zipf's law. Every byte is a piece.
     """
     import sentencepiece
 

@@ -1,16 +1,19 @@
 """Language-model scoring by a subword lattice.
 
-A word's subword probability sums over all segmentations into pieces of an existing vocabulary. Piece weights start from the
-vocabulary's scores and are re-estimated by expectation maximisation over all distinct words of the training documents. A token
-with count c then has probability (c + V * subword probability) / (N + V): what is seen often is scored by its count, what is
-new by the marginal of its spellings, whose logarithm is carried (``sub``), so that words of any length keep theirs. A document's score is the sum over its words and its end.
+A word's lattice has an arc for each piece of an existing vocabulary at each place, and one arc for the whole word if the training
+documents hold it; its probability is the marginal over all paths. The vocabulary's scores are the pieces' prior: they weight the
+lattice from the first pass on and stay in as PRIOR pseudo-counts for each piece, beside the counts that expectation maximisation
+over all distinct training words expects. The word arcs share 1 - new by their counts and the spellings share ``new``, the
+Good-Turing estimate (words seen once, of all). All of this stays in logarithms (natural; log10 in the result), so words of any
+length keep their probability. A document's score is the sum over its words and its end.
 
 Scale: words are counted with partial sums on both sides of one shuffle. The most frequent words, at most HEAD, are
 broadcast with their scores; the other tokens, one row for each document and distinct word, are joined with the table of counts,
-and only sums go back to the documents. Text is never shuffled.
+and only sums go back to the documents. Text is never shuffled. Each document's own row has a join key that is no word, so these
+rows are spread like the others.
 
-Cases: null and empty texts are one end token; repeated rows are scored each; without training documents all counts are 0 and
-the vocabulary's own weights hold; a null doc_id belongs to the training documents; an empty table gives an empty table; other
+Cases: null and empty texts are one end token; repeated rows are scored each; without training documents all counts are 0, the
+vocabulary's own weights hold and an end has probability 1/2; a null doc_id belongs to the training documents; an empty table gives an empty table; other
 columns are ignored.
 """
 
@@ -19,10 +22,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import NO_ID, sigs
@@ -31,8 +35,13 @@ from .lattice import Lattice, vocabulary
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD, STEP, ROUNDS = 100_000, 4 << 20, 2
+#: Longer words are not broadcast.
+HEAD_BYTES = 64
+#: Pseudo-counts that the vocabulary's scores share, for each of its pieces.
+PRIOR = 1.0
 REMEMBERED = 300_000
 LOG10 = math.log(10)
+#: A document's own row has ``tokens``, and as its word a separator followed by the document's number; other rows a word.
 TOKENS = "doc long, sig long, held_out boolean, tokens long, known long, base double, score double, word binary, times int, sub double"
 
 
@@ -91,16 +100,57 @@ def _scored(pieces: list[bytes], logs: np.ndarray):
     return run
 
 
-def _tokens(pieces: list[bytes], logs: np.ndarray, head, totals: tuple[int, int, int]):
+@dataclass(frozen=True)
+class Totals:
+    """Of the training documents: tokens, distinct tokens, ends, words that occur once."""
+
+    n: int
+    v: int
+    ends: int
+    once: int
+
+    @property
+    def new(self) -> float:
+        """The share of words that training has not seen."""
+        words = self.n - self.ends
+        return (self.once + 1) / (words + 2) if words else 1.0
+
+    @property
+    def end(self) -> float:
+        return (self.ends + 1) / (self.n + 2)
+
+    def base(self, c: float) -> float:
+        return math.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
+
+    def score(self, c: np.ndarray, sub: np.ndarray) -> np.ndarray:
+        """log10 probability of words with counts c, and log probabilities of their spellings."""
+        spelled = math.log(self.new) + sub
+        if self.new < 1:
+            with np.errstate(divide="ignore"):
+                spelled = np.logaddexp(spelled, np.log(c) + math.log1p(-self.new) - math.log(self.n - self.ends))
+        return (spelled + math.log1p(-self.end)) / LOG10
+
+    def base_column(self, c: Column) -> Column:
+        return F.log10((c + 0.1) / F.lit(self.n + 0.1 * (self.v + 1)))
+
+    def score_column(self, c: Column, sub: Column) -> Column:
+        """``score`` of columns."""
+        spelled = sub + math.log(self.new)
+        if self.new < 1:
+            seen = F.log(c) + (math.log1p(-self.new) - math.log(self.n - self.ends))
+            spelled = F.when(c > 0, F.greatest(spelled, seen) + F.log1p(F.exp(-F.abs(spelled - seen)))).otherwise(spelled)
+        return (spelled + math.log1p(-self.end)) / LOG10
+
+
+def _tokens(pieces: list[bytes], logs: np.ndarray, head, totals: Totals):
     """For each document one row with the sums over head words and the end, and one for each other word (``sub``: natural log)."""
-    n, v, ends = totals
+    ends = totals.ends
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, base_of, score_of = head.value
         place = {w: i for i, w in enumerate(words)}
         lattice, remembered = Lattice(pieces, logs), {}
-        base_end = math.log10((ends + 0.1) / (n + 0.1 * (v + 1)))
-        score_end = math.log10((ends + 1) / (n + v + 1))
+        base_end, score_end = totals.base(ends), math.log10(totals.end)
         for rows, data, offsets in text_chunks(batches, STEP):
             raw, sig = data.tobytes().translate(LOWER), sigs(data, offsets)
             held_out, docs = rows.column("held_out").to_pylist(), rows.column("doc").to_pylist()
@@ -118,7 +168,7 @@ def _tokens(pieces: list[bytes], logs: np.ndarray, head, totals: tuple[int, int,
                         base += k * base_of[j]
                         score += k * score_of[j]
                         known += k
-                row = (docs[i], int(sig[i]), held_out[i], sum(count.values()) + 1, known + (ends > 0), base + base_end, score + score_end, None, None, None)
+                row = (docs[i], int(sig[i]), held_out[i], sum(count.values()) + 1, known + (ends > 0), base + base_end, score + score_end, b" %d %d" % (docs[i], sig[i]), None, None)
                 for column, x in zip(out.values(), row, strict=True):
                     column.append(x)
             new = list({w for i, w, _ in tail if held_out[i] and w not in remembered})
@@ -140,14 +190,17 @@ def _tokens(pieces: list[bytes], logs: np.ndarray, head, totals: tuple[int, int,
     return run
 
 
-def estimate(words: DataFrame, pieces: list[bytes], logs: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece log probabilities after EM over all distinct words; what comes to the driver is one number for each piece."""
+def estimate(words: DataFrame, pieces: list[bytes], prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Piece log probabilities after EM over all distinct words; what comes to the driver is one number for each piece.
+
+    ``prior``: the log probabilities of the vocabulary's own scores, which the first round starts from and every round keeps.
+    """
+    logs = prior
     for _ in range(rounds):
         sums = words.mapInArrow(_expect(pieces, logs), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-        expect = np.full(len(pieces), 1e-3)
+        expect = PRIOR * len(pieces) * np.exp(prior)
         for r in sums.toLocalIterator():
             expect[r.piece] += r.n
-        expect[[i for i, p in enumerate(pieces) if len(p) == 1]] += 1
         logs = np.log(expect / expect.sum())
     return logs
 
@@ -172,24 +225,24 @@ def score_documents(docs: DataFrame, vocabulary_path: str = VOCABULARY, head: in
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     counts = docs.where("not held_out").select("text").mapInArrow(_count, "word binary, c long")
     counts = written(counts.groupBy("word").agg(F.sum("c").alias("c")), "words")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("e")).first()
-    n, v, ends = total.n or 0, total.v, total.e or 0
     words = counts.where(F.length("word") > 0)
+    total = counts.agg(
+        F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends"),
+        F.count(F.when((F.length("word") > 0) & (F.col("c") == 1), 1)).alias("once"),
+    ).first()
+    totals = Totals(total.n or 0, total.v, total.ends or 0, total.once)
     pieces, logs = vocabulary(vocabulary_path)
-    logs = estimate(words, pieces, logs) if v > 1 else logs
-    top = words.where(F.col("c") >= head_count(words, head)).collect()
+    logs = estimate(words, pieces, logs) if totals.new < 1 else logs
+    short = words.where(F.length("word") <= HEAD_BYTES)
+    top = short.where(F.col("c") >= head_count(short, head)).collect()
     top_words = [bytes(r.word) for r in top]
-    c = np.array([r.c for r in top], float)
-    sub = np.exp(Lattice(pieces, logs).score(top_words))  # may round to 0: their counts are 1 at least
-    sent = spark.sparkContext.broadcast((top_words, np.log10((c + 0.1) / (n + 0.1 * (v + 1))).tolist(), np.log10((c + v * sub) / (n + v + 1)).tolist()))
-    tokens = docs.mapInArrow(_tokens(pieces, logs, sent, (n, v, ends)), TOKENS)
+    score = totals.score(np.array([r.c for r in top], float), Lattice(pieces, logs).score(top_words))
+    sent = spark.sparkContext.broadcast((top_words, [totals.base(r.c) for r in top], score.tolist()))
+    tokens = docs.mapInArrow(_tokens(pieces, logs, sent, totals), TOKENS)
     scored = words.mapInArrow(_scored(pieces, logs), "word binary, c long, sub double").withColumnRenamed("sub", "sub_known")
     joined = tokens.join(scored, "word", "left")
     c, times, sub = F.coalesce("c", F.lit(0)), F.col("times"), F.coalesce("sub_known", "sub")
-    base = F.coalesce("base", times * F.log10((c + 0.1) / (n + 0.1 * (v + 1))))
-    # Of unseen words the logarithm itself: a long one's probability is no double. Without training words it stands alone.
-    unseen = (sub + math.log(v)) / LOG10 - math.log10(n + v + 1) if v else sub / LOG10
-    score = F.coalesce("score", times * F.when(c > 0, F.log10((c + v * F.exp(sub)) / (n + v + 1))).otherwise(unseen))
+    base, score = F.coalesce("base", times * totals.base_column(c)), F.coalesce("score", times * totals.score_column(c, sub))
     known = F.coalesce("known", F.when(c > 0, times).otherwise(0))
     by_doc = joined.groupBy("doc", "sig").agg(
         F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"), F.sum(known).alias("known"), F.sum(base).alias("base"),
@@ -198,7 +251,7 @@ def score_documents(docs: DataFrame, vocabulary_path: str = VOCABULARY, head: in
     each = by_doc.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return each.select(
         F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "held_out", "n_tokens", (F.col("known") / F.col("copies")).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"),
+        F.lit(totals.n).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"),
     )
 
 

@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than its whole job."""
 
+import collections
 import math
+import re
 import zlib
 
 import numpy as np
@@ -52,24 +54,57 @@ def test_all_rows_of_a_bucket_are_compared(spark):
         assert got == want
 
 
-def test_long_unseen_words_keep_their_probability(spark):
-    """Also those that no double holds; and without training documents each word has its spellings' probability alone."""
-    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
-    other = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 10)
-    words = ["Qz7\u0416" * k for k in (1, 100, 500)]
-    data = list(zip(held, words, strict=True))
-    docs = spark.createDataFrame(data, "doc_id long, text string")
+def _paths(word, weight):
+    """(log of the sum over all segmentations, expected count of each piece), by plain recursions over prefixes and suffixes."""
+    longest, n = max(map(len, weight)), len(word)
+    add = lambda a, b: a if b == -math.inf else b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    ahead, behind, expect = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0], collections.Counter()
+    arcs = [(i, j, word[i:j]) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if word[i:j] in weight]
+    for i, j, p in arcs:
+        ahead[j] = add(ahead[j], ahead[i] + weight[p])
+    for i, j, p in reversed(arcs):
+        behind[i] = add(behind[i], behind[j] + weight[p])
+    for i, j, p in arcs:
+        expect[p] += math.exp(ahead[i] + weight[p] + behind[j] - ahead[n])
+    return ahead[n], expect
+
+
+def test_scores_of_whole_documents(spark):
+    """The marginal probability of whole texts, words of 400 and 20,000 bytes too, against plain recursions over all segmentations."""
     pieces, logs = vocabulary(lm.VOCABULARY)
-    low = [w.encode().replace(b"Q", b"q") for w in words]
-    got = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
-    for i, sub in zip(held, Lattice(pieces, logs).score(low).tolist(), strict=True):
-        assert math.isclose(got[i], sub / math.log(10), rel_tol=1e-9)
-    both = docs.unionByName(spark.createDataFrame([(other, "some words and some more")], docs.schema))
-    got = {r.doc_id: r.score for r in lm.score_documents(both).collect()}
-    trained = lm.estimate(spark.createDataFrame([(w,) for w in (b"some", b"words", b"and", b"more")], "word binary"), pieces, logs)
-    n, v = 6, 5
-    for i, sub in zip(held, Lattice(pieces, trained).score(low).tolist(), strict=True):
-        assert math.isclose(got[i], (sub + math.log(v)) / math.log(10) - math.log10(n + v + 1) + math.log10((1 + 1) / (n + v + 1)), rel_tol=1e-9)
+    prior = dict(zip(pieces, logs.tolist(), strict=True))
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 10 == 0]
+    train = [i for i in range(300) if zlib.crc32(str(i).encode()) % 10]
+    texts = ["some words and some more", "and so on; \u0416\u0437x", "", None, "q7" * 150 + " once"]
+    data = list(zip(train, texts, strict=False)) + [(train[0], texts[0])]
+    data += list(zip(held, ["some new word\tand some", "Qz7\u0416" * 80, "Qz7\u0416" * 4000, "q7" * 150, None, "q7" * 10000], strict=False))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    tokens = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    counts = collections.Counter(w for i, t in data if i in train for w in tokens(t))
+    ends, n, once = 6, sum(counts.values()), sum(c == 1 for c in counts.values())
+    weight = prior
+    for _ in range(lm.ROUNDS):
+        expect = collections.Counter({p: lm.PRIOR * len(prior) * math.exp(x) for p, x in prior.items()})
+        for w in counts:
+            expect.update(_paths(b" " + w, weight)[1])
+        total = sum(expect.values())
+        weight = {p: math.log(x / total) for p, x in expect.items()}
+    end, new = (ends + 1) / (n + ends + 2), (once + 1) / (n + 2)
+    want = {}
+    for i, t in data:
+        want[i] = math.log(end)
+        for w in tokens(t):
+            spelled = math.log(new) + _paths(b" " + w, weight)[0]
+            seen = math.log(counts[w] * (1 - new) / n) if counts[w] else -math.inf
+            want[i] += math.log1p(-end) + max(spelled, seen) + math.log1p(math.exp(-abs(spelled - seen)))
+    for head in (0, 100):
+        got = {r.doc_id: r.score for r in lm.score_documents(docs, head=head).collect()}
+        assert set(got) == set(want) and all(math.isclose(got[i] * math.log(10), x, rel_tol=1e-6) for i, x in want.items())
+    assert got[held[2]] < 40 * got[held[1]]
+    alone = {r.doc_id: r.score for r in lm.score_documents(docs.where(docs.doc_id.isin(held))).collect()}
+    assert math.isclose(alone[held[1]] * math.log(10), _paths(b" " + tokens(data[7][1])[0], prior)[0] + 2 * math.log(0.5), rel_tol=1e-6)
+    twice = sorted(r.score for r in lm.score_documents(docs).collect() if r.doc_id == train[0])
+    assert len(twice) == 2 and twice[0] == twice[1]
 
 
 def test_long_words_and_long_pieces_take_part(monkeypatch):
