@@ -46,6 +46,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that is not among ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A string or binary Arrow array as (bytes, offsets, is_null) without decoding; nulls have no bytes."""
     column = column.cast(pa.large_binary())

@@ -1,4 +1,8 @@
-"""Detected entities and their keyed surrogates: permutations of all strings of one format, so that distinct stay distinct."""
+"""Detected entities and their keyed surrogates of the same type, format, script and gender.
+
+A surrogate is drawn from its entity by a keyed one-way hash, so it tells nothing about the entity without the key. Drawing again
+(``attempt`` 1, 2, ...) gives others; from attempt LONGER on they have more characters, so no format ever runs out of them.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,9 @@ import hashlib
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
+from functools import lru_cache
 
-#: Placeholder; pass a secret of your own.
-KEY = b"replace this key"
-
-#: Given names by script and gender; a surrogate stays in its list. Letters by script; vowels stay vowels.
+#: Given names by script and gender, for detection and for a surrogate's gender.
 GIVEN = {
     "latin f": "anna maria laura julia sophie emma clara helena ingrid carmen lucia elena martha alice marie louise nora ida greta paula".split(),
     "latin m": "john peter thomas paul david martin robert carlos miguel pierre jean hans karl otto felix oscar victor hugo adam louis".split(),
@@ -19,21 +21,38 @@ GIVEN = {
     "greek f": "μαρία ελένη άννα κατερίνα σοφία".split(),
     "greek m": "γιώργος νίκος δημήτρης κώστας γιάννης".split(),
 }
+LISTED = {name: k for k, names in GIVEN.items() for name in names}
+#: What given names end with, by script and gender; before it stand syllables.
+ENDINGS = {
+    "latin f": "a ia ina ella ette elle anna lise".split(), "latin m": "o us an el ert on ian ius".split(),
+    "cyrillic f": "а ия ина ана ена ида ла ника".split(), "cyrillic m": "ий ан ир ей слав мир он ил".split(),
+    "greek f": "α ία ίνα ούλα ένη ώ".split(), "greek m": "ος ης ας ιος άκης ων".split(),
+}
+#: Consonants and vowels that names are made of.
+SYLLABLES = {"latin": ("bdfghklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζθκλμνπρστφχ", "αεηιου")}
+#: Characters of given names in a script without letters' case.
+HAN = "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀兰霞平刚桂英华玉"
+#: Letters that stand for each other where a text's letters need not be a name; vowels stay vowels.
 LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àâéèêëîïôùûüáíóúñäöåæø", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ")
-LISTED = {name: (k, names) for k, names in GIVEN.items() for name in names}
 
 TITLES = "Mr Mrs Ms Miss Mister Herr Frau Monsieur Madame Mme Señor Señora Dr Prof Господин Госпожа Κύριος Κυρία".split()
-_NAME = r"[^\W\d_][\w'’-]+"
+#: Kinds of streets, before or after their name, and what may stand between.
+STREETS = "street avenue road lane drive boulevard rue place calle avenida plaza via de du des del la le".split()
+SUFFIXES = "straße strasse weg platz allee gasse".split()
+#: A word of a name: with a capital in scripts that have them; up to four characters in others.
+_WORD = r"(?:[\p{Lu}\p{Lt}][\w'’-]+|\p{Lo}{2,4}(?!\w))"
+_CAPITAL = r"[\p{Lu}\p{Lt}][\w'’-]+"
 #: First match wins.
 PATTERNS = (
     ("secret", r"(?P<secret>(?<=[\"'])[A-Za-z0-9_\-+/=]{20,}(?=[\"'])|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-fA-F]{32,64})(?![A-Za-z0-9]))"),
     ("email", r"(?P<email>[\w.+\-]*[\w+\-]@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,})"),
     ("iban", r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"),
-    ("phone", r"(?P<phone>\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,5}){1,4}(?!\d)|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-]))"),
+    ("phone", r"(?P<phone>\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,5}){1,4}(?!\d)|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])|(?<![\w.,\-/])0\d{2,4}[ /\-]\d{5,9}(?![\w\-]))"),
     ("ip", r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d))"),
     ("ssn", r"(?P<ssn>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))"),
     ("card", r"(?P<card>(?<![\w.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?![\w\-]))"),
-    ("name", rf"(?P<name>(?<=\b(?:TITLE)\.? )(?=[^\W\d_a-z]){_NAME}(?: (?=[^\W\d_a-z]){_NAME}){{0,2}})"),
+    ("address", rf"(?P<address>(?<![\w.,\-])\d{{1,5}} (?:{_CAPITAL} ){{1,3}}(?:Street|Avenue|Road|Lane|Drive|Boulevard)(?!\w)|(?<!\w)\p{{Lu}}\w*(?:straße|strasse|weg|platz|allee|gasse) \d{{1,4}}[a-z]?(?!\w)|(?<![\w.,\-])\d{{1,4}},? (?:rue|avenue|boulevard|place) (?:(?:de|du|des|la|le) )*{_CAPITAL}|(?<!\w)(?:Calle|Avenida|Plaza|Via) (?:(?:de|del|la) )*{_CAPITAL},? \d{{1,4}}(?!\w))"),
+    ("name", rf"(?P<name>(?<=\b(?:TITLE)\.? ){_WORD}(?: {_CAPITAL}){{0,2}})"),
 )
 
 
@@ -74,29 +93,23 @@ def normal(kind: str, text: str) -> str:
     return text if kind == "secret" and not re.fullmatch("[0-9a-fA-F]+", text) else text.lower() if len(text.lower()) == len(text) else text
 
 
-class Permutation:
-    """A keyed bijection of 0..n-1 (Feistel rounds and walking back into range)."""
+def luhn(digits: list[int]) -> bool:
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(reversed(digits))) % 10 == 0
 
-    def __init__(self, key: bytes, n: int):
-        self.key, self.n, self.half = key, n, max(1, (max(2, n) - 1).bit_length() + 1 >> 1)
 
-    def __call__(self, x: int) -> int:
-        low = (1 << self.half) - 1
-        size = (self.half + 7) // 8
-        while True:
-            a, b = x >> self.half, x & low
-            for i in range(6):
-                f, want = b"", size
-                while len(f) < want:
-                    f += hashlib.blake2b(b"%d %d %d" % (i, b, len(f)), key=self.key[:64]).digest()
-                a, b = b, a ^ (int.from_bytes(f[:want], "little") & low)
-            x = a << self.half | b
-            if x < self.n:
-                return x
+def _remainder(iban: str) -> int:
+    """Of an IBAN (lower case), by 97; a correct one leaves 1."""
+    plain = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
 
 
-def luhn(digits: list[int]) -> bool:
-    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(reversed(digits))) % 10 == 0
+@lru_cache(4096)
+def _neighbours(c: str) -> str:
+    """The letters of a script without alphabets here that may stand for ``c``."""
+    if "一" <= c <= "鿿":
+        return HAN
+    first = ord(c) - ord(c) % 64
+    return "".join(x for x in map(chr, range(first, first + 64)) if x.isalpha() and x.islower() == c.islower())
 
 
 def _alphabets(kind: str, text: str) -> list[str]:
@@ -106,7 +119,7 @@ def _alphabets(kind: str, text: str) -> list[str]:
     if kind == "email":
         host = text.rindex("@") + 1
         keep = max(host, text.rfind(".", host, text.rindex("."))) if text.count(".", host) > 1 else text.rindex(".")
-    first = len(re.match(r"\+\d{1,3}(?=\D)|\+1|", text)[0]) if kind == "phone" else 2 if kind == "iban" else 0
+    first = len(re.match(r"\+\d{1,3}(?=\D)|\+1|0|", text)[0]) if kind == "phone" else 2 if kind == "iban" else 1 if kind == "card" else 0
     out = []
     for i, c in enumerate(text):
         if i < first or i >= keep:
@@ -122,75 +135,113 @@ def _alphabets(kind: str, text: str) -> list[str]:
     return out
 
 
+class Draw:
+    """Choices that a key, an entity and an attempt determine."""
+
+    def __init__(self, key: bytes, kind: str, norm: str, attempt: int):
+        self.key = hashlib.blake2b(key).digest()
+        self.seed, self.blocks, self.left = f"{kind}\0{attempt}\0{norm}".encode(), 0, b""
+
+    def __call__(self, choices):
+        if len(self.left) < 8:
+            self.left += hashlib.blake2b(b"%d " % self.blocks + self.seed, key=self.key).digest()
+            self.blocks += 1
+        x, self.left = int.from_bytes(self.left[:8], "little"), self.left[8:]
+        return choices[x % len(choices)]
+
+
+def _word(draw: Draw, word: str, more: int) -> str:
+    """A name of the same script, and of the same length and ``more``; a last letter that tells the gender stays."""
+    script = next((s for s, letters in SYLLABLES.items() for c in word if c in "".join(letters)), None)
+    out, vowel = [], None
+    for c in word:
+        if not c.isalpha():
+            out.append(c)
+            vowel = None
+        elif script is None:
+            out.append(draw(_neighbours(c) or c))
+        else:
+            vowel = draw([False, False, True]) if vowel is None else not vowel
+            out.append(draw(SYLLABLES[script][vowel]))
+    if script in ("cyrillic", "greek") and len(word) > 4 and word[-1].isalpha():
+        out[-1] = word[-1]
+    at = 1 if len(out) > 1 and out[0].isalpha() else len(out)
+    for _ in range(more):
+        out.insert(at, draw(SYLLABLES[script][1] if script else _neighbours(next(c for c in word if c.isalpha()))))
+    return "".join(out)
+
+
 class Surrogates:
-    """kind and normal form -> the surrogate's normal form, of the same kind, format, script and gender."""
+    """(kind, normal form, attempt) -> a surrogate's normal form, of the same kind, format, script and gender."""
 
-    def __init__(self, key: bytes = KEY):
+    #: Attempts with the entity's own length; each later one has one character more.
+    LONGER = 4
+
+    def __init__(self, key: bytes):
         self.key = key
 
-    def _permute(self, kind: str, text: str, alphabets: list[str]) -> str:
-        n, x = 1, 0
-        for c, a in zip(text, alphabets, strict=True):
-            n, x = n * len(a), x * len(a) + a.index(c)
-        shape = f"{kind} {' '.join(a if len(a) > 1 else '=' + a for a in alphabets)}"
-        y = Permutation(hashlib.blake2b(shape.encode(), key=self.key[:64], digest_size=32).digest(), n)(x)
-        out = []
-        for a in reversed(alphabets):
-            y, k = divmod(y, len(a))
-            out.append(a[k])
-        return "".join(reversed(out))
-
-    def next(self, kind: str, text: str) -> str:
-        """One step of the format's permutation."""
-        if kind == "ip":
-            parts = text.split(".")
-            spans = [(0, 10) if len(p) == 1 else (10, 100) if len(p) == 2 else (100, 256) for p in parts]
-            n = x = 0
-            n = 1
-            for p, (a, b) in zip(parts, spans, strict=True):
-                n, x = n * (b - a), x * (b - a) + int(p) - a
-            y = Permutation(hashlib.blake2b(b"ip" + bytes(len(p) for p in parts), key=self.key[:64], digest_size=32).digest(), n)(x)
-            out = []
-            for a, b in reversed(spans):
-                y, k = divmod(y, b - a)
-                out.append(str(a + k))
-            return ".".join(reversed(out))
+    def __call__(self, kind: str, norm: str, attempt: int = 0) -> str:
+        draw, more = Draw(self.key, kind, norm, attempt), max(0, attempt - self.LONGER + 1)
         if kind == "name":
-            return re.sub(r"[^ ]+", lambda m: self._given(m[0]), text)
-        if kind == "card":
-            digits = [i for i, c in enumerate(text) if c.isdigit()]
-            valid = luhn([int(text[i]) for i in digits])
-            while True:  # the walk stays among numbers that pass, or among those that fail
-                text = self._permute(kind, text, [text[i] if i == digits[0] else a for i, a in enumerate(_alphabets(kind, text))])
-                if luhn([int(text[i]) for i in digits]) == valid:
-                    return text
-        return self._permute(kind, text, _alphabets(kind, text))
-
-    def _given(self, word: str) -> str:
-        if word in LISTED:
-            group, names = LISTED[word]
-            p = Permutation(hashlib.blake2b(group.encode(), key=self.key[:64], digest_size=32).digest(), len(names))
-            order = [p(i) for i in range(len(names))]  # one cycle through the list: no name stays as it is
-            return names[order[(order.index(names.index(word)) + 1) % len(names)]]
-        alphabets = _alphabets("name", word)
-        while True:
-            word = self._permute("name", word, alphabets)
-            if word not in LISTED:
-                return word
+            return self._name(draw, norm, more)
+        if kind == "address":
+            return re.sub(r"\d+|[^\W\d_]+", lambda m: self._street(draw, m[0], more), norm)
+        if kind == "ip":  # of octets as long as the entity's; later of any
+            octets = [range(256) if more else range(*((0, 10), (10, 100), (100, 256))[len(p) - 1]) for p in norm.split(".")]
+            return ".".join(str(draw(o)) for o in octets)
+        alphabets = _alphabets(kind, norm)
+        last = max((i for i, a in enumerate(alphabets) if len(a) > 1), default=len(alphabets) - 1)
+        alphabets[last + 1 : last + 1] = [alphabets[last] if len(alphabets[last]) > 1 else "0123456789"] * more
+        out = [draw(a) if len(a) > 1 else a for a in alphabets]
+        if kind == "card":  # numbers that pass the check stay such numbers
+            digits = [i for i, c in enumerate(out) if c.isdigit()]
+            valid = luhn([int(c) for c in norm if c.isdigit()])
+            out[digits[-1]] = draw([d for d in "0123456789" if luhn([int(out[i]) for i in digits[:-1]] + [int(d)]) == valid])
+        if kind == "iban" and _remainder(norm) == 1:
+            out[2:4] = "00"
+            out[2:4] = f"{98 - _remainder(''.join(out)):02d}"
+        return "".join(out)
+
+    @staticmethod
+    def _name(draw: Draw, word: str, more: int) -> str:
+        group = LISTED.get(word)
+        if group is None:
+            return _word(draw, word, more)
+        consonants, vowels = SYLLABLES[group.split()[0]]
+        head = "".join(draw(consonants) + draw(vowels) for _ in range(1 + more)) + draw(consonants)
+        return head + draw(ENDINGS[group])
+
+    @staticmethod
+    def _street(draw: Draw, word: str, more: int) -> str:
+        if word.isdigit():
+            return draw("123456789") + "".join(draw("0123456789") for _ in word[1:])
+        if word in STREETS or len(word) == 1:
+            return word
+        suffix = next((s for s in SUFFIXES if word.endswith(s)), "")
+        stem = word[: len(word) - len(suffix)]
+        return (_word(draw, stem, more) if stem else "") + suffix
 
 
 def dressed(surrogate: str, original: str) -> str:
     """The surrogate in the original's upper and lower case."""
-    if len(surrogate) != len(original):
-        return surrogate.title() if original[:1].isupper() else surrogate
-    return "".join(s.upper() if o.isupper() and len(s.upper()) == 1 else s for s, o in zip(surrogate, original, strict=True))
+    if len(surrogate) == len(original):
+        return "".join(s.upper() if o.isupper() and len(s.upper()) == 1 else s for s, o in zip(surrogate, original, strict=True))
+    if original.isupper() and len(original) > 1:
+        return surrogate.upper()
+    return surrogate[:1].upper() + surrogate[1:] if original[:1].isupper() else surrogate
 
 
 def units(kind: str, norm: str) -> list[str]:
-    """What is permuted on its own: each word of a name, so that a part of it gets the whole's surrogate."""
+    """What gets a surrogate of its own: each word of a name, so that a part of it gets the whole's surrogate."""
     return norm.split(" ") if kind == "name" else [norm]
 
 
+def replaced(kind: str, surrogates: list[str], original: str) -> str:
+    """A mention's text, from the surrogates of its units."""
+    parts = original.split(" ") if kind == "name" else [original]
+    return " ".join(dressed(s, o) for s, o in zip(surrogates, parts, strict=True))
+
+
 _POSSESSIVE = re.compile(r"['’][sS]?$")
 
 
@@ -203,7 +254,7 @@ class Detector:
 
         self.finder = _finder()
         given = "|".join(w for n in LISTED for w in (n.title(), n.upper()))
-        self.given = regex.compile(rf"(?<![\w'’-])(?:{given})(?: (?=[^\W\d_a-z])(?=\p{{Lu}}){_NAME}){{1,2}}")
+        self.given = regex.compile(rf"(?<![\w'’-])(?:{given})(?: {_CAPITAL}){{1,2}}")
         self.titles = {t.lower() for t in TITLES}
 
     @staticmethod
@@ -228,6 +279,6 @@ class Detector:
             import regex
 
             word = "(?:" + "|".join(sorted(map(regex.escape, parts), key=len, reverse=True)) + r")(?![\w-])"
-            cased = rf"(?=\p{{Lu}})(?i:{word})"
+            cased = rf"(?=[\p{{Lu}}\p{{Lo}}])(?i:{word})"
             found = self._more(found, (self._found("name", m.start(), m[0]) for m in regex.finditer(rf"(?<![\w-]){cased}(?: {cased})*", text)))
         return found

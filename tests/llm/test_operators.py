@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -254,30 +255,70 @@ def test_pii(docs, none, rows):
         for a, b in zip(found, find(got[i].text or ""), strict=True):
             assert a.kind == b.kind and a.norm != b.norm and made.setdefault(a.norm, b.norm) == b.norm
     assert len(set(made.values())) == len(made) == 2
-    assert pii.replace_entities(none).count() == 0
-    assert pii.with_surrogates(docs).columns == docs.columns
-    assert {r.doc_id: r.text for r in pii.replace_entities(docs, b"key", most_sent=-1 + 1).collect()} == {i: r.text for i, r in got.items()}
+    assert pii.replace_entities(none, b"key").count() == 0
+    assert pii.with_surrogates(docs, b"key").columns == docs.columns
+    assert {r.doc_id: r.text for r in pii.replace_entities(docs, b"key", most_sent=0).collect()} == {i: r.text for i, r in got.items()}
 
 
-def test_surrogates_are_injective_and_leave_real_entities(spark):
-    from loam.llm.surrogates import Permutation, Surrogates
+def test_surrogates_are_distinct_and_no_real_entities(spark):
+    """Also where a format's strings are all taken: each single-digit address, all listed names, names of two letters."""
+    from loam.llm.surrogates import GIVEN, Surrogates
 
-    p = Permutation(b"k", 1000)
-    assert sorted(map(p, range(1000))) == list(range(1000))
-    real = [("ssn", f"{i:03d}-11-2233") for i in range(300)] + [("ip", f"1.2.3.{i}") for i in range(10)] + [("name", n) for n in ("anna", "maria", "john", "иван")]
+    real = [("ssn", f"{i:03d}-11-2233") for i in range(300)] + [("ip", f"1.2.3.{i}") for i in range(10)]
+    real += [("name", n) for names in GIVEN.values() for n in names] + [("name", a + b) for a in "bdfghklmnprst" for b in "aeiou"]
     made = Surrogates(b"k")
+    real += [("name", made(*x)) for x in real if x[0] == "name"]  # first draws that are entities themselves
+    real = sorted(set(real))
     table = spark.createDataFrame(real, "kind string, norm string")
-    odd = {(r.kind, r.norm): r.surrogate for r in pii.colliding(table, b"k").collect()}
-    final = {x: odd.get(x) or made.next(*x) for x in real}
-    assert len(set(final.values())) == len(real)
-    assert not {(k, s) for (k, _), s in final.items()} & {x for x in real if x[0] != "ip"}
-    assert final["name", "anna"] in pii_names("latin f") and final["name", "иван"] in pii_names("cyrillic m")
+    odd = {(r.kind, r.norm): r.surrogate for r in pii.redrawn(table, b"k").collect()}
+    final = {x: odd.get(x) or made(*x) for x in real}
+    taken = {(k, s) for (k, _), s in final.items()}
+    assert len(odd) > 100 and len(taken) == len(real) and not taken & set(real)
+    script = lambda w: unicodedata.name(w[0]).split()[0]
+    assert all(script(n) == script(s) for (k, n), s in final.items() if k == "name")
 
 
-def pii_names(group):
-    from loam.llm.surrogates import GIVEN
+def test_formats_are_kept():
+    from loam.llm.surrogates import Surrogates, dressed, luhn
 
-    return GIVEN[group]
+    made = Surrogates(b"k")
+    card = made("card", "4111 1111 1111 1111")
+    assert re.fullmatch(r"4\d{3}( \d{4}){3}", card) and luhn([int(c) for c in card if c.isdigit()])
+    iban = made("iban", "de89 3704 0044 0532 0130 00")
+    plain = iban.replace(" ", "").upper()
+    assert re.fullmatch(r"de\d\d( \d{4}){4} \d\d", iban) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert re.fullmatch(r"\+49 \d{2} \d{7}", made("phone", "+49 30 1234567")) and re.fullmatch(r"[a-z]{3}\.[a-z]{3}@[a-z]{4}\.example\.org", made("email", "joe.doe@corp.example.org"))
+    assert re.fullmatch(r"[0-9a-f]{32}", made("secret", "0123456789abcdef" * 2)) and re.fullmatch(r"[1-9]\d [a-z]{4} street", made("address", "12 main street"))
+    assert re.fullmatch(r"\w+straße \d", made("address", "hauptstraße 5")) and len(made("name", "王伟")) == 2 and made("name", "петрова")[-1] == "а"
+    assert dressed("abcd", "ANNA") == "ABCD" and dressed("abcdef", "ANNA") == "ABCDEF" and dressed("abcdef", "Anna") == "Abcdef"
+    assert len({made("ssn", "123-45-6789", k) for k in range(8)}) == 8 and len(made("ssn", "123-45-6789", 6)) == 14
+
+
+def test_planted_entities_are_replaced(spark):
+    """A list written by hand, not by the detector; nothing else of the texts changes, whatever other columns are called."""
+    planted = [
+        ("Write to {} or call {}.", ["anna.k@corp.example.org", "+44 20 7946 0958"]),
+        ("Tel. {}, card {}", ["030 1234567", "4111 1111 1111 1111"]),
+        ("Господин {} пишет письмо.", ["Павел"]),
+        ("Κύριος {} γράφει", ["Νίκος"]),
+        ("Herr {} kommt; Frau {} geht.", ["王伟", "Ольга"]),
+        ("He lives at {} now, she at {}.", ["12 Main Street", "Hauptstraße 5"]),
+        ("Host {} and SSN {} and key '{}'", ["10.20.30.40", "123-45-6789", "abcdEFGH1234abcdEFGH1234"]),
+        ("{} {} met Mr {} there. {} smiled.", ["Maria", "Keller", "Dubois", "Keller"]),
+        ("No entity: 12 apples, version 1.2.3, the year 2024, main street, господин пишет.", []),
+    ]
+    data = [(i, t.format(*e), i, "x", [1], t, "k", 7) for i, (t, e) in enumerate(planted)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, own int, doc string, found array<int>, row string, kinds string, n_entities int")
+    out = pii.with_surrogates(docs, b"key")
+    assert out.schema == docs.schema
+    for most in (0, 1000):
+        got = {r.doc_id: r for r in pii.with_surrogates(docs, b"key", most_sent=most).collect()}
+        for i, (t, entities) in enumerate(planted):
+            m = re.fullmatch(re.escape(t).replace(r"\{\}", "(.+?)"), got[i].text)
+            assert m and all(new != old for new, old in zip(m.groups(), entities, strict=True)), got[i].text
+            assert (got[i].own, got[i].doc, got[i].found, got[i].row, got[i].kinds, got[i].n_entities) == (i, "x", [1], t, "k", 7)
+        a = re.fullmatch(r"(\w+) (\w+) met Mr (\w+) there\. (\w+) smiled\.", got[7].text)
+        assert a[2] == a[4]
 
 
 def _fingerprint(t):
