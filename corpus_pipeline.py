@@ -9,7 +9,7 @@ from loam.llm.decontaminate import decontaminated
 from loam.llm.langid import in_known_language
 from loam.llm.mixing import mix_documents
 from loam.llm.near import one_of_near_copies
-from loam.llm.pii import with_surrogates
+from loam.llm.pii import query_key, with_surrogates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities are replaced by surrogates."""
     small_batches(spark)
-    return with_surrogates(docs)
+    return with_surrogates(docs, query_key(spark))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
