@@ -1,22 +1,32 @@
 """Near copies by similarity: texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
-PRINTS SimHash fingerprints of 64 bits each are taken of the set of shingles. They are cut into bands of 16 bits; pairs that agree
-in a band meet in a bucket. There are two passes. In the first, a pivot's distances order each bucket, and each row's closest
-predecessors (a few for each row, however large a group is) are verified on the exact shingle sets; this joins the bulk of a
-group cheaply. In the second, each bucket compares all its rows that are not yet in one component, and every pair within the
-fingerprints' limits is verified: no pair is left out because of others, only because its rows are connected already. What the
-first pass does not offer is thus no loss. Buckets of any size are compared whole; large ones in cells of two parts each. The second pass takes as many steps as there are such pairs: few where groups are
-groups, and quadratic in a bucket of texts that are alike but under the similarity.
-Texts are shuffled twice for each pass, compressed, by plans that are the same at every size. At a similarity of 0.8 a bit agrees
-with probability 0.85, so that one of 48 bands does with 0.97; at 0.85, with 0.996; a group of several copies has more chances.
+Operator 7's search with wider fingerprints. Of each distinct text's set of shingles several SimHash fingerprints of 64 bits are
+taken and cut into bands; pairs that agree in a band meet in a bucket. There are two passes. The first links most members of a
+group cheaply: neighbours in each bucket's order, a few for each row, are verified on the exact shingle sets. The second compares,
+in each bucket, every two rows that are not in one component yet: distances to pivot fingerprints and set sizes discard pairs
+unseen, the bits of some and then of all fingerprints most others, and all that are left are verified. So what the first pass
+does not offer is no loss, and a giant group is compared with the bucket's other rows only, not with itself.
+
+What can be missed: a pair that shares no band, and one whose fingerprints differ by four standard deviations more than they
+should. At a similarity of 0.8 a bit agrees with probability 0.848 (SAME_BIT), and there are as many bands as it takes to share
+one with probability RECALL = 0.99 (0.9996 at 0.85). Sets of at most SMALL shingles, whose bits agree less often, also meet by
+their hash and the hashes of all their subsets of one shingle less, which no such pair misses. Keys get wider with the corpus, and
+bands more, so that a bucket of unrelated texts stays small and the recall the same (``layout``).
+
+Buckets of more than WHOLE rows are dealt into parts; two parts meet in a cell unless both are of the bucket's largest component.
+Texts are shuffled compressed, by plans that are the same at every size.
 
 Cases: exact copies (same words) are one node from the start; texts with fewer words than a shingle have one shingle; texts
-without words are all alike; an empty table gives an empty table; a row with a null doc_id belongs to no group; columns stay.
+without words are all alike; rows are told apart by doc_id and text, so two texts with one doc_id are two rows; repeated rows
+(same doc_id and text) are one; a row with a null doc_id belongs to no group and stays; an empty table gives an empty table;
+columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,24 +36,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import LOWER, mix64, text_chunks, word_hashes, written
+from .common import LOWER, fresh, mix64, text_chunks, word_hashes, written
 from .components import components
-from .simhash import REFERENCES
+from .simhash import survivors
 
 WORDS, SIMILARITY = 5, 0.8
-PRINTS, BAND, NEAREST, WITHIN = 12, 16, 2, 512
-#: Closest predecessors of each row that the first pass verifies.
-VERIFIED = 6
-#: Of the first fingerprint's 64 bits, three standard deviations more than differ on average at a similarity of 0.8.
-FAR = 19
-#: Of the first two fingerprints' 128 bits, four standard deviations more (the second pass).
-FAR_TWO = 36
+#: Probability that a bit agrees at a similarity of 0.8: 1 - acos(2 * 0.8 / 1.8) / pi. That some band then does.
+SAME_BIT, RECALL = 0.848, 0.99
+#: Shingles up to which a set also meets others by its subsets: two such sets of 0.8 differ in one shingle on either side at most.
+SMALL = 9
+#: Neighbours of each row that the first pass verifies.
+VERIFIED = 4
+#: The largest probability that a bit differs at 0.8 or more, for sets of at most TINY shingles and for larger ones (computed from
+#: binomials for all sizes up to 120, where it has come down to 0.153); bits may differ by SIGMAS standard deviations more.
+TINY, DIFFER_TINY, DIFFER, SIGMAS = 4, 0.188, 0.161, 4
+#: Fingerprints that are compared inside a bucket.
+CARRIED = 4
 #: Rows of a bucket, about, up to which the second pass compares it in one task.
 WHOLE = 20_000
-#: Of all fingerprints' bits, the share that may differ: 0.15 on average at a similarity of 0.8.
-FAR_ALL = 0.2
-STEP = 2 << 20
-SEEDS = mix64(np.arange(1, PRINTS + 1, dtype=np.uint64))
+PIVOTS = 4
+STEP, BLOCK = 2 << 20, 4096
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Bits of a band's key, number of bands, and of fingerprints that these take."""
+
+    bits: int
+    bands: int
+    prints: int
+
+
+def layout(rows: int) -> Layout:
+    """For a corpus of ``rows`` texts: 16 bits up to some 500 million; beyond, one more each time it doubles."""
+    bits = min(32, max(16, max(1, rows).bit_length() - 13))
+    bands = math.ceil(math.log(1 - RECALL) / math.log(1 - SAME_BIT**bits))
+    return Layout(bits, bands, math.ceil(bands / (64 // bits)))
+
+
+def most_differ(bits: int) -> tuple[int, int]:
+    """Of so many bits, how many may differ: of tiny sets and of others."""
+    return tuple(math.ceil(p * bits + SIGMAS * math.sqrt(bits * p * (1 - p))) for p in (DIFFER_TINY, DIFFER))
 
 
 def shingles(words: list[bytes], size: int) -> np.ndarray:
@@ -56,128 +89,185 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(h)
 
 
-def prints(h: np.ndarray) -> np.ndarray:
-    """PRINTS fingerprints of a set of hashes."""
-    ones = np.zeros((PRINTS, 64), np.int64)
-    for i in range(0, len(h), 4096):
-        bits = mix64((h[i : i + 4096, None] ^ SEEDS[None, :]).reshape(-1)).reshape(-1, PRINTS)
-        ones += np.unpackbits(bits.view(np.uint8).reshape(len(bits), PRINTS, 8), axis=2, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view(np.uint64).reshape(-1)
-
+def ones(x: np.ndarray) -> np.ndarray:
+    """How many of x[0], x[1], ... (a power of two of them) have each bit: uint64 (m, ...) to int32 (..., 64), little end first.
 
-def _prints(size: int):
+    Counters of all bits side by side are added in a tree, a plane of words for each digit.
+    """
+    planes = [x]
+    while len(planes[0]) > 1:
+        half, carry, sums = len(planes[0]) // 2, None, []
+        for p in planes:
+            a, b = p[:half], p[half:]
+            either, both = a ^ b, a & b
+            sums.append(either if carry is None else either ^ carry)
+            carry = both if carry is None else both | (either & carry)
+        planes = [*sums, carry]
+    shape = planes[0].shape[1:]
+    total = np.zeros((*shape, 64), np.int32)
+    for digit, p in enumerate(planes):
+        bits = np.unpackbits(np.ascontiguousarray(p[0]).view(np.uint8).reshape(*shape, 8), axis=-1, bitorder="little")
+        total += bits.astype(np.int32) << digit
+    return total
+
+
+def prints(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """``count`` fingerprints of each set of hashes: a bit is set if more than half of the hashes, mixed anew, have it."""
+    seeds = mix64(np.arange(1, count + 1, dtype=np.uint64))
+    out = np.zeros((len(sets), count), np.uint64)
+    many: dict[int, np.ndarray] = {}
+    by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, h in enumerate(sets):
+        for at in range(0, len(h), BLOCK):
+            part = h[at : at + BLOCK]
+            by_size.setdefault((len(part) - 1).bit_length(), []).append((i, part))
+    for k, parts in by_size.items():
+        together = max(1, (1 << 17) // (count << k))
+        for at in range(0, len(parts), together):
+            chosen = parts[at : at + together]
+            x = np.zeros((1 << k, len(chosen), count), np.uint64)
+            for j, (_, h) in enumerate(chosen):
+                x[: len(h), j] = h[:, None]
+            x = mix64(x ^ seeds)
+            for j, (_, h) in enumerate(chosen):
+                x[len(h) :, j] = 0
+            total = ones(x)
+            which = [i for i, _ in chosen]
+            size = np.array([len(sets[i]) for i in which])
+            out[which] = np.packbits(2 * total > size[:, None, None], axis=-1, bitorder="little").view(np.uint64)[..., 0]
+            for j, i in enumerate(which):
+                if len(sets[i]) > BLOCK:
+                    many[i] = many.get(i, 0) + total[j]
+    for i, total in many.items():
+        out[i] = np.packbits(2 * total > len(sets[i]), axis=-1, bitorder="little").view(np.uint64)[..., 0]
+    return out
+
+
+def subsets(h: np.ndarray) -> list[int]:
+    """Keys of a small set and of its subsets of one less; none of a larger set."""
+    if len(h) > SMALL:
+        return []
+    whole = h.sum(dtype=np.uint64)
+    return mix64(np.append(whole, whole - h)).view(np.int64).tolist()
+
+
+def _prints(size: int, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches, STEP):
-            raw, same, out = data.tobytes().translate(LOWER), [], []
+            raw, same, sets = data.tobytes().translate(LOWER), [], []
             for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
                 words = raw[a:b].split()
                 same.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                out.append(prints(shingles(words, size)))
-            fp = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(out).view(np.int64)), PRINTS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(same, pa.binary()), fp], ["doc_id", "same", "fp"])
+                sets.append(shingles(words, size))
+            fp = pa.FixedSizeListArray.from_arrays(pa.array(prints(sets, count).view(np.int64).reshape(-1)), count).cast(pa.list_(pa.int64()))
+            n, more = pa.array([len(h) for h in sets], pa.int64()), pa.array([subsets(h) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("h"), pa.array(same, pa.binary()), n, fp, more], ["doc_id", "h", "same", "n", "fp", "more"])
+
+    return run
+
+
+def _differ(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the rows a[i] and b[i] of ``fp`` differ."""
+    out = np.zeros(len(a), np.int16)
+    for k in range(fp.shape[1]):
+        out += np.bitwise_count(fp[a, k] ^ fp[b, k])
+    return out
+
+
+def _neighbours(whole: int):
+    """Rows come in order of key and fingerprint: (a, b) of neighbours that are near; (key, null, rows) of buckets above ``whole``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def large(key: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+            key, size = key[size > whole], size[size > whole]
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(key), pa.int64()), pa.array(size)], ["a", "b", "size"])
+
+        last, run_key, run_size, most = None, None, 0, most_differ(64)[0]
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            t = [np.asarray(rows.column(c)) for c in ("key", "node", "fp0")]
+            starts = np.flatnonzero(np.append(True, t[0][1:] != t[0][:-1]))
+            key, size = t[0][starts], np.diff(np.append(starts, len(t[0])))
+            if run_key is not None:
+                if key[0] == run_key:
+                    size[0] += run_size
+                else:
+                    key, size = np.append(run_key, key), np.append(run_size, size)
+            run_key, run_size = int(key[-1]), int(size[-1])
+            yield large(key[:-1], size[:-1])
+            t = t if last is None else [np.append(x, y) for x, y in zip(last, t, strict=True)]
+            last = [x[-1:] for x in t]
+            key, node, fp = t[0], t[1], t[2].view(np.uint64)[:, None]
+            i = np.flatnonzero(key[1:] == key[:-1])
+            i = i[_differ(fp, i, i + 1) <= most]
+            a, b = np.maximum(node[i], node[i + 1]), np.minimum(node[i], node[i + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "size"])
+        if run_key is not None:
+            yield large(np.array([run_key]), np.array([run_size]))
 
     return run
 
 
-def candidates_in_buckets(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row its NEAREST closest predecessors in its bucket, of the WITHIN before it in pivot order."""
-    pivot = np.bitwise_count(fp ^ REFERENCES[0])
-    order = np.lexsort((node, pivot, key))
-    key, node, fp = key[order], node[order], fp[order]
-    n = len(key)
-    best = np.full((NEAREST, n), 127, np.int16)
-    who = np.full((NEAREST, n), -1, np.int64)
-    live = np.arange(n)
-    for step in range(1, WITHIN + 1):
-        live = live[live >= step]
-        live = live[key[live] == key[live - step]]
-        if not len(live):
-            break
-        d = np.bitwise_count(fp[live] ^ fp[live - step]).astype(np.int16)
-        near = d <= FAR
-        i, d, j = live[near], d[near], live[near] - step
-        for k in range(NEAREST):
-            better = d < best[k, i]
-            bd, bj = best[k, i], who[k, i]
-            best[k, i], who[k, i] = np.where(better, d, bd), np.where(better, j, bj)
-            d, j = np.where(better, bd, d), np.where(better, bj, j)
-    a = np.tile(np.arange(n), NEAREST)[who.reshape(-1) >= 0]
-    b = who.reshape(-1)[who.reshape(-1) >= 0]
-    return node[a], node[b]
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of key; a bucket is kept until it is whole or long."""
-
-    def pairs(t: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = candidates_in_buckets(t[0], t[1], t[2].view(np.uint64))
-        both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    held = [np.zeros(0, np.int64)] * 3
-    for rows in batches:
-        held = [np.concatenate([h, np.asarray(rows.column(c))]) for h, c in zip(held, ("key", "node", "fp"), strict=True)]
-        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        if cut:
-            yield pairs([h[:cut] for h in held])
-            held = [h[cut:] for h in held]
-        elif len(held[0]) > 100_000:  # the second pass compares what a giant bucket's pieces miss
-            yield pairs(held)
-            held = [h[-WITHIN:] for h in held]
-    if len(held[0]):
-        yield pairs(held)
-
-
-def others_in_buckets(key: np.ndarray, node: np.ndarray, group: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows in one bucket and two groups, with first two fingerprints (columns of ``fp``) within FAR_TWO bits."""
+def others_in_buckets(key: np.ndarray, node: np.ndarray, group: np.ndarray, n: np.ndarray, fp: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows in one bucket and two groups, with sizes ``n`` that allow ``similarity`` and fingerprints (columns of ``fp``)
+    that differ as little as they must. The bucket's own rows at PIVOTS places are its pivots."""
     order = np.lexsort((group, key))
-    key, node, group, fp = key[order], node[order], group[order], fp[order]
-    n = len(key)
+    key, node, group, n, fp = key[order], node[order], group[order], n[order], fp[order]
+    rows = len(key)
     new = np.append(True, key[1:] != key[:-1])
-    bucket = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    other = np.maximum.accumulate(np.where(new | np.append(True, group[1:] != group[:-1]), np.arange(n), 0))
+    starts = np.flatnonzero(new)
+    size = np.diff(np.append(starts, rows))
+    bucket = np.repeat(starts, size)
+    pivots = [np.repeat(starts + size * k // PIVOTS, size) for k in range(PIVOTS)]
+    far = np.stack([_differ(fp, np.arange(rows), p) for p in pivots], 1)
+    other = np.maximum.accumulate(np.where(new | np.append(True, group[1:] != group[:-1]), np.arange(rows), 0))
     live = np.flatnonzero(other > bucket)  # rows before ``other`` are of other groups
-    step = 0
+    step, (most_tiny, most) = 0, most_differ(64 * fp.shape[1])
     while len(live):
         step += 1
         live = live[other[live] - bucket[live] >= step]
-        j = other[live] - step
-        far = np.bitwise_count(fp[live, 0] ^ fp[j, 0]) + np.bitwise_count(fp[live, 1] ^ fp[j, 1])
-        near = far <= FAR_TWO
+        a, b = live, other[live] - step
+        ok = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
+        a, b = survivors(far, a[ok], b[ok], most_tiny)
+        near = _differ(fp, a, b) <= np.where(np.minimum(n[a], n[b]) <= TINY, most_tiny, most)
         if near.any():
-            yield node[live[near]], node[j[near]]
-
-
-def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of key; a bucket is kept until it is whole."""
-
-    def pairs(t: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for a, b in others_in_buckets(*t[:3], np.stack(t[3:], 1).view(np.uint64)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    names = ("key", "node", "root", "fp", "fp2")
-    held: list[list[np.ndarray]] = []
-    for rows in batches:
-        if not rows.num_rows:
-            continue
-        new = [np.asarray(rows.column(c)) for c in names]
-        if held and held[-1][0][-1] == new[0][-1]:  # one bucket all along
-            held.append(new)
-            continue
-        whole = [np.concatenate(x) for x in zip(*held, new, strict=True)]
-        cut = int(np.searchsorted(whole[0], whole[0][-1]))
-        if cut:
-            yield from pairs([x[:cut] for x in whole])
-        held = [[x[cut:] for x in whole]]
-    if held:
-        yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield node[a[near]], node[b[near]]
+
+
+def _others(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of key; a bucket is kept until it is whole."""
+
+        def pairs(t: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for a, b in others_in_buckets(*t[:4], np.stack(t[4:], 1).view(np.uint64), similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+        names = ("key", "node", "root", "n", *(f"fp{k}" for k in range(CARRIED)))
+        held: list[list[np.ndarray]] = []
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            new = [np.asarray(rows.column(c)) for c in names]
+            if held and held[-1][0][-1] == new[0][-1]:  # one bucket all along
+                held.append(new)
+                continue
+            whole = [np.concatenate(x) for x in zip(*held, new, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            if cut:
+                yield from pairs([x[:cut] for x in whole])
+            held = [[x[cut:] for x in whole]]
+        if held:
+            yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return run
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches, STEP):
             raw = data.tobytes().translate(LOWER)
-            sets = [np.unique((shingles(raw[a:b].split(), size) >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+            sets = [shingles(raw[a:b].split(), size).tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return run
@@ -188,76 +278,111 @@ def _verified(similarity: float):
         for rows in batches:
             keep = []
             for x, y in zip(rows.column("x"), rows.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                small = min(len(x), len(y)) / max(len(x), len(y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if small >= similarity else 0
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _bands() -> list[Column]:
-    per = 64 // BAND
-    return [F.lit(k << BAND) + F.shiftrightunsigned(F.col("fp")[k // per], BAND * (k % per)).bitwiseAND(F.lit((1 << BAND) - 1)) for k in range(PRINTS * per)]
-
+def _keys(plan: Layout) -> Column:
+    """The keys of a node's bands and subsets."""
+    per = 64 // plan.bits
+    bands = [F.lit(k << plan.bits) + F.shiftrightunsigned(F.col("fp")[k // per], plan.bits * (k % per)).bitwiseAND(F.lit((1 << plan.bits) - 1)) for k in range(plan.bands)]
+    return F.concat(F.array(*bands), F.col("more"))
 
-def _closest(nodes: DataFrame) -> DataFrame:
-    """The first pass's pairs (a, b)."""
-    tables = nodes.select("node", F.col("fp")[0].alias("fp"), F.explode(F.array(*_bands())).alias("key"))
-    pairs = tables.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long")
-    # A row meets its close predecessors in many bands: the most frequent ones are the closest.
-    closest = Window.partitionBy("a").orderBy(F.desc("n"), "b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(closest)).where(F.col("k") <= VERIFIED).select("a", "b")
 
+def _tables(nodes: DataFrame, plan: Layout, carried: int, *columns: str) -> DataFrame:
+    """A row for each node and key, with so many fingerprints: fp0, fp1, ..."""
+    return nodes.select("node", *columns, *[F.col("fp")[k].alias(f"fp{k}") for k in range(carried)], F.explode(_keys(plan)).alias("key"))
 
-def _unconnected(nodes: DataFrame, star: DataFrame, whole: int = WHOLE) -> DataFrame:
-    """The second pass's pairs (a, b): all of a bucket that are not in one component of ``star``.
 
-    A bucket of more than ``whole`` rows is dealt into parts, and each two parts meet in a cell of their own.
-    """
+def _neighbour_pairs(nodes: DataFrame, plan: Layout, whole: int) -> tuple[DataFrame, DataFrame]:
+    """The first pass: pairs (a, b), and the buckets of more than ``whole`` rows (key, size)."""
+    ordered = _tables(nodes, plan, 1).repartition("key").sortWithinPartitions("key", "fp0")
+    found = written(ordered.mapInArrow(_neighbours(whole), "a long, b long, size long"), "neighbours")
+    pairs = found.where("size is null").groupBy("a", "b").agg(F.count("*").alias("n"))
+    # A row meets its nearest ones in many bands.
+    closest = Window.partitionBy("a").orderBy(F.desc("n"), "b")
+    pairs = pairs.withColumn("k", F.row_number().over(closest)).where(F.col("k") <= VERIFIED).select("a", "b")
+    return pairs, found.where("size is not null").select(F.col("a").alias("key"), "size")
+
+
+def _in_cells(tables: DataFrame, large: DataFrame, whole: int) -> DataFrame:
+    """``tables`` with rows of ``large`` buckets dealt into cells, each with a key of its own."""
+    held = F.broadcast if large.limit(100_001).count() <= 100_000 else (lambda t: t.hint("merge"))
+    groups = tables.join(held(large), "key").groupBy("key", "root").agg(F.count("*").alias("c"))
+    info = written(groups.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("most")), "large")
+    parts = lambda rows: F.greatest(F.lit(1), F.ceil(rows / whole)).cast("int")
+    info = info.select("key", F.col("most.root").alias("major"), parts(F.col("all") - F.col("most.c")).alias("p"), parts(F.col("most.c")).alias("q"), (F.col("all") > F.col("most.c")).alias("several"))
+    rows = tables.join(held(info), "key", "left").where("several is null or several")
+    h, p, q = F.xxhash64("node"), F.col("p"), F.col("q")
+    own = F.when(F.col("root") == F.col("major"), F.pmod(h, q)).otherwise(F.pmod(h, p)).cast("int")
+    upto = lambda count: F.sequence(F.lit(0), count - 1)
+    of_major = F.transform(upto(p), lambda i: p * p + i * q + own)
+    of_minor = F.concat(F.transform(upto(p), lambda i: F.greatest(i, own) * p + F.least(i, own)), F.transform(upto(q), lambda j: p * p + own * q + j))
+    cells = F.when(p.isNull(), F.array(F.lit(None).cast("int"))).when(F.col("root") == F.col("major"), of_major).otherwise(of_minor)
+    rows = rows.select(*tables.columns, F.explode(cells).alias("cell"))
+    return rows.withColumn("key", F.when(F.col("cell").isNull(), F.col("key")).otherwise(F.xxhash64("key", "cell"))).drop("cell")
+
+
+def _unconnected_pairs(nodes: DataFrame, star: DataFrame, plan: Layout, large: DataFrame, similarity: float, whole: int) -> DataFrame:
+    """The second pass: all near pairs (a, b) of a bucket that are not in one component of ``star``."""
     rooted = nodes.join(star.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tables = rooted.select("node", "root", F.col("fp")[0].alias("fp"), F.col("fp")[1].alias("fp2"), F.explode(F.array(*_bands())).alias("key"))
-    size = tables.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("r"), F.max("root").alias("s"))
-    large = size.where(F.col("c") > whole).select("key", F.ceil(F.col("c") / whole).cast("int").alias("parts"), (F.col("r") == F.col("s")).alias("one"))
-    tables = tables.join(F.broadcast(large), "key", "left").where("not coalesce(one, false)")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    with_own = F.transform(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), own), lambda p: F.greatest(p, own) * F.col("parts") + F.least(p, own))
-    cells = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(with_own.cast("array<int>"))
-    tables = tables.select("node", "root", "fp", "fp2", "key", F.explode(cells).alias("cell"))
-    tables = tables.withColumn("key", F.shiftleft(F.col("key").cast("long"), 40) + F.col("cell")).drop("cell")
-    return tables.repartition("key").sortWithinPartitions("key").mapInArrow(_others, "a long, b long").distinct()
-
-
-def _verified_links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    tables = _tables(rooted, plan, CARRIED, "root", "n")
+    if not large.isEmpty():
+        tables = _in_cells(tables, large, whole)
+    return tables.repartition("key").sortWithinPartitions("key").mapInArrow(_others(similarity), "a long, b long").distinct()
+
+
+def _verified_links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, plan: Layout, words: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` whose shingle sets are similar."""
-    # Far from the similarity by all fingerprints (four standard deviations at 0.8): not worth looking at the texts.
-    prints_of = lambda k: nodes.select(F.col("node").alias(k), F.col("fp").alias(f"fp_{k}"))
-    differ = sum((F.bit_count(F.col("fp_a")[i].bitwiseXOR(F.col("fp_b")[i])) for i in range(PRINTS)), F.lit(0))
-    pairs = pairs.join(prints_of("a"), "a").join(prints_of("b"), "b").where(differ <= int(64 * PRINTS * FAR_ALL)).select("a", "b")
+    of = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("fp").alias(f"fp_{k}"))
+    differ = sum((F.bit_count(F.col("fp_a")[i].bitwiseXOR(F.col("fp_b")[i])) for i in range(plan.prints)), F.lit(0))
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    of_tiny, of_others = most_differ(64 * plan.prints)
+    near = differ <= F.when(least <= TINY, of_tiny).otherwise(of_others)
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").where((least >= similarity * most) & near).select("a", "b")
     pairs = written(pairs, "near_pairs")
     if pairs.isEmpty():
         return pairs
     members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = packed(rows.withColumnRenamed("doc_id", "node")).join(members.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    members = members.join(nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")), "node")
+    texts = packed(rows).join(members.hint("merge"), ["doc_id", "h"]).dropDuplicates(["node"]).select("node", "text")
     sets = written(unpacked(texts).mapInArrow(_sets(words), "node long, shingles binary"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return written(both.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long"), "near_links")
 
 
-def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, group: the smallest doc_id of the near copies that a document belongs to."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    printed = written(rows.mapInArrow(_prints(words), "doc_id long, same binary, fp array<long>"), "prints")
-    nodes = printed.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")).where("node is not null")
-    nodes = written(nodes, "nodes")
-    first = _verified_links(rows, nodes, _closest(nodes), words, similarity)
-    links = first.unionByName(_verified_links(rows, nodes, _unconnected(nodes, components(first)), words, similarity))
-    star = components(links)
-    grouped = nodes.select("same", "node").join(star.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left")
-    grouped = grouped.select("same", F.coalesce("root", "node").alias("group"))
-    return printed.select("doc_id", "same").join(grouped, "same", "left").select("doc_id", F.coalesce("group", "doc_id").alias("group"))
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, whole: int = WHOLE) -> DataFrame:
+    """doc_id, h (a hash of the text), group and first: the row of a group with the smallest doc_id gives the group and is first.
+
+    One row for each row of ``docs`` with a doc_id.
+    """
+    if similarity < SIMILARITY:
+        raise ValueError(f"the limits of the search hold from a similarity of {SIMILARITY} on")
+    rows = _rows(docs)
+    plan = layout(docs.count())
+    schema = "doc_id long, h long, same binary, n long, fp array<long>, more array<long>"
+    printed = written(rows.mapInArrow(_prints(words, plan.prints), schema), "prints")
+    nodes = printed.groupBy("same").agg(F.min(F.struct("doc_id", "h")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "more")])
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    pairs, large = _neighbour_pairs(nodes, plan, whole)
+    near = _verified_links(rows, nodes, pairs, plan, words, similarity)
+    star = components(near)
+    more = _verified_links(rows, nodes, _unconnected_pairs(nodes, star, plan, large, similarity, whole), plan, words, similarity)
+    star = components(star.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
+    rooted = nodes.join(star.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").select("same", "first", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    named = rooted.join(least, "root").select("same", "least")
+    return printed.select("doc_id", "h", "same").join(named, "same").select("doc_id", "h", F.col("least.doc_id").alias("group"), (F.struct("doc_id", "h") == F.col("least")).alias("first"))
 
 
 def _zstd(pack: bool):
@@ -289,7 +414,8 @@ def unpacked(docs: DataFrame) -> DataFrame:
 
 def one_of_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group of near copies, that of its smallest doc_id; rows with a null doc_id all stay."""
-    groups = near_copy_groups(docs, **options)
-    keep = groups.where("doc_id = group").select("doc_id").distinct()
-    kept = unpacked(packed(docs.where("doc_id is not null")).join(keep.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    i, h = fresh("i", docs.columns), fresh("h", docs.columns)
+    keep = near_copy_groups(docs, **options).where("first").select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
+    keyed = docs.where("doc_id is not null").withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64(F.col("text").cast("string"))})
+    kept = unpacked(packed(keyed).join(keep.hint("merge"), [i, h], "left_semi").dropDuplicates([i, h]))
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

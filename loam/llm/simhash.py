@@ -79,6 +79,14 @@ def roots(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
         root = up
 
 
+def survivors(far: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a[i], b[i]) those whose rows of the pivot table differ by ``radius`` at most in every coordinate from ``first`` on."""
+    for j in range(first, far.shape[1]):
+        ok = np.abs(far[a, j] - far[b, j]) <= radius
+        a, b = a[ok], b[ok]
+    return a, b
+
+
 def links_in_buckets(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (as pairs of fingerprints) of the links inside buckets, through the pivot table."""
     far = np.bitwise_count(fp[:, None] ^ REFERENCES[None, :]).astype(np.int8)
@@ -92,9 +100,7 @@ def links_in_buckets(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.n
         live = live[near]
         other = live + step
         a, b = live[root[live] != root[other]], other[root[live] != root[other]]
-        for j in range(1, PIVOTS):
-            ok = np.abs(far[a, j] - far[b, j]) <= radius
-            a, b = a[ok], b[ok]
+        a, b = survivors(far, a, b, radius, 1)
         ok = np.bitwise_count(fp[a] ^ fp[b]) <= radius
         if ok.any():
             root = roots(a[ok], b[ok], root)

@@ -375,14 +375,18 @@ def test_near_copies(spark, none):
             v[int(rng.integers(200))] = "changed"
             data.append((100 + 10 * k + j, " ".join(v)))
     data += [(500, " ".join(base[0])), (501, None), (502, ""), (None, "a b c")]
-    docs = spark.createDataFrame(data, "doc_id long, text string")
-    got = {r.doc_id: r.group for r in near.near_copy_groups(docs).collect()}
-    for k in range(30):
+    data += [(600, "a b c d e f g h"), (601, "a b c d e f g h i"), (7, "two texts with one id"), (7, " ".join(base[7]))]
+    docs = spark.createDataFrame([(*x, 1, "c") for x in data], "doc_id long, text string, i int, h string")
+    got = {r.doc_id: r.group for r in near.near_copy_groups(docs).where("doc_id <> 7").collect()}
+    for k in set(range(30)) - {7}:
         assert got[k] == k
-    assert all(got[100 + 10 * k + j] == k for k in range(10) for j in range(3)) and got[500] == 0 and got[502] == 501
-    kept = near.one_of_near_copies(docs).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [*range(30), 501] and sum(r.doc_id is None for r in kept) == 1
-    assert near.near_copy_groups(none).count() == 0
+    assert all(got[100 + 10 * k + j] == k for k in range(10) for j in range(3)) and got[500] == 0 and got[502] == 501 and got[601] == 600
+    kept = near.one_of_near_copies(docs)
+    assert kept.schema == docs.schema
+    kept = kept.collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted([*range(30), 7, 501, 600]) and sum(r.doc_id is None for r in kept) == 1
+    assert len({r.text for r in kept if r.doc_id == 7}) == 2
+    assert near.near_copy_groups(none).count() == 0 and near.one_of_near_copies(none).count() == 0
 
 
 def test_langid(spark, none):

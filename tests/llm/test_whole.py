@@ -1,11 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
 import collections
+import itertools
 import math
 import re
 import zlib
 
 import numpy as np
+import pytest
 
 from loam.llm import lm, near, pii
 from loam.llm.lattice import Lattice, vocabulary
@@ -31,27 +33,78 @@ def test_a_link_outside_a_close_group_is_found(spark):
         data.append((100 * k + 50, " ".join(member)))
     got = {r.doc_id: r.group for r in near.near_copy_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert all(got[100 * k + 50] == got[100 * k + 1 + j] for k in range(10) for j in range(40))
-    assert sum(got[100 * k + 50] == 100 * k for k in range(10)) >= 9  # a pair at 0.81 shares a band with probability 0.97
+    assert sum(got[100 * k + 50] == 100 * k for k in range(10)) >= 9  # a pair at 0.81 shares a band with probability 0.99
 
 
-def test_all_rows_of_a_bucket_are_compared(spark):
-    """Pairs far apart in a bucket's order, in one piece and in cells."""
+@pytest.mark.parametrize("whole", [near.WHOLE, 2000])
+def test_all_rows_of_a_bucket_are_compared(spark, whole):
+    """Pairs far apart in the order of a bucket of 6,000, in one piece and in cells, with a component that holds most of it."""
     rng = np.random.default_rng(12)
-    n = 3000
-    fp = rng.integers(0, 2**63, (n, near.PRINTS), np.int64)
-    fp[:, 2:] = 0  # in the bands of ten fingerprints all are together
-    twins = [(i, i + 1500) for i in range(0, 1500, 100)]
+    n, plan = 6000, near.layout(6000)
+    fp = rng.integers(0, 2**63, (n, plan.prints), np.int64)
+    fp[:, near.CARRIED :] = 0  # in the bands of all other fingerprints all rows are together
+    twins = [(i, i + 3000) for i in range(0, 3000, 50)]
     for i, j in twins:
         fp[j] = fp[i]
-        fp[j, :2] ^= np.int64(0x0101010101010101)
-    nodes = spark.createDataFrame([(i, fp[i].tolist()) for i in range(n)], "node long, fp array<long>")
-    star = spark.createDataFrame([(j, i) for i, j in twins[:5]], "u long, v long")
-    differ = np.bitwise_count(fp[:, None, :2] ^ fp[None, :, :2]).sum(2, dtype=int)
-    want = set(zip(*np.nonzero(np.triu(differ <= near.FAR_TWO, 1)), strict=True)) - set(twins[:5])
-    assert want >= set(twins[5:])
-    for whole in (near.WHOLE, 700):
-        got = {(r.b, r.a) for r in near._unconnected(nodes, star, whole).collect()}
-        assert got == want
+        fp[j, : near.CARRIED] ^= np.int64(0x0101010101010101)
+    most_rows = set(range(100, 4000))
+    nodes = spark.createDataFrame([(i, fp[i].tolist(), 100, []) for i in range(n)], "node long, fp array<long>, n long, more array<long>")
+    star = spark.createDataFrame([(i, 100) for i in most_rows - {100}], "u long, v long")
+    differ = sum(np.bitwise_count(fp[:, None, k] ^ fp[None, :, k]) for k in range(near.CARRIED))
+    want = set(zip(*np.nonzero(np.triu(differ <= near.most_differ(64 * near.CARRIED)[1], 1)), strict=True))
+    want = {(a, b) for a, b in want if not (a in most_rows and b in most_rows)}
+    assert {(a, b) in want for a, b in twins} == {True, False}
+    _, large = near._neighbour_pairs(nodes, plan, whole)
+    assert large.count() == (0 if whole > n else plan.bands - near.CARRIED * 4)
+    got = {(r.b, r.a) for r in near._unconnected_pairs(nodes, star, plan, large, near.SIMILARITY, whole).collect()}
+    assert got == want
+
+
+def test_recall_beside_a_family_of_thousands(spark):
+    """20,000 texts, 5,200 of them variants of one, alike but under the similarity; all pairs against brute force."""
+    rng = np.random.default_rng(21)
+    word = lambda: f"w{rng.integers(40000)}"
+    template = [f"t{i}" for i in range(80)]
+    texts = [[word() for _ in range(int(rng.integers(30, 90)))] for _ in range(14000)]
+    for _ in range(5200):  # runs of the template, other words between
+        text, at = list(template), int(rng.integers(0, 8))
+        while at < 80:
+            text[at] = word()
+            at += int(rng.integers(5, 14))
+        texts.append(text)
+    for i in rng.integers(0, len(texts), 1200).tolist():
+        text = list(texts[i])
+        text[int(rng.integers(len(text)))] = "other"
+        texts.append(text)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    common = {tuple(template[i : i + 5]): i for i in range(76)}
+    holds = np.zeros((len(sets), 76), np.float32)
+    rare = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            if x in common:
+                holds[i, common[x]] = 1
+            else:
+                rare[x].append(i)
+    shared = collections.Counter(p for ids in rare.values() for p in itertools.combinations(ids, 2))
+    family = np.flatnonzero(holds.any(1))
+    both = holds[family] @ holds[family].T
+    size = np.array([len(s) for s in sets])
+    sum_ = size[family][:, None] + size[family][None, :]
+    near_by_template = np.argwhere(np.triu(both + 30 >= 0.8 * (sum_ - both - 30), 1))
+    shared.update({(int(family[a]), int(family[b])): 0 for a, b in near_by_template})
+    pairs = [(a, b) for a, b in shared if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    group = {r.doc_id: r.group for r in near.near_copy_groups(docs, whole=2000).collect()}
+    found = sum(group[a] == group[b] for a, b in pairs)
+    print(f"recall {found} of {len(pairs)}")
+    assert len(pairs) > 800 and found >= 0.97 * len(pairs)
+    root = list(range(len(texts)))
+    for a, b in sorted(pairs, key=lambda p: (p[1], p[0])):
+        a, b = (root[a], root[b])
+        if a != b:
+            root = [min(a, b) if r == max(a, b) else r for r in root]
+    assert all(root[i] == root[g] for i, g in group.items())
 
 
 def _paths(word, weight):
