@@ -1,13 +1,17 @@
 """Suffix-array dedup on bytes: what an earlier 100-byte string repeats is removed, the earliest copy stays.
 
-Repeated strings meet by their anchors (see ``anchors``). Contexts that all agree are settled by count and coordinates. The
-segments around anchors whose contexts differ are brought together, suffix-sorted in pieces of about a MB by two-stage sorting,
-and adjacent common prefixes of 100 bytes or more give the groups of equal strings. An anchor with more than SORTED contexts
-would make a large piece; its strings are grouped by a distributed count over their hashes instead, with the same result.
+Only text around 20-grams that occur twice can hold a repeated string. Such text is cut into segments by its anchors (see
+``anchors``), so that equal strings stand in segments of one anchor, at equal distances from it. Equal segments of one anchor are
+sorted once, for all of them. The others are brought together by anchor and suffix-sorted in pieces of about a MB by two-stage
+sorting; adjacent common prefixes of 100 bytes or more give the groups of equal strings, and a group's earliest place decides
+which of them go. Each removed string is one that a suffix array found, or an equal segment's at the same offset.
+
+An anchor with more than SORTED segments is dealt into several pieces. Each piece's groups are represented by their earliest
+string, and the representatives of all pieces are merged by their hashes.
 
 Order: by doc_id, then by start; a null doc_id comes first. Cases: null and empty texts have no bytes; texts under 100 bytes lose
 nothing; repeated rows (same doc_id and text) are one place, so neither is earlier than the other; rows with one doc_id and
-different texts are told apart by a hash of the text; an empty table gives an empty table; other columns are ignored.
+different texts are told apart by a hash of the text, 20 bits of it; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, SIG, Ranges, branching, join_apart, keyed, place_lists, repeated_edges, sigs, with_places
-from .common import raw_bytes, table, text_chunks
+from .anchors import NO_ID, SIG, Ranges, join_apart, keyed, place_lists, repeated_edges, sigs, with_places
+from .common import raw_bytes, table, text_chunks, written
 from .decontaminate import spread
 from .substring import mask_of
 from .suffixsort import Blocks, share_prefix, two_stage
@@ -30,9 +34,10 @@ WINDOW, GRAM, STEP = 100, 20, 1 << 19
 #: Contexts of one anchor that are sorted in one piece: some 180 bytes each, so 3 MB of text and 60 times that while sorting.
 SORTED = 16_000
 PIECE = 1 << 20
-SEGMENTS = "m long, doc long, at long, n int, segment binary"
-PLACES = "doc long, at long, n int"
-WINDOWS = "m long, h long, doc long, at long"
+SEGMENTS = "m long, part int, ctx long, copies long, doc long, at long, n int, segment binary"
+#: Runs of a context's windows: ``later`` ones repeat an earlier string; others repeat none, but the context has copies. A row with
+#: ``h`` is a single window's, the earliest of its group in a piece of several.
+RUNS = "m long, ctx long, copies long, doc long, at long, off int, n int, later boolean, h long"
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 #: A fixed random number for each byte.
@@ -43,38 +48,23 @@ def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return BYTE_HASH[data], offsets
 
 
-def _chosen(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, hot: bool):
-    sig, (row, places) = sigs(data, offsets), place_lists(rows)
-    at, n, m, contexts = (np.asarray(places.field(k)) for k in ("at", "n", "m", "contexts"))
-    mine = ((at & ((1 << SIG) - 1)) == sig[row]) & ((contexts > SORTED) == hot)
-    return sig, row[mine], at[mine], n[mine].astype(np.int64), m[mine]
-
-
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the listed places."""
     for batch in batches:
         for rows, data, offsets in text_chunks(iter([batch.filter(batch.column("places").is_valid())]), STEP):
-            _, row, at, n, m = _chosen(rows, data, offsets, False)
-            s = offsets[row] + (at >> SIG)
-            raw = data.tobytes()
+            sig, (row, places) = sigs(data, offsets), place_lists(rows)
+            at, n = np.asarray(places.field("at")), np.asarray(places.field("n")).astype(np.int64)
+            mine = np.flatnonzero((at & ((1 << SIG) - 1)) == sig[row])
+            row, at, n = row[mine], at[mine], n[mine]
+            s, raw = offsets[row] + (at >> SIG), data.tobytes()
             cut = pa.array([raw[a:b] for a, b in zip(s.tolist(), (s + n + WINDOW - 1).tolist(), strict=True)], pa.binary())
-            doc = np.asarray(rows.column("doc"))[row]
-            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(doc), pa.array(at), pa.array(n.astype(np.int32)), cut], ["m", "doc", "at", "n", "segment"])
-
+            known = {"doc": pa.array(np.asarray(rows.column("doc"))[row]), "segment": cut}
+            names = [c.split()[0] for c in SEGMENTS.split(", ")]
+            yield pa.RecordBatch.from_arrays([known[c] if c in known else places.field(c).take(pa.array(mine)) for c in names], names)
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows, data, offsets in text_chunks(iter([batch.filter(batch.column("places").is_valid())]), STEP):
-            sig, row, at, n, m = _chosen(rows, data, offsets, True)
-            if len(row):
-                s = spread(offsets[row] + (at >> SIG), n)
-                h = Ranges(BYTE_HASH[data])(s, s + WINDOW).view(np.int64)
-                back = np.repeat(row, n)
-                cols = [np.repeat(m, n), h, np.asarray(rows.column("doc"))[back], (s - offsets[back]) << SIG | sig[back]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["m", "h", "doc", "at"])
 
-
-def later_copies(doc: np.ndarray, at: np.ndarray, n: np.ndarray, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset) of every window that equals an earlier one among the segments; by suffix array."""
+def equal_windows(doc: np.ndarray, at: np.ndarray, n: np.ndarray, segments: pa.Array) -> np.ndarray:
+    """For each window (in order of segment and offset) whether it repeats an earlier one among the segments; by suffix array."""
     data, offsets, _ = raw_bytes(segments)
     size = np.diff(offsets)
     first = np.concatenate([[0], np.cumsum(size + 1)])
@@ -93,58 +83,76 @@ def later_copies(doc: np.ndarray, at: np.ndarray, n: np.ndarray, segments: pa.Ar
     seg, offset, group, place = seg[by], offset[by], group[by], place[by]
     earliest = np.concatenate([[True], group[1:] != group[:-1]])
     lead = np.maximum.accumulate(np.where(earliest, np.arange(len(group)), 0))
-    later = (doc[seg] != doc[seg[lead]]) | (place != place[lead]) if len(group) else np.zeros(0, bool)
-    return seg[later], offset[later]
+    again = (doc[seg] != doc[seg[lead]]) | (place != place[lead]) if len(group) else np.zeros(0, bool)
+    later = np.zeros(int(n.sum()), bool)
+    later[(np.cumsum(n) - n)[seg[again]] + offset[again]] = True
+    return later
+
+
+def _decided(t: pa.Table) -> pa.RecordBatch:
+    """RUNS of the segments of a piece. Of anchors dealt into parts (``part`` >= 0) the windows that are not later have an h."""
+    m, part, ctx, copies, doc, at, n = (np.asarray(t.column(c)) for c in ("m", "part", "ctx", "copies", "doc", "at", "n"))
+    segments, n = t.column("segment").combine_chunks(), n.astype(np.int64)
+    later = equal_windows(doc, at, n, segments)
+    seg, off = np.repeat(np.arange(len(n)), n), spread(np.zeros(len(n), np.int64), n)
+    open_ = (part[seg] >= 0) & ~later
+    kind = np.where(later, 1, np.where(open_, 3, np.where(copies[seg] > 1, 2, 0)))
+    new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (kind[1:] != kind[:-1]) | (kind[1:] == 3)]) if len(seg) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    length = np.diff(np.append(start, len(seg)))
+    start, length = start[kind[start] > 0], length[kind[start] > 0]
+    s, k = seg[start], kind[start]
+    h = np.zeros(len(start), np.int64)
+    if (k == 3).any():
+        data, offsets, _ = raw_bytes(segments)
+        i = (offsets[s] + off[start])[k == 3] - offsets[0]
+        h[k == 3] = Ranges(BYTE_HASH[data[offsets[0] : offsets[-1]]])(i, i + WINDOW).view(np.int64)
+    cols = [m[s], ctx[s], copies[s], doc[s], at[s], off[start].astype(np.int32), length.astype(np.int32)]
+    cols = [pa.array(c) for c in cols] + [pa.array(np.where(k == 3, False, k == 1), mask=k == 3), pa.array(h, mask=k != 3)]
+    return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in RUNS.split(", ")])
 
 
 def _sorted_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments in order of m; all with one m go into one piece."""
-
-    def marks(t: pa.Table) -> pa.RecordBatch:
-        doc, at = np.asarray(t.column("doc")), np.asarray(t.column("at"))
-        seg, offset = later_copies(doc, at, np.asarray(t.column("n")), t.column("segment").combine_chunks())
-        by = np.lexsort((offset, seg))
-        seg, offset = seg[by], offset[by]
-        new = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(seg) else np.zeros(0, bool))
-        n = np.diff(np.append(new, len(seg)))
-        cols = [pa.array(doc[seg[new]]), pa.array(at[seg[new]] + (offset[new] << SIG)), pa.array(n.astype(np.int32))]
-        return pa.RecordBatch.from_arrays(cols, ["doc", "at", "n"])
-
+    """Segments in order of m and part; all with one m and part go into one piece."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         start = 0
         while start < batch.num_rows:  # pieces of a batch, so that no piece grows with the batch size
-            part = batch.slice(start, 4096)
+            some = batch.slice(start, 4096)
             start += 4096
-            held.append(part)
-            size += part.num_rows * 2 * WINDOW
+            held.append(some)
+            size += some.num_rows * 2 * WINDOW
             if size >= PIECE:
                 t = pa.Table.from_batches(held)
-                m = np.asarray(t.column("m"))
-                cut = int(np.searchsorted(m, m[-1]))
+                m, part = np.asarray(t.column("m")), np.asarray(t.column("part"))
+                differs = np.flatnonzero((m != m[-1]) | (part != part[-1]))
+                cut = int(differs[-1]) + 1 if len(differs) else 0
                 if cut:
-                    yield marks(t.slice(0, cut))
+                    yield _decided(t.slice(0, cut))
                     held = t.slice(cut).to_batches()
                     size = (t.num_rows - cut) * 2 * WINDOW
     if held:
-        yield marks(pa.Table.from_batches(held))
+        yield _decided(pa.Table.from_batches(held))
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """doc, at, n: runs of n windows that stand somewhere earlier too. ``docs`` is ``keyed``."""
     edges, contexts = repeated_edges(docs, byte_units, WINDOW, GRAM, STEP)
-    known = contexts.where("copies > 1").select("m", "ctx", F.col("first.doc").alias("d"), F.col("first.at").alias("a"))
-    whole = edges.join(known, ["m", "ctx"]).where("doc != d or at != a").select("doc", "at", "n")
-    probes = with_places(docs, branching(contexts), "at", "n", "m", "contexts").select("doc", "text", "places")
-    segments = probes.mapInArrow(_segments, SEGMENTS).repartition("m").sortWithinPartitions("m")
-    near = segments.mapInArrow(_sorted_pieces, PLACES)
-    windows = probes.mapInArrow(_windows, WINDOWS)
-    often = windows.groupBy("m", "h").agg(F.count("*").alias("c"), F.min(F.struct("doc", "at")).alias("f"), F.max("h").alias("same"))
-    often = often.where("c > 1").select("m", "h", F.col("f.doc").alias("d"), F.col("f.at").alias("a"), "same")
-    hot = join_apart(windows, often, ["m", "h"])
-    hot = hot.where("doc != d or at != a").select("doc", "at", F.lit(1).alias("n"))
-    return whole.unionByName(near).unionByName(hot)
+    sizes = contexts.groupBy("m").agg(F.count("*").alias("c"), F.max("m").alias("same"))
+    parts = F.ceil(F.col("c") / SORTED)
+    part = F.when(parts > 1, F.pmod("ctx", parts)).otherwise(-1).cast("int").alias("part")
+    probes = join_apart(contexts, sizes, ["m"]).select("m", "ctx", "copies", part, "first.*")
+    listed = with_places(docs, probes, "at", "n", "m", "ctx", "copies", "part").select("doc", "text", "places")
+    segments = listed.mapInArrow(_segments, SEGMENTS).repartition("m", "part").sortWithinPartitions("m", "part")
+    runs = written(segments.mapInArrow(_sorted_pieces, RUNS), "runs")
+    of_parts = runs.where("h is not null").withColumn("place", F.col("at") + F.shiftleft(F.col("off").cast("long"), SIG))
+    earliest = of_parts.groupBy("m", "h").agg(F.min(F.struct("doc", "place")).alias("lead"), F.max("h").alias("same"))
+    merged = join_apart(of_parts, earliest, ["m", "h"]).withColumn("later", F.struct("doc", "place") != F.col("lead"))
+    decided = runs.where("h is null").unionByName(merged.select(*runs.columns)).where("later or copies > 1")
+    decided = decided.select("m", "ctx", F.col("doc").alias("d"), F.col("at").alias("a"), "off", F.col("n").alias("windows"), "later")
+    gone = edges.join(decided, ["m", "ctx"]).where("later or doc != d or at != a")
+    return gone.select("doc", (F.col("at") + F.shiftleft(F.col("off").cast("long"), SIG)).alias("at"), F.col("windows").alias("n"))
 
 
 def _kept(with_text: bool):
