@@ -23,7 +23,8 @@ from .common import mix64, powers, text_chunks, written
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-BLOCK = 1 << 16
+#: Windows that are looked at together: what is computed of them stays in the processor's cache.
+BLOCK = 1 << 14
 #: Places are start << SIG | bits of the text's hash, so that rows with one doc_id but other texts are kept apart.
 SIG = 20
 #: Stands for a null doc_id while places are compared.
@@ -46,42 +47,52 @@ class Ranges:
         return mix64((self.sums[b] - self.sums[a]) * self.back[a])
 
 
-def anchors(grams: np.ndarray, w: int) -> np.ndarray:
-    """Place of the least of each ``w`` consecutive hashes, leftmost on ties (of their leading 44 bits)."""
-    n = len(grams) - w + 1
-    out = np.empty(max(n, 0), np.int64)
+def anchor_runs(ranges: Ranges, windows: int, gram: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows with one anchor: (first window, place of the anchor, its hash).
+
+    The anchor is the least of a window's ``w`` grams, the leftmost on ties (of their hashes' leading 44 bits).
+    """
     low = np.uint64((1 << SIG) - 1)
-    for i in range(0, n, BLOCK):
-        part = grams[i : i + min(BLOCK, n - i) + w - 1]
-        v = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+    number = np.arange(BLOCK + w - 1, dtype=np.uint64)
+    starts, places, hashes = [], [], []
+    for i in range(0, windows, BLOCK):
+        count = min(BLOCK, windows - i) + w - 1
+        grams = ranges(slice(i, i + count), slice(i + gram, i + gram + count))
+        v = (grams & ~low) | number[:count]
         size = 1
         while 2 * size <= w:
             v = np.minimum(v[: len(v) - size], v[size:])
             size *= 2
         if size < w:
             v = np.minimum(v[: len(v) - (w - size)], v[w - size :])
-        out[i : i + len(v)] = (v & low).view(np.int64) + i
-    return out
+        new = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+        at = (v[new] & low).view(np.int64)
+        starts.append(new + i)
+        places.append(at + i)
+        hashes.append(grams[at])
+    start, place, h = (np.concatenate(x) for x in (starts, places, hashes))
+    new = np.append(True, place[1:] != place[:-1])
+    return start[new], place[new], h[new]
 
 
 def edges_of(x: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """The edges of rows whose units are x[first[i]:first[i+1]]: anchor, context, row, start in the row, number of windows."""
-    empty = np.zeros(0, np.int64)
-    if len(x) < window:
+    rows = np.flatnonzero(np.diff(first) >= window)
+    if not len(rows):
+        empty = np.zeros(0, np.int64)
         return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
     ranges = Ranges(x)
-    grams = ranges(slice(0, len(x) - gram + 1), slice(gram, len(x) + 1))
-    p = anchors(grams, window - gram + 1)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    inside = np.flatnonzero(row[: len(p)] == row[window - 1 :])
-    if not len(inside):
-        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
-    q = p[inside]
-    new = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (inside[1:] != inside[:-1] + 1)]))
-    s, n = inside[new], np.diff(np.append(new, len(inside)))
-    at = q[new]
+    start, place, h = anchor_runs(ranges, len(x) - window + 1, gram, window - gram + 1)
+    begin, end = first[rows], first[rows + 1] - window + 1  # a row's windows; runs are cut there
+    cut = np.unique(np.concatenate([start, begin]))
+    run = np.searchsorted(start, cut, "right") - 1
+    of = np.searchsorted(begin, cut, "right") - 1
+    inside = (of >= 0) & (cut < end[of])
+    s, run, of = cut[inside], run[inside], of[inside]
+    n = np.minimum(np.append(cut[1:], len(x))[inside], end[of]) - s
+    at = place[run]
     ctx = mix64(ranges(s, s + n + window - 1) + (at - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + n.astype(np.uint64))
-    return grams[at], ctx, row[s], s - first[row[s]], n
+    return h[run], ctx, rows[of], s - begin[of], n
 
 
 def sigs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

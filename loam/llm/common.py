@@ -124,11 +124,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo 2**64; short lists are remembered."""
+    known = _POWERS.get(base)
+    if known is not None and n <= len(known):
+        return known[:n]
     out = np.full(max(n, 1), base, np.uint64)
     out[0] = 1
     np.multiply.accumulate(out, out=out)
+    if n <= 1 << 20:
+        _POWERS[base] = out
     return out[:n]
 
 
