@@ -1,11 +1,12 @@
 """Near copies by similarity: texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
-Operator 7's search with wider fingerprints. Of each distinct text's set of shingles several SimHash fingerprints of 64 bits are
-taken and cut into bands; pairs that agree in a band meet in a bucket. There are two passes. The first links most members of a
-group cheaply: neighbours in each bucket's order, a few for each row, are verified on the exact shingle sets. The second compares,
-in each bucket, every two rows that are not in one component yet: distances to pivot fingerprints and set sizes discard pairs
-unseen, the bits of some and then of all fingerprints most others, and all that are left are verified. So what the first pass
-does not offer is no loss, and a giant group is compared with the bucket's other rows only, not with itself.
+Operator 7's search with wider fingerprints, and an exact check after it. Of each distinct text's set of shingles several SimHash
+fingerprints of 64 bits are taken and cut into bands; texts that agree in a band meet in a bucket. Distances to pivot fingerprints
+and set sizes discard a bucket's pairs unseen, the bits of CARRIED fingerprints most others; a spanning forest of what is left
+connects families, in which every pair of near copies lies. Each family's shingle sets are then brought together once, and all
+its pairs are decided on them: a pair of the similarity shares one of either's rarest shingles (those beyond the share that both
+must have), so an index of these finds the candidates, and counting over an index of all shingles gives their overlaps. What
+leaves a task is a spanning forest of its links, never all pairs, however many are alike but under the similarity.
 
 What can be missed: a pair that shares no band, and one whose fingerprints differ by four standard deviations more than they
 should. At a similarity of 0.8 a bit agrees with probability 0.848 (SAME_BIT), and there are as many bands as it takes to share
@@ -13,8 +14,8 @@ one with probability RECALL = 0.99 (0.9996 at 0.85). Sets of at most SMALL shing
 their hash and the hashes of all their subsets of one shingle less, which no such pair misses. Keys get wider with the corpus, and
 bands more, so that a bucket of unrelated texts stays small and the recall the same (``layout``).
 
-Buckets of more than WHOLE rows are dealt into parts; two parts meet in a cell unless both are of the bucket's largest component.
-Texts are shuffled compressed, by plans that are the same at every size.
+Buckets of more than WHOLE rows, and families of more than PIECE shingles, are dealt into parts, first each for itself; then two
+parts meet in a cell unless both are of what is by now the largest component (``in_cells``). Texts are shuffled compressed.
 
 Cases: exact copies (same words) are one node from the start; texts with fewer words than a shingle have one shingle; texts
 without words are all alike; rows are told apart by doc_id and text, so two texts with one doc_id are two rows; repeated rows
@@ -34,26 +35,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
-from pyspark.sql.window import Window
 
 from .common import LOWER, fresh, mix64, text_chunks, word_hashes, written
 from .components import components
-from .simhash import survivors
+from .decontaminate import spread
+from .simhash import roots, survivors
 
 WORDS, SIMILARITY = 5, 0.8
 #: Probability that a bit agrees at a similarity of 0.8: 1 - acos(2 * 0.8 / 1.8) / pi. That some band then does.
 SAME_BIT, RECALL = 0.848, 0.99
 #: Shingles up to which a set also meets others by its subsets: two such sets of 0.8 differ in one shingle on either side at most.
 SMALL = 9
-#: Neighbours of each row that the first pass verifies.
-VERIFIED = 4
 #: The largest probability that a bit differs at 0.8 or more, for sets of at most TINY shingles and for larger ones (computed from
 #: binomials for all sizes up to 120, where it has come down to 0.153); bits may differ by SIGMAS standard deviations more.
 TINY, DIFFER_TINY, DIFFER, SIGMAS = 4, 0.188, 0.161, 4
 #: Fingerprints that are compared inside a bucket.
 CARRIED = 4
-#: Rows of a bucket, about, up to which the second pass compares it in one task.
-WHOLE = 20_000
+#: Rows of a bucket, and shingles of a family, that one task compares, about.
+WHOLE, PIECE = 20_000, 1 << 19
 PIVOTS = 4
 STEP, BLOCK = 2 << 20, 4096
 
@@ -174,114 +173,159 @@ def _differ(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _neighbours(whole: int):
-    """Rows come in order of key and fingerprint: (a, b) of neighbours that are near; (key, null, rows) of buckets above ``whole``."""
+def forest_of_near(key: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, fp: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect all near rows of each bucket that have different ``root``: a spanning forest over the roots.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def large(key: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-            key, size = key[size > whole], size[size > whole]
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(key), pa.int64()), pa.array(size)], ["a", "b", "size"])
-
-        last, run_key, run_size, most = None, None, 0, most_differ(64)[0]
-        for rows in batches:
-            if not rows.num_rows:
-                continue
-            t = [np.asarray(rows.column(c)) for c in ("key", "node", "fp0")]
-            starts = np.flatnonzero(np.append(True, t[0][1:] != t[0][:-1]))
-            key, size = t[0][starts], np.diff(np.append(starts, len(t[0])))
-            if run_key is not None:
-                if key[0] == run_key:
-                    size[0] += run_size
-                else:
-                    key, size = np.append(run_key, key), np.append(run_size, size)
-            run_key, run_size = int(key[-1]), int(size[-1])
-            yield large(key[:-1], size[:-1])
-            t = t if last is None else [np.append(x, y) for x, y in zip(last, t, strict=True)]
-            last = [x[-1:] for x in t]
-            key, node, fp = t[0], t[1], t[2].view(np.uint64)[:, None]
-            i = np.flatnonzero(key[1:] == key[:-1])
-            i = i[_differ(fp, i, i + 1) <= most]
-            a, b = np.maximum(node[i], node[i + 1]), np.minimum(node[i], node[i + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "size"])
-        if run_key is not None:
-            yield large(np.array([run_key]), np.array([run_size]))
-
-    return run
-
-
-def others_in_buckets(key: np.ndarray, node: np.ndarray, group: np.ndarray, n: np.ndarray, fp: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows in one bucket and two groups, with sizes ``n`` that allow ``similarity`` and fingerprints (columns of ``fp``)
-    that differ as little as they must. The bucket's own rows at PIVOTS places are its pivots."""
-    order = np.lexsort((group, key))
-    key, node, group, n, fp = key[order], node[order], group[order], n[order], fp[order]
+    Near: sizes ``n`` allow ``similarity``, and the fingerprints (columns of ``fp``) differ as little as they must then. Rows at
+    PIVOTS places of the bucket are its pivots.
+    """
+    order = np.lexsort((root, key))
+    key, node, root, n, fp = key[order], node[order], root[order], n[order], fp[order]
     rows = len(key)
-    new = np.append(True, key[1:] != key[:-1])
-    starts = np.flatnonzero(new)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(starts, rows))
-    bucket = np.repeat(starts, size)
+    bucket = np.repeat(np.arange(len(starts)), size)
     pivots = [np.repeat(starts + size * k // PIVOTS, size) for k in range(PIVOTS)]
     far = np.stack([_differ(fp, np.arange(rows), p) for p in pivots], 1)
-    other = np.maximum.accumulate(np.where(new | np.append(True, group[1:] != group[:-1]), np.arange(rows), 0))
-    live = np.flatnonzero(other > bucket)  # rows before ``other`` are of other groups
-    step, (most_tiny, most) = 0, most_differ(64 * fp.shape[1])
+    most_tiny, most = most_differ(64 * fp.shape[1])
+    # Within a bucket, rows of one root are one tree from the start.
+    new = np.append(True, (key[1:] != key[:-1]) | (root[1:] != root[:-1]))
+    tree = np.maximum.accumulate(np.where(new, np.arange(rows), 0))
+    live, step, found = np.arange(rows), 0, []
     while len(live):
         step += 1
-        live = live[other[live] - bucket[live] >= step]
-        a, b = live, other[live] - step
+        live = live[live + step < rows]
+        live = live[bucket[live] == bucket[live + step]]
+        if step & (step - 1) == 0 or step % 512 == 0:  # buckets that are one tree are done
+            several = np.zeros(len(starts), bool)
+            several[bucket[tree != tree[starts[bucket]]]] = True
+            live = live[several[bucket[live]]]
+        a, b = live, live + step
+        ok = tree[a] != tree[b]
+        a, b = a[ok], b[ok]
         ok = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
         a, b = survivors(far, a[ok], b[ok], most_tiny)
         near = _differ(fp, a, b) <= np.where(np.minimum(n[a], n[b]) <= TINY, most_tiny, most)
         if near.any():
-            yield node[a[near]], node[b[near]]
+            a, b = a[near], b[near]
+            found += _joining(tree, a, b)
+            tree = roots(a, b, tree)
+    i, j = np.array(found, np.int64).reshape(-1, 2).T
+    return node[i], node[j]
+
+
+def _joining(tree: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs that join two trees when they are added one after the other."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for x, y, s, t in zip(a.tolist(), b.tolist(), tree[a].tolist(), tree[b].tolist(), strict=True):
+        s, t = top(s), top(t)
+        if s != t:
+            up[max(s, t)] = min(s, t)
+            out.append((x, y))
+    return out
 
 
-def _others(similarity: float):
+def _by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows that come in order of ``keys``; a group is kept until it is whole."""
+    held: list[pa.RecordBatch] = []
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        ends = [[np.asarray(rows.column(k)) for k in keys]]
+        same = np.logical_and.reduce([x == x[-1] for x in ends[0]])
+        if held and same.all() and all(held[-1].column(k)[-1].as_py() == rows.column(k)[0].as_py() for k in keys):
+            held.append(rows)
+            continue
+        t = pa.Table.from_batches([*held, rows])
+        tail = np.logical_and.reduce([np.asarray(t.column(k)) == np.asarray(t.column(k))[-1] for k in keys])
+        cut = int(np.flatnonzero(~tail)[-1]) + 1 if not tail.all() else 0
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+
+def _near_in_buckets(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of key; a bucket is kept until it is whole."""
+        for t in _by_key(batches, ("key", "part")):
+            part = np.asarray(t.column("part")).astype(np.uint64)
+            key = np.asarray(t.column("key")).view(np.uint64) ^ mix64(part)
+            columns = [np.asarray(t.column(c)) for c in ("node", "root", "n")]
+            fp = np.stack([np.asarray(t.column(f"fp{k}")) for k in range(CARRIED)], 1).view(np.uint64)
+            yield _pairs(*forest_of_near(key, *columns, fp, similarity))
 
-        def pairs(t: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for a, b in others_in_buckets(*t[:4], np.stack(t[4:], 1).view(np.uint64), similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+    return run
 
-        names = ("key", "node", "root", "n", *(f"fp{k}" for k in range(CARRIED)))
-        held: list[list[np.ndarray]] = []
-        for rows in batches:
-            if not rows.num_rows:
-                continue
-            new = [np.asarray(rows.column(c)) for c in names]
-            if held and held[-1][0][-1] == new[0][-1]:  # one bucket all along
-                held.append(new)
-                continue
-            whole = [np.concatenate(x) for x in zip(*held, new, strict=True)]
-            cut = int(np.searchsorted(whole[0], whole[0][-1]))
-            if cut:
-                yield from pairs([x[:cut] for x in whole])
-            held = [[x[cut:] for x in whole]]
-        if held:
-            yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    return run
+def forest_of_alike(sets: list[np.ndarray], root: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) that connect all sets of at least ``similarity`` that have different ``root``; exact."""
+    size = np.array([len(h) for h in sets], np.int64)
+    doc = np.repeat(np.arange(len(sets)), size)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rare = np.empty(len(count), np.int64)
+    rare[np.argsort(count, kind="stable")] = np.arange(len(count))
+    token = rare[token]
+    order = np.lexsort((token, doc))
+    token, doc = token[order], doc[order]  # each set's rarest first
+    first = np.concatenate([[0], np.cumsum(size)])
+    # Two sets alike share ``must`` of either, hence one of either's rarest size - must + 1.
+    prefix = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    in_prefix = np.arange(len(doc)) - first[doc] < prefix[doc]
+
+    def index(t: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by = np.argsort(t, kind="stable")  # sets in order within a token
+        return np.searchsorted(t[by], np.arange(len(count) + 1)), of[by]
+
+    at, holders = index(token, doc)
+    at_prefix, starters = index(token[in_prefix], doc[in_prefix])
+    label, out = np.unique(root, return_inverse=True)[1], []
+    for i in range(1, len(sets)):
+        mine = token[first[i] : first[i + 1]]
+        head = mine[: prefix[i]]
+        found = starters[spread(at_prefix[head], at_prefix[head + 1] - at_prefix[head])]
+        found = np.unique(found[found < i])
+        found = found[(label[found] != label[i]) & (np.minimum(size[found], size[i]) >= similarity * np.maximum(size[found], size[i]))]
+        if not len(found):
+            continue
+        both = np.bincount(holders[spread(at[mine], at[mine + 1] - at[mine])], minlength=len(sets))[found]
+        for j in found[both >= similarity * (size[found] + size[i] - both)].tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
 
 
-def _sets(size: int):
+def _alike_in_families(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_chunks(batches, STEP):
-            raw = data.tobytes().translate(LOWER)
-            sets = [shingles(raw[a:b].split(), size).tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+        for t in _by_key(batches, ("key", "part")):
+            key, part, node, root = (np.asarray(t.column(c)) for c in ("key", "part", "node", "root"))
+            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles").slice(a, b - a)]
+                found = np.array(forest_of_alike(sets, root[a:b], similarity), np.int64).reshape(-1, 2) + a
+                yield _pairs(node[found[:, 0]], node[found[:, 1]])
 
     return run
 
 
-def _verified(similarity: float):
+def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            keep = []
-            for x, y in zip(rows.column("x"), rows.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for rows, data, offsets in text_chunks(batches, STEP):
+            raw = data.tobytes().translate(LOWER)
+            sets = [shingles(raw[a:b].split(), size).tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("key"), rows.column("part"), pa.array(sets, pa.binary())], ["node", "key", "part", "shingles"])
 
     return run
 
@@ -293,67 +337,85 @@ def _keys(plan: Layout) -> Column:
     return F.concat(F.array(*bands), F.col("more"))
 
 
-def _tables(nodes: DataFrame, plan: Layout, carried: int, *columns: str) -> DataFrame:
-    """A row for each node and key, with so many fingerprints: fp0, fp1, ..."""
-    return nodes.select("node", *columns, *[F.col("fp")[k].alias(f"fp{k}") for k in range(carried)], F.explode(_keys(plan)).alias("key"))
+def _tables(nodes: DataFrame, plan: Layout) -> DataFrame:
+    """A row for each node and key, with CARRIED fingerprints: fp0, fp1, ..."""
+    return nodes.select("node", "root", "n", *[F.col("fp")[k].alias(f"fp{k}") for k in range(CARRIED)], F.explode(_keys(plan)).alias("key"))
+
 
+def _held(table: DataFrame, rows: int = 100_000):
+    """How to join with a table that is small as a rule: broadcast after its size is checked, else merged."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")
 
-def _neighbour_pairs(nodes: DataFrame, plan: Layout, whole: int) -> tuple[DataFrame, DataFrame]:
-    """The first pass: pairs (a, b), and the buckets of more than ``whole`` rows (key, size)."""
-    ordered = _tables(nodes, plan, 1).repartition("key").sortWithinPartitions("key", "fp0")
-    found = written(ordered.mapInArrow(_neighbours(whole), "a long, b long, size long"), "neighbours")
-    pairs = found.where("size is null").groupBy("a", "b").agg(F.count("*").alias("n"))
-    # A row meets its nearest ones in many bands.
-    closest = Window.partitionBy("a").orderBy(F.desc("n"), "b")
-    pairs = pairs.withColumn("k", F.row_number().over(closest)).where(F.col("k") <= VERIFIED).select("a", "b")
-    return pairs, found.where("size is not null").select(F.col("a").alias("key"), "size")
 
+def in_parts(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """``rows`` (key, node, ...) with ``part``: 0, or one of the ``parts`` of a key in ``large``."""
+    dealt = rows.join(_held(large.select("key", "parts")), "key", "left")
+    return dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
 
-def _in_cells(tables: DataFrame, large: DataFrame, whole: int) -> DataFrame:
-    """``tables`` with rows of ``large`` buckets dealt into cells, each with a key of its own."""
-    held = F.broadcast if large.limit(100_001).count() <= 100_000 else (lambda t: t.hint("merge"))
-    groups = tables.join(held(large), "key").groupBy("key", "root").agg(F.count("*").alias("c"))
-    info = written(groups.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("most")), "large")
-    parts = lambda rows: F.greatest(F.lit(1), F.ceil(rows / whole)).cast("int")
-    info = info.select("key", F.col("most.root").alias("major"), parts(F.col("all") - F.col("most.c")).alias("p"), parts(F.col("most.c")).alias("q"), (F.col("all") > F.col("most.c")).alias("several"))
-    rows = tables.join(held(info), "key", "left").where("several is null or several")
+
+def in_cells(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """The rows of ``large`` keys (key, parts) in cells, numbered in ``part``: two parts in each, not both of the key's largest root.
+
+    A key's parts are shared out between its largest root and the others by their numbers of rows.
+    """
+    rows = rows.join(_held(large), "key")
+    groups = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.first("parts").alias("parts"))
+    info = groups.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("most"), F.first("parts").alias("parts"))
+    share = lambda c: F.greatest(F.lit(1), F.ceil(F.col("parts") * c / F.col("all"))).cast("int")
+    info = info.where(F.col("all") > F.col("most.c"))
+    info = written(info.select("key", F.col("most.root").alias("major"), share(F.col("all") - F.col("most.c")).alias("p"), share(F.col("most.c")).alias("q")), "large")
+    rows = rows.drop("parts").join(_held(info), "key")
     h, p, q = F.xxhash64("node"), F.col("p"), F.col("q")
-    own = F.when(F.col("root") == F.col("major"), F.pmod(h, q)).otherwise(F.pmod(h, p)).cast("int")
+    of_major = F.col("root") == F.col("major")
+    own = F.when(of_major, F.pmod(h, q)).otherwise(F.pmod(h, p)).cast("int")
     upto = lambda count: F.sequence(F.lit(0), count - 1)
-    of_major = F.transform(upto(p), lambda i: p * p + i * q + own)
-    of_minor = F.concat(F.transform(upto(p), lambda i: F.greatest(i, own) * p + F.least(i, own)), F.transform(upto(q), lambda j: p * p + own * q + j))
-    cells = F.when(p.isNull(), F.array(F.lit(None).cast("int"))).when(F.col("root") == F.col("major"), of_major).otherwise(of_minor)
-    rows = rows.select(*tables.columns, F.explode(cells).alias("cell"))
-    return rows.withColumn("key", F.when(F.col("cell").isNull(), F.col("key")).otherwise(F.xxhash64("key", "cell"))).drop("cell")
-
-
-def _unconnected_pairs(nodes: DataFrame, star: DataFrame, plan: Layout, large: DataFrame, similarity: float, whole: int) -> DataFrame:
-    """The second pass: all near pairs (a, b) of a bucket that are not in one component of ``star``."""
-    rooted = nodes.join(star.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tables = _tables(rooted, plan, CARRIED, "root", "n")
-    if not large.isEmpty():
-        tables = _in_cells(tables, large, whole)
-    return tables.repartition("key").sortWithinPartitions("key").mapInArrow(_others(similarity), "a long, b long").distinct()
-
-
-def _verified_links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, plan: Layout, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` whose shingle sets are similar."""
-    of = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("fp").alias(f"fp_{k}"))
-    differ = sum((F.bit_count(F.col("fp_a")[i].bitwiseXOR(F.col("fp_b")[i])) for i in range(plan.prints)), F.lit(0))
-    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    of_tiny, of_others = most_differ(64 * plan.prints)
-    near = differ <= F.when(least <= TINY, of_tiny).otherwise(of_others)
-    pairs = pairs.join(of("a"), "a").join(of("b"), "b").where((least >= similarity * most) & near).select("a", "b")
-    pairs = written(pairs, "near_pairs")
-    if pairs.isEmpty():
-        return pairs
-    members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    members = members.join(nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")), "node")
-    texts = packed(rows).join(members.hint("merge"), ["doc_id", "h"]).dropDuplicates(["node"]).select("node", "text")
-    sets = written(unpacked(texts).mapInArrow(_sets(words), "node long, shingles binary"), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long"), "near_links")
+    major_cells = F.transform(upto(p), lambda i: p * p + i * q + own)
+    minor_cells = F.concat(F.transform(upto(p), lambda i: F.greatest(i, own) * p + F.least(i, own)), F.transform(upto(q), lambda j: p * p + own * q + j))
+    return rows.withColumn("part", F.explode(F.when(of_major, major_cells).otherwise(minor_cells))).drop("p", "q", "major")
+
+
+def _rooted(nodes: DataFrame, star: DataFrame | None) -> DataFrame:
+    if star is None:
+        return nodes.withColumn("root", F.col("node"))
+    return nodes.join(star.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _links(star: DataFrame) -> DataFrame:
+    return star.select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
+def _dealt(rows: DataFrame, forest) -> DataFrame:
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(forest, "a long, b long").distinct()
+
+
+def families(nodes: DataFrame, plan: Layout, similarity: float = SIMILARITY, whole: int = WHOLE) -> DataFrame:
+    """(u, v): each node and the least one of its family, for nodes that are not; all near rows of a bucket are of one family."""
+    tables = _tables(_rooted(nodes, None), plan)
+    large = tables.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > whole)
+    large = written(large.select("key", F.ceil(F.col("c") / whole).alias("parts")), "large_buckets")
+    forest = _near_in_buckets(similarity)
+    star = components(_dealt(in_parts(tables, large), forest))
+    if large.isEmpty():
+        return star
+    more = _dealt(in_cells(_tables(_rooted(nodes, star), plan), large), forest)
+    return components(_links(star).unionByName(more))
+
+
+def near_links(rows: DataFrame, nodes: DataFrame, family: DataFrame, words: int, similarity: float, piece: int = PIECE) -> DataFrame:
+    """(u, v): each node and the least one that links of at least ``similarity`` reach, for nodes that are not."""
+    named = family.unionByName(family.select(F.col("v").alias("u"), "v").distinct()).withColumnsRenamed({"u": "node", "v": "key"})
+    members = nodes.select("node", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")).join(named, "node")
+    large = members.groupBy("key").agg(F.sum("n").alias("c")).where(F.col("c") > piece)
+    large = written(large.select("key", F.ceil(F.col("c") / piece).alias("parts")), "large_families")
+    members = in_parts(members, large).drop("n")
+    texts = packed(rows).join(members.hint("merge"), ["doc_id", "h"]).dropDuplicates(["node"]).select("node", "key", "part", "text")
+    sets = written(unpacked(texts).mapInArrow(_sets(words), "node long, key long, part int, shingles binary"), "sets")
+    forest = _alike_in_families(similarity)
+    star = components(_dealt(_rooted(sets, None), forest))
+    if large.isEmpty():
+        return star
+    more = _dealt(in_cells(_rooted(sets.drop("part"), star), large), forest)
+    return components(_links(star).unionByName(more))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -361,7 +423,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, whole: int = WHOLE) -> DataFrame:
+def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, whole: int = WHOLE, piece: int = PIECE) -> DataFrame:
     """doc_id, h (a hash of the text), group and first: the row of a group with the smallest doc_id gives the group and is first.
 
     One row for each row of ``docs`` with a doc_id.
@@ -374,12 +436,8 @@ def near_copy_groups(docs: DataFrame, words: int = WORDS, similarity: float = SI
     printed = written(rows.mapInArrow(_prints(words, plan.prints), schema), "prints")
     nodes = printed.groupBy("same").agg(F.min(F.struct("doc_id", "h")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "more")])
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs, large = _neighbour_pairs(nodes, plan, whole)
-    near = _verified_links(rows, nodes, pairs, plan, words, similarity)
-    star = components(near)
-    more = _verified_links(rows, nodes, _unconnected_pairs(nodes, star, plan, large, similarity, whole), plan, words, similarity)
-    star = components(star.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
-    rooted = nodes.join(star.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").select("same", "first", F.coalesce("root", "node").alias("root"))
+    star = near_links(rows, nodes, families(nodes, plan, similarity, whole), words, similarity, piece)
+    rooted = _rooted(nodes.select("same", "first", "node"), star)
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     named = rooted.join(least, "root").select("same", "least")
     return printed.select("doc_id", "h", "same").join(named, "same").select("doc_id", "h", F.col("least.doc_id").alias("group"), (F.struct("doc_id", "h") == F.col("least")).alias("first"))

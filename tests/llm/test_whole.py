@@ -36,28 +36,51 @@ def test_a_link_outside_a_close_group_is_found(spark):
     assert sum(got[100 * k + 50] == 100 * k for k in range(10)) >= 9  # a pair at 0.81 shares a band with probability 0.99
 
 
-@pytest.mark.parametrize("whole", [near.WHOLE, 2000])
+@pytest.mark.parametrize("whole", [near.WHOLE, 1500])
 def test_all_rows_of_a_bucket_are_compared(spark, whole):
-    """Pairs far apart in the order of a bucket of 6,000, in one piece and in cells, with a component that holds most of it."""
+    """Pairs far apart in the order of a bucket of 5,000, in one piece and in cells, beside a component that holds most of it."""
     rng = np.random.default_rng(12)
-    n, plan = 6000, near.layout(6000)
+    n, plan = 5000, near.layout(5000)
     fp = rng.integers(0, 2**63, (n, plan.prints), np.int64)
     fp[:, near.CARRIED :] = 0  # in the bands of all other fingerprints all rows are together
-    twins = [(i, i + 3000) for i in range(0, 3000, 50)]
-    for i, j in twins:
-        fp[j] = fp[i]
-        fp[j, : near.CARRIED] ^= np.int64(0x0101010101010101)
-    most_rows = set(range(100, 4000))
+    fp[100:3500, : near.CARRIED] = fp[100, : near.CARRIED] ^ (np.int64(1) << rng.integers(0, 62, (3400, near.CARRIED)))
+    for i in range(0, 100, 5):  # chains across the bucket
+        for j in (i + 3500, i + 4000, i + 4500):
+            fp[j, : near.CARRIED] = fp[j - 500 if j > i + 3500 else i, : near.CARRIED] ^ np.int64(0x0101010101010101)
+            fp[j, 0] ^= np.int64(3 << (j % 60))
     nodes = spark.createDataFrame([(i, fp[i].tolist(), 100, []) for i in range(n)], "node long, fp array<long>, n long, more array<long>")
-    star = spark.createDataFrame([(i, 100) for i in most_rows - {100}], "u long, v long")
-    differ = sum(np.bitwise_count(fp[:, None, k] ^ fp[None, :, k]) for k in range(near.CARRIED))
-    want = set(zip(*np.nonzero(np.triu(differ <= near.most_differ(64 * near.CARRIED)[1], 1)), strict=True))
-    want = {(a, b) for a, b in want if not (a in most_rows and b in most_rows)}
-    assert {(a, b) in want for a, b in twins} == {True, False}
-    _, large = near._neighbour_pairs(nodes, plan, whole)
-    assert large.count() == (0 if whole > n else plan.bands - near.CARRIED * 4)
-    got = {(r.b, r.a) for r in near._unconnected_pairs(nodes, star, plan, large, near.SIMILARITY, whole).collect()}
-    assert got == want
+    differ = sum(np.bitwise_count(fp[:, None, k] ^ fp[None, :, k]).astype(np.int16) for k in range(near.CARRIED))
+    alike, want = differ <= near.most_differ(64 * near.CARRIED)[1], np.arange(n)
+    while True:
+        least = np.where(alike, want[None, :], n).min(1)
+        if (least == want).all():
+            break
+        want = least
+    got = np.arange(n)
+    for r in near.families(nodes, plan, whole=whole).collect():
+        got[r.u] = r.v
+    assert (got == want).all() and len(set(want)) < n - 3400
+
+
+@pytest.mark.parametrize("piece", [near.PIECE, 3000])
+def test_families_in_parts(spark, piece):
+    """Groups of a family that is dealt into parts, against all pairs; many of its texts are alike but under the similarity."""
+    rng = np.random.default_rng(14)
+    base, texts = [f"t{i}" for i in range(100)], []
+    for k in range(400):
+        text = list(base)
+        for i in rng.integers(0, 100, 1 + k % 7).tolist():
+            text[i] = f"x{rng.integers(60)}"
+        texts.append(text)
+    sets = [{tuple(t[i : i + 5]) for i in range(96)} for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r == max(a, b) else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.group for r in near.near_copy_groups(docs, whole=100, piece=piece).collect()}
+    assert [got[i] for i in range(len(texts))] == root and 10 < len(set(root)) < 390
 
 
 def test_recall_beside_a_family_of_thousands(spark):
