@@ -255,8 +255,24 @@ class Detector:
         self.finder = _finder()
         given = "|".join(w for n in LISTED for w in (n.title(), n.upper()))
         self.given = regex.compile(rf"(?<![\w'’-])(?:{given})(?: {_CAPITAL}){{1,2}}")
+        self.words = regex.compile(r"(?<![\w-])[\p{Lu}\p{Lt}\p{Lo}][\w'’-]*")
         self.titles = {t.lower() for t in TITLES}
 
+    def _mentions(self, text: str, parts: set[str]) -> list[list[int]]:
+        """Places of capitalised words in ``parts`` (a word may go on after an apostrophe); those a space apart are one."""
+        out: list[list[int]] = []
+        for m in self.words.finditer(text):
+            word, end = m[0].lower(), len(m[0])
+            while end > 0 and word[:end] not in parts:
+                end = max(word.rfind("'", 0, end), word.rfind("’", 0, end))
+            if end > 0 and len(word) == len(m[0]):
+                start, end = m.start(), m.start() + end
+                if out and out[-1][1] + 1 == start and text[out[-1][1]] == " ":
+                    out[-1][1] = end
+                else:
+                    out.append([start, end])
+        return out
+
     @staticmethod
     def _found(kind: str, start: int, text: str) -> Found:
         if kind == "name":
@@ -276,9 +292,5 @@ class Detector:
             found = self._more(found, (self._found("name", m.start(), m[0]) for m in self.given.finditer(text)))
         parts = {w for x in found if x.kind == "name" for w in x.norm.split(" ")} - self.titles
         if parts:
-            import regex
-
-            word = "(?:" + "|".join(sorted(map(regex.escape, parts), key=len, reverse=True)) + r")(?![\w-])"
-            cased = rf"(?=[\p{{Lu}}\p{{Lo}}])(?i:{word})"
-            found = self._more(found, (self._found("name", m.start(), m[0]) for m in regex.finditer(rf"(?<![\w-]){cased}(?: {cased})*", text)))
+            found = self._more(found, (self._found("name", a, text[a:b]) for a, b in self._mentions(text, parts)))
         return found
