@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import LOWER, fresh, mix64, text_chunks, word_hashes, written
+from .common import LOWER, fresh, give_back, mix64, text_chunks, word_hashes, written
 from .components import components
 from .decontaminate import spread
 from .simhash import roots, survivors
@@ -238,8 +238,7 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
     for rows in batches:
         if not rows.num_rows:
             continue
-        ends = [[np.asarray(rows.column(k)) for k in keys]]
-        same = np.logical_and.reduce([x == x[-1] for x in ends[0]])
+        same = np.logical_and.reduce([x == x[-1] for x in (np.asarray(rows.column(k)) for k in keys)])
         if held and same.all() and all(held[-1].column(k)[-1].as_py() == rows.column(k)[0].as_py() for k in keys):
             held.append(rows)
             continue
@@ -251,6 +250,7 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         held = t.slice(cut).to_batches()
     if held:
         yield pa.Table.from_batches(held)
+    give_back()
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -321,10 +321,17 @@ def _alike_in_families(similarity: float):
 
 
 def _sets(size: int):
+    """Of compressed texts, which are opened here and one by one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        open_ = zstandard.ZstdDecompressor()
         for rows, data, offsets in text_chunks(batches, STEP):
-            raw = data.tobytes().translate(LOWER)
-            sets = [shingles(raw[a:b].split(), size).tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+            view, sets = memoryview(data), []
+            for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+                text = open_.decompress(view[a:b]) if b > a else b""  # a null text is no bytes
+                sets.append(shingles(text.translate(LOWER).split(), size).tobytes())
             yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("key"), rows.column("part"), pa.array(sets, pa.binary())], ["node", "key", "part", "shingles"])
 
     return run
@@ -409,7 +416,7 @@ def near_links(rows: DataFrame, nodes: DataFrame, family: DataFrame, words: int,
     large = written(large.select("key", F.ceil(F.col("c") / piece).alias("parts")), "large_families")
     members = in_parts(members, large).drop("n")
     texts = packed(rows).join(members.hint("merge"), ["doc_id", "h"]).dropDuplicates(["node"]).select("node", "key", "part", "text")
-    sets = written(unpacked(texts).mapInArrow(_sets(words), "node long, key long, part int, shingles binary"), "sets")
+    sets = written(texts.mapInArrow(_sets(words), "node long, key long, part int, shingles binary"), "sets")
     forest = _alike_in_families(similarity)
     star = components(_dealt(_rooted(sets, None), forest))
     if large.isEmpty():

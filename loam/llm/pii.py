@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from .common import fresh, table, text_chunks, written
 from .surrogates import Detector, Surrogates, maybe, replaced, units
 
-STEP, SENT, MOST_DRAWS = 4 << 20, 50_000, 64
+STEP, SENT, MOST_DRAWS = 1 << 20, 50_000, 64
 #: The session's setting that holds the secret key.
 KEY_SETTING = "spark.loam.pii.key"
 #: For the registered queries over synthetic tables, where the setting is unset.
