@@ -156,9 +156,62 @@ def strip_html(d: Spark, x: str) -> str:
     return f"trim({d.sub(x, '<[^>]*>', '')})"
 
 
+LINK = r"\[([^\]]+)\]\([^)]+\)"
+
+
 def strip_markdown(d: Spark, x: str) -> str:
-    links = d.sub(x, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return f"trim(replace(replace(replace({links}, '*', ''), '_', ''), '`', ''))"
+    return f"trim(replace(replace(replace({d.sub(x, LINK, '$1')}, '*', ''), '_', ''), '`', ''))"
+
+
+def clean_links(d: Spark, x: str) -> str:
+    """Link texts without their targets, broken links too."""
+    return d.sub(d.sub(x, LINK, "$1"), r"\[([^\]]*)\]\([^)]*\)?", "$1")
+
+
+def plain_text(d: Spark, x: str) -> str:
+    """Without tags, link targets, image sources and addresses."""
+    y = clean_links(d, d.sub(f"trim({x})", "<[^>]*>", ""))
+    return f"trim({d.sub(d.sub(d.sub(y, r'src=\x22[^\x22]*\x22', ''), r'src=\x27[^\x27]*\x27', ''), r'https?://[^\s]+', '')})"
+
+
+# Texts that name or describe nothing, headings of sections, words that no project's title has.
+FILLER = ("application logic, application logic", "application logic.", "application logic and", "it is organized around application logic", "appears to be c++ project and a test suite", "appears to be c++ project")
+HEADINGS = (
+    "install", "installation", "getting started", "quickstart", "quick start", "usage", "api", "api reference", "overview", "introduction", "contributing",
+    "contributor", "license", "licensing", "documentation", "references", "resources", "support", "roadmap", "changelog", "release notes", "faq", "architecture",
+    "design", "configuration", "setup", "development", "building", "build", "testing", "deploy", "sponsor", "sponsors", "sponsorship", "funding", "donate", "why",
+    "why?", "getting help", "help", "features", "requirements", "prerequisites", "dependencies", "screenshots", "showcase",
+)
+TITLE_WORDS = (
+    "sponsor", "sponsors", "sponsorship", "funding", "donate", "donation", "badge", "badges", "coverage", "downloads", "why", "why?", "installation", "contributing",
+    "documentation", "overview", "introduction", "license", "licensing", "changelog", "roadmap", "support", "usage", "api", "faq", "help", "community",
+)
+
+
+def bad_identity(d: Spark, x: str) -> str:
+    """Whether a text cannot name or describe a project: empty, markup, badges, tables, section headings, decoration."""
+    v = f"lower(trim({x}))"
+    marks = r"^<|^!\[|^\[!\[|^`(.*`)?$|align=[\x22\x27]center[\x22\x27]|src=[\x22\x27]http|raw\.githubusercontent\.com|shields\.io|travis-ci\.|github-ci|codecov|^[-_=~*#.]+$"
+    return f"""(coalesce(trim({x}), '') = '' or {d.match(v, marks)} or contains({x}, '|') and {d.match(v, r'--|\*\*|\[')} or contains({v}, 'badge') and (contains({v}, '.svg') or contains({v}, '.png'))
+      or {any_in(v, FILLER)} or {one_of(v, HEADINGS)})"""
+
+
+def valid_title(d: Spark, x: str) -> str:
+    """Whether a README's title may name the project."""
+    v = f"lower(trim({x}))"
+    words = d.split(v, r"\s+")
+    return f"""(length(trim({x})) >= 2 and not {bad_identity(d, x)} and not {d.match(v, r'align=|src=|badge|shield|sponsor|funding|donate|\?|^(why|what|how|who|where|when) ')}
+      and {d.size(words)} <= 6 and {d.size(d.filter(words, 'w', one_of('w', TITLE_WORDS)))} = 0)"""
+
+
+def summary(d: Spark, ext: str, base: str, x: str, after: str, both: str) -> str:
+    """A document's first real line after a heading (``after``: the lines there), a docstring's first line, or ``both``, what a manifest says."""
+    plain = f"trim({clean_links(d, 'trim(l)')})"
+    good = f"""trim(l) <> '' and left(trim(l), 1) <> '#' and left(trim(l), 2) <> '[!' and trim(l) <> '```' and (length(trim(l)) >= 15 or right(trim(l), 1) = '.') and not {bad_identity(d, 'l')} and {plain} <> ''"""
+    line = f"left({clean_links(d, f'trim({d.at(d.filter(after, "l", good), "1")})')}, 160)"
+    doc = d.extract(x, r"(?s)^\s*(?:\x22\x22\x22|\x27\x27\x27)\s*(.+?)\s*(?:\x22\x22\x22|\x27\x27\x27)")
+    return f"""coalesce(case when {ext} in ('.md', '.txt') then {line} when {ext} = '.py' and {doc} <> '' then left({d.at(d.split(f'trim({doc})', NEWLINE), '1')}, 160)
+      when {ext} in ('.toml', '.json') or {base} = 'setup.py' then left({both}, 160) end, '')"""
 
 
 def tokens(d: Spark, x: str) -> str:

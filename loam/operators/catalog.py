@@ -8,7 +8,7 @@ from loam.functions import classify as C
 from loam.functions import extract as X
 from loam.functions import roles as R
 from loam.plans.dialect import Spark
-from loam.plans.relations import DISPLAY, ENTRY_ORDER, LANGUAGES, case
+from loam.plans.relations import ENTRY_ORDER, LANGUAGES, case
 
 QUERIES: dict[str, Callable[[Spark], str]] = {}
 #: Terms of the retrieval queries on the test corpus.
@@ -47,7 +47,7 @@ def s2_candidates(d: Spark) -> str:
 
 @query
 def s4_ignored_paths(d: Spark) -> str:
-    return f"select path from files where not exists (select 1 from (select 'docs' as p union all select 'vendor/x') i where files.path = i.p or left(files.path, length(i.p) + 1) = i.p || '/')".replace("files.path", "f.path").replace("from files where", "from files f where")
+    return "select f.path from files f where not exists (select 1 from (select 'docs' as p union all select 'vendor/x') i where f.path = i.p or left(f.path, length(i.p) + 1) = i.p || '/')"
 
 
 @query
@@ -161,7 +161,9 @@ def c22_archetype(d: Spark) -> str:
 
 @query
 def c23_risk_level(d: Spark) -> str:
-    return "select doc_id, case when quality * 50 + (1 - toxic) * 40 >= 85 then 'low' when quality * 50 + (1 - toxic) * 40 >= 65 then 'medium' else 'high' end as level from labels".replace("from labels", "from (select distinct doc_id, quality, toxic from labels) l")
+    """Scores of health and its parts as levels."""
+    scores = "select 'health' as name, score from health union all select 'maintainability', maintainability from health union all select 'documentation', documentation from health"
+    return f"select name, score, case when score >= 85 then 'low' when score >= 65 then 'medium' else 'high' end as level from ({scores}) x"
 
 
 @query
@@ -194,7 +196,7 @@ def a2_todo_categories(d: Spark) -> str:
 
 @query
 def a3_directories(d: Spark) -> str:
-    return f"select distinct {d.sub('path', '/[^/]*$', '')} as directory from files where contains(path, '/') and not {d.match('path', r'(^|/)\.[^/]*/')}"
+    return "select directory from directories"
 
 
 @query
@@ -209,7 +211,14 @@ def a4_scan_coverage(d: Spark) -> str:
 
 @query
 def a6_components(d: Spark) -> str:
-    return "select key, file_count, line_count from kept_components"
+    """With the three longest files and, where a component is not split, its first five symbols; both are ranked before they are gathered."""
+    key = f"case when not contains(f.component, '/') and c.n > 3 then {d.join(d.cut(d.split('f.path', '/'), '1', '2'), '/')} else f.component end"
+    keyed = f"select f.path, f.line_count, f.symbols, {key} as key, {key} <> f.component as split from files f join (select component, count(*) as n from files where component is not null group by component) c on f.component = c.component"
+    named = f"select key, path, i, {d.at('symbols', 'cast(i as int)')} as symbol from (select key, path, symbols, {d.explode(d.sequence('1', d.size('symbols')))} as i from keyed where not split) x"
+    return f"""with keyed as ({keyed}) select c.key, c.file_count, c.line_count, coalesce(l.files, '') as longest, coalesce(y.symbols, '') as symbols from kept_components c
+      left join (select key, {d.join(d.collect('path', 'k'), ';')} as files from (select key, path, row_number() over (partition by key order by line_count desc, path) as k from keyed) a where k <= 3 group by key) l on c.key = l.key
+      left join (select key, {d.join(d.collect('symbol', 'o'), ';')} as symbols from (select key, symbol, row_number() over (partition by key order by path, i) as o from
+        (select *, row_number() over (partition by key, symbol order by path, i) as again from ({named}) n) b where again = 1) e where o <= 5 group by key) y on c.key = y.key"""
 
 
 @query
@@ -228,6 +237,12 @@ def a7_frameworks(d: Spark) -> str:
     return "select label, tenths from frameworks"
 
 
+@query
+def a7_all_frameworks(d: Spark) -> str:
+    """With those that files prove, and Next.js only if they do."""
+    return "select label from all_frameworks"
+
+
 @query
 def a8_languages(d: Spark) -> str:
     plain = d.sub("extension", r"^\.+", "")
@@ -236,12 +251,7 @@ def a8_languages(d: Spark) -> str:
 
 @query
 def a9_primary_language(d: Spark) -> str:
-    shown = case("language", [(k, f"'{v}'") for k, v in DISPLAY.items()], "language")
-    return f"""select case when b.language is not null and b.points >= a.points * 0.30 then (select {shown} from (select a.language as language) q) || '/' || (select {shown} from (select b.language as language) q) else a.language end as primary_language
-      from (select * from (select *, row_number() over (order by points desc, language) as k from language_scores) x where k = 1) a
-      left join (select * from (select *, row_number() over (order by points desc, language) as k from language_scores) x where k = 2) b on true""".replace(
-        f"(select {shown} from (select a.language as language) q)", shown.replace("language", "a.language")
-    ).replace(f"(select {shown} from (select b.language as language) q)", shown.replace("language", "b.language"))
+    return "select language as primary_language from primary_language"
 
 
 @query
@@ -322,9 +332,7 @@ def w8_hotspot_groups(d: Spark) -> str:
 
 @query
 def w9_important_files(d: Spark) -> str:
-    return """select path, min(source) as source from (select path, 1 as source from (select path from entry_points order by category_rank, score desc, path limit 3) a
-      union all select path, 2 from files where n = 'readme.md' union all select path, 3 from (select path from files order by line_count desc, size desc, path limit 3) b
-      union all select path, 4 from (select path from hotspots order by score desc, line_count desc, path limit 3) c) x group by path order by source, path limit 8"""
+    return "select rank, path, reason from important_files"
 
 
 @query
@@ -367,7 +375,7 @@ def a20_budget_alerts(d: Spark) -> str:
 
 
 def _hay(d: Spark) -> str:
-    return f"lower(path || ' ' || {d.join('symbols', ' ')} || ' ' || {d.join('imports', ' ')})"
+    return f"lower(path || ' ' || summary || ' ' || {d.join('symbols', ' ')} || ' ' || {d.join('imports', ' ')})"
 
 
 def _ranked(d: Spark, goal: str, limit: int) -> str:
@@ -426,12 +434,20 @@ def j10_test_relationships(d: Spark) -> str:
 
 @query
 def j12_related_tests(d: Spark) -> str:
-    return "select distinct d.path, t.path as test from (select f.path, f.st from files f join (select path from diff where status = 'modified') c on f.path = c.path where not is_test_file) d join tests t on d.st = t.norm"
+    """Tests below tests/ to run for modified Python files: changed ones, those of a changed stem, and those whose text holds one.
+
+    Whether a text holds a stem is an equality with one of its words; the few words that hold a changed stem are found first.
+    """
+    stems = "select distinct f.st, f.path from files f join (select path from diff where status in ('modified', 'new')) c on f.path = c.path where f.suf = '.py'"
+    tests = f"select path, {d.sub(d.sub('st', '^test_', ''), '_test$', '')} as k from files where suf = '.py' and left(path, 6) = 'tests/' and left(n, 4) = 'test'"
+    words = f"select distinct t.path, {d.explode(d.split('lower(c.content)', '[^a-z0-9_]+'))} as w from ({tests}) t join corpus c on t.path = c.path"
+    return f"""with stems as ({stems}), held as ({words}) select path from stems where left(path, 6) = 'tests/' union select t.path from ({tests}) t join stems s on t.k = s.st
+      union select h.path from held h join (select distinct w from (select distinct w from held where w <> '') a join (select distinct st from stems where st <> '') b on contains(a.w, b.st)) m on h.w = m.w"""
 
 
 @query
 def j13_test_candidates(d: Spark) -> str:
-    return "select f.path, coalesce(c.test_file, 'tests/test_' || f.st || '.py') as candidate from files f left join coverage c on f.path = c.path where f.suf = '.py' and f.role = 'source'"
+    return "select path, test, candidate from test_candidates"
 
 
 @query
@@ -462,15 +478,9 @@ def p2_hotspot_eligible(d: Spark) -> str:
 
 
 @query
-def p4_patterns(d: Spark) -> str:
-    """Names of the structural patterns that hold: directories that must exist and one file that meets every condition."""
-    rules = {
-        "python_cli": "suf = '.py' and has_main", "web_service": f"{d.has('imports', repr('fastapi'))}", "go_binary": "suf = '.go' and has_main and contains(path, 'cmd/')",
-        "documented": "n = 'readme.md'", "node_package": "n = 'package.json'",
-    }
-    one = " union all ".join(f"select '{k}' as name, {k} as found from p" for k in rules)
-    flags = ", ".join(f"coalesce(bool_or({c}), false) as {k}" for k, c in rules.items())
-    return f"select name from (with p as (select {flags} from files) {one}) x where found"
+def p3_p4_patterns(d: Spark) -> str:
+    """Names of the rules of a table that hold, each compiled to one condition."""
+    return "select ord, name, description from patterns"
 
 
 @query
@@ -480,24 +490,20 @@ def p7_entry_predicate(d: Spark) -> str:
 
 @query
 def x5_summary(d: Spark) -> str:
-    """The first sentence-like line after a heading, a docstring's first line, or what a manifest says of itself."""
-    text = X.lines(d, "c.content")
-    heads = d.filter(d.sequence("1", d.size("l")), "i", f"left(trim({d.at('l', 'cast(i as int)')}), 1) = '#'")
-    line = f"trim({d.at('l', 'cast(j as int)')})"
-    good = f"j > {d.at('h', '1')} and {line} <> '' and left({line}, 1) not in ('#', '<', '!', '`') and not contains({line}, '|') and (length({line}) >= 15 or right({line}, 1) = '.')"
-    first = d.at(d.filter(d.sequence("1", d.size("l")), "j", good), "1")
-    both = "case when meta_name is not null and meta_description is not null then meta_name || ': ' || meta_description else coalesce(meta_name, meta_description, '') end"
-    return f"""select path, case when suf in ('.md', '.txt') then coalesce(left(trim({d.at('l', f'cast({first} as int)')}), 160), '') when suf in ('.json', '.toml') then left({both}, 160) else '' end as summary
-      from (select *, {heads} as h from (select f.path, f.suf, f.meta_name, f.meta_description, {text} as l from files f join corpus c on f.path = c.path) x) y"""
+    return "select path, summary from files"
 
 
 @query
 def x12_bad_identity(d: Spark) -> str:
-    """Lines that cannot name a project: markup, badges, tables, decoration."""
-    v = f"lower(trim({d.at(X.lines(d, 'html'), '1')}))"
-    return f"""select page_id, v is null or v = '' or left(v, 1) = '<' or left(v, 2) = '![' or left(v, 3) = '[![' or left(v, 1) = '`' and right(v, 1) = '`' or contains(v, '|') and (contains(v, '--') or contains(v, '**') or contains(v, '['))
-      or {X.any_in('v', ('align="center"', 'src="http', 'raw.githubusercontent.com', 'shields.io', 'travis-ci.', 'github-ci', 'codecov'))} or contains(v, 'badge') and (contains(v, '.svg') or contains(v, '.png'))
-      or {d.match('v', r'^[-_=~*#.]+$')} as bad from (select page_id, {v} as v from pages) x"""
+    """Of each page's first line."""
+    return f"select page_id, {X.bad_identity(d, 'v')} as bad from (select page_id, {d.at(X.lines(d, 'html'), '1')} as v from pages) x"
+
+
+@query
+def p5_valid_titles(d: Spark) -> str:
+    """Titles of documents and pages that may name a project."""
+    heads = f"select 'page ' || page_id as id, left({X.strip_html(d, d.at(X.lines(d, 'html'), '1'))}, 80) as title from pages union all select path, {X.strip_markdown(d, X.strip_html(d, 'doc_title'))} from files where doc_title is not null"
+    return f"select id, title from ({heads}) x where {X.valid_title(d, 'title')}"
 
 
 # Joins and rankings that reports are made of
@@ -529,49 +535,93 @@ def j16_selected_edges(d: Spark) -> str:
 
 @query
 def a5_directory_coverage(d: Spark) -> str:
-    """Scanned against all files of each top directory."""
-    return f"""select directory, scanned, actual, {d.half_even('cast(scanned as double) / actual', 3)} as ratio, actual >= 100 and scanned < 0.25 * actual as under from (
-      select {d.at('parts', '1')} as directory, cast(count(*) as bigint) as actual, cast(count_if(suf in ('.py', '.go', '.md')) as bigint) as scanned from files where contains(path, '/') group by 1) x"""
+    return "select directory, scanned, actual, ratio, under from directory_coverage"
 
 
 @query
 def a17_architecture(d: Spark) -> str:
-    return "select total_files, total_lines, has_tests, has_docs, (select count(*) from (select distinct extension from files) e) as extensions, (select primary_archetype from archetype) as archetype from metrics"
+    """One row of lists; each is cut to its first fifty, a view of the relations that hold them whole."""
+    some = lambda what, source, order: f"(select {d.join(d.collect('v', 'o'), ';')} from (select {what} as v, row_number() over (order by {order}) as o from {source}) q where o <= 50)"
+    language = case("extension", [(k, f"'{v}'") for k, v in LANGUAGES.items()], f"coalesce(nullif({d.sub('extension', r'^[.]+', '')}, ''), lower(extension))")
+    return f"""select 'corpus' as root_dir, {some('language', f'(select distinct {language} as language from files) l', 'language')} as languages, {some('directory', 'directories', 'directory')} as directories,
+      {some('path', 'entry_points', 'category_rank, score desc, path')} as entry_points, {some('path', 'files where is_config_file', 'path')} as config_files, {some('path', 'files where is_doc_file', 'path')} as documentation_files,
+      {some('name', 'patterns', 'ord')} as patterns"""
 
 
 @query
 def a18_llm_readiness(d: Spark) -> str:
-    return f"""select cast({d.div('total_size_bytes + 3', '4')} as bigint) as full_tokens, (select count(*) from (select file from top_risks where level in ('high', 'medium') limit 8) r) as focus_files,
-      has_docs and has_tests as ready from metrics"""
+    return "select budget, full_tokens, compact_tokens, saved_percent, focus_files from llm_readiness"
 
 
 @query
 def a22_confidence(d: Spark) -> str:
-    return """select case when has_entries then 'high' else 'medium' end as entry_points, case when has_readme then 'high' else 'low' end as identity,
-      case when test_files > 5 then 'high' when test_files > 0 then 'medium' else 'low' end as tests from metrics"""
+    return "select aspect, level, reason from confidence"
+
+
+@query
+def a23_insight(d: Spark) -> str:
+    return "select insight from insight"
+
+
+@query
+def a14_project_summary(d: Spark) -> str:
+    """One row; the history is that of the ``events`` table."""
+    types = f"(select {d.join(d.collect("extension || '=' || n", 'extension'), ';')} from (select coalesce(nullif(extension, ''), 'unknown') as extension, count(*) as n from files group by 1) t)"
+    return f"""select m.total_files, m.total_lines, {types} as file_types, (select count(*) from all_issues where severity <> 'resolved') as open_issues, (select count(*) from patterns) as patterns_found,
+      u.project_name, u.project_type, p.language as primary_language, (select title from suggestions where rank = 1) as top_suggestion, l.saved_percent, (select count(*) from (select event_id from events order by ts desc, event_id desc limit 100) e) as history,
+      (select max(event_id) from events where ts = (select max(ts) from events)) as last_event from metrics m cross join understanding u cross join primary_language p cross join llm_readiness l"""
 
 
 @query
 def a25_release_checks(d: Spark) -> str:
-    return """select name, ok from (select 'readme' as name, has_readme as ok from metrics union all select 'tests', has_tests from metrics union all select 'docs', has_docs from metrics
-      union all select 'no_high_risk', not exists (select 1 from top_risks where level = 'high') from metrics union all select 'healthy', (select score from health) >= 55 from metrics) x"""
+    """The checks that files decide: ord, name, ok, message."""
+    has = lambda c: f"coalesce(bool_or({c}), false)"
+    version = d.extract("c.content", r"version\s*=\s*[\x22\x27]([^\x22\x27]+)[\x22\x27]")
+    return f"""with f as (select {has("path = 'README.md'")} as readme, {has("lower(path) in ('license', 'license.md')")} as license, {has("path = 'setup.py'")} as setup, {has(X.begins('path', 'tests/'))} as tests from files),
+      v as (select coalesce(max({version}), '') as version from corpus c where c.path = 'setup.py')
+      select 1 as ord, 'README' as name, readme as ok, 'README.md' as message from f union all select 2, 'LICENSE', license, 'license file present' from f union all select 3, 'package metadata', setup, 'setup.py' from f
+      union all select 4, 'version', version <> '', case when version = '' then 'version not found' else version end from v union all select 5, 'tests', tests, 'tests directory present' from f"""
+
+
+@query
+def x21_setup_versions(d: Spark) -> str:
+    version = d.extract("content", r"version\s*=\s*[\x22\x27]([^\x22\x27]+)[\x22\x27]")
+    return f"select path, {version} as version from corpus where right(path, 8) = 'setup.py'"
 
 
 @query
 def sc8_project_identity(d: Spark) -> str:
-    """The name that the manifest of the highest priority gives, else the first README title."""
-    rank = "case n when 'pyproject.toml' then 1 when 'package.json' then 2 when 'setup.py' then 3 when 'cargo.toml' then 4 when 'go.mod' then 5 when 'cmakelists.txt' then 6 end"
-    return f"""select coalesce(a.name, b.title, 'unknown') as name from (select 1 as one) o left join (select meta_name as name, 1 as one from files where meta_name is not null and {rank} is not null order by {rank}, path limit 1) a on o.one = a.one
-      left join (select doc_title as title, 1 as one from files where n = 'readme.md' and doc_title is not null order by path limit 1) b on o.one = b.one"""
+    return "select project_name, description from identity"
+
+
+@query
+def sc7_project_type(d: Spark) -> str:
+    return "select project_type from project_type"
+
+
+@query
+def sc9_purpose(d: Spark) -> str:
+    return "select purpose from purpose"
+
+
+@query
+def sc10_sc11_understanding(d: Spark) -> str:
+    return "select project_name, project_type, purpose, summary, description from understanding"
+
+
+@query
+def sc10_page_names(d: Spark) -> str:
+    """The identity gate on pages: a title's first sentence, four words of a long one, or the page's number."""
+    clean = X.strip_markdown(d, X.strip_html(d, d.at(X.lines(d, "html"), "1")))
+    words = d.split("t", r"\s+")
+    short = f"case when contains(t, '.') and right(t, 1) <> '.' and not contains(t, '/') then trim(split_part(t, '.', 1)) else t end"
+    return f"""select page_id, case when {X.bad_identity(d, 't')} then 'page ' || page_id when length({short}) <= 48 then {short} when {d.size(words)} > 4 then {d.join(d.slice(words, 4), ' ')} else 'page ' || page_id end as name
+      from (select page_id, {clean} as t from pages) x"""
 
 
 @query
 def w10_workflow_hints(d: Spark) -> str:
-    hints = d.array(
-        "case when primary_archetype = 'monorepo' then 'split by package' end", "case when has_entries then 'start from an entry point' end", "case when has_tests then 'run the tests' end",
-        "case when has_docs then 'read the documents' end",
-    )
-    return f"select {d.join(d.slice(d.filter(hints, 'h', 'h is not null'), 5), ';')} as hints from (select m.*, a.primary_archetype from metrics m join archetype a on true) x"
+    return "select ord, hint from workflow_hints"
 
 
 # Suggestions
@@ -579,23 +629,44 @@ def w10_workflow_hints(d: Spark) -> str:
 
 @query
 def sg_suggestions(d: Spark) -> str:
-    """One row for each rule that fires, most urgent first."""
-    rules = [
-        ("'missing_tests'", "'testing'", "4 - 1", "metrics where not has_tests"),
-        ("'todo_triage'", "'cleanup'", "2", "metrics where open_todos > 5"),
-        ("'large_files'", "'refactoring'", "2", "(select count(*) as n from file_issues where type = 'large_file') x where n > 0"),
-        ("'doc_drift'", "'documentation'", "2", "(select count(*) as n from file_issues where type = 'doc_code_drift') x where n > 0"),
-        ("'risk_hotspots'", "'review'", "2", "(select count(*) as n from top_risks where level in ('high', 'medium')) x where n > 0"),
-        ("'missing_readme'", "'documentation'", "2", "metrics where not has_readme"),
-        ("'no_entry_point'", "'structure'", "1", "metrics where not has_entries and total_files > 3"),
-        ("'many_changes'", "'review'", "2", "diff_counts where modified_count > 10"),
-        ("'new_files'", "'integration'", "1", "diff_counts where modified_count <= 10 and new_count >= 1"),
-        ("'no_manifest'", "'setup'", "2", "metrics where not exists (select 1 from files where n in ('requirements.txt', 'pyproject.toml', 'setup.py', 'package.json'))"),
-        ("'flat_structure'", "'structure'", "1", "(select count(*) as n, count(distinct " + d.at("parts", "1") + ") as dirs from files) x where n > 15 and dirs < 3"),
-        ("'env_exposed'", "'security'", "4", "(select coalesce(bool_or(contains(path, '.env')), false) as e, coalesce(bool_or(contains(path, '.gitignore')), false) as g from files) x where e and not g"),
-    ]
-    parts = " union all ".join(f"select {r} as rule, {c} as category, cast({p} as bigint) as priority, {i} as ord from {w}" for i, (r, c, p, w) in enumerate(rules))
-    return f"select rule, category, priority, cast(row_number() over (order by priority desc, ord) as bigint) as k from ({parts}) s"
+    """All that the rules say, before they are ranked."""
+    return f"select cast(ord as bigint) as rule, category, priority, title, reason, action, {flat(d, 'focus')} as focus, surface_confidence from raw_suggestions"
+
+
+@query
+def w16_sc6_ranked_suggestions(d: Spark) -> str:
+    return f"select rank, category, priority, title, impact, effort, label, uncertainty, confidence, evidence, {flat(d, 'focus')} as focus from suggestions"
+
+
+@query
+def w21_top_suggestion(d: Spark) -> str:
+    return "select title, action, priority from suggestions where rank = 1"
+
+
+@query
+def sg13_prompts(d: Spark) -> str:
+    """What to ask for: the action and the files to look at."""
+    return f"select rank, action || case when {d.size('focus')} = 0 then '.' else ': ' || {d.join('focus', ', ')} || '.' end as prompt from suggestions"
+
+
+@query
+def w18_o10_contexts(d: Spark) -> str:
+    """The compact context of each budget, as text."""
+    return "select budget, text from contexts"
+
+
+@query
+def o3_o4_lines(d: Spark) -> str:
+    """The compact line and the brief of a scan, without its duration."""
+    compact = "'health=' || score || '% files=' || total_files || ' lines=' || total_lines || ' changes=+' || new_count || '/~' || modified_count || '/-' || deleted_count || coalesce(chr(10) || 'next=[' || priority || '] ' || title || chr(10) || 'rank=' || label || ' impact=' || impact || ' effort=' || effort || ' confidence=' || confidence, '')"
+    brief = "'health=' || score || '% files=' || total_files || ' review_signals=' || signals || coalesce(chr(10) || 'next: [' || priority || '] ' || title || chr(10) || 'why: ' || reason || chr(10) || 'do: ' || action || chr(10) || 'rank: ' || label || ' | impact=' || impact || ' effort=' || effort || ' confidence=' || confidence, '') || chr(10) || 'type: ' || project_type"
+    return f"""select {compact} as compact, {brief} as brief from health cross join (select total_files, total_lines from metrics) m cross join diff_counts cross join (select count(*) as signals from all_issues) i
+      cross join (select project_type from understanding) u left join (select * from suggestions where rank = 1) s on s.rank = 1"""
+
+
+@query
+def o14_status(d: Spark) -> str:
+    return "select total_files, total_lines, score as health, new_count, modified_count, deleted_count from metrics cross join (select score from health) h cross join diff_counts"
 
 
 @query
@@ -626,8 +697,8 @@ def w19_task_memory(d: Spark) -> str:
 
 @query
 def a15_savings(d: Spark) -> str:
-    """Tokens of whole texts against the first 200 characters that a summary emits."""
-    full, part = X.tokens(d, "text"), X.tokens(d, "left(text, 200)")
+    """Tokens of a language's texts against those of their plain beginnings, each line of the summary as emitted."""
+    full, part = X.tokens(d, "text"), X.tokens(d, f"coalesce({d.at(X.lines(d, 'text'), '1')}, '')")
     return f"""select lang, full_tokens, emitted, greatest(0, full_tokens - emitted) as saved, case when full_tokens <= 0 then 0.0 else greatest(0.0, {d.half_even('100 * (1 - cast(emitted as double) / full_tokens)')}) end as percent from (
       select lang, cast(sum({full}) as bigint) as full_tokens, cast(sum({part}) as bigint) as emitted from documents group by lang) x"""
 

@@ -86,7 +86,7 @@ class Spark:
         return f"cast({x} as string)"
 
     def div(self, a: str, b: str) -> str:
-        return f"({a} div {b})"
+        return f"(({a}) div ({b}))"
 
     def half_even(self, x: str, n: int = 0) -> str:
         return f"bround({x}, {n})"
@@ -180,7 +180,7 @@ class Duck(Spark):
         return f"cast({x} as varchar)"
 
     def div(self, a: str, b: str) -> str:
-        return f"({a} // {b})"
+        return f"(({a}) // ({b}))"
 
     def half_even(self, x: str, n: int = 0) -> str:
         return f"round_even({x}, {n})"

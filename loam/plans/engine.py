@@ -10,7 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from loam.sources.store import written
 
 from .dialect import SPARK
-from .relations import plan
+from . import understanding  # noqa: F401  (registers its relations)
+from .relations import RELATIONS, needed, plan
+
+#: Relations that others use again and again: each is stored when it is first needed, so no plan holds them twice.
+STORED = (
+    "metrics", "archetype", "entry_points", "file_issues", "scored", "top_risks", "hotspots", "kept_components", "frameworks", "all_frameworks", "language_scores",
+    "coverage_warning", "all_issues", "health", "diff", "patterns", "readme", "core_roles", "identity", "project_type", "purpose", "understanding", "important_files",
+    "workflow_hints", "raw_suggestions", "suggestions", "context_lines",
+)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -19,6 +27,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def changed(spark: SparkSession, path: str) -> int:
+    """When a file or folder changed last, in milliseconds."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there).getModificationTime()
+
+
 class Engine:
     """Analyses of one corpus.
 
@@ -35,18 +49,20 @@ class Engine:
         self._view("files", self.files)
 
     @classmethod
-    def from_corpus(cls, corpus: DataFrame, old: DataFrame | None = None) -> Engine:
-        views = {"corpus": corpus.select("path", "content")}
+    def from_corpus(cls, corpus: DataFrame, old: DataFrame | None = None, listing: DataFrame | None = None) -> Engine:
+        """``listing`` has all paths there are, of files that ``corpus`` leaves out too."""
+        views = {"corpus": corpus.select("path", "content"), "listing": (corpus if listing is None else listing).select("path")}
         return cls(corpus.sparkSession, views | ({"old_corpus": old.select("path", "content")} if old is not None else {}))
 
-    _documents: dict[tuple[str, str], Engine] = {}
+    _documents: dict[tuple, Engine] = {}
 
     @classmethod
     def from_documents(cls, spark: SparkSession, sf_dir: str) -> Engine:
-        """Over the test corpus made of ``documents``; kept for the application's next query on the same tables."""
-        key = (spark.sparkContext.applicationId, sf_dir)
+        """Over the test corpus made of ``documents``; kept for the application's next query while the tables are the same."""
+        paths = {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("documents", "pages", "events", "conversations", "labels")}
+        key = (spark.sparkContext.applicationId, sf_dir, *(changed(spark, p) for p in paths.values()))
         if key not in cls._documents:
-            tables = {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ("documents", "pages", "events", "conversations", "labels")}
+            tables = {t: spark.read.parquet(p) for t, p in paths.items()}
             tables["documents"] = spread(tables["documents"])
             cls._documents[key] = cls(spark, tables)
         return cls._documents[key]
@@ -56,7 +72,10 @@ class Engine:
         df.createOrReplaceTempView(self.views[name])
 
     def sql(self, query: str) -> DataFrame:
-        text = plan(SPARK, query, tuple(self.views))
+        for name in needed(SPARK, query, self.views):
+            if name in STORED and name not in self.views:
+                self._view(name, written(self.sql(RELATIONS[name](SPARK)), name))
+        text = plan(SPARK, query, self.views)
         for name, view in self.views.items():
             text = re.sub(rf"\b(from|join) {name}\b", rf"\1 {view}", text)
         return self.spark.sql(text)

@@ -7,7 +7,7 @@ others are joins, aggregates and rankings of its short rows. Relations name thei
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from loam.functions import classify as C
 from loam.functions import extract as X
@@ -84,9 +84,23 @@ def corpus_of_documents(old: bool = False) -> str:
       from (select doc_id as d, coalesce(source, 'none') as source, {changed} as t from (select doc_id, source, coalesce(text, '') as t, doc_id as d from documents) x) y {rows}"""
 
 
+#: Files at the corpus's root.
+ROOT_FILES = {
+    "README.md": "# Corpus of files\n\n[![build](https://example.org/b.svg)](https://example.org)\n\nFiles made of [documents](https://example.org) that exercise every rule of the catalogue.\n",
+    "setup.py": "from setuptools import setup\nsetup(name='corpus-of-files', version='1.2.3', description='Files made of documents')\n",
+    "src/tool.py": "\"\"\"A tool with a docstring.\n\nMore of it.\n\"\"\"\nimport os\n",
+    "LICENSE": "MIT License\n", "app/.env": "A=1\n",
+}
+
+
+def root_files(d: Spark) -> str:
+    quoted = lambda t: " || chr(10) || ".join(d.lit(x) for x in t.split("\n"))
+    return " union all ".join(f"select '{p}' as path, {quoted(t)} as content" for p, t in ROOT_FILES.items())
+
+
 @relation
 def corpus(d: Spark) -> str:
-    return corpus_of_documents()
+    return f"{corpus_of_documents()} union all {root_files(d)}"
 
 
 @relation
@@ -103,11 +117,15 @@ def facts_sql(d: Spark, source: str) -> str:
 @relation
 def facts(d: Spark) -> str:
     x, ext = "content", "suf"
-    return f"""select * {'except (rows)' if d.name == 'spark' else 'exclude (rows)'}, {X.has_main(d, x, ext)} as has_main, {X.has_class(d, x)} as has_class, {X.has_function(d, x)} as has_function, {X.imports(d, x, ext)} as imports,
+    both = "case when meta_name is not null and meta_description is not null then meta_name || ': ' || meta_description else coalesce(meta_name, meta_description, '') end"
+    heading = d.at(d.filter(d.sequence("1", d.size("rows")), "i", f"left(trim({d.at('rows', 'cast(i as int)')}), 1) = '#'"), "1")
+    drop = lambda *c: f"{'except' if d.name == 'spark' else 'exclude'} ({', '.join(c)})"
+    after = d.cut("rows", "heading + 1", d.size("rows"))
+    return f"""select * {drop('rows', 'heading')}, {X.summary(d, ext, 'n', x, after, both)} as summary from (select *, {X.has_main(d, x, ext)} as has_main, {X.has_class(d, x)} as has_class, {X.has_function(d, x)} as has_function, {X.imports(d, x, ext)} as imports,
       {X.symbols(d, x, ext)} as symbols, cast({X.todo_count(d, 'rows')} as bigint) as todo_count, {X.manifest(d, x, ext, 'n', 'name')} as meta_name, {X.manifest(d, x, ext, 'n', 'description')} as meta_description,
       case when {X.is_document(ext, 'n')} then {X.doc_title(d, x)} end as doc_title,
       case when {X.is_document(ext, 'n')} then {X.drift_flags(d, x)} else {d.no_texts()} end as drift,
-      case when {X.is_document(ext, 'n')} then cast({X.empty_headings(d, 'rows')} as bigint) else 0 end as empty_headings from ({facts_sql(d, 'corpus')}) f"""
+      case when {X.is_document(ext, 'n')} then cast({X.empty_headings(d, 'rows')} as bigint) else 0 end as empty_headings, {heading} as heading from ({facts_sql(d, 'corpus')}) f) g"""
 
 
 @relation
@@ -343,16 +361,20 @@ def language_scores(d: Spark) -> str:
 
 
 @relation
-def scan_coverage(d: Spark) -> str:
+def category_lines(d: Spark) -> str:
     kinds = {
         "source": (*FIRST_PARTY, "application"), "tests": ("test", "test_support", "test_data"), "tooling": TOOLING, "documentation": ("documentation", "specification_documentation"),
         "environment": ("environment",), "data": ("resources", "data_or_config", "vendor_generated", "generated_sdk", "localization_resource", "test_data"),
     }
     sums = ", ".join(f"cast(coalesce(sum(case when ctx in {listed(v)} then line_count else 0 end), 0) as bigint) as {k}_lines" for k, v in kinds.items())
+    return f"select {sums} from files"
+
+
+@relation
+def scan_coverage(d: Spark) -> str:
     total = "greatest(1, source_lines + tests_lines + tooling_lines + documentation_lines + environment_lines + data_lines)"
-    return f"""select *, {d.half_even(f'cast(tests_lines as double) / {total}', 3)} as test_ratio, {d.half_even(f'cast(source_lines as double) / {total}', 3)} as source_ratio,
-      case when tests_lines >= 0.7 * {total} and source_lines <= 0.2 * {total} and source_lines > 0 then 'tests dominate' when source_lines = 0 and {total} > 100 then 'no first-party source' else '' end as warning
-      from (select {sums} from files) x"""
+    return f"""select c.*, {d.half_even(f'cast(tests_lines as double) / {total}', 3)} as test_ratio, {d.half_even(f'cast(source_lines as double) / {total}', 3)} as source_ratio, warning
+      from category_lines c cross join coverage_warning"""
 
 
 @relation
@@ -433,8 +455,8 @@ def degree(d: Spark) -> str:
       left join (select src, count(*) as n from import_edges group by src) o on m.module = o.src"""
 
 
-def plan(d: Spark, query: str, given: tuple[str, ...] = ()) -> str:
-    """``query`` after the relations it needs, in order; ``given`` exist as views already."""
+def needed(d: Spark, query: str, given: Collection[str] = ()) -> dict[str, str]:
+    """The relations that ``query`` needs, each after those that it needs itself; ``given`` exist as views already."""
     done: dict[str, str] = {}
 
     def need(sql: str) -> None:
@@ -445,5 +467,11 @@ def plan(d: Spark, query: str, given: tuple[str, ...] = ()) -> str:
                 done[word] = body
 
     need(query)
-    head = ", ".join(f"{k} as ({v})" for k, v in done.items())
-    return f"with {head} {query}" if head else query
+    return done
+
+
+def plan(d: Spark, query: str, given: Collection[str] = ()) -> str:
+    """``query`` after the relations it needs."""
+    once = " materialized" if d.name == "duckdb" else ""
+    head = ", ".join(f"{k} as{once} ({v})" for k, v in needed(d, query, given).items())
+    return f"with {head} select * from ({query}) the_result" if head else query
