@@ -33,7 +33,9 @@ NO_ID = -(2**63)
 #: Makes units (uint64 hashes) and each row's first unit from (bytes, offsets).
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
+#: ``nxt``: the context of the edge that follows in the same text, 0 for the last.
 EDGES = "m long, ctx long, doc long, at long, n int"
+LINKED = EDGES + ", nxt long"
 
 
 class Ranges:
@@ -100,7 +102,7 @@ def sigs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(view[a:b]) & ((1 << SIG) - 1) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)], np.int64)
 
 
-def _edges(units: Units, window: int, gram: int, step: int):
+def _edges(units: Units, window: int, gram: int, step: int, linked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches, step):
             x, first = units(data, offsets)
@@ -108,7 +110,10 @@ def _edges(units: Units, window: int, gram: int, step: int):
             doc = np.asarray(rows.column("doc"))[row]
             at = start << SIG | sigs(data, offsets)[row]
             cols = [pa.array(m.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc), pa.array(at), pa.array(n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, ["m", "ctx", "doc", "at", "n"])
+            if linked:
+                follows = np.append(row[1:] == row[:-1], False) if len(row) else np.zeros(0, bool)
+                cols.append(pa.array(np.where(follows, np.append(ctx[1:], np.uint64(0)) if len(ctx) else ctx, np.uint64(0)).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(cols, ["m", "ctx", "doc", "at", "n", "nxt"][: len(cols)])
 
     return run
 
@@ -128,18 +133,20 @@ def join_apart(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(found, on).drop("same", *[f"{k}_" for k in keys])
 
 
-def repeated_edges(docs: DataFrame, units: Units, window: int, gram: int, step: int) -> tuple[DataFrame, DataFrame]:
+def repeated_edges(docs: DataFrame, units: Units, window: int, gram: int, step: int, linked: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edges whose anchor occurs more than once, their contexts), both stored.
 
     Anchors are counted with map-side sums; the join that follows is a plain sort-merge join of two shuffled sides, so a hot
-    anchor's partition is split at run time. ``docs`` is ``keyed``. Contexts: m, ctx, copies, first (doc, at, n), contexts.
+    anchor's partition is split at run time. ``docs`` is ``keyed``. Contexts: m, ctx, copies, first (doc, at, n); if ``linked`` also
+    nxt, the context that follows all copies (null if there are several, or none).
     """
-    edges = docs.mapInArrow(_edges(units, window, gram, step), EDGES)
+    edges = docs.mapInArrow(_edges(units, window, gram, step, linked), LINKED if linked else EDGES)
     often = edges.groupBy("m").agg(F.count("*").alias("c"), F.max("m").alias("same")).where("c > 1").drop("c")
     edges = written(join_apart(edges, often, ["m"]), "edges")
-    contexts = edges.groupBy("m", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "at", "n")).alias("first"))
+    same = [F.when((F.min("nxt") == F.max("nxt")) & (F.min("nxt") != 0), F.min("nxt")).alias("nxt")] if linked else []
+    contexts = edges.groupBy("m", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "at", "n")).alias("first"), *same)
     contexts = written(contexts, "contexts")
-    return edges, contexts
+    return edges.drop("nxt"), contexts
 
 
 def branching(contexts: DataFrame) -> DataFrame:

@@ -1,11 +1,18 @@
-"""Substring dedup on words: a compacted de Bruijn graph of word k-mers, joined and counted by Spark (see ``anchors``).
+"""Substring dedup on words: a De Bruijn graph of word k-mers, compacted and verified (see ``anchors``).
 
 Every word that lies in a window of 35 words occurring anywhere else is removed, all copies alike. Windows are judged on the
-input. Words are compared by 64-bit hashes within one anchor.
+input. The graph's nodes are 8-grams, of which only each window's least one, its anchor, is kept; its edges are the words around an
+anchor, runs of windows already. Only text around anchors that occur twice takes part.
+
+An edge that occurs more than once, and after all of whose copies the same edge follows, as often, does not branch: such edges are
+compacted into paths by joins that double the distance looked back at (``paths``). A path stands as a whole at each place of its
+first edge. Its words are read at the source coordinates of its first copy and digested, and every other place is verified
+against that digest before its words go. Where edges of one anchor branch, one of each is looked at window by window, at its
+source coordinates; windows are compared by 64-bit hashes among those of one anchor.
 
 Cases: null and empty texts have no words; texts shorter than a window lose nothing; repeated rows (same doc_id, same text) count
-as two places, so both lose what they share; rows with one doc_id and different texts are told apart by a hash of their text; an
-empty table gives an empty table; other columns are ignored.
+as two places, so both lose what they share; rows with one doc_id and different texts are told apart by 20 bits of a hash of their
+text; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,15 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import NO_ID, SIG, Ranges, branching, join_apart, keyed, place_lists, repeated_edges, sigs, with_places
-from .common import table, text_chunks, word_hashes
+from .common import table, text_chunks, word_hashes, written
 from .decontaminate import spread
 
 WINDOW, GRAM, STEP = 35, 8, 2 << 20
-WINDOWS = "m long, h long, doc long, at long, copies long"
+#: Windows of branching edges; or, with a digest, paths: their first edge's anchor and context (h).
+WINDOWS = "m long, h long, doc long, at long, copies long, digest binary"
+#: Doublings; a path of 2 ** 60 edges is longer than any corpus.
+MOST_DOUBLINGS = 60
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -38,30 +49,48 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.cumsum(counts)
 
 
+def span_digest(words: list[bytes], start: int, windows: int) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words[start : start + windows + WINDOW - 1]))
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of the listed places, hashed."""
+    """Of the listed places: paths (those with a ``ctx``) are digested, of all others every window is hashed."""
+    names = [c.split()[0] for c in WINDOWS.split(", ")]
     for batch in batches:
         batch = batch.filter(batch.column("places").is_valid())
         for rows, data, offsets in text_chunks(iter([batch]), STEP):
             x, first = word_units(data, offsets)
             sig, (row, places) = sigs(data, offsets), place_lists(rows)
+            doc, is_path = np.asarray(rows.column("doc")), np.asarray(places.field("ctx").is_valid())
             at, n, m, copies = (np.asarray(places.field(k)) for k in ("at", "n", "m", "copies"))
+            ctx = np.asarray(places.field("ctx").fill_null(0))
             mine = (at & ((1 << SIG) - 1)) == sig[row]
-            row, at, n, m, copies = row[mine], at[mine], n[mine].astype(np.int64), m[mine], copies[mine]
-            s = spread(first[row] + (at >> SIG), n)
+            some = mine & ~is_path
+            back = np.repeat(np.flatnonzero(some), n[some])
+            s = spread(first[row[some]] + (at[some] >> SIG), n[some].astype(np.int64))
             h = Ranges(x)(s, s + WINDOW).view(np.int64)
-            back = np.repeat(np.arange(len(row)), n)
-            place = (s - first[row][back]) << SIG | sig[row][back]
-            cols = [m[back], h, np.asarray(rows.column("doc"))[row][back], place, copies[back]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["m", "h", "doc", "at", "copies"])
-
-
-def mask_of(size: int, places: list, sig: int, window: int) -> np.ndarray:
-    """Which units the places' windows cover."""
+            place = (s - first[row[back]]) << SIG | sig[row[back]]
+            cols = [m[back], h, doc[row[back]], place, copies[back]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.nulls(len(h), pa.binary())], names)
+            some = np.flatnonzero(mine & is_path)
+            raw, words, digests = data.tobytes(), {}, []
+            for i in some.tolist():
+                r = int(row[i])
+                if r not in words:
+                    words = {r: raw[offsets[r] : offsets[r + 1]].split()}  # places come text by text
+                digests.append(span_digest(words[r], int(at[i]) >> SIG, int(n[i])))
+            cols = [m[some], ctx[some], doc[row[some]], at[some], copies[some]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(digests, pa.binary())], names)
+
+
+def mask_of(size: int, places: list, sig: int, window: int, words: list[bytes] | None = None) -> np.ndarray:
+    """Which units the places' windows cover; with ``words``, places that have a digest count only if theirs is the same."""
     change = np.zeros(size + 1, np.int64)
     for x in places:
         if x["at"] & ((1 << SIG) - 1) == sig:
             s = x["at"] >> SIG
+            if words is not None and x["digest"] is not None and span_digest(words, s, x["n"]) != x["digest"]:
+                continue
             change[s] += 1
             change[s + x["n"] + window - 1] -= 1
     return np.cumsum(change)[:-1] > 0
@@ -76,7 +105,7 @@ def _kept(with_text: bool):
                 words = raw[offsets[i] : offsets[i + 1]].split()
                 n = len(words)
                 if places:
-                    gone = mask_of(n, places, int(sig[i]), WINDOW)
+                    gone = mask_of(n, places, int(sig[i]), WINDOW, words)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept = b" ".join(words)
                 out.append((None if doc == NO_ID else doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), *([kept.decode()] * with_text)))
@@ -87,21 +116,53 @@ def _kept(with_text: bool):
     return run
 
 
+def paths(contexts: DataFrame) -> DataFrame:
+    """m, ctx, doc, at (of the first copy), n: the first edge of each path of repeated edges, and the windows of all of it.
+
+    Edge y follows x on a path if it follows all copies of x and has no others. So each has one edge before it at most, and a path
+    has an end, as texts do. Each edge looks back at one before it, in each round at twice the distance, until it sees the first.
+    """
+    named = contexts.where("copies > 1").select("m", "ctx", "copies", "nxt", "first.doc", "first.at", F.col("first.n").cast("long").alias("n"))
+    named = written(named.withColumn("id", F.monotonically_increasing_id()), "named")
+    x = named.where("nxt is not null").select(F.col("id").alias("up"), F.col("n").alias("back"), F.col("nxt").alias("ctx"), "copies")
+    pairs = x.join(named.select("id", "ctx", "copies"), ["ctx", "copies"]).where("id <> up")
+    # Two contexts with one hash are no reason to go on.
+    pairs = pairs.groupBy("up").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.min("back").alias("back")).where("c = 1")
+    seen = pairs.groupBy("id").agg(F.count("*").alias("c"), F.min("up").alias("up"), F.min("back").alias("back")).where("c = 1")
+    seen = written(seen.select("id", "up", "back"), "path")
+    for _ in range(MOST_DOUBLINGS):
+        before = seen.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("back").alias("back2"))
+        further = seen.join(before, "up", "left")
+        if further.where("up2 is not null").isEmpty():
+            break
+        seen = written(further.select("id", F.coalesce("up2", "up").alias("up"), (F.col("back") + F.coalesce("back2", F.lit(0))).alias("back")), "path")
+    else:
+        raise RuntimeError("a path without a first edge")
+    ends = seen.join(named.select("id", "n"), "id").groupBy(F.col("up").alias("id")).agg(F.max(F.col("back") + F.col("n")).alias("whole"))
+    heads = named.join(seen.select("id"), "id", "left_anti").join(ends, "id", "left")
+    return heads.select("m", "ctx", "doc", "at", F.coalesce("whole", "n").alias("n"))
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc, at, n: runs of n windows that occur elsewhere too; together they are all such windows. ``docs`` is ``keyed``."""
-    edges, contexts = repeated_edges(docs, word_units, WINDOW, GRAM, STEP)
-    whole = edges.join(contexts.where("copies > 1").select("m", "ctx"), ["m", "ctx"]).select("doc", "at", "n")
-    probes = with_places(docs, branching(contexts), "at", "n", "m", "copies")
-    windows = probes.select("doc", "text", "places").mapInArrow(_windows, WINDOWS)
+    """doc, at, n, digest: runs of n windows that occur elsewhere too; together they are all such windows. ``docs`` is ``keyed``."""
+    edges, contexts = repeated_edges(docs, word_units, WINDOW, GRAM, STEP, linked=True)
+    heads = written(paths(contexts), "paths")
+    branches = branching(contexts).select("doc", "at", F.col("n").cast("long").alias("n"), "m", "copies", F.lit(None).cast("long").alias("ctx"))
+    probes = branches.unionByName(heads.select("doc", "at", "n", "m", F.lit(0).cast("long").alias("copies"), "ctx"))
+    probes = with_places(docs, probes, "at", "n", "m", "copies", "ctx")
+    windows = written(probes.select("doc", "text", "places").mapInArrow(_windows, WINDOWS), "windows")
+    known = heads.select("m", "ctx", "n").join(windows.where("digest is not null").select("m", F.col("h").alias("ctx"), "digest"), ["m", "ctx"])
+    whole = edges.select("m", "ctx", "doc", "at").join(known, ["m", "ctx"]).select("doc", "at", "n", "digest")
+    windows = windows.where("digest is null")
     often = windows.groupBy("m", "h").agg(F.sum("copies").alias("c"), F.max("h").alias("same")).where("c > 1").drop("c")
-    single = join_apart(windows.where("copies = 1"), often, ["m", "h"]).select("doc", "at", F.lit(1).alias("n"))
-    return whole.unionByName(single)
+    single = join_apart(windows.where("copies = 1"), often, ["m", "h"])
+    return whole.unionByName(single.select("doc", "at", F.lit(1).cast("long").alias("n"), "digest"))
 
 
 def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row for each document: words, words removed, digest of what is kept, and on demand the kept text."""
     docs = keyed(docs)
-    listed = with_places(docs, repeated_windows(docs), "at", "n")
+    listed = with_places(docs, repeated_windows(docs), "at", "n", "digest")
     return listed.select("doc", "text", "places").mapInArrow(_kept(with_text), KEPT + ", text string" * with_text)
 
 
