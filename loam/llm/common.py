@@ -54,6 +54,13 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def held(table: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``table`` as one side of a join: broadcast if it has at most so many rows, which is checked here, else merged."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")
+
+
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A string or binary Arrow array as (bytes, offsets, is_null) without decoding; nulls have no bytes."""
     column = column.cast(pa.large_binary())

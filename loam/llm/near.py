@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import LOWER, fresh, give_back, mix64, text_chunks, word_hashes, written
+from .common import LOWER, fresh, give_back, held, mix64, text_chunks, word_hashes, written
 from .components import components
 from .decontaminate import spread
 from .simhash import roots, survivors
@@ -234,22 +234,22 @@ def _joining(tree: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int,
 
 def _by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
     """Tables of whole groups of rows that come in order of ``keys``; a group is kept until it is whole."""
-    held: list[pa.RecordBatch] = []
+    kept: list[pa.RecordBatch] = []
     for rows in batches:
         if not rows.num_rows:
             continue
         same = np.logical_and.reduce([x == x[-1] for x in (np.asarray(rows.column(k)) for k in keys)])
-        if held and same.all() and all(held[-1].column(k)[-1].as_py() == rows.column(k)[0].as_py() for k in keys):
-            held.append(rows)
+        if kept and same.all() and all(kept[-1].column(k)[-1].as_py() == rows.column(k)[0].as_py() for k in keys):
+            kept.append(rows)
             continue
-        t = pa.Table.from_batches([*held, rows])
+        t = pa.Table.from_batches([*kept, rows])
         tail = np.logical_and.reduce([np.asarray(t.column(k)) == np.asarray(t.column(k))[-1] for k in keys])
         cut = int(np.flatnonzero(~tail)[-1]) + 1 if not tail.all() else 0
         if cut:
             yield t.slice(0, cut)
-        held = t.slice(cut).to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
+        kept = t.slice(cut).to_batches()
+    if kept:
+        yield pa.Table.from_batches(kept)
     give_back()
 
 
@@ -349,14 +349,9 @@ def _tables(nodes: DataFrame, plan: Layout) -> DataFrame:
     return nodes.select("node", "root", "n", *[F.col("fp")[k].alias(f"fp{k}") for k in range(CARRIED)], F.explode(_keys(plan)).alias("key"))
 
 
-def _held(table: DataFrame, rows: int = 100_000):
-    """How to join with a table that is small as a rule: broadcast after its size is checked, else merged."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")
-
-
 def in_parts(rows: DataFrame, large: DataFrame) -> DataFrame:
     """``rows`` (key, node, ...) with ``part``: 0, or one of the ``parts`` of a key in ``large``."""
-    dealt = rows.join(_held(large.select("key", "parts")), "key", "left")
+    dealt = rows.join(held(large.select("key", "parts")), "key", "left")
     return dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
 
 
@@ -365,13 +360,13 @@ def in_cells(rows: DataFrame, large: DataFrame) -> DataFrame:
 
     A key's parts are shared out between its largest root and the others by their numbers of rows.
     """
-    rows = rows.join(_held(large), "key")
+    rows = rows.join(held(large), "key")
     groups = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.first("parts").alias("parts"))
     info = groups.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("most"), F.first("parts").alias("parts"))
     share = lambda c: F.greatest(F.lit(1), F.ceil(F.col("parts") * c / F.col("all"))).cast("int")
     info = info.where(F.col("all") > F.col("most.c"))
     info = written(info.select("key", F.col("most.root").alias("major"), share(F.col("all") - F.col("most.c")).alias("p"), share(F.col("most.c")).alias("q")), "large")
-    rows = rows.drop("parts").join(_held(info), "key")
+    rows = rows.drop("parts").join(held(info), "key")
     h, p, q = F.xxhash64("node"), F.col("p"), F.col("q")
     of_major = F.col("root") == F.col("major")
     own = F.when(of_major, F.pmod(h, q)).otherwise(F.pmod(h, p)).cast("int")

@@ -4,13 +4,13 @@ Fingerprints of 64 bits; two link when at most ``radius`` = 2 bits differ. Copie
 start. Two fingerprints within 2 bits agree in at least two of four 16-bit blocks, so six tables, keyed by two blocks each, bring
 all pairs together. In each bucket the distances to PIVOTS reference fingerprints are computed; by the triangle inequality a pair
 whose coordinates differ by more than 2 anywhere is discarded unseen; what survives is verified. A bucket yields a spanning
-forest of its links, never all pairs. Buckets with more than BUCKET fingerprints are not compared pairwise at all: each
-fingerprint there lists the 65 values within one bit, and whatever shares such a value is within two bits, so joining each to the
-least fingerprint of that value keeps every component, in linear work.
+forest of its links, never all pairs. Buckets with more than BUCKET fingerprints are split by a coordinate first: into intervals
+of WIDTH distances, each with the 2 distances that follow it, so that every pair within reach shares an interval; those still
+too large by the next coordinate, and so on.
 
 Cases: a text without words (null, empty, blank) has fingerprint 0 and is linked like any other; fewer words than a shingle are
 one shingle; repeated rows and copies share a component; an empty table gives an empty table; a null doc_id is no component's
-smallest unless all are null; other columns are ignored (operator) or kept (``one_of_each``).
+smallest unless all are null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, table, text_chunks, written
+from .common import LOWER, held, table, text_chunks, written
 from .components import components
 
-WORDS, RADIUS, PIVOTS, BUCKET = 3, 2, 16, 4000
+WORDS, RADIUS, PIVOTS, BUCKET, WIDTH = 3, 2, 16, 4000, 4
 STEP = 4 << 20
 #: Reference fingerprints.
 REFERENCES = np.random.default_rng(7).integers(0, 2**64, PIVOTS, np.uint64)
@@ -131,6 +131,14 @@ def _links(radius: int):
     return run
 
 
+def split(buckets: DataFrame, pivot: int, radius: int) -> DataFrame:
+    """Rows (key, fp) in intervals of their distance to a reference; a row also goes where the distance before it does."""
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(REFERENCES[pivot].view(np.int64)))))
+    own = F.floor(far / WIDTH)
+    cells = F.when(far % WIDTH < radius, F.array(own, own - 1)).otherwise(F.array(own))
+    return buckets.select("key", "fp", F.explode(cells).alias("cell")).select(F.xxhash64("key", "cell").alias("key"), "fp")
+
+
 def linked(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints ``fp`` of ``nodes`` within ``radius`` (at most 2) bits."""
     if radius > 2:
@@ -138,21 +146,17 @@ def linked(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     blocks = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
     two = [(i, j) for i in range(4) for j in range(i)]
     keys = [F.lit(n << 32) + F.shiftleft(blocks[i], 16) + blocks[j] for n, (i, j) in enumerate(two)]
-    tables = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = tables.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    buckets = tables.join(shared, "key")
-    near = buckets.where(F.col("c") <= bucket).select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius), "a long, b long")
-    large = buckets.where(F.col("c") > bucket).select("fp").distinct()
-    if radius == 2:
-        flips = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)]]
-        ball = large.select("fp", F.explode(F.array(*flips)).alias("z"))
-        least = ball.groupBy("z").agg(F.min("fp").alias("m"), F.count("*").alias("c")).where("c > 1")
-        far = ball.join(least, "z").where("fp != m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
-    else:  # within one bit: one of the 32-bit halves is equal, and the other differs in one bit
-        flips = [F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)] if radius else []
-        ball = large.select(F.col("fp").alias("a"), F.explode(F.array(F.col("fp"), *flips)).alias("b"))
-        far = ball.join(large.select(F.col("fp").alias("b")), "b").select("a", "b")
-    return near.unionByName(far)
+    buckets, links = nodes.select("fp", F.explode(F.array(*keys)).alias("key")), None
+    for pivot in range(PIVOTS + 1):
+        large = written(buckets.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > bucket).select("key"), "large")
+        done = pivot == PIVOTS or large.isEmpty()
+        fit = buckets if done else buckets.join(held(large), "key", "left_anti")
+        found = fit.repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius), "a long, b long")
+        links = found if links is None else links.unionByName(found)
+        if done:
+            break
+        buckets = written(split(buckets.join(held(large), "key", "left_semi"), pivot, radius), "split")
+    return links
 
 
 def with_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -166,13 +170,6 @@ def with_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component: that of the component's smallest doc_id."""
-    keep = with_components(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    columns = docs.columns
-    return docs.join(keep, docs.doc_id == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"]).select(*columns)
-
-
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
