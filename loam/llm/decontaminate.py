@@ -6,8 +6,11 @@ all phrases of the block are searched backward in it, and occurrences come back
 that no phrase holds cannot be part of an occurrence; they all become the separator symbol, which keeps the index small. No
 shuffle of text, no state beyond a shard; a document is never split, so a shard has at most SHARD bytes or one document.
 
+Blocks are broadcast one after the other, so the driver holds one at a time; each further block of BLOCK_BYTES is a further pass
+of a task over its shards.
+
 Cases: null or empty texts have no words and n_words 0; an item without words is never found; items with equal windows are all
-counted; repeated rows are each reported; an empty benchmark leaves every document clean; other columns are ignored (operator) or
+counted; rows of one item_id are one item with the windows of all of them; a null item_id is an item named by the empty text; repeated rows are each reported; an empty benchmark leaves every document clean; other columns are ignored (operator) or
 kept (``decontaminated``).
 """
 
@@ -97,11 +100,11 @@ def merged(spans: list[tuple[int, int]]) -> list[dict]:
     return [{"start": a, "end": b} for a, b in out]
 
 
-def _find(window: int, items: list[tuple[str, bytes | None]], more: bool):
-    """For mapInArrow: adds what this block's phrases hit to what earlier blocks did; keeps the text if ``more`` follow."""
+def _find(window: int, items, more: bool):
+    """For mapInArrow (``items``: a broadcast block): adds what this block's phrases hit to what earlier blocks did; keeps the text if ``more`` follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(items, window)
+        phrases = Phrases(items.value, window)
         for rows, data, offsets in text_chunks(batches, SHARD):
             clean = data.tobytes().translate(ALNUM)
             parts = [clean[a:b].split() for a, b in zip(offsets, offsets[1:], strict=False)]
@@ -153,9 +156,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """One row for each row of ``docs``: counts, items and merged spans (of word numbers) of benchmark windows in its text."""
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = found.withColumn("items", F.expr("cast(null as array<string>)")).withColumn("spans", F.expr("cast(null as array<struct<start:bigint,end:bigint>>)"))
-    todo = list(blocks(benchmark, block_bytes))
-    for k, block in enumerate(todo):
-        more = k + 1 < len(todo)
+    sent = [docs.sparkSession.sparkContext.broadcast(block) for block in blocks(benchmark, block_bytes)]
+    for k, block in enumerate(sent):
+        more = k + 1 < len(sent)
         found = found.mapInArrow(_find(window, block, more), FOUND + ", text string" * more)
     return found.select(
         "doc_id", "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -163,7 +166,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     )
 
 
-def _drop(window: int, items: list[tuple[str, bytes | None]], most: float):
+def _drop(window: int, items, most: float):
     find = _find(window, items, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +186,7 @@ def _drop(window: int, items: list[tuple[str, bytes | None]], most: float):
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: float = 0.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the documents of whose words more than the share ``most`` is hit; all columns stay."""
     for block in blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(_drop(window, block, most), docs.schema)
+        docs = docs.mapInArrow(_drop(window, docs.sparkSession.sparkContext.broadcast(block), most), docs.schema)
     return docs
 
 
