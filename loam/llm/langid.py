@@ -3,7 +3,7 @@
 The network reads one word (at most PIECE bytes of it at a time) with the states reset in between, so a word's labels do not depend
 on its neighbours and each task runs the network once for each distinct word that it meets, for whole texts of any length.
 Training is on the driver, on a documented bounded sample: PER_LANGUAGE documents of each language (those with the least hashes of
-doc_id, up to LONGEST characters each), and WORDS words drawn from them.
+doc_id; of a longer text LONGEST characters from a place that the hash picks), and WORDS pieces of words drawn from them.
 
 Cases: a null text, or one without any letter, is "und" with score 0; a table without labelled training rows gives "und"
 everywhere; repeated rows get equal results; ties go to the label that sorts first; a null doc_id is never trained on nor held
@@ -35,8 +35,10 @@ def fold(doc_id: Column) -> Column:
 
 def train(docs: DataFrame) -> tuple[list[str], BiGRU] | None:
     """The languages and the network, from documents of which the fold is not 1."""
-    rows = docs.where((fold(F.col("doc_id")) != 1) & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= LONGEST))
-    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text")
+    rows = docs.where((fold(F.col("doc_id")) != 1) & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    h, text = F.xxhash64(F.col("doc_id").cast("string")), F.col("text").cast("string")
+    place = F.pmod(h, F.greatest(F.length(text) - LONGEST, F.lit(0)) + 1).cast("int")
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), h.alias("h"), F.substring(text, place + 1, F.lit(LONGEST)).alias("text"))
     ranked = rows.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     upto = ranked.where(F.col("k") <= PER_LANGUAGE).groupBy("lang").agg(F.max("h").alias("upto")).limit(MAX_LANGUAGES + 1).collect()
     if len(upto) > MAX_LANGUAGES:
@@ -50,7 +52,7 @@ def train(docs: DataFrame) -> tuple[list[str], BiGRU] | None:
     rng = np.random.default_rng(3)
     words, labels = [], []
     for k, name in enumerate(names):
-        own = [w[:PIECE] for r in sample if r.lang == name for w in r.text.encode().translate(LOWER).split()]
+        own = [w[i : i + PIECE] for r in sample if r.lang == name for w in r.text.encode().translate(LOWER).split() for i in range(0, len(w), PIECE)]
         for i in rng.integers(0, len(own), WORDS // len(names) if own else 0).tolist():
             words.append(own[i])
             labels.append(k)
