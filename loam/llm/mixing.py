@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import fresh, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS, BITS = 4, 12
@@ -33,8 +33,9 @@ def size_of(text: Column) -> Column:
 
 
 def hash_of(doc_id: Column) -> Column:
-    """48 bits, uniform and the same in every run."""
-    return F.shiftrightunsigned(F.xxhash64(doc_id.cast("string"), F.lit("mix")), 64 - LEVELS * BITS)
+    """48 bits, uniform and the same in every run and every engine: the leading hexadecimal digits of an MD5."""
+    digits = F.substring(F.md5(F.concat(F.lit("mix "), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, LEVELS * BITS // 4)
+    return F.conv(digits, 16, 10).cast("long")
 
 
 def targets(sizes: Sequence[int], weights: Sequence[int], share: float, cap: int) -> list[float]:
@@ -141,13 +142,40 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken, with its number in ``copy`` (from 1)."""
+    """The mix itself: the rows of ``docs``, each as often as it is taken, with its number (from 1) in ``copy``.
+
+    Where ``docs`` has columns of such names, they stay and the new one gets another: ``copy_``.
+    """
     plan = plan_mix(written(sized(docs), "sizes"), **options)
-    columns = [c for c in docs.columns if c != "copy"]  # a column of that name gives way
-    plan = plan.select(F.col("source").alias("__of"), F.col("whole").alias("__whole"), F.col("threshold").alias("__below"))
+    copy, of, whole, below, n = (fresh(c, docs.columns) for c in ("copy", "of", "whole", "below", "n"))
+    plan = plan.select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("threshold").alias(below))
     return (
-        docs.join(F.broadcast(plan), docs["source"].cast("string").eqNullSafe(F.col("__of")))
-        .withColumn("__n", F.col("__whole") + (hash_of(F.col("doc_id")) < F.col("__below")).cast("int"))
-        .where("__n > 0")
-        .select(*columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
+        docs.join(F.broadcast(plan), docs["source"].cast("string").eqNullSafe(F.col(of)))
+        .withColumn(n, F.col(whole) + (hash_of(F.col("doc_id")) < F.col(below)).cast("int"))
+        .where(F.col(n) > 0)
+        .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy))
     )
+
+
+#: The same in DuckDB: the targets by filling up to the caps, then whole copies and the documents of the least hashes.
+ORACLE = r"""
+with d as (select doc_id, cast(source as varchar) as source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+    cast('0x' || substr(md5('mix ' || coalesce(cast(doc_id as varchar), 'null')), 1, 12) as bigint) as h from documents),
+s as (select source, cast(sum(size) as bigint) as source_size, case (row_number() over (order by source is null, source) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w from d group by source),
+full_ as (select *, row_number() over (order by 2.0 * source_size / w, source) as k from s where source_size > 0),
+upto as (select *, coalesce(sum(2 * source_size) over (order by k rows between unbounded preceding and 1 preceding), 0) as capped, sum(w) over (order by k rows between current row and unbounded following) as open_w,
+    (select sum(source_size) from s) as every from full_),
+level as (select min(k) as k from upto where (3 * every - 2 * capped) * w <= 4 * source_size * open_w),
+target as (select u.source, u.source_size, case when l.k is null or u.k < l.k then cast(2 * u.source_size as double)
+    else cast((3 * b.every - 2 * b.capped) * u.w as double) / cast(2 * b.open_w as double) end as target from upto u cross join level l left join upto b on b.k = l.k
+  union all select source, source_size, cast(0 as double) from s where source_size = 0),
+plan as (select *, case when source_size > 0 then least(2, cast(floor(target / source_size) as int)) else 0 end as whole from target),
+budget as (select *, case when whole < 2 then greatest(0, cast(round_even(target - whole * source_size, 0) as bigint)) else 0 end as budget from plan),
+groups as (select source, h, sum(size) as size from d group by source, h),
+run as (select g.*, b.budget, sum(g.size) over (partition by g.source order by g.h) as upto from groups g join budget b on g.source is not distinct from b.source where b.budget > 0),
+edge as (select source, min(h) as h from run where upto >= budget group by source),
+last as (select e.source, e.h + case when 2 * (r.budget - (r.upto - r.size)) >= r.size then 1 else 0 end as below from edge e join run r on e.source is not distinct from r.source and e.h = r.h)
+select d.doc_id, d.size, b.source_size, b.target, cast(d.size * (b.whole + case when b.budget > 0 and (l.below is null or d.h < l.below) then 1 else 0 end) as bigint) as taken, d.source,
+  cast(b.whole + case when b.budget > 0 and (l.below is null or d.h < l.below) then 1 else 0 end as int) as copies
+from d join budget b on d.source is not distinct from b.source left join last l on d.source is not distinct from l.source
+"""

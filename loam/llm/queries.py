@@ -9,11 +9,13 @@ from .licenses import ORACLE as OP10
 from .licenses import op10_license_scan
 from .lm import op5_lm_scoring
 from .media import op2_media_columns
+from .mixing import ORACLE as OP1
 from .mixing import op1_mix_sources
 from .pii import op6_pii_surrogates
 from .simhash import op7_simhash_near_dedup
 from .substring import ORACLE as OP3
 from .substring import op3_substring_dedup
+from .suffix_dedup import ORACLE as OP9
 from .suffix_dedup import op9_suffix_dedup
 
 
@@ -22,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3, "op4_decontaminate": OP4, "op10_license_scan": OP10}
+    return {"op1_mix_sources": OP1, "op9_suffix_dedup": OP9, "op3_substring_dedup": OP3, "op4_decontaminate": OP4, "op10_license_scan": OP10}

@@ -184,3 +184,17 @@ def without_later_copies(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_later_copies(table(spark, sf_dir, "documents"))
+
+
+#: The same in DuckDB: every string of 100 bytes, as hexadecimal digits, against the first place of its hash.
+ORACLE = r"""
+with t as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+win as (select r, doc_id, i, hash(substr(x, 2 * i + 1, 200)) as k from (select r, doc_id, x, unnest(range(0, length(x) // 2 - 99)) as i from t where length(x) >= 200) y),
+first_ as (select k, min({'d': coalesce(doc_id, -9223372036854775808), 'i': i}) as f from win group by k having count(*) > 1),
+later as (select r, i, lag(i) over (partition by r order by i) as before from win join first_ on win.k = first_.k where {'d': coalesce(doc_id, -9223372036854775808), 'i': i} <> f),
+runs as (select r, g, min(i) as a, max(i) + 100 as b from (select r, i, sum(case when before is null or i > before + 100 then 1 else 0 end) over (partition by r order by i) as g from later) z group by r, g),
+gaps as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) as from_ from runs),
+kept as (select g.r, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' order by a) || substr(max(x), 2 * max(b) + 1) as x from gaps g join t on g.r = t.r group by g.r)
+select t.doc_id, cast(length(t.x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept.x, t.x))) as kept_sha256
+from t left join kept on t.r = kept.r
+"""
