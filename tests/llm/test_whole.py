@@ -225,3 +225,19 @@ def test_later_mentions_of_a_name_are_replaced(spark):
     b = got[2].text.rstrip(".").split()
     assert b[2] != "\u041f\u0435\u0442\u0440\u043e\u0432" and b[4] == b[2]
     assert got[3].text == texts[3] and got[3].n_entities == 0
+
+
+def test_paths_are_compacted_and_verified(spark):
+    """Chains of equal copies become one path; branches, other numbers of copies and equal hashes end one; digests decide."""
+    from loam.llm import substring
+
+    chain = [(k, 100 + k, 3, (1, k << 20, 2), 101 + k) for k in range(40)]  # 40 edges of two windows, one after the other
+    rows = [*chain, (40, 140, 3, (1, 40 << 20, 5), None), (50, 150, 2, (2, 0, 4), 151), (51, 151, 4, (2, 4 << 20, 4), None), (60, 160, 2, (3, 0, 1), 161)]
+    rows += [(61, 161, 2, (3, 1, 1), None), (62, 161, 2, (3, 9, 1), None), (70, 170, 1, (4, 0, 1), 100)]
+    contexts = spark.createDataFrame(rows, "m long, ctx long, copies long, first struct<doc:long,at:long,n:int>, nxt long")
+    got = {(r.m, r.n, r.at) for r in substring.paths(contexts).collect()}
+    assert got == {(0, 85, 0), (50, 4, 0), (51, 4, 4 << 20), (60, 1, 0), (61, 1, 1), (62, 1, 9)}
+    words = [b"w%d" % i for i in range(40)]
+    right = {"at": 2 << 20, "n": 3, "digest": substring.span_digest(words, 2, 3)}
+    assert substring.mask_of(40, [right], 0, 35, words).sum() == 37
+    assert substring.mask_of(40, [right | {"at": 1 << 20}], 0, 35, words).sum() == 0 and substring.mask_of(40, [right | {"digest": None}], 0, 35, words).sum() == 37
