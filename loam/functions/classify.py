@@ -36,6 +36,12 @@ GENERATED_TAILS = (
     "_gen.go", "_generated.go", "_pb2.py", ".pb.go", ".gen.ts", ".generated.ts", ".gen.go", ".generated.go", ".gen.py",
     ".generated.py", ".gen.rs", ".generated.rs", ".gen.java", ".generated.java",
 )
+# Names of files that runtime code passes through, though it does not start there.
+RUNTIME_NAMES = (
+    "provider", "providers", "models", "model", "parsing", "parser", "cache", "caching", "session", "sessions", "middleware", "registry", "store", "storage", "database",
+    "db", "connection", "service", "services", "handler", "handlers", "config", "configuration", "logging", "logger", "metrics", "telemetry", "plugin", "plugins",
+    "extension", "extensions",
+)
 
 
 def is_generated_name(d: Spark, n: str) -> str:

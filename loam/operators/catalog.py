@@ -8,7 +8,7 @@ from loam.functions import classify as C
 from loam.functions import extract as X
 from loam.functions import roles as R
 from loam.plans.dialect import Spark
-from loam.plans.relations import ENTRY_ORDER, LANGUAGES, case
+from loam.plans.relations import LANGUAGES, case
 
 QUERIES: dict[str, Callable[[Spark], str]] = {}
 #: Terms of the retrieval queries on the test corpus.
@@ -392,13 +392,15 @@ def r1_retrieve_files(d: Spark) -> str:
 
 @query
 def w14_snippets(d: Spark) -> str:
-    """The first two matching lines of each retrieved file, with two lines around each."""
-    text = "l"
+    """The first two matching lines of each retrieved file, numbered, with two lines around each; none of files after twelve."""
     hit = "(" + " or ".join(f"contains(lower({d.at('l', 'cast(i as int)')}), '{t}')" for t in TERMS) + ")"
-    found = d.slice(d.filter(d.sequence("1", d.size(text)), "i", hit), 2)
-    cut = d.cut("l", "cast(greatest(i - 2, 1) as int)", f"least(i + 2, {d.size('l')})")
-    return f"""select path, cast(greatest(i - 2, 1) as bigint) as start_line, cast(least(i + 2, {d.size('l')}) as bigint) as end_line, {d.join(cut, '|')} as text from (
-      select path, l, {d.explode(found)} as i from (select c.path, {X.lines(d, 'c.content')} as l from corpus c join ({_ranked(d, 'review', 8)}) r on c.path = r.path) a) b"""
+    found = d.slice(d.filter(d.sequence("1", d.size("l")), "i", hit), 2)
+    around = d.sequence("greatest(i - 2, 1)", f"least(i + 2, {d.size('l')})")
+    text = d.join(d.each(around, "j", f"{d.text('j')} || ': ' || {d.at('l', 'cast(j as int)')}"), "|")
+    ranked = f"select path, row_number() over (order by score desc, line_count, path) as k from ({_ranked(d, 'review', 8)}) z"
+    hits = f"select r.k, c.path, {X.lines(d, 'c.content')} as l from corpus c join ({ranked}) r on c.path = r.path"
+    return f"""with hits as (select k, path, l, {found} as spots from ({hits}) h), upto as (select k, coalesce(sum({d.size('spots')}) over (order by k rows between unbounded preceding and 1 preceding), 0) as before from hits)
+      select path, cast(greatest(i - 2, 1) as bigint) as start_line, cast(least(i + 2, {d.size('l')}) as bigint) as end_line, {text} as text from (select h.path, h.l, {d.explode('h.spots')} as i from hits h join upto u on h.k = u.k where u.before < 12) b"""
 
 
 @query
@@ -649,6 +651,16 @@ def sg13_prompts(d: Spark) -> str:
     return f"select rank, action || case when {d.size('focus')} = 0 then '.' else ': ' || {d.join('focus', ', ')} || '.' end as prompt from suggestions"
 
 
+@query
+def sg15_objectives(d: Spark) -> str:
+    return "select goal, objective from objectives"
+
+
+@query
+def sg16_deliverables(d: Spark) -> str:
+    return "select goal, ord, text from deliverables"
+
+
 @query
 def w18_o10_contexts(d: Spark) -> str:
     """The compact context of each budget, as text."""
@@ -676,9 +688,141 @@ def sg2_modified_without_tests(d: Spark) -> str:
 
 @query
 def w17_focus_files(d: Spark) -> str:
-    return """select path, min(rank) as rank from (select path, 1 as rank from (select path from diff where status = 'modified' order by path limit 6) a
-      union all select file, 2 from (select file from top_risks order by score desc, file limit 6) b union all select path, 3 from (select path from entry_points order by category_rank, score desc, path limit 6) c) x
-      group by path order by rank, path limit 6"""
+    """For each budget: the top suggestion's files, important ones (of the runtime first), modified and new ones, each once."""
+    top = f"select {d.at('focus', 'cast(i as int)')} as path, 1 as source, i as ord from (select focus, {d.explode(d.sequence('1', d.size('focus')))} as i from suggestions where rank = 1) t"
+    changed = lambda s, n: f"select path, {n}, o from (select path, row_number() over (order by path) as o from diff where status = '{s}') c where o <= 10"
+    api = "(contains(i.path, 'api/') or contains(i.path, 'core/')) and (select primary_archetype from archetype) = 'framework_library'"
+    every = f"""{top} union all select i.path, case when {api} then 2 when f.surface = 'runtime' then 3 else 4 end, i.rank from important_files i join files f on i.path = f.path
+      union all {changed('modified', 5)} union all {changed('new', 6)}"""
+    limits = "select 'tiny' as budget, 4 as most union all select 'small', 6 union all select 'medium', 8 union all select 'large', 10"
+    return f"""select budget, path, cast(k as bigint) as k from (select path, row_number() over (order by source, ord, path) as k from (
+      select *, row_number() over (partition by path order by source, ord) as again from ({every}) e) x where again = 1) y join ({limits}) l on y.k <= l.most"""
+
+
+# Small functions, each over a table's rows
+
+
+@query
+def w1_ordered_files(d: Spark) -> str:
+    """The facts in the order of their paths, as a scan lists them."""
+    return "select cast(row_number() over (order by path) as bigint) as k, path, size, line_count from files"
+
+
+@query
+def c4_role_labels(d: Spark) -> str:
+    """A role as words."""
+    return "select distinct role, replace(role, '_', ' ') as label from files"
+
+
+@query
+def c16_runtime_names(d: Spark) -> str:
+    """Files whose names mark runtime code that is no entry point."""
+    return f"select path, st in ({', '.join(repr(x) for x in C.RUNTIME_NAMES)}) and n <> 'build.rs' as runtime_name from files"
+
+
+@query
+def c21_under_package_root(d: Spark) -> str:
+    return f"select path, {d.at('parts', '1')} in ('packages', 'apps', 'services', 'crates', 'modules', 'libs') as packaged from files"
+
+
+@query
+def x17_extensions(d: Spark) -> str:
+    """What a fact record says of an extension wins over the path's suffix."""
+    return "select path, lower(coalesce(nullif(case when line_count % 2 = 0 then extension else '' end, ''), suf)) as ext from files"
+
+
+@query
+def x22_budget_names(d: Spark) -> str:
+    words = f"select distinct {d.at(d.split('text', ' '), '1')} as word from conversations"
+    return f"select word, case when lower(trim(word)) in ('tiny', 'small', 'medium', 'large') then lower(trim(word)) else 'small' end as budget from ({words} union all select ' Large ' union all select 'TINY' union all select '') w"
+
+
+@query
+def x26_coercions(d: Spark) -> str:
+    """Texts as booleans, numbers and lists."""
+    parts = d.filter(d.each(d.split("v", r"[\n,]+"), "p", "trim(p)"), "p", "p <> ''")
+    some = "select text as v from conversations union all select ' Yes ' union all select '12' union all select 'a, b,,c' union all select 'off'"
+    return f"select distinct v, lower(trim(v)) in ('1', 'true', 'yes', 'on', 'apply', 'run') as as_bool, coalesce(try_cast(trim(v) as int), 7) as as_int, {d.join(parts, ';')} as as_list from ({some}) x"
+
+
+@query
+def s10_text_hashes(d: Spark) -> str:
+    return f"select doc_id, {d.sha("coalesce(text, '')")} as hash from documents"
+
+
+@query
+def s17_repository_names(d: Spark) -> str:
+    tail = d.sub(d.sub("url", "/+$", ""), r"^.*[/:]", "")
+    return f"select page_id, coalesce(nullif({d.sub(d.sub(d.sub(tail, r'\.git$', ''), '[^A-Za-z0-9_.-]+', '-'), '^[-.]+|[-.]+$', '')}, ''), 'repository') as name from pages"
+
+
+@query
+def a12_graph_totals(d: Spark) -> str:
+    return "select count(distinct src) as modules, cast(count(*) as bigint) as imports from import_edges"
+
+
+@query
+def p11_workspace_paths(d: Spark) -> str:
+    """Paths seen from above a scanned folder."""
+    p = "trim(path)"
+    return f"select path, case when {p} = '' or left({p}, 1) = '/' or {p} = 'src' or left({p}, 4) = 'src/' then {p} else 'src/' || {p} end as scoped from files"
+
+
+@query
+def p13_json(d: Spark) -> str:
+    """A result as JSON with sorted keys."""
+    return """select '{"deleted": ' || deleted_count || ', "files": ' || total_files || ', "health": ' || score || ', "lines": ' || total_lines || ', "modified": ' || modified_count || ', "new": ' || new_count || '}' as result
+      from metrics cross join (select score from health) h cross join diff_counts"""
+
+
+@query
+def set3_unique_symbols(d: Spark) -> str:
+    """Trimmed, without empty ones, each once, in their first order."""
+    padded = d.each(d.concat("symbols", "imports", "symbols"), "s", "' ' || s || ' '")
+    return f"select path, {d.join(d.distinct(d.filter(d.each(padded, 's', 'trim(s)'), 's', "s <> ''")), ';')} as words from files"
+
+
+@query
+def set5_factors_ignoring_case(d: Spark) -> str:
+    """The first of each factor, whatever its case."""
+    both = d.concat(d.split("factors", ";"), d.each(d.split("factors", ";"), "f", "upper(f)"))
+    lowered = d.each("b", "f", "lower(trim(f))")
+    return f"select file, {d.join(d.distinct(lowered), ';')} as factors from (select file, {both} as b from top_risks) x"
+
+
+@query
+def set6_suggestions_once(d: Spark) -> str:
+    """Titles and actions of all rules, twice over, each once."""
+    return "select title, action, cast(min(ord) as bigint) as first_rule from (select * from raw_suggestions union all select * from raw_suggestions) x group by title, action"
+
+
+@query
+def set7_patterns_once(d: Spark) -> str:
+    return "select distinct name, description from (select * from patterns union all select * from patterns) x"
+
+
+@query
+def st12_scan_event(d: Spark) -> str:
+    return """select score as health_score, total_files as files_scanned, new_count, modified_count, deleted_count, title as top_suggestion from health cross join (select total_files from metrics) m
+      cross join diff_counts left join (select title from suggestions where rank = 1) s on true"""
+
+
+@query
+def st14_savings(d: Spark) -> str:
+    """Totals over all events; only the newest fifty are listed."""
+    events = f"select conv_id, turn, {X.tokens(d, 'text')} as full_tokens, least({X.tokens(d, 'text')}, 20) as emitted, row_number() over (order by conv_id desc, turn desc) as k from conversations"
+    return f"select e.conv_id, e.turn, cast(e.full_tokens as bigint) as full_tokens, cast(e.emitted as bigint) as emitted, t.total_full, t.total_emitted from ({events}) e cross join (select cast(sum(full_tokens) as bigint) as total_full, cast(sum(emitted) as bigint) as total_emitted from ({events}) a) t where k <= 50"
+
+
+@query
+def st15_normal_suggestions(d: Spark) -> str:
+    return "select title, priority, category, reason, action, impact, effort, label, confidence from suggestions"
+
+
+@query
+def st18_timeline(d: Spark) -> str:
+    """The newest twenty events, oldest first."""
+    return "select cast(row_number() over (order by ts, event_id) as bigint) as k, event_id, event_type from (select * from events order by ts desc, event_id desc limit 20) x"
 
 
 # Event logs
@@ -714,5 +858,3 @@ def st12_daily_health(d: Spark) -> str:
     day = "cast(ts as date)"
     return f"select {d.text(day)} as day, event_type, cast(count(*) as bigint) as n, cast(count(distinct user_id) as bigint) as users from events group by 1, 2"
 
-
-assert len(ENTRY_ORDER) == 10

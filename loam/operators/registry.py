@@ -11,6 +11,7 @@ from loam.plans.engine import Engine
 from loam.plans.relations import plan
 
 from .catalog import QUERIES
+from .extra import EXTRA
 
 
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,8 +23,8 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _run(name) for name in QUERIES}
+    return {name: _run(name) for name in QUERIES} | {name: f for name, (f, _) in EXTRA.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: plan(DUCK, f(DUCK)) for name, f in QUERIES.items()}
+    return {name: plan(DUCK, f(DUCK)) for name, f in QUERIES.items()} | {name: sql for name, (_, sql) in EXTRA.items() if sql}

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loam.functions import extract as X
 from loam.plans.dialect import SPARK
@@ -31,7 +33,7 @@ def _score(terms: list[str]) -> Column:
 
 def rank_files(engine: Engine, question: str, goal: str = "", limit: int = 8) -> DataFrame:
     """path, score, line_count: best first, then the shorter."""
-    hay = F.lower(F.concat_ws(" ", "path", F.array_join("symbols", " "), F.array_join("imports", " ")))
+    hay = F.lower(F.concat_ws(" ", "path", "summary", F.array_join("symbols", " "), F.array_join("imports", " ")))
     boost = sum((F.contains("hay", F.lit(t)).cast("int") for t in GOAL_BOOST.get(goal, ())), F.lit(0))
     rows = engine.relation("files").withColumn("hay", hay).withColumn("s", _score(terms_of(question)) + boost).where("s > 0")
     score = F.col("s") + F.col("has_main").cast("int") + (F.col("has_function") | F.col("has_class")).cast("int")
@@ -56,3 +58,81 @@ def answer(engine: Engine, question: str, symbols: DataFrame | None = None, goal
     text = f"Start with {best.path} (score {best.score}, {best.line_count} lines)."
     symbol = rank_symbols(symbols, question, files).first() if symbols is not None else None
     return text + (f" The closest symbol is {symbol.qualname} at {symbol.path}:{symbol.line}." if symbol else "")
+
+
+def include_symbol_files(files: list[dict], symbols: list[dict], known: dict[str, dict], limit: int) -> list[dict]:
+    """The files of the symbols that are not among ``files`` yet, each in place of the last one where there is no room."""
+    files = list(files)
+    for s in symbols:
+        if s["path"] in {f["path"] for f in files} or s["path"] not in known:
+            continue
+        if len(files) >= limit:
+            files.pop()
+        files.append({"path": s["path"], "score": s["score"], "line_count": known[s["path"]]["line_count"], "summary": known[s["path"]]["summary"]})
+    return files[:limit]
+
+
+def _of_paths(column: Column, paths: list[str]) -> Column:
+    """Whether a module's path is one of ``paths`` or the end of one."""
+    return F.exists(F.array(*[F.lit(p) for p in paths]), lambda p: F.endswith(p, column)) if paths else F.lit(False)
+
+
+def import_hints(graph: DataFrame, paths: list[str], most: int = 10) -> DataFrame:
+    """path, imports: the first imports of the modules of ``paths`` (a few)."""
+    rows = graph.where((F.col("kind") == "import") & _of_paths(F.col("path"), paths))
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("ord"))).where(F.col("k") <= most)
+    return ranked.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]).alias("imports"))
+
+
+def call_hints(graph: DataFrame, terms: list[str], paths: list[str], most: int = 12) -> DataFrame:
+    """owner, calls: the first calls of the functions whose module is in ``paths``, or whose name holds a term."""
+    module = F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/", ".")
+    rows = graph.where(F.col("kind") == "call").withColumn("owner", F.concat_ws(".", module, "qualname"))
+    owner_path = F.concat(F.regexp_replace(F.regexp_replace("owner", r"\.[^.]*$", ""), r"\.", "/"), F.lit(".py"))
+    held = reduce(lambda a, b: a | b, [F.contains(F.lower("owner"), F.lit(t)) for t in terms], F.lit(False))
+    ranked = rows.where(held | _of_paths(owner_path, paths)).withColumn("k", F.row_number().over(Window.partitionBy("owner").orderBy("ord"))).where(F.col("k") <= most)
+    return ranked.groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]).alias("calls"))
+
+
+def snippets(engine: Engine, terms: list[str], paths: list[str], around: int = 2, each: int = 2, enough: int = 12) -> list[dict]:
+    """The first lines of each file that hold a term, with lines around them; files after ``enough`` snippets are left out."""
+    lines = F.expr(X.lines(SPARK, "content"))
+    rows = engine.sql("select path, content from corpus").where(F.col("path").isin(paths)).select("path", F.posexplode(lines).alias("i", "line"))
+    hit = reduce(lambda a, b: a | b, [F.contains(F.lower("line"), F.lit(t)) for t in terms])
+    first = rows.where(hit).withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("i"))).where(F.col("k") <= each).select("path", F.col("i").alias("at"), "k")
+    near = rows.join(F.broadcast(first), "path").where(F.abs(F.col("i") - F.col("at")) <= around)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: F.concat((x["i"] + 1).cast("string"), F.lit(": "), x["line"])), "\n")
+    found = near.groupBy("path", "at", "k").agg(text.alias("text"), F.min("i").alias("a"), F.max("i").alias("b")).collect()
+    out: list[dict] = []
+    for p in paths:
+        out += [{"path": p, "start_line": r.a + 1, "end_line": r.b + 1, "text": r.text} for r in sorted(found, key=lambda r: r.k) if r.path == p]
+        if len(out) >= enough:
+            break
+    return out
+
+
+def retrieve(engine: Engine, question: str, graph: DataFrame, goal: str = "", limit: int = 8) -> dict:
+    """Files, symbols, snippets, imports and calls for a question, the text that shows them, and the tokens that it saves.
+
+    Only the ``limit`` files and 2 * ``limit`` symbols that are shown come to the driver; the calls are those of their modules and
+    of functions named by a term.
+    """
+    terms = terms_of(question)
+    ranked = rank_files(engine, question, goal, limit)
+    symbols = [r.asDict() for r in rank_symbols(graph, question, ranked, max(1, 2 * limit)).collect()]
+    files = [r.asDict() for r in ranked.collect()]
+    paths = [f["path"] for f in files] + [s["path"] for s in symbols]
+    known = {r.path: r.asDict() for r in engine.relation("files").where(F.col("path").isin(paths)).select("path", "line_count", "summary").collect()}
+    files = include_symbol_files([f | {"summary": known[f["path"]]["summary"]} for f in files], symbols, known, limit)
+    paths = [f["path"] for f in files]
+    found, imports, calls = snippets(engine, terms, paths) if paths else [], import_hints(graph, paths), call_hints(graph, terms, paths)
+    lines = ["RETRIEVAL", f"Query: {question}", f"Goal: {goal}", "", "Relevant Files:", *[f"- {f['path']} (score {f['score']}, {f['line_count']} lines): {f['summary']}" for f in files], "", "Relevant Symbols:"]
+    lines += [f"- {s['qualname']} [{s['kind']}] at {s['path']}:{s['line']}" for s in symbols[:12]] or ["- None matched"]
+    lines += ["", "Snippets:", *([x for s in found for x in (f"--- {s['path']}:{s['start_line']}", s["text"])] or ["- No direct line matches; start with the relevant files above."])]
+    lines += ["", "Import Hints:", *([f"- {r.path}: {', '.join(r.imports)}" for r in imports.orderBy("path").toLocalIterator()] or ["- None"])]
+    lines += ["", "Call Hints:", *([f"- {r.owner}: {', '.join(r.calls)}" for r in calls.orderBy("owner").toLocalIterator()] or ["- None"])]
+    text = "\n".join(lines).rstrip() + "\n"
+    full = engine.relation("metrics").first().total_size_bytes // 4
+    emitted = max(1, (len(text.strip()) + 3) // 4)
+    saved = 0 if full <= 0 else max(0, round((1 - emitted / full) * 100))
+    return {"files": files, "symbols": symbols, "snippets": found, "imports": imports, "calls": calls, "text": text, "full_tokens": full, "retrieved_tokens": emitted, "saved_percent": saved}

@@ -66,3 +66,104 @@ def savings_summary(events: DataFrame) -> DataFrame:
     saved = F.greatest(F.lit(0), F.col("full_tokens") - F.col("emitted_tokens"))
     percent = F.when(F.col("full_tokens") <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.bround(100 * (1 - F.col("emitted_tokens") / F.nullif("full_tokens", F.lit(0))))))
     return sums.select("*", saved.alias("saved"), percent.alias("percent"))
+
+
+class Tables:
+    """Named tables below a folder; each write is a new version, so a table can be written from what is read of it.
+
+    A version counts once its Parquet files are complete (their success mark); a lost write leaves the one before in force.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _versions(self, name: str) -> list[int]:
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        fs = there.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(there):
+            return []
+        done = [s.getPath().getParent().getName() for s in fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v*/_SUCCESS"))]
+        return sorted(int(n[1:]) for n in done)
+
+    def read(self, name: str) -> DataFrame | None:
+        versions = self._versions(name)
+        return self.spark.read.parquet(f"{self.root}/{name}/v{versions[-1]}") if versions else None
+
+    def write(self, name: str, table: DataFrame) -> DataFrame:
+        k = (self._versions(name) or [0])[-1] + 1
+        table.write.mode("overwrite").parquet(f"{self.root}/{name}/v{k}")
+        return self.spark.read.parquet(f"{self.root}/{name}/v{k}")
+
+    def append(self, name: str, rows: DataFrame, keep: int | None = None, order: str = "ts") -> DataFrame:
+        """Adds rows; with ``keep`` only the newest stay."""
+        old = self.read(name)
+        every = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
+        return self.write(name, every if keep is None else retained(every, [order], keep))
+
+    def reset(self) -> None:
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        there.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(there, True)
+
+    # What a scan leaves behind
+
+    def sync_files(self, current: DataFrame, deleted: DataFrame) -> DataFrame:
+        """The files of a scan replace their rows; only deleted paths go."""
+        old = self.read("files")
+        return self.write("files", current if old is None else merged(old, current, deleted))
+
+    def replace_issues(self, issues: DataFrame) -> DataFrame:
+        return self.write("issues", issues.drop("category"))
+
+    def add_issue(self, ts: str, message: str, severity: str = "medium", file: str | None = None, type_: str = "manual") -> DataFrame:
+        return self.append("issues", self.spark.createDataFrame([(type_, severity, file, message, ts)], "type string, severity string, file string, message string, ts string"))
+
+    def add_decision(self, ts: str, decision: str, reason: str = "") -> DataFrame:
+        return self.append("decisions", self.spark.createDataFrame([(ts, decision, reason)], "ts string, decision string, reason string"))
+
+    def record_scan(self, ts: str, event: DataFrame) -> DataFrame:
+        """A scan's one row; the newest hundred stay."""
+        return self.append("scans", event.withColumn("ts", F.lit(ts)), 100)
+
+    def record_task(self, ts: str, goal: str, changed: list[str], tests: list[str], risks: list[str], decisions: list[str], verified: str = "") -> DataFrame:
+        schema = "ts string, goal string, changed_files array<string>, tests array<string>, risks array<string>, decisions array<string>, verifier_summary string"
+        return self.append("tasks", self.spark.createDataFrame([(ts, goal, changed, tests, risks, decisions, verified)], schema), 100)
+
+    def record_savings(self, ts: str, command: str, full: int, emitted: int) -> DataFrame:
+        """The newest fifty events stay; totals are a table of their own, which retention does not change."""
+        full, emitted = max(0, full), max(0, emitted)
+        row = self.spark.createDataFrame([(ts, command, full, emitted)], "ts string, command string, full_tokens long, emitted_tokens long")
+        totals = self.read("savings_totals")
+        both = row.select("full_tokens", "emitted_tokens") if totals is None else totals.unionByName(row.select("full_tokens", "emitted_tokens"))
+        self.write("savings_totals", both.agg(F.sum("full_tokens").alias("full_tokens"), F.sum("emitted_tokens").alias("emitted_tokens")))
+        return self.append("savings", row, 50)
+
+    def update_suggestions(self, suggestions: DataFrame) -> DataFrame:
+        """The columns that are kept, with defaults for those that are missing."""
+        defaults = {"title": "", "priority": "low", "category": "general", "reason": "", "action": "", "prompt": "", "impact": "medium", "effort": "medium", "label": "", "confidence": "", "evidence": ""}
+        return self.write("suggestions", suggestions.select("rank", *[(F.coalesce(F.col(c), F.lit(v)) if c in suggestions.columns else F.lit(v)).alias(c) for c, v in defaults.items()]))
+
+    def last(self, name: str, limit: int = 20) -> DataFrame | None:
+        """The newest rows, oldest first: the timeline of scans and tasks, the ledger of decisions."""
+        rows = self.read(name)
+        return None if rows is None else rows.orderBy(F.desc("ts")).limit(max(1, limit)).orderBy("ts")
+
+
+def stale_focus(focus: DataFrame, files: DataFrame) -> DataFrame:
+    """path: focus files that no longer exist; while there is one, an exported context is stale."""
+    return focus.select("path").where("path <> ''").distinct().join(files.select("path"), "path", "left_anti")
+
+
+def scan_once(engine, tables: Tables, ts: str) -> dict[str, DataFrame]:
+    """Audits, compares with the files of the last scan, suggests, and records all of it."""
+    files = engine.relation("files")
+    before = tables.read("files")
+    diff = snapshot_diff(files.select("path", "hash"), None if before is None else before.select("path", "hash"))
+    out = {"health": engine.relation("health"), "issues": engine.relation("all_issues"), "suggestions": engine.relation("suggestions"), "diff": diff}
+    count = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(f"{s}_count")
+    event = diff.agg(count("new"), count("modified"), count("deleted")).crossJoin(out["health"].select(F.col("score").alias("health_score")))
+    event = event.crossJoin(files.agg(F.count("*").alias("files_scanned"))).crossJoin(out["suggestions"].agg(F.min(F.when(F.col("rank") == 1, F.col("title"))).alias("top_suggestion")))
+    tables.record_scan(ts, event)
+    tables.replace_issues(out["issues"])
+    tables.update_suggestions(out["suggestions"])
+    tables.sync_files(files.drop("content"), diff.where("status = 'deleted'").select("path"))
+    return out

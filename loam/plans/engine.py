@@ -50,9 +50,11 @@ class Engine:
 
     @classmethod
     def from_corpus(cls, corpus: DataFrame, old: DataFrame | None = None, listing: DataFrame | None = None) -> Engine:
-        """``listing`` has all paths there are, of files that ``corpus`` leaves out too."""
-        views = {"corpus": corpus.select("path", "content"), "listing": (corpus if listing is None else listing).select("path")}
-        return cls(corpus.sparkSession, views | ({"old_corpus": old.select("path", "content")} if old is not None else {}))
+        """Without ``old`` all files are new; ``listing`` has all paths there are, of files that ``corpus`` leaves out too."""
+        old = corpus.where("false") if old is None else old
+        views = {"corpus": corpus, "old_corpus": old}
+        views = {name: df.select("path", "content") for name, df in views.items()}
+        return cls(corpus.sparkSession, views | {"listing": (corpus if listing is None else listing).select("path")})
 
     _documents: dict[tuple, Engine] = {}
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from loam.functions import classify as C
 from loam.functions import extract as X
 from loam.functions import roles as R
 
 from .dialect import Spark
-from .relations import DISPLAY, ENTRY_ORDER, FIRST_PARTY, LANGUAGES, case, listed, relation
+from .relations import DISPLAY, FIRST_PARTY, case, listed, relation
 
 #: The corpus's own name; an engine may be given another one.
 ROOT = "corpus"
@@ -523,4 +522,37 @@ def llm_readiness(d: Spark) -> str:
       cross join (with first_focus as ({first}) select {d.join(d.collect('path', 'o'), ';')} as focus_files from ({focus}) f) g"""
 
 
-assert len(ENTRY_ORDER) == 10 and C and LANGUAGES
+# What each goal asks for, and what its result must have.
+OBJECTIVES = {
+    "next": "execute the highest-value next engineering step with minimal extra discovery", "debug": "find the most likely root cause and produce the safest fix path",
+    "review": "review the architecture, risks, and likely regressions before editing", "plan": "produce a concrete implementation plan grounded in the current codebase",
+    "document": "write or improve documentation that matches the real project structure", "test": "improve or repair test coverage around the most important behavior",
+}
+DELIVERABLES = {
+    "next": ["Execute {action}.", "State what you changed and why it is the highest-value move now.", "Verify the result with the narrowest useful checks."],
+    "debug": ["Identify the most likely root cause.", "Describe the fix plan before or alongside code changes.", "Verify the fix with focused tests or checks."],
+    "review": ["List the highest-risk findings first.", "Call out missing tests, unclear ownership, or brittle areas.", "Recommend the single best next action."],
+    "plan": ["Produce a short step-by-step plan with file-level focus.", "Highlight blockers, assumptions, and dependencies.", "Recommend the first implementation slice."],
+    "document": ["Summarize the project purpose, architecture, and commands accurately.", "Use the actual entry points and manifests found in the repo.", "Avoid generic documentation filler."],
+    "test": ["Target the most important behavior first.", "Add or update focused tests for the changed or risky files.", "Explain what remains untested."],
+}
+COMMON = ("Explain the reasoning briefly and reference the most relevant files.", "Keep the scope tight and start with the smallest high-leverage change.")
+
+
+@relation
+def objectives(d: Spark) -> str:
+    """goal, objective: with the kind of project, the top suggestion's action and the first hotspot."""
+    base = case("goal", [(g, f"'{t}'") for g, t in OBJECTIVES.items()])
+    goals = " union all ".join(f"select '{g}' as goal" for g in OBJECTIVES)
+    prefix = "case when goal = 'next' and archetype = 'framework_library' then 'map the relevant API/runtime surface, then ' when goal = 'next' and archetype = 'monorepo' then 'select the affected package/app/service first, then ' else '' end"
+    suffix = f"case when goal = 'next' and action is not null then ': ' || {d.sub('action', r'[.]+$', '')} when goal = 'plan' and hot is not null then '; start from ' || hot else '' end"
+    return f"""select goal, {prefix} || {base} || {suffix} as objective from ({goals}) g cross join (select primary_archetype as archetype from archetype) a
+      cross join (select max(case when rank = 1 then action end) as action from suggestions) s cross join (select max(case when rank = 1 then path end) as hot from primary_hotspots) h"""
+
+
+@relation
+def deliverables(d: Spark) -> str:
+    rows = [(g, i, t.replace("'", "''")) for g, own in DELIVERABLES.items() for i, t in enumerate([*own, *COMMON])]
+    every = " union all ".join(f"select '{g}' as goal, cast({i} as bigint) as ord, '{t}' as text" for g, i, t in rows)
+    return f"select goal, ord, replace(text, '{{action}}', coalesce(action, 'the recommended next step')) as text from ({every}) x cross join (select max(case when rank = 1 then action end) as action from suggestions) s"
+

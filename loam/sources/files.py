@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import PurePosixPath
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IGNORED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target")
@@ -39,18 +39,19 @@ def read_tree(
         files = files.where(suffix.isin(wanted) | F.lower(name).isin(wanted))
     kept = F.col("content") if sample_bytes is None else F.substring("content", 1, sample_bytes)
     files = files.select("path", kept.alias("raw"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("modified"))
-    text = F.when(F.is_valid_utf8(F.col("raw").cast("string")), F.col("raw").cast("string")).otherwise(_decoded("raw"))
-    return files.select("path", text.alias("content"), "size", "hash", "modified")
+    return files.select("path", _decoded_column(F.col("raw")).alias("content"), "size", "hash", "modified")
 
 
-def _decoded(column: str):
+def _decoded_column(raw: Column) -> Column:
+    """Bytes as text without those that are no UTF-8; only rows that have such bytes leave the JVM."""
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf("string")
     def decode(raw: pa.Array) -> pa.Array:
         return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in raw.to_pylist()], pa.string())
 
-    return decode(F.col(column))
+    text = raw.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(decode(raw))
 
 
 def without_ignored(files: DataFrame, ignored: DataFrame) -> DataFrame:

@@ -16,14 +16,17 @@ def watch(
 ) -> StreamingQuery:
     """Reads Parquet files of (path, content, deleted) that land in a folder.
 
-    Every batch updates the snapshot of (path, hash) and hands (path, status) of what changed to ``on_change``. A batch that is run
-    again after a failure starts from the same earlier snapshot and replaces its own.
+    Every batch updates the snapshot of (path, hash) and hands (path, status) of what changed to ``on_change``. Of a path's several
+    rows in a batch the one of the newest file counts, then the last by file name, deletions last. A batch that is run again after
+    a failure starts from the same earlier snapshot and replaces its own.
     """
     rows = spark.readStream.schema("path string, content string, deleted boolean").parquet(landing)
+    rows = rows.select("*", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"))
 
     def batch(df: DataFrame, k: int) -> None:
         before = last_snapshot(spark, state, k)
-        now = df.withColumn("hash", F.sha2("content", 256)).dropDuplicates(["path"])
+        row = F.struct("at", "file", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.sha2("content", 256).alias("hash"))
+        now = df.groupBy("path").agg(F.max(row).alias("row")).select("path", "row.deleted", "row.hash")
         gone = now.where(F.coalesce("deleted", F.lit(False))).select("path")
         new = now.where(~F.coalesce("deleted", F.lit(False))).select("path", "hash")
         old = before if before is not None else spark.createDataFrame([], "path string, hash string")
@@ -36,6 +39,18 @@ def watch(
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
+def run_until_stopped(query: StreamingQuery) -> None:
+    """Waits for the query; an interrupt or a termination signal stops it after its running batch."""
+    import signal
+
+    before = {s: signal.signal(s, lambda *_: query.stop()) for s in (signal.SIGINT, signal.SIGTERM)}
+    try:
+        query.awaitTermination()
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler)
+
+
 def event_rollup(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Counts by event type and time window of a stream with late rows (an extension)."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))

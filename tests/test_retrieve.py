@@ -17,3 +17,17 @@ def test_questions(spark):
     assert retrieve.answer(engine, "nowhere").startswith("Nothing")
     with pytest.raises(ValueError):
         retrieve.terms_of("what is the")
+
+
+def test_one_answer(spark):
+    rows = [("src/parser.py", "import os\nclass Parser:\n    def parse_line(self):\n        return os.getcwd()\n"), ("src/other.py", '"""Other things."""\ndef f():\n    parse_all()\n'), ("x.py", "def parse_all(): pass\n")]
+    corpus = spark.createDataFrame(rows, "path string, content string")
+    got = retrieve.retrieve(Engine.from_corpus(corpus), "parser parse_all", pygraph.python_graph(corpus), limit=2)
+    assert [f["path"] for f in got["files"]] == ["x.py", "src/parser.py"] and [s["qualname"] for s in got["symbols"]][:2] == ["Parser", "Parser.parse_line"]
+    assert [(s["path"], s["start_line"], s["end_line"]) for s in got["snippets"]] == [("x.py", 1, 1), ("src/parser.py", 1, 4)]
+    assert "2: class Parser:" in got["text"] and "- src/parser.py: os" in got["text"] and "- src.parser.Parser.parse_line: os.getcwd" in got["text"]
+    assert got["full_tokens"] == sum(len(t) for _, t in rows) // 4 and got["saved_percent"] == 0
+    files = [{"path": "a", "score": 3}, {"path": "b", "score": 2}]
+    known = {"c": {"line_count": 1, "summary": ""}, "a": {"line_count": 1, "summary": ""}}
+    kept = retrieve.include_symbol_files(files, [{"path": "a", "score": 9}, {"path": "c", "score": 5}, {"path": "z", "score": 5}], known, 2)
+    assert [f["path"] for f in kept] == ["a", "c"]

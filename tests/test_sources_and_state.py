@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql.functions import col as F_col
+
 from loam.operators import pygraph, state
 from loam.sources import files as F
 from loam.streaming.watch import watch
@@ -69,3 +71,84 @@ def test_savings(spark):
 def test_helpers():
     assert F.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
     assert F.repository_name("https://example.org/x/My Repo!.git") == "My-Repo"
+
+
+def test_config(spark, tmp_path, monkeypatch):
+    from loam.sources import config as C
+
+    assert C.validate(C.DEFAULTS) == [] and C.load() == C.DEFAULTS
+    bad = C.DEFAULTS | {"scan_interval_seconds": 0, "max_file_size_bytes": True, "auto_suggest": "yes", "ignore_dirs": ["a", ""], "log_file": 3, "performance_budgets": {"files": "x"}}
+    del bad["reports_path"]
+    assert C.validate(bad) == [
+        "Config key scan_interval_seconds must be >= 1", "Config key ignore_dirs must contain only non-empty strings", "Config key max_file_size_bytes must be an integer",
+        "Config key auto_suggest must be true or false", "Missing config key: reports_path", "Config key log_file must be str", "Performance budget files must be numeric",
+    ]
+    at = str(tmp_path / "c.json")
+    C.write_json(at, {"scan_interval_seconds": 7, "performance_budgets": {"files": 9}})
+    monkeypatch.setenv("LOAM_CONFIG", at)
+    assert C.load()["scan_interval_seconds"] == 7 and C.load()["performance_budgets"] == {"scan_seconds": 5.0, "files": 9, "context_tokens": 4000}
+    (tmp_path / "bad.json").write_text("{")
+    assert C.read_json(str(tmp_path / "bad.json"), [1]) == [1] and C.read_json(str(tmp_path / "none.json"), {}) == {}
+    rows = {r.name: r.ok for r in C.doctor(spark, C.DEFAULTS, str(tmp_path), 1).collect()}
+    assert rows["config"] and rows["project_dir"] and not rows["reports_path"] and not rows["focus_files"]
+    assert [p.rsplit("/", 1)[-1] for p in C.own_paths(C.DEFAULTS, str(tmp_path), ["more"])] == ["knowledge", "checkpoints", "reports", "log", "more"]
+    assert (C.budget_name(" Large "), C.budget_name("huge"), C.budget_name(None, "tiny")) == ("large", "small", "tiny")
+    assert C.as_bool(" On ") and not C.as_bool("x") and C.as_bool(None, True) and C.as_int("x", 3) == 3 and C.as_list("a, b\n,c") == ["a", "b", "c"]
+    (tmp_path / "f").write_bytes(b"abc")
+    assert C.file_hash(str(tmp_path / "f")).startswith("ba7816bf") and C.file_hash(str(tmp_path)) == "unreadable"
+    xml = spark.createDataFrame([('<?xml version="1.0"?><!DOCTYPE a [<!ENTITY x "y">]><a>1</a>',)], "x string").select(C.without_doctype(F_col("x")).alias("y")).first().y
+    assert xml == '<?xml version="1.0"?><a>1</a>' and C.git_context(str(tmp_path)) == {"enabled": False}
+    assert C.git_source("https://example.org/x.git") == "https://example.org/x.git" and C.git_source(str(tmp_path)) == str(tmp_path.resolve())
+    assert C.now()[:2] == "20"
+
+
+def test_scan_cache(spark, tmp_path):
+    from loam.sources.config import cached_scan
+
+    seen = []
+
+    def extract(rows):
+        seen.append(sorted(r.path for r in rows.collect()))
+        return rows.withColumn("lines", rows.size * 2)
+
+    listing = lambda *r: spark.createDataFrame(list(r), "path string, size long, modified long")
+    at = str(tmp_path / "cache")
+    assert cached_scan(listing(("a", 1, 1), ("b", 2, 1)), at, "full", extract)[1] == {"hits": 0, "misses": 2, "writes": 2}
+    facts, counts = cached_scan(listing(("a", 1, 1), ("b", 2, 5), ("c", 3, 1)), at, "full", extract)
+    assert counts == {"hits": 1, "misses": 2, "writes": 3} and seen[1] == ["b", "c"] and {(r.path, r.lines) for r in facts.collect()} == {("a", 2), ("b", 4), ("c", 6)}
+    assert cached_scan(listing(("c", 3, 1), ("d", 1, 1)), at, "fast4", extract)[1]["hits"] == 1
+    assert cached_scan(listing(("d", 1, 1)), at, "full", extract)[1]["hits"] == 0
+    assert cached_scan(listing(("d", 1, 1)), at, "fast4", extract)[1]["hits"] == 1
+
+
+def test_tables(spark, tmp_path):
+    t = state.Tables(spark, str(tmp_path / "kb"))
+    assert t.read("issues") is None and t.last("scans") is None
+    t.replace_issues(spark.createDataFrame([("todo", "low", "x", "a.py", "m")], "type string, severity string, category string, file string, message string"))
+    t.add_issue("2024", "by hand")
+    assert {(r.type, r.message) for r in t.read("issues").collect()} == {("todo", "m"), ("manual", "by hand")} and "category" not in t.read("issues").columns
+    t.add_decision("1", "use it", "fast")
+    t.add_decision("2", "drop it")
+    assert [r.decision for r in t.last("decisions", 1).collect()] == ["drop it"] and [r.decision for r in t.last("decisions").collect()] == ["use it", "drop it"]
+    for k in range(3):
+        t.record_savings(str(k), "context", 100, 40)
+    assert t.read("savings_totals").first().full_tokens == 300 and t.append("savings", t.read("savings").limit(0), 2).count() == 2
+    t.record_task("1", "fix", ["a.py"], [], ["r"], [])
+    t.update_suggestions(spark.createDataFrame([(1, "T", None)], "rank long, title string, priority string"))
+    assert t.read("suggestions").first().asDict()["priority"] == "low" and t.read("tasks").first().changed_files == ["a.py"]
+    t.reset()
+    assert t.read("tasks") is None
+
+
+def test_scan_once(spark, tmp_path):
+    from loam.plans.engine import Engine
+
+    t = state.Tables(spark, str(tmp_path / "kb"))
+    engine = lambda **files: Engine.from_corpus(spark.createDataFrame([(p.replace("_", "/", 1) + ".py", c) for p, c in files.items()], "path string, content string"))
+    state.scan_once(engine(src_a="x = 1\n", src_b="y = 1\n"), t, "1")
+    out = state.scan_once(engine(src_a="x = 2\n", src_c="z = 1\n"), t, "2")
+    assert {(r.path, r.status) for r in out["diff"].collect()} == {("src/a.py", "modified"), ("src/b.py", "deleted"), ("src/c.py", "new")}
+    assert {r.path for r in t.read("files").collect()} == {"src/a.py", "src/c.py"}
+    assert [(r.ts, r.new_count, r.modified_count, r.deleted_count) for r in t.last("scans").collect()] == [("1", 2, 0, 0), ("2", 1, 1, 1)]
+    focus = spark.createDataFrame([("src/a.py",), ("src/b.py",), ("",)], "path string")
+    assert [r.path for r in state.stale_focus(focus, t.read("files")).collect()] == ["src/b.py"]

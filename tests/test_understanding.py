@@ -123,3 +123,21 @@ def test_contexts(project):
     assert lines[:4] == ["# Project Knowledge Base", "", "## Summary", "- Project: Notes"] and "## Important Files" in lines and "- src/main.py: entry point" in lines
     r = one(e, "llm_readiness")
     assert r.budget == "tiny" and r.full_tokens == 11 and r.focus_files.split(";")[0] == "src/main.py"
+
+
+def test_reports(project, tmp_path):
+    import json
+
+    from loam.operators import render
+
+    e = project({"src/main.py": "if __name__ == '__main__':\n    x()\n", "README.md": "# Notes <b>\n", "tests/test_main.py": "x = 1\n"})
+    assert render.save_bundle(e, str(tmp_path), "small") == ["context.txt", "overview.txt", "prompt.txt", "report.html", "report.json", "report.md"]
+    r = json.loads((tmp_path / "report.json").read_text())
+    assert r["metrics"]["total_files"] == 3 and list(r) == sorted(r)
+    assert "## Suggestions" in (tmp_path / "report.md").read_text() and "<b>" not in (tmp_path / "report.html").read_text()
+    assert "- src/main.py: entry point" in (tmp_path / "overview.txt").read_text()
+    pack = render.prompt_pack(e, "debug", "tiny")
+    assert pack["objective"].startswith("find the most likely root cause") and len(pack["deliverables"]) == 5 and "src/main.py" in pack["focus_files"] and len(pack["focus_files"]) <= 4
+    assert pack["text"].endswith(render.context(e, "tiny").strip() + "\n")
+    plan = {x.goal: x.objective for x in e.relation("objectives").collect()}
+    assert plan["plan"].endswith("; start from src/main.py") and ": " in plan["next"] and set(plan) == {"next", "debug", "review", "plan", "document", "test"}
