@@ -141,6 +141,16 @@ def drift_flags(d: Spark, x: str) -> str:
     return d.slice(d.filter(d.array(*hits), "h", "h is not null"), 6)
 
 
+def drift_lines(d: Spark, text: str) -> str:
+    """``text``: the lines. Of the first three placeholder patterns that occur: label, number and beginning of their first line."""
+
+    def first(p: str, label: str) -> str:
+        i = d.at(d.filter(d.sequence("1", d.size(text)), "i", d.match(f"lower({d.at(text, 'cast(i as int)')})", p)), "1")
+        return f"'{label} at ' || {d.text(i)} || ': ' || left(trim({d.at(text, f'cast({i} as int)')}), 100)"
+
+    return d.slice(d.filter(d.array(*[first(p, label) for p, label in PLACEHOLDERS]), "h", "h is not null"), 3)
+
+
 def empty_headings(d: Spark, text: str) -> str:
     """``text``: the lines. Headings none of whose next four lines has text, or whose next text is a bare list mark; the last line is never tested."""
     after = d.filter(d.cut(text, "i + 1", "i + 4"), "c", "trim(c) <> ''")

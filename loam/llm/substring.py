@@ -132,10 +132,11 @@ def paths(contexts: DataFrame) -> DataFrame:
     seen = written(seen.select("id", "up", "back"), "path")
     for _ in range(MOST_DOUBLINGS):
         before = seen.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("back").alias("back2"))
-        further = seen.join(before, "up", "left")
-        if further.where("up2 is not null").isEmpty():
+        step = seen.join(before, "up", "left").withColumn("back", F.col("back") + F.coalesce("back2", F.lit(0)))
+        step = written(step.select("id", F.coalesce("up2", "up").alias("up"), "back", F.col("up2").isNotNull().alias("moved")), "path")
+        seen = step.drop("moved")
+        if step.where("moved").isEmpty():
             break
-        seen = written(further.select("id", F.coalesce("up2", "up").alias("up"), (F.col("back") + F.coalesce("back2", F.lit(0))).alias("back")), "path")
     else:
         raise RuntimeError("a path without a first edge")
     ends = seen.join(named.select("id", "n"), "id").groupBy(F.col("up").alias("id")).agg(F.max(F.col("back") + F.col("n")).alias("whole"))

@@ -78,7 +78,7 @@ def x7_x9_manifests(d: Spark) -> str:
 
 @query
 def x8_document_quality(d: Spark) -> str:
-    return f"select path, doc_title, {flat(d, 'drift')} as drift, empty_headings from files where suf in ('.md', '.txt') or n = 'readme'"
+    return f"select path, doc_title, {flat(d, 'drift')} as drift, {flat(d, 'drift_lines')} as drift_lines, empty_headings from files where suf in ('.md', '.txt') or n = 'readme'"
 
 
 @query
@@ -436,15 +436,20 @@ def j10_test_relationships(d: Spark) -> str:
 
 @query
 def j12_related_tests(d: Spark) -> str:
-    """Tests below tests/ to run for modified Python files: changed ones, those of a changed stem, and those whose text holds one.
+    """Tests below tests/ to run for new and modified Python files: changed ones, those of a changed stem, and those whose text holds one.
 
-    Whether a text holds a stem is an equality with one of its words; the few words that hold a changed stem are found first.
+    A stem of letters, digits and underscores lies within one such word of the text, so holding it is an equality with one of the
+    parts, of the stems' lengths, of the tests' distinct words. Other stems are few; they are looked for in the texts.
     """
-    stems = "select distinct f.st, f.path from files f join (select path from diff where status in ('modified', 'new')) c on f.path = c.path where f.suf = '.py'"
+    stems = "select distinct f.st, f.path from files f join (select path from diff where status in ('modified', 'new')) c on f.path = c.path where f.suf = '.py' and f.st <> ''"
     tests = f"select path, {d.sub(d.sub('st', '^test_', ''), '_test$', '')} as k from files where suf = '.py' and left(path, 6) = 'tests/' and left(n, 4) = 'test'"
-    words = f"select distinct t.path, {d.explode(d.split('lower(c.content)', '[^a-z0-9_]+'))} as w from ({tests}) t join corpus c on t.path = c.path"
-    return f"""with stems as ({stems}), held as ({words}) select path from stems where left(path, 6) = 'tests/' union select t.path from ({tests}) t join stems s on t.k = s.st
-      union select h.path from held h join (select distinct w from (select distinct w from held where w <> '') a join (select distinct st from stems where st <> '') b on contains(a.w, b.st)) m on h.w = m.w"""
+    words = f"select distinct t.path, {d.explode(d.split('lower(c.content)', '[^a-z0-9_]+'))} as w from t join corpus c on t.path = c.path"
+    starts = d.explode(d.sequence("1", "length(w) - n + 1"))
+    parts = f"select w, substr(w, cast(i as int), cast(n as int)) as k from (select w, n, {starts} as i from (select distinct w from held) a join (select distinct length(st) as n from plain) b on length(a.w) >= b.n) c"
+    return f"""with stems as ({stems}), t as ({tests}), plain as (select distinct st from stems where {d.match('st', '^[a-z0-9_]+$')}), held as ({words})
+      select path from stems where left(path, 6) = 'tests/' union select t.path from t join stems s on t.k = s.st
+      union select h.path from held h join (select distinct p.w from ({parts}) p join plain s on p.k = s.st) m on h.w = m.w
+      union select t.path from t join corpus c on t.path = c.path join (select distinct st from stems where not {d.match('st', '^[a-z0-9_]+$')}) o on contains(lower(c.content), o.st)"""
 
 
 @query
@@ -525,8 +530,14 @@ def j9_evidence(d: Spark) -> str:
 
 @query
 def j14_test_commands(d: Spark) -> str:
-    return f"""select 'python -m pytest ' || {d.join(d.slice(d.collect('test', 'test'), 4), ' ')} as command from (select distinct c.test_file as test from coverage c
-      join (select path from files where suf = '.py' order by line_count desc, path limit 40) f on c.path = f.path where c.test_file is not null and right(c.test_file, 3) = '.py') t having count(*) > 0"""
+    """How to test each suggestion's files: tests of their stems, else the first ones; other languages' tests by their own runner."""
+    stems = f"select distinct rank, {d.sub(X.name('path'), r'[.]py$', '')} as stem from (select rank, {d.explode('focus')} as path from suggestions) f where right(path, 3) = '.py'"
+    tests = f"select path, {d.sub(d.sub(X.name('path'), '^test_', ''), r'[.]py$', '')} as stem, right(path, 3) = '.py' as py from files where is_test_file"
+    four = lambda source, by: f"select {by}, {d.join(d.collect('path', 'k'), ' ')} as files from (select {by}, path, row_number() over (partition by {by} order by path) as k from {source}) q where k <= 4 group by {by}"
+    return f"""with t as ({tests}), s as ({stems}), m as (select s.rank, t.path, t.py from s join t on s.stem = t.stem), near as ({four('(select rank, path from m where py) z', 'rank')}), first as ({four('(select 1 as one, path from t where py) z', 'one')})
+      select r.rank, case when a.rank is not null and n.files is not null then 'python -m pytest ' || n.files when a.rank is not null and o.rank is not null or a.rank is null and f.files is null then 'Run the project''s native test runner for the affected test files.'
+        when f.files is not null then 'python -m pytest ' || f.files else 'Run the project''s native test runner.' end as command
+      from suggestions r left join (select distinct rank from s) a on r.rank = a.rank left join near n on r.rank = n.rank left join (select distinct rank from m) o on r.rank = o.rank left join first f on f.one = 1 where exists (select 1 from t)"""
 
 
 @query

@@ -15,7 +15,7 @@ from .relations import RELATIONS, needed, plan
 
 #: Relations that others use again and again: each is stored when it is first needed, so no plan holds them twice.
 STORED = (
-    "metrics", "archetype", "entry_points", "file_issues", "scored", "top_risks", "hotspots", "kept_components", "frameworks", "all_frameworks", "language_scores",
+    "metrics", "primary_language", "archetype", "entry_points", "file_issues", "scored", "top_risks", "hotspots", "kept_components", "frameworks", "all_frameworks", "language_scores",
     "coverage_warning", "all_issues", "health", "diff", "patterns", "readme", "core_roles", "identity", "project_type", "purpose", "understanding", "important_files",
     "workflow_hints", "raw_suggestions", "suggestions", "context_lines",
 )

@@ -125,6 +125,7 @@ def facts(d: Spark) -> str:
       {X.symbols(d, x, ext)} as symbols, cast({X.todo_count(d, 'rows')} as bigint) as todo_count, {X.manifest(d, x, ext, 'n', 'name')} as meta_name, {X.manifest(d, x, ext, 'n', 'description')} as meta_description,
       case when {X.is_document(ext, 'n')} then {X.doc_title(d, x)} end as doc_title,
       case when {X.is_document(ext, 'n')} then {X.drift_flags(d, x)} else {d.no_texts()} end as drift,
+      case when {X.is_document(ext, 'n')} then {X.drift_lines(d, 'rows')} else {d.no_texts()} end as drift_lines,
       case when {X.is_document(ext, 'n')} then cast({X.empty_headings(d, 'rows')} as bigint) else 0 end as empty_headings, {heading} as heading from ({facts_sql(d, 'corpus')}) f) g"""
 
 
@@ -183,26 +184,45 @@ def file_issues(d: Spark) -> str:
 
 @relation
 def archetype_signals(d: Spark) -> str:
+    """What paths alone say of a project's kind: one row of existences and counts."""
     has = lambda c: f"coalesce(bool_or({c}), false)"
-    return f"""select {has("contains(bare, 'libraries/lib')")} as browser, {has("contains(path, 'src-tauri/src/main.rs')")} as tauri,
-      count_if({X.begins('path', 'packages/', 'crates/')}) as packaged, {has(X.begins('path', 'apps/'))} and {has(X.begins('path', 'services/'))} as apps_services,
-      {has(X.begins('path', 'modules/'))} and {has(X.begins('path', 'services/'))} as modules_services,
-      {has("suf = '.go' or n = 'go.mod'")} as go, {has(X.ends('path', 'main.go'))} as main_go, {has(X.begins('path', 'cmd/', 'api/', 'server/', 'src/'))} as app_dirs,
-      {has(d.match('path', r'^(src/|app/|cmd/[^/]+/)?main\.[a-z]+$'))} as app_main, {has("(contains(path, '/api/') or " + X.begins('path', 'api/', 'src/') + ")")} as api_or_src,
-      count_if(role = 'vendor') as vendor, count_if(role = 'generated_sdk') as generated, count_if(role in ('documentation', 'specification')) as docs,
-      count_if(role = 'source') as sources, count_if(role in ('test', 'test_runner')) as tests, count(distinct case when role = 'source' then suf end) as extensions from files"""
+    main = X.ends("path", "main.rs", "main.go", "main.ts", "main.py", "main.cpp", "main.cc")
+    aside = X.any_in("path", ("/gen/", "/generated/", "/genop/", "/tools/", "/cmd/")) + " or " + X.begins("path", "tools/", "cmd/")
+    second, raw = d.at("parts", "2"), X.suffix(d, "path")
+    roots = listed(("core", "python", "compiler", "lite", "runtime", "api", "go", "java", "c", "cc", "tools", "stream_executor", "tpu", "dtensor"))
+    runtime = ("core/", "runtime/", "api/", "python/", "compiler/", "lite/")
+    code = (".py", ".js", ".ts", ".rs", ".go", ".cpp", ".c", ".h", ".java", ".cc", ".hpp", ".hh", ".hxx")
+    languages = (".py", ".js", ".ts", ".rs", ".go", ".cpp", ".c", ".h", ".hpp", ".cc", ".java", ".kt", ".rb", ".cs")
+    return f"""select {has("contains(path, 'libraries/lib')")} as browser, {has("contains(path, 'src-tauri/src/main.rs')")} as tauri, {has(X.ends('path', 'go.mod'))} as go_mod, {has(X.ends('path', 'main.go'))} as main_go,
+      count_if({X.begins('path', 'packages/')}) > 5 or count_if({X.begins('path', 'crates/')}) > 5 or {has(X.begins('path', 'apps/'))} and {has(X.begins('path', 'services/'))}
+        or {has(X.begins('path', 'modules/'))} and {has(X.begins('path', 'services/'))} as packaged,
+      {has(X.begins('path', 'cmd/', 'server/'))} as cmd_or_server, {has(X.begins('path', 'api/', 'src/'))} as api_or_src, {has(f'{main} and not ({aside})')} as main_root, count_if({main} and not ({aside})) as mains,
+      {has(X.any_in('path', ['/' + x for x in runtime]) + ' or ' + X.begins('path', *runtime))} as large_runtime, count(distinct case when {second} in {roots} then {second} end) >= 2 as layout,
+      count_if({X.begins('path', 'vendor/', 'third_party/')}) as vendor, count_if({X.any_in('path', ('/gen/', '/generated/'))}) as generated, count_if({X.begins('path', 'docs/')} or {X.ends('path', '.md')}) as docs,
+      count_if({raw} in {listed(code)}) as sources, count_if({X.any_in('path', ('/test/', '/tests/'))} or {X.ends('path', '_test.go')}) as tests, count(distinct case when suf in {listed(languages)} then suf end) as languages from files"""
+
+
+def _archetype(go: str, browser: str) -> str:
+    """Later rules override earlier ones; a framework or library is an app without a main file of its own, or one laid out as such."""
+    rooted = "(main_root or tauri) and (cmd_or_server or api_or_src)"
+    framework = "p = 'app' and (layout and mains <= 2 and sources >= 3 or not main_root and (api_or_src or large_runtime or layout))"
+    return f"""select case when {framework} then 'framework_library' else p end as primary_archetype, case when {framework} then 'medium' else c end as confidence, vendor > 20 as vendor_heavy, generated > 20 as generated_heavy,
+      docs > 2 * sources and sources > 0 as documentation_heavy, tests > 0 and tests > 2 * sources as test_suite, languages >= 3 as mixed_language from (select *,
+        case when go and not main_go then 'framework_library' when {rooted} then case when go then 'cli_server' when tauri then 'desktop_app' else 'app' end
+          when packaged then 'monorepo' when tauri then 'desktop_app' when web then 'browser_engine' else 'app' end as p,
+        case when go and not main_go then 'medium' when {rooted} or packaged or tauri or web then 'high' else 'medium' end as c
+      from (select *, go_mod and {go} as go, browser or {browser} as web from archetype_signals) s) x"""
 
 
 @relation
 def archetype(d: Spark) -> str:
-    return """select case when app and not app_main and api_or_src then 'framework_library' else p end as primary_archetype,
-      case when app and not app_main and api_or_src then 'medium' else c end as confidence, vendor > 20 as vendor_heavy, generated > 20 as generated_heavy,
-      docs > 2 * sources as documentation_heavy, tests > 2 * sources as test_suite, extensions >= 3 as mixed_language from (
-      select *, p = 'app' and c = 'medium' as app from (select *,
-        case when go and not main_go then 'framework_library' when (app_main or tauri) and app_dirs then case when go then 'cli_server' when tauri then 'desktop_app' else 'app' end
-          when packaged > 5 or apps_services or modules_services then 'monorepo' when tauri then 'desktop_app' when browser then 'browser_engine' else 'app' end as p,
-        case when go and not main_go then 'medium' when (app_main or tauri) and app_dirs or packaged > 5 or apps_services or modules_services or tauri or browser then 'high' else 'medium' end as c
-      from archetype_signals) x) y"""
+    return _archetype("(select language from primary_language) = 'go'", "exists (select 1 from kept_components where lower(key) in ('libraries/libweb', 'libraries/libjs', 'ak'))")
+
+
+@relation
+def plain_archetype(d: Spark) -> str:
+    """Of paths alone, as issues are found before languages and components are known."""
+    return _archetype("false", "false")
 
 
 @relation
@@ -211,7 +231,7 @@ def issues(d: Spark) -> str:
     return f"""select * from file_issues
       union all {one('no_tests', 'high', 'test', 'No test files detected in project', 'not has_tests')}
       union all {one('no_readme', 'medium', 'structural', 'No README file found', 'not has_readme')}
-      union all {one('no_entry_point', 'low', 'runtime', 'No clear entry point detected', "total_files > 3 and not has_entries and (select primary_archetype from archetype) not in ('framework_library', 'monorepo')")}"""
+      union all {one('no_entry_point', 'low', 'runtime', 'No clear entry point detected', "total_files > 3 and not has_entries and (select primary_archetype from plain_archetype) not in ('framework_library', 'monorepo')")}"""
 
 
 @relation

@@ -435,19 +435,21 @@ def raw_suggestions(d: Spark) -> str:
 def suggestions(d: Spark) -> str:
     """Each title and action once, with impact, effort, label and confidence; the ten most urgent, in the rules' order on ties."""
     once = "select *, row_number() over (partition by title, action order by ord, sub) as again from raw_suggestions"
-    hits = f"""select s.ord, s.sub, count(i.file) as related from (select ord, sub, {d.explode('focus')} as path from once) s join file_issues i on s.path = i.file group by s.ord, s.sub"""
+    each = f"(select ord, sub, {d.explode('focus')} as path from once) s"
+    hits = f"select s.ord, s.sub, count(i.file) as related from {each} join file_issues i on s.path = i.file group by s.ord, s.sub"
+    known = f"select s.ord, s.sub, count(*) as known from {each} join files f on s.path = f.path group by s.ord, s.sub"
     impact = "case when priority = 'low' then 'low' when priority in ('critical', 'high') or category in ('security', 'testing') then 'high' else 'medium' end"
     effort = "case when category = 'cleanup' then 'low to triage, high to remediate' when category = 'refactoring' or focused > 5 then 'high' when focused <= 2 then 'low' else 'medium' end"
     label = """case when priority in ('critical', 'high') then 'risky' when impact = 'high' and effort = 'low' then 'quick win' when category in ('architecture', 'refactoring', 'release') then 'strategic'
       when focused = 0 then 'needs user decision' when effort = 'low' then 'quick win' else 'strategic' end"""
     uncertainty = "case when focused > 0 or related > 0 then case when surface_confidence = 'low' then 'medium' else 'low' end else 'medium' end"
-    evidence = f"""reason || case when focused > 0 then '; ' || focused || '/' || focused || ' focus file(s) known' else '' end || case when related > 0 then '; ' || related || ' related audit issue(s)' else '' end"""
+    evidence = f"""reason || case when focused > 0 then '; ' || known || '/' || focused || ' focus file(s) known' else '' end || case when related > 0 then '; ' || related || ' related audit issue(s)' else '' end"""
     order = f"{case('priority', [('critical', 4), ('high', 3), ('medium', 2), ('low', 1)], '0')} desc, {case('impact', [('high', 3), ('medium', 2), ('low', 1)], '0')} desc, {case('effort', [('low', 3), ('medium', 2), ('high', 1)], '0')} desc, ord, sub"
     return f"""select * from (select cast(row_number() over (order by {order}) as bigint) as rank, ord, category, priority, title, reason, action, focus, impact, effort, {label} as label, uncertainty,
         case uncertainty when 'low' then 'high' when 'medium' then 'medium' else 'low' end as confidence, surface_confidence, {evidence} as evidence from (
       select *, {impact} as impact, {effort} as effort, {uncertainty} as uncertainty from (
-        with once as (select * from ({once}) o where again = 1) select o.*, cast({d.size('o.focus')} as bigint) as focused, case when {d.size('o.focus')} = 0 then (select count(*) from all_issues) else coalesce(h.related, 0) end as related
-        from once o left join ({hits}) h on o.ord = h.ord and o.sub = h.sub) a) b) c where rank <= 10"""
+        with once as (select * from ({once}) o where again = 1) select o.*, cast({d.size('o.focus')} as bigint) as focused, case when {d.size('o.focus')} = 0 then (select count(*) from all_issues) else coalesce(h.related, 0) end as related, coalesce(w.known, 0) as known
+        from once o left join ({hits}) h on o.ord = h.ord and o.sub = h.sub left join ({known}) w on o.ord = w.ord and o.sub = w.sub) a) b) c where rank <= 10"""
 
 
 # Context

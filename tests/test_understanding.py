@@ -36,7 +36,7 @@ def test_identity_and_purpose(project):
     assert one(named, "purpose").purpose == "Finds notes again."
     bare = project({"lib/a.go": "package lib\n"})
     assert (one(bare, "identity").project_name, one(bare, "primary_language").language) == ("corpus", "go")
-    assert one(bare, "project_type").project_type == "Go framework/library"
+    assert one(bare, "project_type").project_type == "go application"
     none = project({"x.bin": ""})
     assert one(none, "purpose").purpose == "Purpose could not be confidently inferred from README." and one(none, "primary_language").language == "unknown"
 
@@ -87,6 +87,28 @@ def test_suggestions(project):
     assert e.relation("test_candidates").collect()[0].asDict() == {"path": "src/main.py", "stem": "main", "test": None, "candidate": "tests/test_main.py"}
 
 
+def test_archetypes(project):
+    kinds = {
+        "framework_library medium": ["lib/core/a.py", "lib/python/b.py", "lib/api/c.py"], "cli_server high": ["go.mod", "main.go", "cmd/x.go", "server/y.go"], "monorepo high": ["apps/a.py", "services/b.py"],
+        "app high": ["src/main.py", "src/a.py"], "desktop_app high": ["src-tauri/src/main.rs", "src/a.ts"], "browser_engine high": ["libraries/libweb/a.cpp"], "app medium": ["lib/a.py"],
+    }
+    for kind, paths in kinds.items():
+        r = one(project(dict.fromkeys(paths, "x\n")), "archetype")
+        assert f"{r.primary_archetype} {r.confidence}" == kind, paths
+    library = one(project({"go.mod": "module x\n", "pkg/a.go": "package a\n", **{f"docs/{i}.md": "# x\n" for i in range(9)}}), "archetype")
+    assert (library.primary_archetype, library.documentation_heavy, library.mixed_language, library.test_suite) == ("framework_library", True, False, False)
+
+
+def test_commands_and_evidence_lines(project):
+    from loam.operators.catalog import QUERIES
+    from loam.plans.dialect import SPARK
+
+    e = project({"src/main.py": "if __name__ == '__main__':\n    x()\n", "tests/test_main.py": "x = 1\n", "tests/test_other.py": "x = 1\n", "docs/a.md": "# A\n\nsome text\nIt is TBD here\n- \n"})
+    commands = {r.command for r in e.sql(QUERIES["j14_test_commands"](SPARK)).collect()}
+    assert "python -m pytest tests/test_main.py" in commands and commands <= {"python -m pytest tests/test_main.py", "python -m pytest tests/test_main.py tests/test_other.py"}
+    assert e.relation("files").where("path = 'docs/a.md'").first().drift_lines == ["TBD at 4: It is TBD here", "empty bullet at 5: -"]
+
+
 def test_patterns_are_compiled_from_rules(project):
     from loam.plans.dialect import SPARK
     from loam.plans.understanding import patterns_sql
