@@ -22,8 +22,20 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loam-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which an execution removes its shuffle files when it ends, instead of when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, tag: str = "table") -> DataFrame:
-    """Writes ``df`` once to the shared folder and returns the stored table: its lineage ends there."""
+    """Writes ``df`` once to the shared folder and returns the stored table: its lineage ends there.
+
+    What was shuffled for it is of no use after the commit, so it is removed then; the session's own setting is put back.
+    """
     spark, path = df.sparkSession, f"{work_dir(df.sparkSession)}/{tag}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
