@@ -390,19 +390,6 @@ def r1_retrieve_files(d: Spark) -> str:
     return f"select path, score, cast(row_number() over (order by score desc, line_count, path) as bigint) as k from ({_ranked(d, 'review', 20)}) z"
 
 
-@query
-def w14_snippets(d: Spark) -> str:
-    """The first two matching lines of each retrieved file, numbered, with two lines around each; none of files after twelve."""
-    hit = "(" + " or ".join(f"contains(lower({d.at('l', 'cast(i as int)')}), '{t}')" for t in TERMS) + ")"
-    found = d.slice(d.filter(d.sequence("1", d.size("l")), "i", hit), 2)
-    around = d.sequence("greatest(i - 2, 1)", f"least(i + 2, {d.size('l')})")
-    text = d.join(d.each(around, "j", f"{d.text('j')} || ': ' || {d.at('l', 'cast(j as int)')}"), "|")
-    ranked = f"select path, row_number() over (order by score desc, line_count, path) as k from ({_ranked(d, 'review', 8)}) z"
-    hits = f"select r.k, c.path, {X.lines(d, 'c.content')} as l from corpus c join ({ranked}) r on c.path = r.path"
-    return f"""with hits as (select k, path, l, {found} as spots from ({hits}) h), upto as (select k, coalesce(sum({d.size('spots')}) over (order by k rows between unbounded preceding and 1 preceding), 0) as before from hits)
-      select path, cast(greatest(i - 2, 1) as bigint) as start_line, cast(least(i + 2, {d.size('l')}) as bigint) as end_line, {text} as text from (select h.path, h.l, {d.explode('h.spots')} as i from hits h join upto u on h.k = u.k where u.before < 12) b"""
-
-
 @query
 def x19_query_terms(d: Spark) -> str:
     stop = "('a', 'an', 'and', 'are', 'for', 'from', 'how', 'implemented', 'in', 'is', 'of', 'on', 'or', 'the', 'to', 'what', 'where', 'which', 'who', 'why', 'with')"

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.functions import extract as X
 from loam.plans.dialect import DUCK
 from loam.plans.engine import Engine
 from loam.plans.relations import plan
 from loam.sources import config, files
 
-from . import pygraph, retrieve, state
+from . import catalog, pygraph, retrieve, state
 
 EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -183,3 +184,24 @@ def r1_r5_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = retrieve.retrieve(engine, "main title helper", _graph(spark, sf_dir), "review")
     rows = [(";".join(f["path"] for f in got["files"]), ";".join(s["qualname"] for s in got["symbols"]), len(got["snippets"]), got["full_tokens"], got["retrieved_tokens"], got["saved_percent"], got["text"])]
     return spark.createDataFrame(rows, "files string, symbols string, snippets int, full_tokens long, retrieved_tokens long, saved_percent int, text string")
+
+
+def _snippets_sql() -> str:
+    """Line by line for the first eight files."""
+    terms = "(" + " or ".join(f"contains(lower(line), '{t}')" for t in catalog.TERMS) + ")"
+    return f"""select * from (with ranked as (select path, row_number() over (order by score desc, line_count, path) as k from ({catalog._ranked(DUCK, 'review', 8)}) z),
+      texts as (select k, c.path, {X.lines(DUCK, 'content')} as l from corpus c join ranked r on c.path = r.path),
+      numbered as (select k, path, unnest(range(1, len(l) + 1)) as i, unnest(l) as line from texts),
+      hits as (select k, path, i, row_number() over (partition by path order by i) as n from numbered where {terms}),
+      shown as (select *, (select count(*) from hits h where h.k < hits.k and h.n <= 2) as before from hits where n <= 2)
+      select cast(s.k as int) as k, cast(s.n as int) as n, s.path, min(x.i) as start_line, max(x.i) as end_line, string_agg(x.i || ': ' || x.line, chr(10) order by x.i) as text
+      from shown s join numbered x on x.path = s.path and abs(x.i - s.i) <= 2 where s.before < 12 group by s.k, s.n, s.path) w"""
+
+
+@registered(plan(DUCK, _snippets_sql()))
+def w14_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two matching lines of each retrieved file, with two lines around each; none of files after twelve."""
+    engine = Engine.from_documents(spark, sf_dir)
+    question = " ".join(catalog.TERMS)
+    paths = [r.path for r in retrieve.rank_files(engine, question, "review", 8).collect()]
+    return retrieve.snippets(engine, retrieve.terms_of(question), paths)

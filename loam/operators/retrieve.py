@@ -94,21 +94,26 @@ def call_hints(graph: DataFrame, terms: list[str], paths: list[str], most: int =
     return ranked.groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]).alias("calls"))
 
 
-def snippets(engine: Engine, terms: list[str], paths: list[str], around: int = 2, each: int = 2, enough: int = 12) -> list[dict]:
-    """The first lines of each file that hold a term, with lines around them; files after ``enough`` snippets are left out."""
-    lines = F.expr(X.lines(SPARK, "content"))
-    rows = engine.sql("select path, content from corpus").where(F.col("path").isin(paths)).select("path", F.posexplode(lines).alias("i", "line"))
+def snippets(engine: Engine, terms: list[str], paths: list[str], around: int = 2, each: int = 2, enough: int = 12) -> DataFrame:
+    """The first lines of each file that hold a term, with lines around them; files after ``enough`` snippets are left out.
+
+    k (place of the file in ``paths``), n (from 1 within the file), path, start_line, end_line, text. ``paths`` are the few files
+    of one answer: the filter on them is pushed down to the contents, and only their lines are made into rows, once.
+    """
+    if not paths or not terms:
+        return engine.spark.createDataFrame([], "k int, n int, path string, start_line long, end_line long, text string")
+    place = F.array_position(F.array(*[F.lit(p) for p in paths]), F.col("path")).cast("int")
+    chosen = engine.sql("select path, content from corpus").where(F.col("path").isin(paths))
+    lines = chosen.select("path", place.alias("k"), F.posexplode(F.expr(X.lines(SPARK, "content"))).alias("i", "line"))
     hit = reduce(lambda a, b: a | b, [F.contains(F.lower("line"), F.lit(t)) for t in terms])
-    first = rows.where(hit).withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("i"))).where(F.col("k") <= each).select("path", F.col("i").alias("at"), "k")
-    near = rows.join(F.broadcast(first), "path").where(F.abs(F.col("i") - F.col("at")) <= around)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: F.concat((x["i"] + 1).cast("string"), F.lit(": "), x["line"])), "\n")
-    found = near.groupBy("path", "at", "k").agg(text.alias("text"), F.min("i").alias("a"), F.max("i").alias("b")).collect()
-    out: list[dict] = []
-    for p in paths:
-        out += [{"path": p, "start_line": r.a + 1, "end_line": r.b + 1, "text": r.text} for r in sorted(found, key=lambda r: r.k) if r.path == p]
-        if len(out) >= enough:
-            break
-    return out
+    within = Window.partitionBy("path").orderBy("i").rowsBetween(-around, around)
+    lines = lines.select("path", "k", "i", hit.alias("hit"), F.collect_list(F.concat((F.col("i") + 1).cast("string"), F.lit(": "), F.col("line"))).over(within).alias("near"), F.min("i").over(within).alias("a"), F.max("i").over(within).alias("b"))
+    first = lines.where("hit").withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("i"))).where(F.col("n") <= each)
+    # At most ``each`` rows for each of ``paths`` are left: how many come from the files before decides which are shown.
+    counted = first.withColumn("before", F.coalesce(F.sum(F.lit(1)).over(Window.orderBy("k").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return counted.where(F.col("before") < enough).select(
+        "k", "n", "path", (F.col("a") + 1).cast("long").alias("start_line"), (F.col("b") + 1).cast("long").alias("end_line"), F.array_join("near", "\n").alias("text")
+    )
 
 
 def retrieve(engine: Engine, question: str, graph: DataFrame, goal: str = "", limit: int = 8) -> dict:
@@ -125,7 +130,8 @@ def retrieve(engine: Engine, question: str, graph: DataFrame, goal: str = "", li
     known = {r.path: r.asDict() for r in engine.relation("files").where(F.col("path").isin(paths)).select("path", "line_count", "summary").collect()}
     files = include_symbol_files([f | {"summary": known[f["path"]]["summary"]} for f in files], symbols, known, limit)
     paths = [f["path"] for f in files]
-    found, imports, calls = snippets(engine, terms, paths) if paths else [], import_hints(graph, paths), call_hints(graph, terms, paths)
+    found = [r.asDict() for r in snippets(engine, terms, paths).orderBy("k", "n").collect()]
+    imports, calls = import_hints(graph, paths), call_hints(graph, terms, paths)
     lines = ["RETRIEVAL", f"Query: {question}", f"Goal: {goal}", "", "Relevant Files:", *[f"- {f['path']} (score {f['score']}, {f['line_count']} lines): {f['summary']}" for f in files], "", "Relevant Symbols:"]
     lines += [f"- {s['qualname']} [{s['kind']}] at {s['path']}:{s['line']}" for s in symbols[:12]] or ["- None matched"]
     lines += ["", "Snippets:", *([x for s in found for x in (f"--- {s['path']}:{s['start_line']}", s["text"])] or ["- No direct line matches; start with the relevant files above."])]
