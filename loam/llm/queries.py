@@ -11,6 +11,7 @@ from .lm import op5_lm_scoring
 from .media import op2_media_columns
 from .mixing import ORACLE as OP1
 from .mixing import op1_mix_sources
+from .packing import op12_best_fit_packing
 from .pii import op6_pii_surrogates
 from .simhash import op7_simhash_near_dedup
 from .substring import ORACLE as OP3
@@ -22,7 +23,7 @@ from .trie import op11_conversation_trie
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_media_columns, op3_substring_dedup, op4_decontaminate, op5_lm_scoring, op6_pii_surrogates, op7_simhash_near_dedup, op8_language_id, op9_suffix_dedup, op10_license_scan, op11_conversation_trie)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_media_columns, op3_substring_dedup, op4_decontaminate, op5_lm_scoring, op6_pii_surrogates, op7_simhash_near_dedup, op8_language_id, op9_suffix_dedup, op10_license_scan, op11_conversation_trie, op12_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
