@@ -21,10 +21,13 @@ gives an empty table; other columns are ignored. Text that spells a special toke
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, table, text_chunks, written
+from .common import LOWER, give_back, table, text_chunks, written
 from .scan import prefix_sums
 
 CAPACITY = 2048
@@ -47,32 +50,52 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids b
 class Words:
     """Ids of words, remembered: the tokeniser never looks across white space, so a text's ids are those of its words."""
 
-    MOST, MOST_BYTES = 250_000, 1 << 25
+    MOST, MOST_BYTES = 1_000_000, 1 << 25
     CLOSING = b" "  # no word
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters, a digit or a run of others
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.at, self.bytes = {self.CLOSING: 0}, 0
         self.lengths, self.ids = [np.ones(1, np.int64)], [np.full(1, END, np.uint32)]
 
+    def add(self, words: list[bytes], lengths: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.at)
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+        self.lengths.append(lengths)
+        self.ids.append(ids)
+        self.bytes += sum(map(len, words))
+
     def learn(self, words: set[bytes]) -> None:
         fresh = [w for w in words if w not in self.at]
         if len(self.at) + len(fresh) > self.MOST or self.bytes > self.MOST_BYTES:
             self.clear()
             fresh = [w for w in words if w != self.CLOSING]
-        for first in range(0, len(fresh), 4096):
-            some = fresh[first : first + 4096]
-            encoded = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)]
-            n = len(self.at)
-            self.at.update(zip(some, range(n, n + len(some)), strict=True))
-            self.lengths.append(np.fromiter(map(len, encoded), np.int64, len(some)))
-            self.ids.append(np.fromiter((i for e in encoded for i in e), np.uint32))
-            self.bytes += sum(map(len, some))
+        spelt = [w.decode("utf-8", "replace") for w in fresh]
+        letters, other = [], []
+        for pair in zip(fresh, spelt, strict=True):
+            (letters if pair[1].isalpha() else other).append(pair)
+        for first in range(0, len(letters), 4096):
+            some = letters[first : first + 4096]
+            # A word of letters is one run, so of many at once each ends with the next closing id.
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids])
+            if len(ends) == len(some):
+                self.add([w for w, _ in some], np.diff(ends, prepend=-1), ids)
+            else:  # a letter that the tokeniser takes for something else
+                other += some
+        for first in range(0, len(other), 4096):
+            some = other[first : first + 4096]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)]
+            self.add([w for w, _ in some], np.fromiter(map(len, found), np.int64, len(some)), np.fromiter(chain.from_iterable(found), np.uint32))
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many ids come before each word (one more at the end)."""
@@ -85,6 +108,31 @@ class Words:
         return ids[0][np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
+_known: dict[str, Words] = {}
+
+
+def words_by(path: str) -> Words:
+    """One memory for all tasks of a worker."""
+    if path not in _known:
+        _known[path] = Words(path)
+    return _known[path]
+
+
+#: Between an ASCII letter and one of these the tokeniser always splits, so a word is remembered once, not with each of them.
+_STOPS = re.compile(rb"(?<=[a-zA-Z])(?=[.,;:!?])")
+
+
+def _split(text: bytes) -> bytes:
+    """The text with more white space and lower case where that changes no id.
+
+    A lower-case letter and a combining mark of U+0300 to U+036F (two bytes, the first CC or CD) can be one character where the
+    upper-case letter is two, and special tokens are told by their case; texts with either keep theirs.
+    """
+    if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
+        text = text.translate(LOWER)
+    return _STOPS.sub(b" ", text)
+
+
 def _slices(text: bytes) -> Iterator[bytes]:
     """A long text in parts that end at white space; a part without any is as long as it is."""
     first, spaces = 0, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
@@ -112,14 +160,14 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        words = words_by(path)
         try:
             for batch, data, offsets in text_chunks(batches, SLICE):
                 docs, out = batch.column("doc_id").to_pylist(), []
                 if len(docs) == 1 and len(data) > SLICE:
                     held, piece = np.zeros(0, np.uint32), 0
                     for part in _slices(data.tobytes()):
-                        held = np.concatenate([held, words.encode(part.split())[0]])
+                        held = np.concatenate([held, words.encode(_split(part).split())[0]])
                         some, n = rows(docs[0], held, piece, False)
                         held, piece = held[n * capacity :], piece + n
                         if some:
@@ -128,7 +176,7 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
                 else:
                     said, ends, text = [], [0], data.tobytes()
                     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                        said += text[a:b].split()
+                        said += _split(text[a:b]).split()
                         said.append(Words.CLOSING)
                         ends.append(len(said))
                     ids, before = words.encode(said)

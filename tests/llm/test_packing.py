@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from loam.llm import packing
 
 TOKENIZER = Tokenizer.from_file(packing.VOCABULARY)
-ODD = ["a b", "é x", " ́a", "don't 's 't", "A b c", "x\u0085y", "İstanbul ΣΑΣ Σ", "<|endoftext|> a<|startoftext|>b", "\x1c a\x1cb", "日本語 テキスト", "", " \t\n\x0b\x0c\r ", "\x00 \x00", "😀😀 👩‍👩‍👧"]
+ODD = ["a b", "é x", " ́a", "don't 's 't", "A b c", "x\u0085y", "İstanbul ΣΑΣ Σ", "<|endoftext|> a<|startoftext|>b", "\x1c a\x1cb", "日本語 テキスト", "", " \t\n\x0b\x0c\r ", "\x00 \x00", "😀😀 👩‍👩‍👧", "H̱a, Ab.C!? x.y 'Tis,", "<|ENDOFTEXT|>", "ﬀ ǅ ß ſ.", "İ İstanbul", "word,word.word;Word:WORD!word?'s", "a\u0345b", "ᾳ Σ. ΑΣ,"]
 
 
 def brute(docs, capacity):
