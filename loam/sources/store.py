@@ -27,7 +27,18 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, tag: str = "table") -> DataFrame:
-    """Writes ``df`` once to the shared folder and returns the stored table: its lineage ends there.
+    """Writes ``df`` once to the shared folder and returns the stored table: its lineage ends there."""
+    return stored(df, tag)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer read, in whatever file system it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def stored(df: DataFrame, tag: str = "table") -> tuple[DataFrame, str]:
+    """``written``, and where it was.
 
     What was shuffled for it is of no use after the commit, so it is removed then; the session's own setting is put back.
     """
@@ -38,4 +49,4 @@ def written(df: DataFrame, tag: str = "table") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
