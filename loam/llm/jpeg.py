@@ -18,6 +18,10 @@ import numpy as np
 SOI, EOI, SOF0, DHT, DQT, DRI, SOS, COM = 0xD8, 0xD9, 0xC0, 0xC4, 0xDB, 0xDD, 0xDA, 0xFE
 
 
+#: What broken bytes can raise in ``parse``, ``decode`` and ``thumbnail``.
+BROKEN = (ValueError, IndexError, KeyError, TypeError, ZeroDivisionError, OverflowError, struct.error)
+
+
 @dataclass
 class Image:
     width: int
@@ -149,6 +153,8 @@ def decode(images: list[Image]) -> None:
         n = -(-total // per)
         if len(img.cuts) < n:
             raise ValueError("restart segments missing")
+        if total * len(key) > 4 * len(img.data):  # a block takes two bits at least; a broken header names any size
+            raise ValueError("too few bytes")
         pos.append((img.cuts[:n] + at) * 8)
         first.append(blocks + np.arange(n, dtype=np.int64) * per * len(key))
         count.append(np.minimum(per, total - np.arange(n, dtype=np.int64) * per) * len(key))

@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import jpeg
-from .common import raw_bytes, table, text_chunks
+from .common import fresh, table, text_chunks
 
 STEP = 2 << 20
 
@@ -75,7 +76,7 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 jpeg.decode([img])
                 pixels = jpeg.thumbnail(img)
                 out.append((img.width, img.height, pixels.tobytes(), jpeg.sha256(pixels.tobytes()), jpeg.difference_hash(pixels)))
-            except (ValueError, IndexError, KeyError):
+            except jpeg.BROKEN:
                 out.append((None,) * 5)
         cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()], strict=True)]
         names = ["width", "height", "thumbnail", "thumbnail_sha256", "thumbnail_dhash"]
@@ -83,14 +84,19 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def image_features(images: DataFrame, column: str = "media") -> DataFrame:
-    """Adds width, height, thumbnail (grey, row by row), thumbnail_sha256 and thumbnail_dhash to a table with a JPEG column."""
-    added = "width int, height int, thumbnail binary, thumbnail_sha256 string, thumbnail_dhash string"
-    clash = {x.split()[0] for x in added.split(", ")} | ({"media"} - {column})
-    kept = images.select(*[images[c].alias("media" if c == column else f"{c}_in" if c in clash else c) for c in images.columns])
-    from pyspark.sql.types import StructType
-
-    schema = StructType([*kept.schema.fields, *StructType.fromDDL(added).fields])
-    return kept.mapInArrow(_look, schema).withColumnRenamed("media", column)
+    """Adds width, height, thumbnail (grey, row by row), thumbnail_sha256 and thumbnail_dhash to a table with a JPEG column.
+
+    A column of the table that clashes with an added one, in whatever case, is renamed: <name>_in, with more underscores if that is
+    there too.
+    """
+    types = {"width": "int", "height": "int", "thumbnail": "binary", "thumbnail_sha256": "string", "thumbnail_dhash": "string"}
+    # Columns have numbers for names while the rows pass through Python, so none can clash with another.
+    inside = images.toDF(*["media" if c == column else f"c{k}" for k, c in enumerate(images.columns)])
+    schema = StructType([*inside.schema.fields, *[StructField(n, StructType.fromDDL(f"x {t}")[0].dataType) for n, t in types.items()]])
+    names: list[str] = []
+    for c in images.columns:
+        names.append(fresh(f"{c}_in", [*images.columns, *names, *types]) if c.lower() in types else c)
+    return inside.mapInArrow(_look, schema).toDF(*names, *types)
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
