@@ -14,9 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.sources.store import work_dir, written
+from loam.sources.store import remove, stored, work_dir, written
 
-__all__ = ["work_dir", "written"]
+__all__ = ["remove", "stored", "work_dir", "written"]
 
 #: ASCII white space, the separators of "[^\x20\x09-\x0D]+". ``bytes.split()`` splits on exactly these.
 SPACES = b" \t\n\x0b\x0c\r"

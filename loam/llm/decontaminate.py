@@ -6,8 +6,8 @@ all phrases of the block are searched backward in it, and occurrences come back
 that no phrase holds cannot be part of an occurrence; they all become the separator symbol, which keeps the index small. No
 shuffle of text, no state beyond a shard; a document is never split, so a shard has at most SHARD bytes or one document.
 
-Blocks are broadcast one after the other, so the driver holds one at a time; each further block of BLOCK_BYTES is a further pass
-of a task over its shards.
+A benchmark of several blocks of BLOCK_BYTES takes a pass for each: passes are stored one in place of the other, so tasks hold one
+block at a time however large the benchmark is, and the driver two.
 
 Cases: null or empty texts have no words and n_words 0; an item without words is never found; items with equal windows are all
 counted; rows of one item_id are one item with the windows of all of them; a null item_id is an item named by the empty text; repeated rows are each reported; an empty benchmark leaves every document clean; other columns are ignored (operator) or
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, table, text_chunks
+from .common import ALNUM, remove, stored, table, text_chunks
 from .fmindex import FMIndex
 
 WINDOW = 10
@@ -152,14 +152,32 @@ def blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes |
     yield held
 
 
+def in_passes(rows: DataFrame, benchmark: DataFrame, block_bytes: int, step) -> DataFrame:
+    """``rows`` after a pass for each block of the benchmark; ``step`` makes a pass (function, schema) of a broadcast and whether more follow.
+
+    All passes but the last are stored, each in place of the one before, so no task holds more than one block's phrases and the driver
+    holds two blocks, the next one to see that there is one.
+    """
+    spark, path, rest = rows.sparkSession, None, blocks(benchmark, block_bytes)
+    block = next(rest)
+    while block is not None:
+        following = next(rest, None)
+        sent = spark.sparkContext.broadcast(block)
+        rows = rows.mapInArrow(*step(sent, following is not None))
+        if following is not None:
+            before, (rows, path) = path, stored(rows, "pass")
+            sent.unpersist()
+            if before:
+                remove(spark, before)
+        block = following
+    return rows
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each row of ``docs``: counts, items and merged spans (of word numbers) of benchmark windows in its text."""
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = found.withColumn("items", F.expr("cast(null as array<string>)")).withColumn("spans", F.expr("cast(null as array<struct<start:bigint,end:bigint>>)"))
-    sent = [docs.sparkSession.sparkContext.broadcast(block) for block in blocks(benchmark, block_bytes)]
-    for k, block in enumerate(sent):
-        more = k + 1 < len(sent)
-        found = found.mapInArrow(_find(window, block, more), FOUND + ", text string" * more)
+    found = in_passes(found, benchmark, block_bytes, lambda sent, more: (_find(window, sent, more), FOUND + ", text string" * more))
     return found.select(
         "doc_id", "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "items", "spans",
@@ -185,9 +203,7 @@ def _drop(window: int, items, most: float):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: float = 0.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the documents of whose words more than the share ``most`` is hit; all columns stay."""
-    for block in blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(_drop(window, docs.sparkSession.sparkContext.broadcast(block), most), docs.schema)
-    return docs
+    return in_passes(docs, benchmark, block_bytes, lambda sent, more: (_drop(window, sent, most), docs.schema))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
