@@ -20,15 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, powers, text_chunks, written
+from .scan import prefix_sums
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Windows that are looked at together: what is computed of them stays in the processor's cache.
 BLOCK = 1 << 14
-#: Places are start << SIG | bits of the text's hash, so that rows with one doc_id but other texts are kept apart.
+#: Places are start << SIG | bits of the text's hash: a check of ``keyed``, by which texts of one key are equal.
 SIG = 20
-#: Stands for a null doc_id while places are compared.
-NO_ID = -(2**63)
 
 #: Makes units (uint64 hashes) and each row's first unit from (bytes, offsets).
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -119,7 +118,18 @@ def _edges(units: Units, window: int, gram: int, step: int, linked: bool):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
+    """doc, doc_id, text: ``doc`` is the same for rows of one doc_id and one text only, and in the order of doc_id, null first.
+
+    It is the doc_id itself unless some id is null or repeated; then it is the rank of (doc_id, SHA-256 of the text) among the
+    distinct ones, from a scan over all tasks, and the rows are stored with it.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    again = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("doc_id is null or c > 1")
+    if again.isEmpty():
+        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+    rows = rows.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    ranks = prefix_sums(rows.select("doc_id", "digest").distinct(), [], ["doc_id", "digest"], tag="keys").select(F.col("at").alias("doc"), F.col("doc_id").alias("id"), F.col("digest").alias("d"))
+    return written(rows.join(ranks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d"))).select("doc", "doc_id", "text"), "keyed")
 
 
 def join_apart(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,8 +166,11 @@ def branching(contexts: DataFrame) -> DataFrame:
 
 
 def with_places(docs: DataFrame, places: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` with the list ``places`` of each; a list is no longer than its text. Every caller's text shuffle is the same one."""
-    listed = places.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("places"))
+    """``docs`` with the distinct ``places`` of each; those of a key are in one text, so a list is no longer than that.
+
+    Every caller's text shuffle is the same one.
+    """
+    listed = places.groupBy("doc").agg(F.collect_set(F.struct(*columns)).alias("places"))
     return docs.join(listed.hint("shuffle_hash"), "doc", "left")
 
 

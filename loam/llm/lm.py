@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, sigs
+from .anchors import keyed
 from .common import LOWER, table, text_chunks, written
 from .lattice import Lattice, vocabulary
 
@@ -42,7 +42,7 @@ PRIOR = 1.0
 REMEMBERED = 300_000
 LOG10 = math.log(10)
 #: A document's own row has ``tokens``, and as its word a separator followed by the document's number; other rows a word.
-TOKENS = "doc long, sig long, held_out boolean, tokens long, known long, base double, score double, word binary, times int, sub double"
+TOKENS = "doc long, doc_id long, held_out boolean, tokens long, known long, base double, score double, word binary, times int, sub double"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +152,8 @@ def _tokens(pieces: list[bytes], logs: np.ndarray, head, totals: Totals):
         lattice, remembered = Lattice(pieces, logs), {}
         base_end, score_end = totals.base(ends), math.log10(totals.end)
         for rows, data, offsets in text_chunks(batches, STEP):
-            raw, sig = data.tobytes().translate(LOWER), sigs(data, offsets)
-            held_out, docs = rows.column("held_out").to_pylist(), rows.column("doc").to_pylist()
+            raw = data.tobytes().translate(LOWER)
+            held_out, docs, ids = (rows.column(k).to_pylist() for k in ("held_out", "doc", "doc_id"))
             out: dict[str, list] = {k.split()[0]: [] for k in TOKENS.split(", ")}
             tail: list[tuple[int, bytes, int]] = []
             for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
@@ -168,7 +168,7 @@ def _tokens(pieces: list[bytes], logs: np.ndarray, head, totals: Totals):
                         base += k * base_of[j]
                         score += k * score_of[j]
                         known += k
-                row = (docs[i], int(sig[i]), held_out[i], sum(count.values()) + 1, known + (ends > 0), base + base_end, score + score_end, b" %d %d" % (docs[i], sig[i]), None, None)
+                row = (docs[i], ids[i], held_out[i], sum(count.values()) + 1, known + (ends > 0), base + base_end, score + score_end, b" %d" % docs[i], None, None)
                 for column, x in zip(out.values(), row, strict=True):
                     column.append(x)
             new = list({w for i, w, _ in tail if held_out[i] and w not in remembered})
@@ -178,8 +178,7 @@ def _tokens(pieces: list[bytes], logs: np.ndarray, head, totals: Totals):
             remembered.update(zip(new, lattice.score(new).tolist(), strict=True))
             m = len(tail)
             out["doc"] += [docs[i] for i, _, _ in tail]
-            out["sig"] += [int(sig[i]) for i, _, _ in tail]
-            for k in ("held_out", "tokens", "known", "base", "score"):
+            for k in ("doc_id", "held_out", "tokens", "known", "base", "score"):
                 out[k] += [None] * m
             out["word"] += [w for _, w, _ in tail]
             out["times"] += [k for _, _, k in tail]
@@ -222,7 +221,7 @@ def score_documents(docs: DataFrame, vocabulary_path: str = VOCABULARY, head: in
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
+    docs = keyed(docs).withColumn("held_out", held_out)
     counts = docs.where("not held_out").select("text").mapInArrow(_count, "word binary, c long")
     counts = written(counts.groupBy("word").agg(F.sum("c").alias("c")), "words")
     words = counts.where(F.length("word") > 0)
@@ -244,13 +243,13 @@ def score_documents(docs: DataFrame, vocabulary_path: str = VOCABULARY, head: in
     c, times, sub = F.coalesce("c", F.lit(0)), F.col("times"), F.coalesce("sub_known", "sub")
     base, score = F.coalesce("base", times * totals.base_column(c)), F.coalesce("score", times * totals.score_column(c, sub))
     known = F.coalesce("known", F.when(c > 0, times).otherwise(0))
-    by_doc = joined.groupBy("doc", "sig").agg(
-        F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"), F.sum(known).alias("known"), F.sum(base).alias("base"),
+    by_doc = joined.groupBy("doc").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"), F.sum(known).alias("known"), F.sum(base).alias("base"),
         F.sum(score).alias("score"), F.count("tokens").alias("copies"),
     )
     each = by_doc.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return each.select(
-        F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "held_out", "n_tokens", (F.col("known") / F.col("copies")).cast("long").alias("n_known"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") / F.col("copies")).cast("long").alias("n_known"),
         F.lit(totals.n).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"),
     )
 

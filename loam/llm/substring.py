@@ -11,8 +11,8 @@ against that digest before its words go. Where edges of one anchor branch, one o
 source coordinates; windows are compared by 64-bit hashes among those of one anchor.
 
 Cases: null and empty texts have no words; texts shorter than a window lose nothing; repeated rows (same doc_id, same text) count
-as two places, so both lose what they share; rows with one doc_id and different texts are told apart by 20 bits of a hash of their
-text; an empty table gives an empty table; other columns are ignored.
+as two places, so both lose what they share; rows with one doc_id, or none, and different texts are different documents (see
+``keyed``); an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, SIG, Ranges, branching, join_apart, keyed, place_lists, repeated_edges, sigs, with_places
+from .anchors import SIG, Ranges, branching, join_apart, keyed, place_lists, repeated_edges, sigs, with_places
 from .common import table, text_chunks, word_hashes, written
 from .decontaminate import spread
 
@@ -101,14 +101,14 @@ def _kept(with_text: bool):
         for rows, data, offsets in text_chunks(batches, STEP):
             raw, sig = data.tobytes(), sigs(data, offsets)
             out = []
-            for i, (doc, places) in enumerate(zip(rows.column("doc").to_pylist(), rows.column("places").to_pylist(), strict=True)):
+            for i, (doc, places) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("places").to_pylist(), strict=True)):
                 words = raw[offsets[i] : offsets[i + 1]].split()
                 n = len(words)
                 if places:
                     gone = mask_of(n, places, int(sig[i]), WINDOW, words)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept = b" ".join(words)
-                out.append((None if doc == NO_ID else doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), *([kept.decode()] * with_text)))
+                out.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), *([kept.decode()] * with_text)))
             types = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: len(types)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -153,6 +153,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     probes = with_places(docs, probes, "at", "n", "m", "copies", "ctx")
     windows = written(probes.select("doc", "text", "places").mapInArrow(_windows, WINDOWS), "windows")
     known = heads.select("m", "ctx", "n").join(windows.where("digest is not null").select("m", F.col("h").alias("ctx"), "digest"), ["m", "ctx"])
+    # Stored, so that both sides of the next join are shuffled for it and Spark can split the partition of a frequent passage.
+    known = written(known, "known")
     whole = edges.select("m", "ctx", "doc", "at").join(known, ["m", "ctx"]).select("doc", "at", "n", "digest")
     windows = windows.where("digest is null")
     often = windows.groupBy("m", "h").agg(F.sum("copies").alias("c"), F.max("h").alias("same")).where("c > 1").drop("c")
@@ -164,7 +166,7 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row for each document: words, words removed, digest of what is kept, and on demand the kept text."""
     docs = keyed(docs)
     listed = with_places(docs, repeated_windows(docs), "at", "n", "digest")
-    return listed.select("doc", "text", "places").mapInArrow(_kept(with_text), KEPT + ", text string" * with_text)
+    return listed.select("doc_id", "text", "places").mapInArrow(_kept(with_text), KEPT + ", text string" * with_text)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ An anchor with more than SORTED segments is dealt into several pieces. Each piec
 string, and the representatives of all pieces are merged by their hashes.
 
 Order: by doc_id, then by start; a null doc_id comes first. Cases: null and empty texts have no bytes; texts under 100 bytes lose
-nothing; repeated rows (same doc_id and text) are one place, so neither is earlier than the other; rows with one doc_id and
-different texts are told apart by a hash of the text, 20 bits of it; an empty table gives an empty table; other columns are ignored.
+nothing; repeated rows (same doc_id and text) are one place, so neither is earlier than the other; rows with one doc_id, or none, and
+different texts are different documents, in the order of their texts' SHA-256; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, SIG, Ranges, join_apart, keyed, place_lists, repeated_edges, sigs, with_places
+from .anchors import SIG, Ranges, join_apart, keyed, place_lists, repeated_edges, sigs, with_places
 from .common import raw_bytes, table, text_chunks, written
 from .decontaminate import spread
 from .substring import mask_of
@@ -159,15 +159,14 @@ def _kept(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches, 2 << 20):
             sig, out = sigs(data, offsets), []
-            for i, (doc, places) in enumerate(zip(rows.column("doc").to_pylist(), rows.column("places").to_pylist(), strict=True)):
+            for i, (doc, places) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("places").to_pylist(), strict=True)):
                 text = data[offsets[i] : offsets[i + 1]]
                 n, spans, kept = len(text), 0, text
                 if places:
                     gone = mask_of(n, places, int(sig[i]), WINDOW)
                     spans, kept = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum()), text[~gone]
                 kept = kept.tobytes()
-                doc_id = None if doc == NO_ID else doc
-                out.append((doc_id, n, n - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept] * with_text)))
+                out.append((doc, n, n - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept] * with_text)))
             types = [pa.int64()] * 4 + [pa.string(), pa.binary()][: 1 + with_text]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(types)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -178,7 +177,7 @@ def _kept(with_text: bool):
 def without_later_copies(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row for each document: bytes, bytes and spans removed, digest of what is kept, and on demand the kept bytes."""
     docs = keyed(docs)
-    listed = with_places(docs, repeated_bytes(docs), "at", "n").select("doc", "text", "places")
+    listed = with_places(docs, repeated_bytes(docs), "at", "n").select("doc_id", "text", "places")
     return listed.mapInArrow(_kept(with_text), KEPT + ", kept binary" * with_text)
 
 
