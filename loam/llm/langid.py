@@ -3,7 +3,8 @@
 The network reads one word (at most PIECE bytes of it at a time) with the states reset in between, so a word's labels do not depend
 on its neighbours and each task runs the network once for each distinct word that it meets, for whole texts of any length.
 Training is on the driver, on a documented bounded sample: PER_LANGUAGE documents of each language (those with the least hashes of
-doc_id; of a longer text LONGEST characters from a place that the hash picks), and WORDS pieces of words drawn from them.
+doc_id; of a longer text LONGEST characters from a place that the hash picks, fewer if there are so many languages that the samples together
+would have more than SAMPLED), and WORDS pieces of words drawn from them.
 
 Cases: a null text, or one without any letter, is "und" with score 0; a table without labelled training rows gives "und"
 everywhere; repeated rows get equal results; ties go to the label that sorts first; a null doc_id is never trained on nor held
@@ -25,6 +26,8 @@ from .common import LOWER, table, text_chunks
 
 PIECE, STEP = 24, 4 << 20
 PER_LANGUAGE, LONGEST, WORDS, STEPS, MAX_LANGUAGES = 300, 20_000, 40_000, 350, 200
+#: Characters of all languages' samples together: what comes to the driver.
+SAMPLED = 60_000_000
 #: Distinct words whose results a task remembers.
 REMEMBERED = 200_000
 
@@ -37,18 +40,19 @@ def train(docs: DataFrame) -> tuple[list[str], BiGRU] | None:
     """The languages and the network, from documents of which the fold is not 1."""
     rows = docs.where((fold(F.col("doc_id")) != 1) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     h, text = F.xxhash64(F.col("doc_id").cast("string")), F.col("text").cast("string")
-    place = F.pmod(h, F.greatest(F.length(text) - LONGEST, F.lit(0)) + 1).cast("int")
-    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), h.alias("h"), F.substring(text, place + 1, F.lit(LONGEST)).alias("text"))
-    ranked = rows.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    upto = ranked.where(F.col("k") <= PER_LANGUAGE).groupBy("lang").agg(F.max("h").alias("upto")).limit(MAX_LANGUAGES + 1).collect()
-    if len(upto) > MAX_LANGUAGES:
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), h.alias("h"), F.xxhash64(text).alias("t"), text.alias("text"))
+    names = [r.lang for r in rows.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
+    if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not upto:
+    if not names:
         return None
-    most = docs.sparkSession.createDataFrame([(r.lang, r.upto) for r in upto], "l string, upto long")
-    sample = rows.join(F.broadcast(most), (F.col("lang") == F.col("l")) & (F.col("h") <= F.col("upto"))).select("h", "lang", "text")
-    sample = sorted(sample.limit(2 * PER_LANGUAGE * len(upto)).collect())
-    names = sorted(r.lang for r in upto)
+    # The least hashes of doc_id of each language, of equal ones the least of the text; equal rows are one.
+    ranked = rows.select("lang", "h", "t").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t")))
+    chosen = F.broadcast(ranked.where(F.col("k") <= PER_LANGUAGE).drop("k"))  # PER_LANGUAGE * MAX_LANGUAGES short rows at most
+    longest = min(LONGEST, SAMPLED // (PER_LANGUAGE * len(names)))
+    place = F.pmod("h", F.greatest(F.length("text") - longest, F.lit(0)) + 1).cast("int")
+    sample = rows.join(chosen, ["lang", "h", "t"]).select("h", "lang", F.substring("text", place + 1, F.lit(longest)).alias("text"))
+    sample = sorted(sample.dropDuplicates().collect())
     rng = np.random.default_rng(3)
     words, labels = [], []
     for k, name in enumerate(names):
