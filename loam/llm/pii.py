@@ -1,7 +1,8 @@
 """PII: detected entities get keyed surrogates of their type, format, script and gender.
 
-Names are found after titles, as listed given names with a surname, and wherever the same text repeats a name so found or a part
-of it, capitalised; each word of a name is an entity. A name that no title or listed given name ever marks in its text is not found.
+Names are found after titles (which are no part of them), as two capitalised words or more after phrases and headers that introduce a
+name, as listed given names with a surname, and wherever the same text repeats a name so found or a part
+of it, capitalised; each word of a name is an entity. A name that none of these ever marks in its text is not found.
 
 Texts are searched once; what is found is stored beside them. Each distinct entity draws a surrogate (``surrogates``). A draw is
 refused if it is itself an entity of the corpus, if an entity with a smaller normal form drew the same, or if it was given away
@@ -17,7 +18,9 @@ differ in case only are one. If MOST_DRAWS do not do, an error is raised: nothin
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +44,17 @@ def query_key(spark: SparkSession) -> bytes:
     return spark.conf.get(KEY_SETTING, QUERY_KEY).encode()
 
 
+@cache
+def _application_key(application: str) -> bytes:
+    return secrets.token_bytes(32)
+
+
+def secret_key(spark: SparkSession) -> bytes:
+    """The session's key; where none is set, a random one that only this application has, so nobody can try out surrogates."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return key.encode() if key else _application_key(spark.sparkContext.applicationId)
+
+
 def _detected(column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Detector()

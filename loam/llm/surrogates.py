@@ -36,6 +36,9 @@ HAN = "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀兰霞平刚桂英
 LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àâéèêëîïôùûüáíóúñäöåæø", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ")
 
 TITLES = "Mr Mrs Ms Miss Mister Herr Frau Monsieur Madame Mme Señor Señora Dr Prof Господин Госпожа Κύριος Κυρία".split()
+#: What stands before a person's name of two words or more, beside titles.
+CONTEXTS = ["my name is ", "My name is ", "mein Name ist ", "Mein Name ist ", "je m'appelle ", "Je m'appelle ", "me llamo ", "Me llamo ", "меня зовут ", "Меня зовут ",
+            "Sincerely, ", "Sincerely,\n", "Kind regards, ", "Kind regards,\n", "Best regards, ", "Best regards,\n", "From: ", "To: ", "Cc: ", "Signed-off-by: ", "Author: "]
 #: Kinds of streets, before or after their name, and what may stand between.
 STREETS = "street avenue road lane drive boulevard rue place calle avenida plaza via de du des del la le".split()
 SUFFIXES = "straße strasse weg platz allee gasse".split()
@@ -52,17 +55,17 @@ PATTERNS = (
     ("ssn", r"(?P<ssn>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))"),
     ("card", r"(?P<card>(?<![\w.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?![\w\-]))"),
     ("address", rf"(?P<address>(?<![\w.,\-])\d{{1,5}} (?:{_CAPITAL} ){{1,3}}(?:Street|Avenue|Road|Lane|Drive|Boulevard)(?!\w)|(?<!\w)\p{{Lu}}\w*(?:straße|strasse|weg|platz|allee|gasse) \d{{1,4}}[a-z]?(?!\w)|(?<![\w.,\-])\d{{1,4}},? (?:rue|avenue|boulevard|place) (?:(?:de|du|des|la|le) )*{_CAPITAL}|(?<!\w)(?:Calle|Avenida|Plaza|Via) (?:(?:de|del|la) )*{_CAPITAL},? \d{{1,4}}(?!\w))"),
-    ("name", rf"(?P<name>(?<=\b(?:TITLE)\.? ){_WORD}(?: {_CAPITAL}){{0,2}})"),
+    ("name", rf"(?P<name>(?<=\b(?:TITLE)\.? )(?!(?:TITLE)\b){_WORD}(?: {_CAPITAL}){{0,2}}|(?<=CONTEXT)(?!(?:TITLE)\b){_CAPITAL}(?: {_CAPITAL}){{1,2}})"),
 )
 
 
 def _finder() -> re.Pattern:
     import regex
 
-    return regex.compile("|".join(p.replace("TITLE", "|".join(TITLES)) for _, p in PATTERNS))
+    return regex.compile("|".join(p.replace("TITLE", "|".join(TITLES)).replace("CONTEXT", "|".join(map(regex.escape, CONTEXTS))) for _, p in PATTERNS))
 
 
-def maybe(raw: bytes, _digit=re.compile(rb"[0-9]"), _titles=tuple((t + x).encode() for t in TITLES for x in (" ", ". "))) -> bool:
+def maybe(raw: bytes, _digit=re.compile(rb"[0-9]"), _titles=tuple((t + x).encode() for t in TITLES for x in (" ", ". ")) + tuple(c.encode() for c in CONTEXTS)) -> bool:
     """Whether a text can hold an entity; cheap."""
     return _digit.search(raw) is not None or b"@" in raw or b'"' in raw or b"'" in raw or any(t in raw for t in _titles) or maybe_given(raw)
 
