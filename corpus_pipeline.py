@@ -9,7 +9,7 @@ from loam.llm.decontaminate import decontaminated
 from loam.llm.langid import in_known_language
 from loam.llm.mixing import mix_documents
 from loam.llm.near import one_of_near_copies
-from loam.llm.pii import query_key, with_surrogates
+from loam.llm.pii import secret_key, with_surrogates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities are replaced by surrogates."""
+    """Entities are replaced by surrogates, under the session's key or one that only this application has."""
     small_batches(spark)
-    return with_surrogates(docs, query_key(spark))
+    return with_surrogates(docs, secret_key(spark))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
