@@ -9,7 +9,8 @@
    task sees of such a prefix is counted without leaving branches, and the parts are added.
 5. Cuts, containment in longer phrases and texts are equality joins of candidates; ranks come from a distributed scan.
 
-In tasks a word is its XXH64, and that no two words of a language share one is checked over all words (the job fails otherwise).
+In tasks a word is a 64-bit hash of its bytes, taken of all words of a part at once (differences of prefix sums), and that no two words
+of a language share one is checked over all words (the job fails otherwise).
 Whether a word or pair is frequent is looked up in a filter of 2 ** FILTER_BITS bits, whatever the vocabulary: more keys let more
 infrequent ones through, whose exact counts drop them later. Counts are summed within tasks before they are shuffled.
 
@@ -30,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, give_back, table, text_chunks, word_hashes, written
+from .anchors import Ranges
+from .common import LOWER, give_back, table, text_chunks, written
 from .scan import prefix_sums
 
 SUPPORT, LONGEST, TOP = 30, 4, 2000
@@ -38,56 +40,67 @@ SUPPORT, LONGEST, TOP = 30, 4, 2000
 SHARE = 80
 FILTER_BITS = 26
 #: Bytes of text that are split into words at once; pairs or pointers that are summed at once.
-SLICE, GATHERED = 1 << 21, 1 << 20
+SLICE, GATHERED = (1 << 20) - 4096, 1 << 20
 #: Between pieces; no byte of UTF-8.
 BREAK = b"\xff"
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _CLEAN = bytes(0xFF if b in _SEPARATORS else 32 if b == 9 else LOWER[b] for b in range(256))
 _CUT = re.compile(rb"[ \t.,;:!?\n-\r]")
+#: 0: a word's byte, 1: between words, 2: between pieces.
+_KIND = np.array([2 if b in _SEPARATORS else 1 if b in b" \t" else 0 for b in range(256)], np.uint8)
+#: A fixed random number for each byte, the same for A-Z and a-z.
+_NUMBER = np.random.default_rng(13).integers(0, 2**64, 256, np.uint64)[np.frombuffer(LOWER, np.uint8)]
+#: What stands in a stream of hashes between pieces.
+CLOSING = np.uint64(xxhash.xxh64_intdigest(BREAK, 42))
 
 
-def said(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str], list[int]]]:
-    """(words and breaks, languages, how many of the words are in each): the texts in order, long ones in parts between words."""
-
-    def words(text: bytes) -> list[bytes]:
-        return text.translate(_CLEAN).replace(BREAK, b" \xff ").split()
-
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, bool]]:
+    """(languages, bytes, offsets, whether the last text ends): the texts in order, long ones in parts that end between words."""
     for batch, data, offsets in text_chunks(batches, SLICE):
-        langs, text = batch.column("lang").to_pylist(), data.tobytes()
-        if len(langs) == 1 and len(text) > SLICE:
-            first = 0
-            while first < len(text):
-                cut = _CUT.search(text, first + SLICE)
-                last = cut.start() if cut else len(text)
-                some = words(text[first:last]) + ([BREAK] if last == len(text) else [])
-                yield some, langs, [len(some)]
-                first = last
+        langs = batch.column("lang").to_pylist()
+        if len(langs) > 1 or len(data) <= SLICE:
+            yield langs, data, offsets, True
             continue
-        out, ends = [], [0]
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            out += words(text[a:b])
-            out.append(BREAK)
-            ends.append(len(out))
-        yield out, langs, np.diff(ends).tolist()
+        text, first = data.tobytes(), 0
+        while first < len(text):
+            cut = _CUT.search(text, first + SLICE)
+            last = cut.start() if cut else len(text)
+            yield langs, data[first:last], np.array([0, last - first]), last == len(text)
+            first = last
+
+
+def word_hashes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(hash, text's number, piece's number) of each word, and the last piece's number; pieces are numbered through all texts."""
+    kind = _KIND[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True  # a word ends with its text
+    inside = kind == 0
+    starts = np.flatnonzero(inside & (edge[:-1] | ~np.r_[False, inside[:-1]]))
+    ends = np.flatnonzero(inside & (edge[1:] | ~np.r_[inside[1:], False])) + 1
+    row = np.searchsorted(offsets, starts, "right") - 1
+    breaks = np.cumsum(kind == 2)
+    return Ranges(_NUMBER[data])(starts, ends), row, breaks[starts] + row, (int(breaks[-1]) if len(data) else 0) + len(offsets) - 2
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, word, c; a language's number of words under the empty word."""
+    """lang, word, h, c; a language's number of words under the empty word."""
     counts: dict[str, Counter] = {}
     seen = 0
 
     def rows() -> pa.RecordBatch:
-        all_ = [(lang, w, c) for lang, words in counts.items() for w, c in words.items()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*all_, strict=True), (pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "word", "c"])
-
-    for words, langs, lengths in said(batches):
-        at = 0
-        for lang, n in zip(langs, lengths, strict=True):
+        langs, words, n = zip(*[(lang, w, c) for lang, words in counts.items() for w, c in words.items()], strict=True)
+        ends = np.cumsum([0, *map(len, words)])
+        h = Ranges(_NUMBER[np.frombuffer(b"".join(words), np.uint8)])(ends[:-1], ends[1:]) if ends[-1] else np.zeros(len(words), np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["lang", "word", "h", "c"])
+
+    for langs, data, offsets, _ in parts_of(batches):
+        text = data.tobytes().translate(_CLEAN)
+        for lang, a, b in zip(langs, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             own = counts.setdefault(lang, Counter())
-            own.update(words[at : at + n])
-            own[b""] += n - own.pop(BREAK, 0)
-            at += n
-        seen += sum(map(len, words))
+            words = text[a:b].replace(BREAK, b" ").split()
+            own.update(words)
+            own[b""] += len(words)
+        seen += len(data)
         if sum(map(len, counts.values())) > 200_000 or seen > 1 << 26:
             yield rows()
             counts, seen = {}, 0
@@ -134,18 +147,24 @@ class Stream:
 
     def parts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(hashes, language numbers); the first len - (LONGEST - 1) of them are places to start from."""
-        wait, closing = LONGEST - 1, xxhash.xxh64_intdigest(BREAK, 42)
-        for words, langs, lengths in said(batches):
-            hashes = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
-            own = np.repeat(np.array([self._number(x) for x in langs], np.int32), lengths)
-            h, lang = np.concatenate([self.kept[0], hashes]), np.concatenate([self.kept[1], own])
+        wait = LONGEST - 1
+        for langs, data, offsets, ended in parts_of(batches):
+            hashes, row, piece, last = word_hashes_of(data, offsets)
+            numbers = np.array([self._number(x) for x in langs], np.int32)
+            at = np.arange(len(hashes)) + np.cumsum(np.diff(piece, prepend=0) > 0)
+            # Unless the text or the last piece ends here, the next part goes on with it.
+            after = ended or last > (piece[-1] if len(piece) else 0)
+            size = (int(at[-1]) + 1 if len(at) else 0) + after
+            own, lang_of = np.full(size, CLOSING), np.zeros(size, np.int32)
+            own[at], lang_of[at] = hashes, numbers[row]
+            h, lang = np.concatenate([self.kept[0], own]), np.concatenate([self.kept[1], lang_of])
             if len(h) > wait:
                 yield h, lang
                 self.kept = h[-wait:], lang[-wait:]
             else:
                 self.kept = h, lang
         h, lang = self.kept
-        yield np.concatenate([h, np.full(wait, closing, np.uint64)]), np.concatenate([lang, np.zeros(wait, np.int32)])
+        yield np.concatenate([h, np.full(wait, CLOSING)]), np.concatenate([lang, np.zeros(wait, np.int32)])
 
     def _number(self, lang: str) -> int:
         if lang not in self.number:
@@ -194,12 +213,12 @@ def _pairs(sent):
     """Neighbouring words that both pass the filter of frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, bits, closing = Stream(), sent.value, np.uint64(xxhash.xxh64_intdigest(BREAK, 42))
+        stream, bits = Stream(), sent.value
 
         def parts():
             for h, lang in stream.parts(batches):
                 n = len(h) - (LONGEST - 1)
-                often = _inside(bits, h ^ stream.salts(lang)) & (h != closing)
+                often = _inside(bits, h ^ stream.salts(lang)) & (h != CLOSING)
                 at = np.flatnonzero(often[:n] & often[1 : n + 1])
                 yield [lang[at], h[at], h[at + 1]]
 
@@ -212,13 +231,13 @@ def _pointers(sent):
     """Occurrences of frequent prefixes that go on: the words from there, the fourth null where the phrase stops being frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, bits, closing = Stream(), sent.value, np.uint64(xxhash.xxh64_intdigest(BREAK, 42))
+        stream, bits = Stream(), sent.value
 
         def parts():
             for h, lang in stream.parts(batches):
                 n = len(h) - (LONGEST - 1)
                 key = stream.salts(lang[:-1]) ^ h[:-1] ^ _rotated(h[1:], 23)
-                often = _inside(bits, key) & (h[:-1] != closing) & (h[1:] != closing)
+                often = _inside(bits, key) & (h[:-1] != CLOSING) & (h[1:] != CLOSING)
                 at = np.flatnonzero(often[:n] & often[1 : n + 1])
                 yield [lang[at], h[at], h[at + 1], h[at + 2], np.where(often[at + 2], h[at + 3], np.uint64(0))]
 
@@ -296,8 +315,8 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
     """(lang, h, word, c) of all words, and (lang, p, a) of the phrases of two to LONGEST words with ``support``: p lists hashes."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    words = docs.mapInArrow(_count, "lang string, word binary, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
-    words = written(words.withColumn("h", F.xxhash64("word")), "words")
+    words = docs.mapInArrow(_count, "lang string, word binary, h long, c long").groupBy("lang", "word", "h").agg(F.sum("c").alias("c"))
+    words = written(words, "words")
     if words.groupBy("lang", "h").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         raise ValueError("two words of a language have one hash")
     often = words.where((F.col("c") >= support) & (F.length("word") > 0))

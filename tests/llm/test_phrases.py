@@ -62,16 +62,24 @@ def test_long_text_in_parts(monkeypatch):
     text = " . ".join(t or "" for _, t in docs)
     monkeypatch.setattr(phrases, "SLICE", 500)
     batch = pa.RecordBatch.from_arrays([pa.array(["en", None, "en"]), pa.array([text, "", text[:300]])], ["lang", "text"])
-    parts = list(phrases.said(iter([batch])))
-    assert len(parts) > 10
-    whole = [w for words, _, _ in parts for w in words if w != phrases.BREAK]
-    assert whole == [w.encode() for t in (text, text[:300]) for w in re.findall(r"[^ \t.,;:!?\n-\r]+", t.translate(LOWER))]
-    stream, pairs = phrases.Stream(), 0
-    closing = np.uint64(__import__("xxhash").xxh64_intdigest(phrases.BREAK, 42))
-    for h, _ in stream.parts(iter([batch])):
-        n = len(h) - 3
-        pairs += int(((h[:n] != closing) & (h[1 : n + 1] != closing)).sum())
-    want = sum(max(0, len(re.findall(r"[^\x20\x09]+", p)) - 1) for t in (text, text[:300]) for p in re.split(r"[.,;:!?\x0A-\x0D]", t))
+    assert len(list(phrases.parts_of(iter([batch])))) > 10
+    want, n = collections.Counter(), collections.Counter()
+    for lang, t in (("en", text), ("en", text[:300])):
+        for p in re.split(r"[.,;:!?\x0A-\x0D]", t.translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", p)
+            want.update(zip(w, w[1:], strict=False))
+            n.update(w)
+    hashes, counted = {}, collections.Counter()
+    for b in phrases._count(iter([batch])):
+        for r in b.to_pylist():
+            hashes[r["h"] % 2**64] = r["word"].decode()
+            counted[r["word"].decode()] += r["c"]
+    assert counted.pop("") == sum(n.values()) and counted == n
+    stream, pairs = phrases.Stream(), collections.Counter()
+    for h, lang in stream.parts(iter([batch])):
+        k = len(h) - 3
+        whole = (h[:k] != phrases.CLOSING) & (h[1 : k + 1] != phrases.CLOSING)
+        pairs.update((hashes[x], hashes[y]) for x, y in zip(h[:k][whole].tolist(), h[1 : k + 1][whole].tolist(), strict=True))
     assert pairs == want
 
 
