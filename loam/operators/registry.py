@@ -12,6 +12,7 @@ from loam.plans.relations import plan
 
 from .catalog import QUERIES
 from .extra import EXTRA
+from .fleet import FLEET
 
 
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,8 +24,8 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _run(name) for name in QUERIES} | {name: f for name, (f, _) in EXTRA.items()}
+    return {name: _run(name) for name in QUERIES} | {name: f for name, (f, _) in (EXTRA | FLEET).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: plan(DUCK, f(DUCK)) for name, f in QUERIES.items()} | {name: sql for name, (_, sql) in EXTRA.items() if sql}
+    return {name: plan(DUCK, f(DUCK)) for name, f in QUERIES.items()} | {name: sql for name, (_, sql) in (EXTRA | FLEET).items() if sql}

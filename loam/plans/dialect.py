@@ -101,6 +101,114 @@ class Spark:
     def seconds(self, x: str) -> str:
         return f"unix_timestamp({x})"
 
+    # Many corpora at once: where each row says whose it is (``ByRepo``), these carry that key; here there is one corpus, and no key.
+
+    def key(self, alias: str = "") -> str:
+        """The key as the first of selected columns."""
+        return ""
+
+    def group(self, *more: str) -> str:
+        """A grouping by the key and ``more``."""
+        return f" group by {', '.join(more)}" if more else ""
+
+    def same(self, a: str, b: str) -> str:
+        """One more condition of a join: the keys are the same."""
+        return ""
+
+    def paired(self, a: str, b: str) -> str:
+        """A join of two relations that have one row for each key."""
+        return f"cross join {b}"
+
+    def over(self, *more: str) -> str:
+        """The partition of a window."""
+        return f"partition by {', '.join(more)} " if more else ""
+
+    def over_of(self, alias: str) -> str:
+        """The partition of a window over a join of which ``alias`` is one side."""
+        return ""
+
+    def mine(self) -> str:
+        """In a scalar subquery over rows whose key is called r (``as_r``): those of the row outside."""
+        return ""
+
+    def as_r(self) -> str:
+        return ""
+
+    def value(self, column: str, source: str, where: str = "") -> str:
+        """A value of the only row (of the key) that there is."""
+        return f"(select {column} from {source}{' where ' * bool(where)}{where})"
+
+    def count(self, source: str, where: str = "") -> str:
+        return f"(select count(*) from {source}{' where ' * bool(where)}{where})"
+
+    def exists(self, source: str, where: str) -> str:
+        return f"exists (select 1 from {source} where {where})"
+
+    def on(self, a: str, b: str, *columns: str) -> str:
+        """A join by columns."""
+        return "on " + " and ".join(f"{a}.{c} = {b}.{c}" for c in columns)
+
+    def keys(self) -> str:
+        """What a row for each key, and nothing else, is selected from."""
+        return ""
+
+    def for_each_key(self, rows: str) -> str:
+        """A few fixed rows, for each key."""
+        return rows
+
+    def first(self, columns: str, rest: str, order: str, n: int) -> str:
+        """The first n rows (of each key)."""
+        return f"select {columns} {rest} order by {order} limit {n}"
+
+
+class ByRepo(Spark):
+    """Spark SQL over many repositories: the relations of ``plans`` with a column ``repo`` first."""
+
+    def key(self, alias: str = "") -> str:
+        return f"{alias}.repo, " if alias else "repo, "
+
+    def group(self, *more: str) -> str:
+        return f" group by {', '.join(('repo', *more))}"
+
+    def same(self, a: str, b: str) -> str:
+        return f" and {a}.repo = {b}.repo"
+
+    def paired(self, a: str, b: str) -> str:
+        return f"left join {b} using (repo)"
+
+    def over(self, *more: str) -> str:
+        return f"partition by {', '.join(('repo', *more))} "
+
+    def over_of(self, alias: str) -> str:
+        return f"partition by {alias}.repo "
+
+    def mine(self) -> str:
+        return " and r = repo"
+
+    def as_r(self) -> str:
+        return "repo as r, "
+
+    def value(self, column: str, source: str, where: str = "") -> str:
+        return f"(select max(v) from (select repo as r, {column} as v from {source}{' where ' * bool(where)}{where}) q where r = repo)"
+
+    def count(self, source: str, where: str = "") -> str:
+        return f"(select count(*) from (select repo as r from {source}{' where ' * bool(where)}{where}) q where r = repo)"
+
+    def exists(self, source: str, where: str) -> str:
+        return f"{self.count(source, where)} > 0"
+
+    def on(self, a: str, b: str, *columns: str) -> str:
+        return f"using ({', '.join(('repo', *columns))})"
+
+    def keys(self) -> str:
+        return " from (select distinct repo from files) repos"
+
+    def for_each_key(self, rows: str) -> str:
+        return f"select * from (select distinct repo from files) repos cross join ({rows}) fixed"
+
+    def first(self, columns: str, rest: str, order: str, n: int) -> str:
+        return f"select {'* except (nth)' if columns == '*' else 'repo, ' + columns} from (select *, row_number() over (partition by repo order by {order}) as nth {rest}) nths where nth <= {n}"
+
 
 class Duck(Spark):
     name = "duckdb"
@@ -195,4 +303,4 @@ class Duck(Spark):
         return f"cast(epoch({x}) as bigint)"
 
 
-SPARK, DUCK = Spark(), Duck()
+SPARK, DUCK, BY_REPO = Spark(), Duck(), ByRepo()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loam.sources.store import written
 
-from .dialect import SPARK
+from .dialect import BY_REPO, SPARK, Spark
 from . import understanding  # noqa: F401  (registers its relations)
 from .relations import RELATIONS, needed, plan
 
@@ -34,14 +34,14 @@ def changed(spark: SparkSession, path: str) -> int:
 
 
 class Engine:
-    """Analyses of one corpus.
+    """Analyses of one corpus, or with the dialect ``BY_REPO`` of many repositories at once, each row with its ``repo``.
 
     ``corpus`` has path and content (strings); ``old_corpus`` likewise, for diffs. Facts have no contents; they are stored as a
     Parquet table in the shared folder, so every analysis reads only the columns that it names and none reads contents again.
     """
 
-    def __init__(self, spark: SparkSession, views: dict[str, DataFrame]):
-        self.spark, self.id = spark, uuid.uuid4().hex[:8]
+    def __init__(self, spark: SparkSession, views: dict[str, DataFrame], dialect: Spark = SPARK):
+        self.spark, self.id, self.dialect = spark, uuid.uuid4().hex[:8], dialect
         self.views: dict[str, str] = {}
         for name, df in views.items():
             self._view(name, df)
@@ -56,17 +56,24 @@ class Engine:
         views = {name: df.select("path", "content") for name, df in views.items()}
         return cls(corpus.sparkSession, views | {"listing": (corpus if listing is None else listing).select("path")})
 
+    @classmethod
+    def from_repositories(cls, corpus: DataFrame, old: DataFrame | None = None, listing: DataFrame | None = None) -> Engine:
+        """Like ``from_corpus``, of rows that have a ``repo`` too: one plan for all of them, none sees another's files."""
+        old = corpus.where("false") if old is None else old
+        views = {name: df.select("repo", "path", "content") for name, df in {"corpus": corpus, "old_corpus": old}.items()}
+        return cls(corpus.sparkSession, views | {"listing": (corpus if listing is None else listing).select("repo", "path")}, BY_REPO)
+
     _documents: dict[tuple, Engine] = {}
 
     @classmethod
-    def from_documents(cls, spark: SparkSession, sf_dir: str) -> Engine:
+    def from_documents(cls, spark: SparkSession, sf_dir: str, dialect: Spark = SPARK) -> Engine:
         """Over the test corpus made of ``documents``; kept for the application's next query while the tables are the same."""
         paths = {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("documents", "pages", "events", "conversations", "labels")}
-        key = (spark.sparkContext.applicationId, sf_dir, *(changed(spark, p) for p in paths.values()))
+        key = (spark.sparkContext.applicationId, sf_dir, type(dialect), *(changed(spark, p) for p in paths.values()))
         if key not in cls._documents:
             tables = {t: spark.read.parquet(p) for t, p in paths.items()}
             tables["documents"] = spread(tables["documents"])
-            cls._documents[key] = cls(spark, tables)
+            cls._documents[key] = cls(spark, tables, dialect)
         return cls._documents[key]
 
     def _view(self, name: str, df: DataFrame) -> None:
@@ -74,10 +81,10 @@ class Engine:
         df.createOrReplaceTempView(self.views[name])
 
     def sql(self, query: str) -> DataFrame:
-        for name in needed(SPARK, query, self.views):
+        for name in needed(self.dialect, query, self.views):
             if name in STORED and name not in self.views:
-                self._view(name, written(self.sql(RELATIONS[name](SPARK)), name))
-        text = plan(SPARK, query, self.views)
+                self._view(name, written(self.sql(RELATIONS[name](self.dialect)), name))
+        text = plan(self.dialect, query, self.views)
         for name, view in self.views.items():
             text = re.sub(rf"\b(from|join) {name}\b", rf"\1 {view}", text)
         return self.spark.sql(text)

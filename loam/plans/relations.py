@@ -56,7 +56,12 @@ def listed(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def corpus_of_documents(old: bool = False) -> str:
+#: The repositories of the test corpus; the first one has three in seven of the files, the last one those at the root.
+REPOS = ("mono", "svc-a", "svc-b", "svc-c", "svc-d", "root")
+REPO_OF = "case when d % 7 < 3 then 'mono' when d % 7 = 3 then 'svc-a' when d % 7 = 4 then 'svc-b' when d % 7 = 5 then 'svc-c' else 'svc-d' end"
+
+
+def corpus_of_documents(old: bool = False, repo: bool = False) -> str:
     """The test corpus: documents dressed up as source files. Synthetic paths and headers exercise rules, nothing more."""
     nl = "chr(10)"
     folder = {0: "'src/'", 1: "'tests/'", 2: "'docs/'", 3: "'vendor/x/'", 4: "'packages/' || source || '/'", 5: "'cmd/' || source || '/'",
@@ -76,7 +81,8 @@ def corpus_of_documents(old: bool = False) -> str:
     body = f"case when d % 53 = 0 then repeat(t || {nl}, 80) else t end"
     changed = "case when d % 13 = 0 then t || ' older' else t end" if old else "t"
     rows = "where d % 10 <> 0" if old else ""
-    return f"""select {by('d % 16', folder, "''")} || {by('d % 11', base, "'n' || d || '.sh'")} as path,
+    whose = f"{REPO_OF} as repo, " if repo else ""
+    return f"""select {whose}{by('d % 16', folder, "''")} || {by('d % 11', base, "'n' || d || '.sh'")} as path,
       {by('d % 11', head, "''")} || case when d % 3 = 0 then '# TODO: fix it' || {nl} else '' end
       || case when d % 11 in (0, 1, 2) and d % 4 = 0 then 'import os' || {nl} || 'import fastapi' || {nl} || 'def helper():' || {nl} else '' end
       || case when d % 11 in (0, 1, 2) and d % 6 = 0 then {few} else '' end || case when d % 11 in (0, 2) and d % 12 = 0 then {deps} else '' end
@@ -93,24 +99,26 @@ ROOT_FILES = {
 }
 
 
-def root_files(d: Spark) -> str:
+def root_files(d: Spark, repo: bool = False) -> str:
     quoted = lambda t: " || chr(10) || ".join(d.lit(x) for x in t.split("\n"))
-    return " union all ".join(f"select '{p}' as path, {quoted(t)} as content" for p, t in ROOT_FILES.items())
+    whose = "'root' as repo, " if repo else ""
+    return " union all ".join(f"select {whose}'{p}' as path, {quoted(t)} as content" for p, t in ROOT_FILES.items())
 
 
 @relation
 def corpus(d: Spark) -> str:
-    return f"{corpus_of_documents()} union all {root_files(d)}"
+    return f"{corpus_of_documents(repo=bool(d.key()))} union all {root_files(d, bool(d.key()))}"
 
 
 @relation
 def old_corpus(d: Spark) -> str:
-    return f"{corpus_of_documents(True)} union all select 'gone/g' || doc_id || '.py' as path, coalesce(text, '') as content from documents where doc_id % 17 = 0"
+    whose = f"{REPO_OF.replace('d %', 'doc_id %')} as repo, " if d.key() else ""
+    return f"{corpus_of_documents(True, bool(d.key()))} union all select {whose}'gone/g' || doc_id || '.py' as path, coalesce(text, '') as content from documents where doc_id % 17 = 0"
 
 
 def facts_sql(d: Spark, source: str) -> str:
     n = X.name("path")
-    return f"""select path, content, {X.lines(d, 'content')} as rows, lower('/' || path) as lp, lower(path) as bare, lower({n}) as n, lower({X.stem(d, 'path')}) as st, lower({X.suffix(d, 'path')}) as suf,
+    return f"""select {d.key()}path, content, {X.lines(d, 'content')} as rows, lower('/' || path) as lp, lower(path) as bare, lower({n}) as n, lower({X.stem(d, 'path')}) as st, lower({X.suffix(d, 'path')}) as suf,
       {X.extension(d, 'path')} as extension, {d.split('lower(path)', '/')} as parts, cast({d.octets('content')} as bigint) as size, {X.line_count(d, 'content')} as line_count, {d.sha('content')} as hash from {source}"""
 
 
@@ -146,10 +154,10 @@ def files(d: Spark) -> str:
 
 @relation
 def metrics(d: Spark) -> str:
-    return f"""select cast(count(*) as bigint) as total_files, cast(sum(line_count) as bigint) as total_lines, cast(sum(size) as bigint) as total_size_bytes,
+    return f"""select {d.key()}cast(count(*) as bigint) as total_files, cast(sum(line_count) as bigint) as total_lines, cast(sum(size) as bigint) as total_size_bytes,
       cast(sum(todo_count) as bigint) as open_todos, cast({d.div('sum(line_count)', 'greatest(count(*), 1)')} as bigint) as avg_lines_per_file,
       coalesce(bool_or(is_test_file), false) as has_tests, coalesce(bool_or(is_doc_file), false) as has_docs, coalesce(bool_or(is_entry), false) as has_entries,
-      coalesce(bool_or(n in ('readme.md', 'readme.txt', 'readme')), false) as has_readme, cast(count_if(is_test_file) as bigint) as test_files from files"""
+      coalesce(bool_or(n in ('readme.md', 'readme.txt', 'readme')), false) as has_readme, cast(count_if(is_test_file) as bigint) as test_files from files{d.group()}"""
 
 
 @relation
@@ -158,14 +166,14 @@ def todo_buckets(d: Spark) -> str:
       when role in ('vendor', 'generated_sdk', 'localization', 'dependency_lock') then 'vendor_generated'
       when role in ('build_tooling', 'generator', 'config', 'environment_setup') then 'tooling' else 'first_party_source' end"""
     names = " union all ".join(f"select '{b}' as bucket" for b in ("first_party_source", "tests_fixtures", "docs", "vendor_generated", "tooling"))
-    return f"""select b.bucket, cast(coalesce(sum(t.todo_count), 0) as bigint) as todos from ({names}) b
-      left join (select {bucket} as bucket, todo_count from files) t on b.bucket = t.bucket group by b.bucket"""
+    return f"""select {d.key('b')}b.bucket, cast(coalesce(sum(t.todo_count), 0) as bigint) as todos from ({d.for_each_key(names)}) b
+      left join (select {d.key()}{bucket} as bucket, todo_count from files) t on b.bucket = t.bucket{d.same('b', 't')} group by {d.key('b')}b.bucket"""
 
 
 @relation
 def entry_points(d: Spark) -> str:
     rank = case("base_category", [(c, i) for i, c in enumerate(ENTRY_ORDER)])
-    return f"select path, base_category as category, cast(entry_score as bigint) as score, {rank} as category_rank from files where is_entry"
+    return f"select {d.key()}path, base_category as category, cast(entry_score as bigint) as score, {rank} as category_rank from files where is_entry"
 
 
 @relation
@@ -175,10 +183,10 @@ def file_issues(d: Spark) -> str:
     skipped = "role in ('vendor', 'dependency_lock')"
     long, large = f"line_count > {LONG_FILE}", f"size > {LARGE_FILE}"
     # Long or large vendor and lock files leave before the later checks.
-    return f"""select 'todo' as type, 'low' as severity, 'maintainability' as category, path as file, 'Contains ' || todo_count || ' TODO/FIXME markers' as message, 1 as ord from files where todo_count > 0
-      union all select 'large_file', 'medium', {kind}, path, {C.large_file_policy('role', 'line_count')}, 2 from files where {long} and not {skipped}
-      union all select 'large_file_size', 'medium', {kind}, path, 'File is ' || {d.div('size', '1024')} || 'KB', 3 from files where {large} and not {skipped}
-      union all select 'doc_code_drift', case when {d.size('drift')} > 0 then 'low' else 'medium' end, case when role in ('generated_sdk', 'localization') then 'structural' else 'maintainability' end, path,
+    return f"""select {d.key()}'todo' as type, 'low' as severity, 'maintainability' as category, path as file, 'Contains ' || todo_count || ' TODO/FIXME markers' as message, 1 as ord from files where todo_count > 0
+      union all select {d.key()}'large_file', 'medium', {kind}, path, {C.large_file_policy('role', 'line_count')}, 2 from files where {long} and not {skipped}
+      union all select {d.key()}'large_file_size', 'medium', {kind}, path, 'File is ' || {d.div('size', '1024')} || 'KB', 3 from files where {large} and not {skipped}
+      union all select {d.key()}'doc_code_drift', case when {d.size('drift')} > 0 then 'low' else 'medium' end, case when role in ('generated_sdk', 'localization') then 'structural' else 'maintainability' end, path,
         {d.size('drift')} || ' drift indicators, ' || empty_headings || ' empty headings', 4 from files where ({d.size('drift')} > 0 or empty_headings >= 3) and not ({skipped} and ({long} or {large}))"""
 
 
@@ -193,20 +201,20 @@ def archetype_signals(d: Spark) -> str:
     runtime = ("core/", "runtime/", "api/", "python/", "compiler/", "lite/")
     code = (".py", ".js", ".ts", ".rs", ".go", ".cpp", ".c", ".h", ".java", ".cc", ".hpp", ".hh", ".hxx")
     languages = (".py", ".js", ".ts", ".rs", ".go", ".cpp", ".c", ".h", ".hpp", ".cc", ".java", ".kt", ".rb", ".cs")
-    return f"""select {has("contains(path, 'libraries/lib')")} as browser, {has("contains(path, 'src-tauri/src/main.rs')")} as tauri, {has(X.ends('path', 'go.mod'))} as go_mod, {has(X.ends('path', 'main.go'))} as main_go,
+    return f"""select {d.key()}{has("contains(path, 'libraries/lib')")} as browser, {has("contains(path, 'src-tauri/src/main.rs')")} as tauri, {has(X.ends('path', 'go.mod'))} as go_mod, {has(X.ends('path', 'main.go'))} as main_go,
       count_if({X.begins('path', 'packages/')}) > 5 or count_if({X.begins('path', 'crates/')}) > 5 or {has(X.begins('path', 'apps/'))} and {has(X.begins('path', 'services/'))}
         or {has(X.begins('path', 'modules/'))} and {has(X.begins('path', 'services/'))} as packaged,
       {has(X.begins('path', 'cmd/', 'server/'))} as cmd_or_server, {has(X.begins('path', 'api/', 'src/'))} as api_or_src, {has(f'{main} and not ({aside})')} as main_root, count_if({main} and not ({aside})) as mains,
       {has(X.any_in('path', ['/' + x for x in runtime]) + ' or ' + X.begins('path', *runtime))} as large_runtime, count(distinct case when {second} in {roots} then {second} end) >= 2 as layout,
       count_if({X.begins('path', 'vendor/', 'third_party/')}) as vendor, count_if({X.any_in('path', ('/gen/', '/generated/'))}) as generated, count_if({X.begins('path', 'docs/')} or {X.ends('path', '.md')}) as docs,
-      count_if({raw} in {listed(code)}) as sources, count_if({X.any_in('path', ('/test/', '/tests/'))} or {X.ends('path', '_test.go')}) as tests, count(distinct case when suf in {listed(languages)} then suf end) as languages from files"""
+      count_if({raw} in {listed(code)}) as sources, count_if({X.any_in('path', ('/test/', '/tests/'))} or {X.ends('path', '_test.go')}) as tests, count(distinct case when suf in {listed(languages)} then suf end) as languages from files{d.group()}"""
 
 
-def _archetype(go: str, browser: str) -> str:
+def _archetype(d: Spark, go: str, browser: str) -> str:
     """Later rules override earlier ones; a framework or library is an app without a main file of its own, or one laid out as such."""
     rooted = "(main_root or tauri) and (cmd_or_server or api_or_src)"
     framework = "p = 'app' and (layout and mains <= 2 and sources >= 3 or not main_root and (api_or_src or large_runtime or layout))"
-    return f"""select case when {framework} then 'framework_library' else p end as primary_archetype, case when {framework} then 'medium' else c end as confidence, vendor > 20 as vendor_heavy, generated > 20 as generated_heavy,
+    return f"""select {d.key()}case when {framework} then 'framework_library' else p end as primary_archetype, case when {framework} then 'medium' else c end as confidence, vendor > 20 as vendor_heavy, generated > 20 as generated_heavy,
       docs > 2 * sources and sources > 0 as documentation_heavy, tests > 0 and tests > 2 * sources as test_suite, languages >= 3 as mixed_language from (select *,
         case when go and not main_go then 'framework_library' when {rooted} then case when go then 'cli_server' when tauri then 'desktop_app' else 'app' end
           when packaged then 'monorepo' when tauri then 'desktop_app' when web then 'browser_engine' else 'app' end as p,
@@ -216,66 +224,66 @@ def _archetype(go: str, browser: str) -> str:
 
 @relation
 def archetype(d: Spark) -> str:
-    return _archetype("(select language from primary_language) = 'go'", "exists (select 1 from kept_components where lower(key) in ('libraries/libweb', 'libraries/libjs', 'ak'))")
+    return _archetype(d, f"{d.value('language', 'primary_language')} = 'go'", d.exists("kept_components", "lower(key) in ('libraries/libweb', 'libraries/libjs', 'ak')"))
 
 
 @relation
 def plain_archetype(d: Spark) -> str:
     """Of paths alone, as issues are found before languages and components are known."""
-    return _archetype("false", "false")
+    return _archetype(d, "false", "false")
 
 
 @relation
 def issues(d: Spark) -> str:
-    one = lambda t, s, c, m, cond: f"select '{t}', '{s}', '{c}', cast(null as {'string' if d.name == 'spark' else 'varchar'}), '{m}', 9 from metrics where {cond}"
+    one = lambda t, s, c, m, cond: f"select {d.key()}'{t}', '{s}', '{c}', cast(null as {'string' if d.name == 'spark' else 'varchar'}), '{m}', 9 from metrics where {cond}"
     return f"""select * from file_issues
       union all {one('no_tests', 'high', 'test', 'No test files detected in project', 'not has_tests')}
       union all {one('no_readme', 'medium', 'structural', 'No README file found', 'not has_readme')}
-      union all {one('no_entry_point', 'low', 'runtime', 'No clear entry point detected', "total_files > 3 and not has_entries and (select primary_archetype from plain_archetype) not in ('framework_library', 'monorepo')")}"""
+      union all {one('no_entry_point', 'low', 'runtime', 'No clear entry point detected', f"total_files > 3 and not has_entries and {d.value('primary_archetype', 'plain_archetype')} not in ('framework_library', 'monorepo')")}"""
 
 
 @relation
 def tests(d: Spark) -> str:
     plain = d.sub("st", "_test$", "")
-    return f"select path, suf, case when suf = '.go' then {plain} else {d.sub(d.sub('st', '^test_', ''), '_test$', '')} end as norm from files where is_test_file"
+    return f"select {d.key()}path, suf, case when suf = '.go' then {plain} else {d.sub(d.sub('st', '^test_', ''), '_test$', '')} end as norm from files where is_test_file"
 
 
 @relation
 def testables(d: Spark) -> str:
-    return "select path, st, right(path, 3) = '.py' as py from files where right(path, 3) in ('.py', '.go')"
+    return f"select {d.key()}path, st, right(path, 3) = '.py' as py from files where right(path, 3) in ('.py', '.go')"
 
 
 @relation
 def test_keys(d: Spark) -> str:
     """Equality keys of the pairings: the normalised stem, tails of Go test names, parts of normalised stems."""
     tails = d.each(d.sequence("1", "greatest(length(norm), 1)"), "i", "substr(norm, cast(i as int))")
-    return f"""select norm as k, 'same' as how, min(path) as test from tests group by norm
-      union all select k, 'tail', min(path) from (select path, {d.explode(tails)} as k from tests where right(path, 8) = '_test.go') t group by k
-      union all select k, 'part', min(path) from (select path, {d.explode(d.split('norm', '_'))} as k from tests) t group by k"""
+    return f"""select {d.key()}norm as k, 'same' as how, min(path) as test from tests{d.group('norm')}
+      union all select {d.key()}k, 'tail', min(path) from (select {d.key()}path, {d.explode(tails)} as k from tests where right(path, 8) = '_test.go') t{d.group('k')}
+      union all select {d.key()}k, 'part', min(path) from (select {d.key()}path, {d.explode(d.split('norm', '_'))} as k from tests) t{d.group('k')}"""
 
 
 @relation
 def stem_parts(d: Spark) -> str:
     """All substrings of Python stems: whether a test's stem is inside one is then an equality."""
     spans = d.explode(d.sequence("1", "length(st)"))
-    return f"""select distinct st, substr(st, cast(i as int), cast(j as int)) as k from (select st, i, {d.explode(d.sequence('1', 'length(st) - i + 1'))} as j from (
-      select st, {spans} as i from (select distinct st from testables where py) a) b) c union select distinct st, '' from testables where py"""
+    return f"""select distinct {d.key()}st, substr(st, cast(i as int), cast(j as int)) as k from (select {d.key()}st, i, {d.explode(d.sequence('1', 'length(st) - i + 1'))} as j from (
+      select {d.key()}st, {spans} as i from (select distinct {d.key()}st from testables where py) a) b) c union select distinct {d.key()}st, '' from testables where py"""
 
 
 @relation
 def coverage(d: Spark) -> str:
     """path, status (paired, related, none), test_file."""
-    return """select s.path, case when a.test is not null or t.test is not null then 'paired' when r.test is not null then 'related' else 'none' end as status,
+    return f"""select {d.key('s')}s.path, case when a.test is not null or t.test is not null then 'paired' when r.test is not null then 'related' else 'none' end as status,
       case when a.test is not null or t.test is not null then least(coalesce(a.test, t.test), coalesce(t.test, a.test)) else r.test end as test_file
-      from testables s left join (select k, test from test_keys where how = 'same') a on s.st = a.k
-      left join (select k, test from test_keys where how = 'tail') t on s.st = t.k and not s.py
-      left join (select st, min(test) as test from (select p.st, k.test from stem_parts p join test_keys k on p.k = k.k where k.how = 'same'
-        union all select q.st, k.test from (select distinct st from testables where py) q join test_keys k on q.st = k.k where k.how = 'part') z where st <> '' group by st) r on s.st = r.st and s.py"""
+      from testables s left join (select {d.key()}k, test from test_keys where how = 'same') a on s.st = a.k{d.same('s', 'a')}
+      left join (select {d.key()}k, test from test_keys where how = 'tail') t on s.st = t.k and not s.py{d.same('s', 't')}
+      left join (select {d.key()}st, min(test) as test from (select {d.key('p')}p.st, k.test from stem_parts p join test_keys k on p.k = k.k{d.same('p', 'k')} where k.how = 'same'
+        union all select {d.key('q')}q.st, k.test from (select distinct {d.key()}st from testables where py) q join test_keys k on q.st = k.k{d.same('q', 'k')} where k.how = 'part') z where st <> ''{d.group('st')}) r on s.st = r.st and s.py{d.same('s', 'r')}"""
 
 
 @relation
 def issue_counts(d: Spark) -> str:
-    return f"select file, count(*) as n, {d.join(d.slice(d.distinct(d.slice(d.collect('type', 'ord'), 2)), 2), ',')} as types from file_issues group by file"
+    return f"select {d.key()}file, count(*) as n, {d.join(d.slice(d.distinct(d.slice(d.collect('type', 'ord'), 2)), 2), ',')} as types from file_issues{d.group('file')}"
 
 
 @relation
@@ -286,7 +294,7 @@ def scored(d: Spark) -> str:
       case when is_entry then 30 else 0 end + case when line_count > 500 and role = 'config' then 8 when line_count > 250 then 10 else 0 end
       + case when import_count >= 12 then 15 when import_count >= 6 then 8 else 0 end + case when has_main then 10 else 0 end
       + case when has_class or has_function then 6 else 0 end + case when c.status = 'none' then 12 else 0 end + 8 * coalesce(i.n, 0) as raw
-      from (select * from files where {gates}) f left join coverage c on f.path = c.path left join issue_counts i on f.path = i.file"""
+      from (select * from files where {gates}) f left join coverage c on f.path = c.path{d.same('f', 'c')} left join issue_counts i on f.path = i.file{d.same('f', 'i')}"""
 
 
 @relation
@@ -308,31 +316,31 @@ def risks(d: Spark) -> str:
     kept = d.filter(marks, "m", "m is not null")
     factors = d.slice(d.distinct(d.concat(kept, f"case when issue_types is null then {d.no_texts()} else {d.split('issue_types', ',')} end")), 6)
     cats = d.filter(kinds, "m", "m is not null")
-    return f"""select path as file, cast(least(raw, 100) as bigint) as score, case when raw >= 55 then 'high' when raw >= 30 then 'medium' else 'low' end as level,
+    return f"""select {d.key()}path as file, cast(least(raw, 100) as bigint) as score, case when raw >= 55 then 'high' when raw >= 30 then 'medium' else 'low' end as level,
       {d.join(factors, ';')} as factors, case when {d.size(cats)} = 0 then 'maintainability' else {d.join(d.sort(cats), ';')} end as risk_categories, surface, test_status, test_file from scored where raw > 0"""
 
 
 @relation
 def top_risks(d: Spark) -> str:
-    return "select * from risks order by score desc, file limit 80"
+    return d.first("*", "from risks", "score desc, file", 80)
 
 
 @relation
 def hotspots(d: Spark) -> str:
     gates = f"""role not in ('vendor', 'dependency_lock', 'generated_sdk', 'localization') and not (hotspot = 'runtime' and (role <> 'source'
       or {X.any_in('bare', (*C.SHOWN_DIRS, *C.TEST_DIRS, '/docs_src/'))}))"""
-    return f"""select f.path, f.hotspot as bucket, f.line_count, coalesce(cast(r.score as double), 0.0) + least(cast(f.line_count as double) / 40.0, 120.0) + least(cast(f.size as double) / 50000.0, 20.0)
+    return f"""select {d.key('f')}f.path, f.hotspot as bucket, f.line_count, coalesce(cast(r.score as double), 0.0) + least(cast(f.line_count as double) / 40.0, 120.0) + least(cast(f.size as double) / 50000.0, 20.0)
       + coalesce(i.n, 0) * 8 + case when f.is_entry then cast(f.entry_score as double) else 0.0 end / 10.0
       + case f.hotspot when 'runtime' then 10 when 'test_data' then -10 when 'documentation' then -15 else 0 end as score
-      from (select * from files where {gates}) f left join top_risks r on f.path = r.file left join issue_counts i on f.path = i.file"""
+      from (select * from files where {gates}) f left join top_risks r on f.path = r.file{d.same('f', 'r')} left join issue_counts i on f.path = i.file{d.same('f', 'i')}"""
 
 
 @relation
 def components(d: Spark) -> str:
     """Groups by key; those without a slash and with more than three files are split at the second level."""
-    return f"""select key, cast(count(*) as bigint) as file_count, cast(sum(line_count) as bigint) as line_count from (
-      select f.path, f.line_count, case when not contains(f.component, '/') and c.n > 3 then {d.join(d.cut(d.split('f.path', '/'), '1', '2'), '/')} else f.component end as key
-      from files f join (select component, count(*) as n from files where component is not null group by component) c on f.component = c.component) x group by key"""
+    return f"""select {d.key()}key, cast(count(*) as bigint) as file_count, cast(sum(line_count) as bigint) as line_count from (
+      select {d.key('f')}f.path, f.line_count, case when not contains(f.component, '/') and c.n > 3 then {d.join(d.cut(d.split('f.path', '/'), '1', '2'), '/')} else f.component end as key
+      from files f join (select {d.key()}component, count(*) as n from files where component is not null{d.group('component')}) c on f.component = c.component{d.same('f', 'c')}) x{d.group('key')}"""
 
 
 @relation
@@ -347,8 +355,7 @@ def library_names(d: Spark) -> str:
 
 @relation
 def kept_components(d: Spark) -> str:
-    return """select key, file_count, line_count from components where file_count > 2 or (select count(*) from components) <= 3 or (select count_if(file_count > 2) from components) < 3
-      order by line_count desc, file_count desc, key limit 15"""
+    return d.first("key, file_count, line_count", f"from components where file_count > 2 or {d.count('components')} <= 3 or {d.count('components', 'file_count > 2')} < 3", "line_count desc, file_count desc, key", 15)
 
 
 @relation
@@ -375,9 +382,9 @@ def language_scores(d: Spark) -> str:
     weight = f"""case when ctx in ('test', 'test_data', 'documentation') then 15 when ctx in ('vendor_generated', 'resources', 'data_or_config') then 25 when ctx = 'environment' then 20
       when ctx in {listed((*FIRST_PARTY, 'python_api'))} then 220 when ctx in {listed(TOOLING)} then 75 else 100 end"""
     bonus = [("c++", 80, "n = 'cmakelists.txt'"), ("rust", 35, X.ends("path", "Cargo.toml")), ("go", 120, "n in ('go.mod', 'go.sum')"), ("go", 50, "n = 'go.mod'"), ("go", 60, "contains(path, '/cmd/') or left(path, 4) = 'cmd/'")]
-    more = " union all ".join(f"select '{k}', cast(case when bool_or({c}) then {v} else 0 end as bigint) from files" for k, v, c in bonus)
-    return f"""select language, cast(sum(points) as bigint) as points from (select {lang} as language, cast({d.div(f'{base} * {weight}', '100')} as bigint) as points from files union all {more}) x
-      where language is not null group by language having sum(points) > 0"""
+    more = " union all ".join(f"select {d.key()}'{k}', cast(case when bool_or({c}) then {v} else 0 end as bigint) from files{d.group()}" for k, v, c in bonus)
+    return f"""select {d.key()}language, cast(sum(points) as bigint) as points from (select {d.key()}{lang} as language, cast({d.div(f'{base} * {weight}', '100')} as bigint) as points from files union all {more}) x
+      where language is not null{d.group('language')} having sum(points) > 0"""
 
 
 @relation
@@ -387,45 +394,45 @@ def category_lines(d: Spark) -> str:
         "environment": ("environment",), "data": ("resources", "data_or_config", "vendor_generated", "generated_sdk", "localization_resource", "test_data"),
     }
     sums = ", ".join(f"cast(coalesce(sum(case when ctx in {listed(v)} then line_count else 0 end), 0) as bigint) as {k}_lines" for k, v in kinds.items())
-    return f"select {sums} from files"
+    return f"select {d.key()}{sums} from files{d.group()}"
 
 
 @relation
 def scan_coverage(d: Spark) -> str:
     total = "greatest(1, source_lines + tests_lines + tooling_lines + documentation_lines + environment_lines + data_lines)"
     return f"""select c.*, {d.half_even(f'cast(tests_lines as double) / {total}', 3)} as test_ratio, {d.half_even(f'cast(source_lines as double) / {total}', 3)} as source_ratio, warning
-      from category_lines c cross join coverage_warning"""
+      from category_lines c {d.paired('c', 'coverage_warning')}"""
 
 
 @relation
 def all_issues(d: Spark) -> str:
     """With what scan coverage adds; it does not feed risk scores."""
-    return f"select * from issues union all select 'scan_coverage', 'medium', 'structural', cast(null as {'string' if d.name == 'spark' else 'varchar'}), warning, 10 from scan_coverage where warning <> ''"
+    return f"select * from issues union all select {d.key()}'scan_coverage', 'medium', 'structural', cast(null as {'string' if d.name == 'spark' else 'varchar'}), warning, 10 from scan_coverage where warning <> ''"
 
 
 @relation
 def signals(d: Spark) -> str:
-    return f"""select category, count(*) as n from (select category from all_issues union all select 'maintainability' from all_issues where type in ('large_file', 'large_file_size') and category <> 'maintainability'
-      union all select {d.explode(d.split('risk_categories', ';'))} from top_risks) x group by category"""
+    return f"""select {d.key()}category, count(*) as n from (select {d.key()}category from all_issues union all select {d.key()}'maintainability' from all_issues where type in ('large_file', 'large_file_size') and category <> 'maintainability'
+      union all select {d.key()}{d.explode(d.split('risk_categories', ';'))} from top_risks) x{d.group('category')}"""
 
 
 @relation
 def health_inputs(d: Spark) -> str:
-    return """select m.*, (select count(*) from all_issues) as issue_count, coalesce((select n from signals where category = 'runtime'), 0) as runtime_signals,
-      (select todos from todo_buckets where bucket = 'docs') as doc_todos, greatest(1, coalesce(total_lines, 0)) as lines1,
+    return f"""select m.*, {d.count('all_issues')} as issue_count, coalesce({d.value('n', 'signals', "category = 'runtime'")}, 0) as runtime_signals,
+      {d.value('todos', 'todo_buckets', "bucket = 'docs'")} as doc_todos, greatest(1, coalesce(total_lines, 0)) as lines1,
       coalesce(total_lines, 0) >= 50000 or total_files >= 2000 as mature,
-      (select count(*) from all_issues where type = 'no_entry_point') > 0 as no_entry, (select count(*) from all_issues where type = 'no_tests') > 0 as no_tests from metrics m"""
+      {d.count('all_issues', "type = 'no_entry_point'")} > 0 as no_entry, {d.count('all_issues', "type = 'no_tests'")} > 0 as no_tests from metrics m"""
 
 
 @relation
 def health(d: Spark) -> str:
     density = "cast(coalesce(open_todos, 0) as double) / lines1 * 1000"
-    return f"""select cast(greatest(30, least(100, maintainability + case test_signal when 'strong' then 5 when 'missing' then -10 else 0 end
+    return f"""select {d.key()}cast(greatest(30, least(100, maintainability + case test_signal when 'strong' then 5 when 'missing' then -10 else 0 end
         + case runtime_level when 'high' then -5 when 'medium' then -2 else 0 end + case when documentation <= 30 then -5 else 0 end - 5
         + case when mature and test_signal = 'strong' then 3 else 0 end)) as bigint) as score,
       cast(maintainability as bigint) as maintainability, case when maintainability >= 85 then 'low' when maintainability >= 65 then 'medium' else 'high' end as maintainability_risk,
       cast(documentation as bigint) as documentation, runtime_level, test_signal, {d.half_even('density', 2)} as todo_density from (
-      select mature, {density} as density, greatest(0, least(100, 80 - least(30, doc_todos * 3))) as documentation,
+      select {d.key()}mature, {density} as density, greatest(0, least(100, 80 - least(30, doc_todos * 3))) as documentation,
         greatest(55, least(100, {d.half_even(f'100 - case when mature then least(25.0, {density} * 4) else least(35.0, {density} * 6) end - least(20.0, cast(issue_count as double) / 60)')})) as maintainability,
         case when no_entry then 'medium' when runtime_signals >= 8 then 'high' when runtime_signals >= 3 then 'medium' when runtime_signals >= 1 then 'low' else 'unknown' end as runtime_level,
         case when no_tests then 'missing' when test_files > 5 then 'strong' when test_files > 0 then 'present' else 'missing' end as test_signal from health_inputs) x"""
@@ -433,18 +440,19 @@ def health(d: Spark) -> str:
 
 @relation
 def old_files(d: Spark) -> str:
-    return f"select path, {d.sha('content')} as hash from old_corpus"
+    return f"select {d.key()}path, {d.sha('content')} as hash from old_corpus"
 
 
 @relation
 def diff(d: Spark) -> str:
-    return """select coalesce(f.path, o.path) as path, case when o.path is null then 'new' when f.path is null then 'deleted' when f.hash <> o.hash then 'modified' else 'same' end as status
-      from (select path, hash from files) f full outer join old_files o on f.path = o.path"""
+    whose = "coalesce(f.repo, o.repo) as repo, " if d.key() else ""
+    return f"""select {whose}coalesce(f.path, o.path) as path, case when o.path is null then 'new' when f.path is null then 'deleted' when f.hash <> o.hash then 'modified' else 'same' end as status
+      from (select {d.key()}path, hash from files) f full outer join old_files o on f.path = o.path{d.same('f', 'o')}"""
 
 
 @relation
 def diff_counts(d: Spark) -> str:
-    return """select cast(count_if(status = 'new') as bigint) as new_count, cast(count_if(status = 'modified') as bigint) as modified_count, cast(count_if(status = 'deleted') as bigint) as deleted_count from diff"""
+    return f"""select {d.key()}cast(count_if(status = 'new') as bigint) as new_count, cast(count_if(status = 'modified') as bigint) as modified_count, cast(count_if(status = 'deleted') as bigint) as deleted_count from diff{d.group()}"""
 
 
 @relation

@@ -6,7 +6,7 @@ from loam.functions import extract as X
 from loam.functions import roles as R
 
 from .dialect import Spark
-from .relations import DISPLAY, FIRST_PARTY, case, listed, relation
+from .relations import REPO_OF, DISPLAY, FIRST_PARTY, case, listed, relation
 
 #: The corpus's own name; an engine may be given another one.
 ROOT = "corpus"
@@ -83,12 +83,13 @@ def patterns(d: Spark) -> str:
 @relation
 def listing(d: Spark) -> str:
     """All paths there are, scanned or not; the test corpus has some that no scan takes."""
-    return "select path from corpus union all select 'api/skipped' || doc_id || '.bin' as path from documents union all select 'server/skipped' || doc_id || '.bin' as path from documents where doc_id % 2 = 0"
+    whose = f"{REPO_OF.replace('d %', 'doc_id %')} as repo, " if d.key() else ""
+    return f"select {d.key()}path from corpus union all select {whose}'api/skipped' || doc_id || '.bin' as path from documents union all select {whose}'server/skipped' || doc_id || '.bin' as path from documents where doc_id % 2 = 0"
 
 
 @relation
 def directories(d: Spark) -> str:
-    return f"select distinct {d.sub('path', '/[^/]*$', '')} as directory from files where contains(path, '/') and not {d.match('path', r'(^|/)\.[^/]*/')}"
+    return f"select distinct {d.key()}{d.sub('path', '/[^/]*$', '')} as directory from files where contains(path, '/') and not {d.match('path', r'(^|/)\.[^/]*/')}"
 
 
 @relation
@@ -96,9 +97,9 @@ def directory_coverage(d: Spark) -> str:
     """Of the directories that a scan should reach: files there are, files scanned."""
     parts = d.split("path", "/")
     key = f"case when {d.at(parts, '1')} = 'Libraries' then {d.join(d.cut(parts, '1', '2'), '/')} else {d.at(parts, '1')} end"
-    counted = lambda t: f"select {key} as directory, count(*) as n from {t} where contains(path, '/') group by 1"
-    return f"""select directory, scanned, actual, {d.half_even('cast(scanned as double) / actual', 3)} as ratio, actual >= 100 and scanned < 0.25 * actual as under, {case('directory', [(x, i) for i, x in enumerate(EXPECTED_DIRS)])} as ord
-      from (select l.directory, cast(coalesce(f.n, 0) as bigint) as scanned, cast(l.n as bigint) as actual from ({counted('listing')}) l left join ({counted('files')}) f on l.directory = f.directory
+    counted = lambda t: f"select {d.key()}{key} as directory, count(*) as n from {t} where contains(path, '/') group by {d.key() and '1, '}{2 if d.key() else 1}"
+    return f"""select {d.key()}directory, scanned, actual, {d.half_even('cast(scanned as double) / actual', 3)} as ratio, actual >= 100 and scanned < 0.25 * actual as under, {case('directory', [(x, i) for i, x in enumerate(EXPECTED_DIRS)])} as ord
+      from (select {d.key('l')}l.directory, cast(coalesce(f.n, 0) as bigint) as scanned, cast(l.n as bigint) as actual from ({counted('listing')}) l left join ({counted('files')}) f on l.directory = f.directory{d.same('l', 'f')}
       where l.directory in {listed(EXPECTED_DIRS)}) x"""
 
 
@@ -106,24 +107,26 @@ def directory_coverage(d: Spark) -> str:
 def coverage_warning(d: Spark) -> str:
     """The first of five warnings that holds, else an empty text."""
     under = f"coalesce({d.join(d.slice(d.collect('directory', 'ord'), 4), ', ')}, '')"
-    return f"""select case when go_mod and not go_files then 'Scan coverage note: Go module detected (go.mod) but no Go source files scanned. Expected Go source directories like cmd/, api/, server/ may be excluded.'
+    dirs = f"(select {d.key()}{under} as dirs from directory_coverage where under{d.group()}) u"
+    module = f"(select {d.key()}coalesce(bool_or(path = 'go.mod'), false) as go_mod from listing{d.group()}) l"
+    go = f"(select {d.key()}coalesce(bool_or(suf = '.go'), false) as go_files, coalesce(bool_or({X.name('path')} = 'go.mod'), false) as go_mod_scanned from files{d.group()}) g"
+    shares = f"""(select {d.key()}total, cast(tests_lines as double) / total as test_share, cast(source_lines as double) / total as source_share from
+        (select *, greatest(1, source_lines + tests_lines + tooling_lines + documentation_lines + environment_lines + data_lines) as total from category_lines) z) c"""
+    return f"""select {d.key()}case when go_mod and not go_files then 'Scan coverage note: Go module detected (go.mod) but no Go source files scanned. Expected Go source directories like cmd/, api/, server/ may be excluded.'
       when go_mod and not go_mod_scanned then 'Scan coverage note: go.mod exists but was not included in the scan. Results may be affected by extension filtering.'
       when dirs <> '' then 'Scan coverage note: expected directories ' || dirs || ' are below previous baseline.'
       when test_share >= 0.7 and source_share <= 0.2 and source_share > 0 then 'Scan coverage note: tests represent a large share of scanned lines while source directories are lightly represented.'
       when source_share = 0 and total > 100 then 'Scan coverage note: no first-party source lines detected; all scanned content appears to be tests, data, or tooling.' else '' end as warning
-      from (select {under} as dirs from directory_coverage where under) u cross join (select coalesce(bool_or(path = 'go.mod'), false) as go_mod from listing) l
-      cross join (select coalesce(bool_or(suf = '.go'), false) as go_files, coalesce(bool_or({X.name('path')} = 'go.mod'), false) as go_mod_scanned from files) g
-      cross join (select total, cast(tests_lines as double) / total as test_share, cast(source_lines as double) / total as source_share from
-        (select *, greatest(1, source_lines + tests_lines + tooling_lines + documentation_lines + environment_lines + data_lines) as total from category_lines) z) c"""
+      from {shares} {d.paired('c', dirs)} {d.paired('c', module)} {d.paired('c', go)}"""
 
 
 @relation
 def primary_language(d: Spark) -> str:
     """The language of most points, joined by the second one if it has 30 % of its points."""
     shown = lambda x: case(x, [(k, f"'{v}'") for k, v in DISPLAY.items()], x)
-    ranked = "(select *, row_number() over (order by points desc, language) as k from language_scores) x"
-    return f"""select coalesce(max(case when k = 1 then case when second is not null then {shown('language')} || '/' || {shown('second')} else language end end), 'unknown') as language from (
-      select a.k, a.language, case when b.points >= a.points * 0.30 then b.language end as second from (select * from {ranked} where k = 1) a left join (select * from {ranked} where k = 2) b on a.k + 1 = b.k) y"""
+    ranked = f"(select *, row_number() over ({d.over()}order by points desc, language) as k from language_scores) x"
+    return f"""select {d.key()}coalesce(max(case when k = 1 then case when second is not null then {shown('language')} || '/' || {shown('second')} else language end end), 'unknown') as language from (
+      select {d.key('a')}a.k, a.language, case when b.points >= a.points * 0.30 then b.language end as second from (select * from {ranked} where k = 1) a left join (select * from {ranked} where k = 2) b on a.k + 1 = b.k{d.same('a', 'b')}) y{d.group()}"""
 
 
 @relation
@@ -344,36 +347,39 @@ def insight(d: Spark) -> str:
 @relation
 def hot_paths(d: Spark) -> str:
     """The three hottest runtime files, by rank."""
-    return """select cast(row_number() over (order by k) as bigint) as rank, path from (select h.path, row_number() over (order by score desc, h.line_count desc, h.path) as k from hotspots h where bucket = 'runtime') x
-      join (select path as p, surface from files) f on x.path = f.p where k <= 5 and surface = 'runtime' order by k limit 3"""
+    hot = d.first("path, score, line_count", "from hotspots where bucket = 'runtime'", "score desc, line_count desc, path", 5)
+    found = f"select {d.key('x')}x.path, row_number() over ({d.over_of('x')}order by score desc, x.line_count desc, x.path) as k from ({hot}) x join (select {d.key()}path as p, surface from files) f on x.path = f.p{d.same('x', 'f')} where surface = 'runtime'"
+    return f"select {d.key()}cast(k as bigint) as rank, path from ({found}) y where k <= 3"
 
 
 @relation
 def trace(d: Spark) -> str:
     """One row: where tracing starts (strong runtime entries, others, build, generator), the hottest files, whether the two fit."""
     weak = lambda x: X.any_in(f"lower({x})", ("/assets/", "/asset/", "/static/", "/docs/", "/docs_src/", "/examples/", "/example/", "/samples/", "/sample/"))
-    first = f"""select path from entry_points where category in ('runtime', 'build', 'generator')
-      order by case when category = 'runtime' and not {weak('path')} then 0 when category = 'runtime' then 1 when category = 'build' then 2 else 3 end, score desc, path limit 1"""
+    order = f"case when category = 'runtime' and not {weak('path')} then 0 when category = 'runtime' then 1 when category = 'build' then 2 else 3 end, score desc, path"
+    first = d.first("path", "from entry_points where category in ('runtime', 'build', 'generator')", order, 1)
     hot = d.collect("path", "rank")
-    return f"""select entry, hot, coalesce(hot2, '') as hot2, hots, archetype, case when (entry is null or {weak('coalesce(entry, chr(32))')}) and strong then 'low' else 'high' end as surface_confidence
-      from (select max(path) as entry from ({first}) e) a cross join (select coalesce({hot}, {d.no_texts()}) as hot, {d.join(d.slice(hot, 2), ', ')} as hot2, count(*) as hots, coalesce(bool_or(not {weak('path')}), false) as strong from hot_paths) b
-      cross join (select primary_archetype as archetype from archetype) c"""
+    entry = f"(select {d.key()}max(path) as entry from ({first}) e{d.group()}) a"
+    hottest = f"(select {d.key()}{hot} as hot, {d.join(d.slice(hot, 2), ', ')} as hot2, count(*) as hots, bool_or(not {weak('path')}) as strong from hot_paths{d.group()}) b"
+    return f"""select {d.key()}entry, coalesce(hot, {d.no_texts()}) as hot, coalesce(hot2, '') as hot2, coalesce(hots, 0) as hots, archetype,
+      case when (entry is null or {weak('coalesce(entry, chr(32))')}) and coalesce(strong, false) then 'low' else 'high' end as surface_confidence
+      from (select {d.key()}primary_archetype as archetype from archetype) c {d.paired('c', entry)} {d.paired('c', hottest)}"""
 
 
 @relation
 def test_candidates(d: Spark) -> str:
     """For each modified source file that is testable: the first test file of an expected name, else a path for a new one."""
     stem = d.sub(X.name("c.path"), r"\.py$", "")
-    tests = f"select path, {X.name('path')} as name from files where is_test_file"
-    return f"""select c.path, c.stem, min(t.path) as test, coalesce(min(t.path), 'tests/test_' || c.stem || '.py') as candidate from (
-        select c.path, {stem} as stem from (select path from diff where status = 'modified') c where not contains(lower(c.path), 'test') and {d.match('lower(c.path)', r'\.(py|js|ts|cpp|c|h|hpp)$')}) c
-      left join (select t.path, k.stem from ({tests}) t join (select name, {d.sub(d.sub('name', '^test_', ''), r'\.py$', '')} as stem from ({tests}) a where left(name, 5) = 'test_'
-        union select name, {d.sub('name', r'_test\.py$', '')} from ({tests}) b where right(name, 8) = '_test.py') k on t.name = k.name where right(t.name, 3) = '.py') t on c.stem = t.stem group by c.path, c.stem"""
+    tests = f"select {d.key()}path, {X.name('path')} as name from files where is_test_file"
+    return f"""select {d.key('c')}c.path, c.stem, min(t.path) as test, coalesce(min(t.path), 'tests/test_' || c.stem || '.py') as candidate from (
+        select {d.key('c')}c.path, {stem} as stem from (select {d.key()}path from diff where status = 'modified') c where not contains(lower(c.path), 'test') and {d.match('lower(c.path)', r'\.(py|js|ts|cpp|c|h|hpp)$')}) c
+      left join (select {d.key('t')}t.path, k.stem from ({tests}) t join (select {d.key()}name, {d.sub(d.sub('name', '^test_', ''), r'\.py$', '')} as stem from ({tests}) a where left(name, 5) = 'test_'
+        union select {d.key()}name, {d.sub('name', r'_test\.py$', '')} from ({tests}) b where right(name, 8) = '_test.py') k on t.name = k.name{d.same('t', 'k')} where right(t.name, 3) = '.py') t on c.stem = t.stem{d.same('c', 't')} group by {d.key('c')}c.path, c.stem"""
 
 
 def _first(d: Spark, what: str, source: str, order: str, n: int) -> str:
     """The first values of a column, in order, as an array."""
-    return f"coalesce((select {d.collect('v', 'o')} from (select {what} as v, row_number() over (order by {order}) as o from {source}) q where o <= {n}), {d.no_texts()})"
+    return f"coalesce((select {d.collect('v', 'o')} from (select {d.as_r()}{what} as v, row_number() over ({d.over()}order by {order}) as o from {source}) q where o <= {n}{d.mine()}), {d.no_texts()})"
 
 
 @relation
@@ -383,16 +389,16 @@ def raw_suggestions(d: Spark) -> str:
     entries = lambda n: _first(d, "path", "entry_points", "category_rank, score desc, path", n)
     issue = lambda t, n, more="": _first(d, "file", f"file_issues where type = '{t}' {more}", "file", n)
     plain = "and not " + X.ends("lower(file)", ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg")
-    large = f"case when exists (select 1 from file_issues where type = 'large_file' {plain}) then {issue('large_file', 3, plain)} else {issue('large_file', 3)} end"
+    large = f"case when {d.exists('file_issues', f"type = 'large_file' {plain}")} then {issue('large_file', 3, plain)} else {issue('large_file', 3)} end"
     high = "risks where level in ('high', 'medium')"
     risky = _first(d, "file", "top_risks where level in ('high', 'medium')", "score desc, file", 4)
     factors = _first(d, f"file || ' (' || {d.join(d.slice(d.split('factors', ';'), 3), ', ')} || ')'", "top_risks where level in ('high', 'medium')", "score desc, file", 3)
     changed = lambda s, n: _first(d, "path", f"diff where status = '{s}'", "path", n)
-    todo = lambda b: f"(select todos from todo_buckets where bucket = '{b}')"
+    todo = lambda b: d.value("todos", "todo_buckets", f"bucket = '{b}'")
     trace_first = d.concat(d.array("entry"), "hot")
     del high
     rows = [
-        f"""select 1, '', 'debugging', 'medium', case when archetype = 'framework_library' then 'Map the relevant API/runtime surface before editing' when archetype = 'monorepo' then 'Select the affected package/app/service first, then trace locally'
+        f"""select {d.key()}1, '', 'debugging', 'medium', case when archetype = 'framework_library' then 'Map the relevant API/runtime surface before editing' when archetype = 'monorepo' then 'Select the affected package/app/service first, then trace locally'
             when surface_confidence = 'low' and hots > 0 or entry is not null then 'Trace the main execution path before editing' else 'Map runtime hotspots before editing' end,
           case when archetype = 'framework_library' then 'Framework/library repo detected. Relevant surfaces: ' || hot2 when archetype = 'monorepo' then 'Monorepo detected. Local hotspots: ' || hot2
             when surface_confidence = 'low' and hots > 0 then 'Real hotspots detected (' || hot2 || ') but primary runtime entry was uncertain. Use hotspots as the tracing anchor.'
@@ -401,43 +407,43 @@ def raw_suggestions(d: Spark) -> str:
             when surface_confidence = 'low' and hots > 0 then 'Map the runtime path through current hotspots' when entry is null then 'Analyze hotspots before making changes' else 'Map the runtime path through entry points and current hotspots' end,
           case when archetype in ('framework_library', 'monorepo') or surface_confidence = 'low' and hots > 0 or entry is null then hot else {trace_first} end, surface_confidence
           from trace where archetype in ('framework_library', 'monorepo') or entry is not null or hots > 0""",
-        f"select 2, '', 'testing', 'high', 'Add tests for your project', 'No test files detected. Tests prevent regressions.', 'Create test files for core functionality', {entries(2)}, 'high' from metrics where not has_tests",
-        f"""select 2, path, 'testing', 'medium', 'Update tests for ' || path, path || ' changed and may need refreshed test coverage', 'Write or update tests for ' || path,
+        f"select {d.key()}2, '', 'testing', 'high', 'Add tests for your project', 'No test files detected. Tests prevent regressions.', 'Create test files for core functionality', {entries(2)}, 'high' from metrics where not has_tests",
+        f"""select {d.key()}2, path, 'testing', 'medium', 'Update tests for ' || path, path || ' changed and may need refreshed test coverage', 'Write or update tests for ' || path,
           case when test is null then {d.array('path')} else {d.array('path', 'test')} end, 'high' from test_candidates""",
-        f"""select 3, '', 'cleanup', 'medium', 'Prioritise ' || {todo('first_party_source')} || ' first-party source TODO/FIXME markers', 'Total TODOs: ' || open_todos || '. First-party source: ' || {todo('first_party_source')} || '; tooling: ' || {todo('tooling')}
+        f"""select {d.key()}3, '', 'cleanup', 'medium', 'Prioritise ' || {todo('first_party_source')} || ' first-party source TODO/FIXME markers', 'Total TODOs: ' || open_todos || '. First-party source: ' || {todo('first_party_source')} || '; tooling: ' || {todo('tooling')}
             || '; test/fixture: ' || {todo('tests_fixtures')} || '; documentation: ' || {todo('docs')} || '; vendor/generated: ' || {todo('vendor_generated')} || '.',
           'Review first-party TODOs first, then triage tooling, tests, and documentation separately', {none}, 'high' from metrics where open_todos > 5""",
-        f"""select 4, '', 'refactoring', 'medium', 'Review ' || n || ' oversized file(s)', 'Large files are maintainability signals, not automatic failures: ' || {d.join('f', ', ')}, 'Map tests and module boundaries before refactoring', f, 'high'
-          from (select count(*) as n, {large} as f from file_issues where type = 'large_file') x where n > 0""",
-        f"""select 5, '', 'documentation', 'medium', 'Reconcile stale or scaffold-like documentation', 'Documentation drift signals were found in ' || {d.join('f', ', ')}, 'Update docs so they match the current code and remove placeholder claims', f, 'high'
-          from (select {issue('doc_code_drift', 4)} as f) x where {d.size('f')} > 0""",
-        f"""select 6, '', 'review', 'medium', 'Review highest-risk files before broad changes', 'Risk scoring flagged ' || {d.join('r', '; ')}, 'Inspect high-risk files, map tests, and reduce the riskiest blind spot', f, 'high'
-          from (select {risky} as f, {factors} as r) x where {d.size('f')} > 0""",
-        f"select 7, '', 'documentation', 'medium', 'Create a README', 'No README found. Documentation helps onboarding and adoption.', 'Write a comprehensive README.md', {entries(3)}, 'high' from metrics where not has_readme",
-        f"select 8, '', 'structure', 'low', 'Define a clear entry point', 'No main entry point was detected', 'Create or identify the main entry point', {none}, 'high' from metrics where not has_entries and total_files > 3",
-        f"""select 9, '', case when modified_count > 10 then 'review' else 'integration' end, case when modified_count > 10 then 'medium' else 'low' end, case when modified_count > 10 then 'Review recent batch of changes' else 'Integrate new files' end,
+        f"""select {d.key()}4, '', 'refactoring', 'medium', 'Review ' || n || ' oversized file(s)', 'Large files are maintainability signals, not automatic failures: ' || {d.join('f', ', ')}, 'Map tests and module boundaries before refactoring', f, 'high'
+          from (select {d.key()}n, {large} as f from (select {d.key()}count(*) as n from file_issues where type = 'large_file'{d.group()}) w) x where n > 0""",
+        f"""select {d.key()}5, '', 'documentation', 'medium', 'Reconcile stale or scaffold-like documentation', 'Documentation drift signals were found in ' || {d.join('f', ', ')}, 'Update docs so they match the current code and remove placeholder claims', f, 'high'
+          from (select {d.key()}{issue('doc_code_drift', 4)} as f{d.keys()}) x where {d.size('f')} > 0""",
+        f"""select {d.key()}6, '', 'review', 'medium', 'Review highest-risk files before broad changes', 'Risk scoring flagged ' || {d.join('r', '; ')}, 'Inspect high-risk files, map tests, and reduce the riskiest blind spot', f, 'high'
+          from (select {d.key()}{risky} as f, {factors} as r{d.keys()}) x where {d.size('f')} > 0""",
+        f"select {d.key()}7, '', 'documentation', 'medium', 'Create a README', 'No README found. Documentation helps onboarding and adoption.', 'Write a comprehensive README.md', {entries(3)}, 'high' from metrics where not has_readme",
+        f"select {d.key()}8, '', 'structure', 'low', 'Define a clear entry point', 'No main entry point was detected', 'Create or identify the main entry point', {none}, 'high' from metrics where not has_entries and total_files > 3",
+        f"""select {d.key()}9, '', case when modified_count > 10 then 'review' else 'integration' end, case when modified_count > 10 then 'medium' else 'low' end, case when modified_count > 10 then 'Review recent batch of changes' else 'Integrate new files' end,
           case when modified_count > 10 then modified_count || ' files changed since the last checkpoint' else 'New files were added: ' || {d.join(changed('new', 5), ', ')} end,
           case when modified_count > 10 then 'Review changes for consistency and correctness' else 'Ensure new files are wired into the project correctly' end,
           case when modified_count > 10 then {changed('modified', 6)} else {changed('new', 5)} end, 'high' from diff_counts where modified_count > 10 or new_count > 0""",
-        f"""select 10, '', 'setup', 'medium', 'Document or set up dependencies', 'No dependency manifest was detected', 'Create requirements.txt, pyproject.toml, or equivalent', {none}, 'high' from metrics
-          where not exists (select 1 from files where n in ('requirements.txt', 'pyproject.toml', 'setup.py', 'package.json', 'dockerfile', 'docker-compose.yml'))""",
-        f"""select 11, '', 'structure', 'low', 'Improve project structure', 'The project has many files but only a shallow directory structure', 'Organize files into clearer logical directories', {none}, 'high' from metrics
-          where total_files > 15 and (select count(*) from directories) < 3""",
-        f"""select 12, '', 'security', 'critical', 'Add .gitignore immediately', '.env file found without .gitignore; secrets may be at risk', 'Create a .gitignore that excludes environment and build artifacts', {_first(d, 'path', "files where contains(path, '.env')", 'path', 1)}, 'high'
-          from (select coalesce(bool_or(contains(path, '.env')), false) as e, coalesce(bool_or(contains(path, '.gitignore')), false) as g from files) x where e and not g""",
+        f"""select {d.key()}10, '', 'setup', 'medium', 'Document or set up dependencies', 'No dependency manifest was detected', 'Create requirements.txt, pyproject.toml, or equivalent', {none}, 'high' from metrics
+          where not {d.exists('files', "n in ('requirements.txt', 'pyproject.toml', 'setup.py', 'package.json', 'dockerfile', 'docker-compose.yml')")}""",
+        f"""select {d.key()}11, '', 'structure', 'low', 'Improve project structure', 'The project has many files but only a shallow directory structure', 'Organize files into clearer logical directories', {none}, 'high' from metrics
+          where total_files > 15 and {d.count('directories')} < 3""",
+        f"""select {d.key()}12, '', 'security', 'critical', 'Add .gitignore immediately', '.env file found without .gitignore; secrets may be at risk', 'Create a .gitignore that excludes environment and build artifacts', {_first(d, 'path', "files where contains(path, '.env')", 'path', 1)}, 'high'
+          from (select {d.key()}coalesce(bool_or(contains(path, '.env')), false) as e, coalesce(bool_or(contains(path, '.gitignore')), false) as g from files{d.group()}) x where e and not g""",
     ]
-    names = "ord, sub, category, priority, title, reason, action, focus, surface_confidence"
-    head = ", ".join(f"{x} as {n}" for x, n in zip(["cast(0 as int)", "''", "''", "''", "''", "''", "''", none, "''"], names.split(", "), strict=True))
+    names = f"{d.key()}ord, sub, category, priority, title, reason, action, focus, surface_confidence"
+    head = ", ".join(f"{x} as {n}" for x, n in zip(["''"] * bool(d.key()) + ["cast(0 as int)", "''", "''", "''", "''", "''", "''", none, "''"], names.split(", "), strict=True))
     return f"select {names} from (select {head} where false union all " + " union all ".join(rows) + ") x"
 
 
 @relation
 def suggestions(d: Spark) -> str:
     """Each title and action once, with impact, effort, label and confidence; the ten most urgent, in the rules' order on ties."""
-    once = "select *, row_number() over (partition by title, action order by ord, sub) as again from raw_suggestions"
-    each = f"(select ord, sub, {d.explode('focus')} as path from once) s"
-    hits = f"select s.ord, s.sub, count(i.file) as related from {each} join file_issues i on s.path = i.file group by s.ord, s.sub"
-    known = f"select s.ord, s.sub, count(*) as known from {each} join files f on s.path = f.path group by s.ord, s.sub"
+    once = f"select *, row_number() over ({d.over('title', 'action')}order by ord, sub) as again from raw_suggestions"
+    each = f"(select {d.key()}ord, sub, {d.explode('focus')} as path from once) s"
+    hits = f"select {d.key('s')}s.ord, s.sub, count(i.file) as related from {each} join file_issues i on s.path = i.file{d.same('s', 'i')} group by {d.key('s')}s.ord, s.sub"
+    known = f"select {d.key('s')}s.ord, s.sub, count(*) as known from {each} join files f on s.path = f.path{d.same('s', 'f')} group by {d.key('s')}s.ord, s.sub"
     impact = "case when priority = 'low' then 'low' when priority in ('critical', 'high') or category in ('security', 'testing') then 'high' else 'medium' end"
     effort = "case when category = 'cleanup' then 'low to triage, high to remediate' when category = 'refactoring' or focused > 5 then 'high' when focused <= 2 then 'low' else 'medium' end"
     label = """case when priority in ('critical', 'high') then 'risky' when impact = 'high' and effort = 'low' then 'quick win' when category in ('architecture', 'refactoring', 'release') then 'strategic'
@@ -445,11 +451,11 @@ def suggestions(d: Spark) -> str:
     uncertainty = "case when focused > 0 or related > 0 then case when surface_confidence = 'low' then 'medium' else 'low' end else 'medium' end"
     evidence = f"""reason || case when focused > 0 then '; ' || known || '/' || focused || ' focus file(s) known' else '' end || case when related > 0 then '; ' || related || ' related audit issue(s)' else '' end"""
     order = f"{case('priority', [('critical', 4), ('high', 3), ('medium', 2), ('low', 1)], '0')} desc, {case('impact', [('high', 3), ('medium', 2), ('low', 1)], '0')} desc, {case('effort', [('low', 3), ('medium', 2), ('high', 1)], '0')} desc, ord, sub"
-    return f"""select * from (select cast(row_number() over (order by {order}) as bigint) as rank, ord, category, priority, title, reason, action, focus, impact, effort, {label} as label, uncertainty,
+    return f"""select * from (select {d.key()}cast(row_number() over ({d.over()}order by {order}) as bigint) as rank, ord, category, priority, title, reason, action, focus, impact, effort, {label} as label, uncertainty,
         case uncertainty when 'low' then 'high' when 'medium' then 'medium' else 'low' end as confidence, surface_confidence, {evidence} as evidence from (
       select *, {impact} as impact, {effort} as effort, {uncertainty} as uncertainty from (
-        with once as (select * from ({once}) o where again = 1) select o.*, cast({d.size('o.focus')} as bigint) as focused, case when {d.size('o.focus')} = 0 then (select count(*) from all_issues) else coalesce(h.related, 0) end as related, coalesce(w.known, 0) as known
-        from once o left join ({hits}) h on o.ord = h.ord and o.sub = h.sub left join ({known}) w on o.ord = w.ord and o.sub = w.sub) a) b) c where rank <= 10"""
+        with once as (select * from ({once}) o where again = 1) select o.*, cast({d.size('o.focus')} as bigint) as focused, case when {d.size('o.focus')} = 0 then {d.count('all_issues')} else coalesce(h.related, 0) end as related, coalesce(w.known, 0) as known
+        from once o left join ({hits}) h {d.on('o', 'h', 'ord', 'sub')} left join ({known}) w {d.on('o', 'w', 'ord', 'sub')}) a) b) c where rank <= 10"""
 
 
 # Context
