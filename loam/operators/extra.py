@@ -204,4 +204,30 @@ def w14_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine.from_documents(spark, sf_dir)
     question = " ".join(catalog.TERMS)
     paths = [r.path for r in retrieve.rank_files(engine, question, "review", 8).collect()]
-    return retrieve.snippets(engine, retrieve.terms_of(question), paths)
+    return retrieve.index_of(engine).snippets(retrieve.terms_of(question), paths)
+
+
+_WORDS_SQL = f"""select word, count(distinct case when field = 'about' then path end) as about, count(distinct case when field = 'text' then path end) as text from (
+  select 'about' as field, path, unnest(regexp_extract_all({catalog._hay(DUCK)}, '[\\p{{L}}\\p{{N}}_]+')) as word from files
+  union all select 'text', path, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) from corpus) x group by word"""
+
+
+@registered(plan(DUCK, _WORDS_SQL))
+def x20_index_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the index with the number of files that it describes and stands in."""
+    return retrieve.index_of(Engine.from_documents(spark, sf_dir)).words.select("word", "about", "text")
+
+
+@registered(plan(DUCK, f"select path, score, line_count from ({catalog._ranked(DUCK, 'review', 20)}) z"))
+def r1_index_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files ranked from postings, as a pass over all facts ranks them."""
+    return retrieve.rank_files(Engine.from_documents(spark, sf_dir), " ".join(catalog.TERMS), "review", 20)
+
+
+@registered(plan(DUCK, "select t.term, count(distinct f.path) as files, sum(case when contains(lower(l.line), t.term) then 1 else 0 end)::bigint as lines from (select unnest(['thing', 'ma', 'un', 'zzz', 'helper', 'e_']) as term) t, "
+  f"(select path, unnest({X.lines(DUCK, 'content')}) as line from corpus) l join files f using (path) where contains(lower(l.line), t.term) group by t.term"))
+def x20_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and lines that contain each of some terms, from grams and postings alone."""
+    index = retrieve.index_of(Engine.from_documents(spark, sf_dir))
+    hits = index.postings_of(index.matching(["thing", "ma", "un", "zzz", "helper", "e_"]), "text").select("term", "path", F.explode("lines").alias("i")).distinct()
+    return hits.groupBy("term").agg(F.countDistinct("path").alias("files"), F.count("*").alias("lines"))

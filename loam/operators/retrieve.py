@@ -14,6 +14,7 @@ from loam.plans.dialect import SPARK
 from loam.plans.engine import Engine
 
 from .catalog import GOAL_BOOST
+from .textindex import TextIndex
 
 #: Words that say nothing about a file.
 STOP = {"a", "an", "and", "are", "for", "from", "how", "implemented", "in", "is", "of", "on", "or", "the", "to", "what", "where", "which", "who", "why", "with"}
@@ -31,13 +32,16 @@ def _score(terms: list[str]) -> Column:
     return F.expr(" + ".join(X.term_score(SPARK, "hay", t) for t in terms))
 
 
+def index_of(engine: Engine) -> TextIndex:
+    """The engine's index, built when it is first asked for."""
+    if "index" not in engine.kept:
+        engine.kept["index"] = TextIndex.build(engine.relation("files"), engine.sql("select path, content from corpus"))
+    return engine.kept["index"]
+
+
 def rank_files(engine: Engine, question: str, goal: str = "", limit: int = 8) -> DataFrame:
     """path, score, line_count: best first, then the shorter."""
-    hay = F.lower(F.concat_ws(" ", "path", "summary", F.array_join("symbols", " "), F.array_join("imports", " ")))
-    boost = sum((F.contains("hay", F.lit(t)).cast("int") for t in GOAL_BOOST.get(goal, ())), F.lit(0))
-    rows = engine.relation("files").withColumn("hay", hay).withColumn("s", _score(terms_of(question)) + boost).where("s > 0")
-    score = F.col("s") + F.col("has_main").cast("int") + (F.col("has_function") | F.col("has_class")).cast("int")
-    return rows.select("path", score.alias("score"), "line_count").orderBy(F.desc("score"), "line_count", "path").limit(limit)
+    return index_of(engine).rank(engine.relation("files"), terms_of(question), GOAL_BOOST.get(goal, ()), limit)
 
 
 def rank_symbols(symbols: DataFrame, question: str, files: DataFrame, limit: int = 16) -> DataFrame:
@@ -94,28 +98,6 @@ def call_hints(graph: DataFrame, terms: list[str], paths: list[str], most: int =
     return ranked.groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]).alias("calls"))
 
 
-def snippets(engine: Engine, terms: list[str], paths: list[str], around: int = 2, each: int = 2, enough: int = 12) -> DataFrame:
-    """The first lines of each file that hold a term, with lines around them; files after ``enough`` snippets are left out.
-
-    k (place of the file in ``paths``), n (from 1 within the file), path, start_line, end_line, text. ``paths`` are the few files
-    of one answer: the filter on them is pushed down to the contents, and only their lines are made into rows, once.
-    """
-    if not paths or not terms:
-        return engine.spark.createDataFrame([], "k int, n int, path string, start_line long, end_line long, text string")
-    place = F.array_position(F.array(*[F.lit(p) for p in paths]), F.col("path")).cast("int")
-    chosen = engine.sql("select path, content from corpus").where(F.col("path").isin(paths))
-    lines = chosen.select("path", place.alias("k"), F.posexplode(F.expr(X.lines(SPARK, "content"))).alias("i", "line"))
-    hit = reduce(lambda a, b: a | b, [F.contains(F.lower("line"), F.lit(t)) for t in terms])
-    within = Window.partitionBy("path").orderBy("i").rowsBetween(-around, around)
-    lines = lines.select("path", "k", "i", hit.alias("hit"), F.collect_list(F.concat((F.col("i") + 1).cast("string"), F.lit(": "), F.col("line"))).over(within).alias("near"), F.min("i").over(within).alias("a"), F.max("i").over(within).alias("b"))
-    first = lines.where("hit").withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("i"))).where(F.col("n") <= each)
-    # At most ``each`` rows for each of ``paths`` are left: how many come from the files before decides which are shown.
-    counted = first.withColumn("before", F.coalesce(F.sum(F.lit(1)).over(Window.orderBy("k").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return counted.where(F.col("before") < enough).select(
-        "k", "n", "path", (F.col("a") + 1).cast("long").alias("start_line"), (F.col("b") + 1).cast("long").alias("end_line"), F.array_join("near", "\n").alias("text")
-    )
-
-
 def retrieve(engine: Engine, question: str, graph: DataFrame, goal: str = "", limit: int = 8) -> dict:
     """Files, symbols, snippets, imports and calls for a question, the text that shows them, and the tokens that it saves.
 
@@ -130,7 +112,7 @@ def retrieve(engine: Engine, question: str, graph: DataFrame, goal: str = "", li
     known = {r.path: r.asDict() for r in engine.relation("files").where(F.col("path").isin(paths)).select("path", "line_count", "summary").collect()}
     files = include_symbol_files([f | {"summary": known[f["path"]]["summary"]} for f in files], symbols, known, limit)
     paths = [f["path"] for f in files]
-    found = [r.asDict() for r in snippets(engine, terms, paths).orderBy("k", "n").collect()]
+    found = [r.asDict() for r in index_of(engine).snippets(terms, paths).orderBy("k", "n").collect()]
     imports, calls = import_hints(graph, paths), call_hints(graph, terms, paths)
     lines = ["RETRIEVAL", f"Query: {question}", f"Goal: {goal}", "", "Relevant Files:", *[f"- {f['path']} (score {f['score']}, {f['line_count']} lines): {f['summary']}" for f in files], "", "Relevant Symbols:"]
     lines += [f"- {s['qualname']} [{s['kind']}] at {s['path']}:{s['line']}" for s in symbols[:12]] or ["- None matched"]

@@ -43,6 +43,7 @@ class Engine:
     def __init__(self, spark: SparkSession, views: dict[str, DataFrame], dialect: Spark = SPARK):
         self.spark, self.id, self.dialect = spark, uuid.uuid4().hex[:8], dialect
         self.views: dict[str, str] = {}
+        self.kept: dict[str, object] = {}  # what operators derive from this corpus once
         for name, df in views.items():
             self._view(name, df)
         self.files = written(self.sql("select * from files").drop("content"), "files")
