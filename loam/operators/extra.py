@@ -11,7 +11,10 @@ from loam.functions import extract as X
 from loam.plans.dialect import DUCK
 from loam.plans.engine import Engine
 from loam.plans.relations import plan
-from loam.sources import config, files
+from loam.sources import config, files, scancache
+from loam.sources.keyed import Conflict, KeyedTable
+from loam.sources.store import remove, work_dir
+from loam.streaming.watch import watch
 
 from . import catalog, pygraph, retrieve, state
 
@@ -231,3 +234,76 @@ def x20_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = retrieve.index_of(Engine.from_documents(spark, sf_dir))
     hits = index.postings_of(index.matching(["thing", "ma", "un", "zzz", "helper", "e_"]), "text").select("term", "path", F.explode("lines").alias("i")).distinct()
     return hits.groupBy("term").agg(F.countDistinct("path").alias("files"), F.count("*").alias("lines"))
+
+
+@registered("""with d as (select doc_id as i, coalesce(text, '') as t from documents),
+one as (select i, 'd' || i as path, 'new' as status, t from d),
+two as (select i, case when i % 5 = 0 then 'modified' else 'deleted' end as status from d where i % 5 = 0 or i % 7 = 0),
+three as (select i, case when i % 14 = 0 then case when i % 5 = 0 then 'modified' else 'new' end else 'deleted' end as status from d where i % 14 = 0 or i % 9 = 0 and (i % 7 <> 0 or i % 5 = 0))
+select 'change 0' as what, path, status as value from one union all select 'change 1', 'd' || i, status from two union all select 'change 2', 'd' || i, status from three
+union all select 'state', 'd' || i, sha256(case when i % 14 = 0 then 'back' when i % 5 = 0 then t || ' v2' else t end) from d where i % 14 = 0 or (i % 9 <> 0 and (i % 7 <> 0 or i % 5 = 0))""")
+def st1_st4_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of a continuous scan, the last one run twice as after a failure: what each changed, and the state they lead to."""
+    root, i = work_dir(spark), F.col("doc_id")
+    docs = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("d"), i).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    batches = [
+        docs.withColumn("deleted", F.lit(False)),
+        docs.where("doc_id % 5 = 0 or doc_id % 7 = 0").withColumn("deleted", i % 5 != 0).withColumn("content", F.concat("content", F.lit(" v2"))),
+        docs.where("doc_id % 14 = 0 or doc_id % 9 = 0").withColumn("deleted", i % 14 != 0).withColumn("content", F.lit("back")),
+    ]
+
+    def keep(changes: DataFrame, k: int) -> None:
+        changes.write.mode("overwrite").parquet(f"{root}/changes/batch={k}")
+
+    def run() -> None:
+        watch(spark, f"{root}/landing", f"{root}/state", f"{root}/checkpoint", keep).awaitTermination()
+
+    for b in batches:
+        b.select("path", "content", "deleted").write.mode("append").parquet(f"{root}/landing")
+        run()
+    remove(spark, f"{root}/checkpoint/commits/2")
+    run()
+    changes = spark.read.parquet(f"{root}/changes").select(F.concat(F.lit("change "), F.col("batch")).alias("what"), "path", F.col("status").alias("value"))
+    return changes.unionByName(KeyedTable(spark, f"{root}/state", ["path"]).read().select(F.lit("state").alias("what"), "path", F.col("hash").alias("value")))
+
+
+@registered("""with d as (select doc_id as i, coalesce(text, '') as t, doc_id % 7 as m from documents),
+listed as (select 'd' || i as path, i, strlen(t) as size, m + case when i % 5 = 0 then 10 else 0 end as modified, t from d where i % 11 <> 0 union all select 'n' || i, i, strlen(t), m, t from d where i % 13 = 0),
+c as (select (select count(*) from d where i % 11 <> 0 and i % 5 <> 0) as hits, (select count(*) from d where i % 11 <> 0 and i % 5 = 0) + (select count(*) from d where i % 13 = 0) as misses, (select count(*) from d where i % 11 = 0) as deleted)
+select path, size::bigint as size, modified::bigint as modified, length(t)::bigint as chars, hits, misses, misses as writes, deleted, true as cheaper from listed cross join c""")
+def s1_s9_incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of a second scan after changes, new files and deletions, with its counts; it writes fewer bytes than the first."""
+    cache, text = f"{work_dir(spark)}/cache", F.coalesce("text", F.lit(""))
+    docs = _documents(spark, sf_dir).select("doc_id", text.alias("content"), F.octet_length(text).cast("long").alias("size"), (F.col("doc_id") % 7).cast("long").alias("modified"))
+    named = lambda df, p: df.withColumn("path", F.concat(F.lit(p), "doc_id")).drop("doc_id")
+    second = named(docs.where("doc_id % 11 <> 0").withColumn("modified", F.col("modified") + F.when(F.col("doc_id") % 5 == 0, 10).otherwise(0)), "d")
+    second = second.unionByName(named(docs.where("doc_id % 13 = 0"), "n"))
+
+    def extract(rows: DataFrame) -> DataFrame:
+        return rows.select("path", "size", "modified", F.length("content").cast("long").alias("chars"))
+
+    first = scancache.incremental_scan(named(docs, "d"), cache, "full", extract)[1]
+    facts, counts = scancache.incremental_scan(second, cache, "full", extract)
+    return facts.select("*", *[F.lit(counts[c]).cast("long").alias(c) for c in ("hits", "misses", "writes", "deleted")], F.lit(counts["bytes"] < first["bytes"]).alias("cheaper"))
+
+
+@registered("""with d as (select doc_id as i, coalesce(lang, '') as lang from documents), v1 as (select 1 as version, i, lang from d),
+v2 as (select 2 as version, i, case when i % 3 = 0 then 'xx' else lang end as lang from d where i % 3 = 0 or i % 10 <> 0),
+v3 as (select 3 as version, i, lang from v2 union all select 3, i + 1000000, 'new' from d where i % 50 = 0)
+select version, lang, count(*) as n, sum(i)::bigint as ids, true as refused from (select * from v1 union all select * from v2 union all select * from v3 union all select 4, i, lang from v3) x group by version, lang""")
+def st6_st7_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of a keyed table: upserts with deletions, an append by another writer, a compaction; a writer that came late is refused."""
+    table = KeyedTable(spark, f"{work_dir(spark)}/table", ["doc_id"])
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
+    base = table.commit(docs)
+    table.commit(docs.where("doc_id % 3 = 0").withColumn("lang", F.lit("xx")), docs.where("doc_id % 10 = 0"), base=base)
+    table.commit(docs.where("doc_id % 50 = 0").select((F.col("doc_id") + 1000000).alias("doc_id"), F.lit("new").alias("lang")))
+    try:
+        table.commit(docs.withColumn("lang", F.lit("late")), base=base)
+        refused = False
+    except Conflict:
+        refused = True
+    table.compact()
+    rows = [table.read(v).withColumn("version", F.lit(v)) for v in range(1, 5)]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return every.groupBy("version", "lang").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")).withColumn("refused", F.lit(refused))

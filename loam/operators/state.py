@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loam.sources.keyed import Conflict, KeyedTable
+from loam.sources.store import written
+
 
 def append_snapshot(files: DataFrame, path: str, checkpoint_id: int) -> None:
     """Adds the snapshot's (path, hash) under its id; written again, it replaces itself."""
@@ -69,36 +74,55 @@ def savings_summary(events: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """Named tables below a folder; each write is a new version, so a table can be written from what is read of it.
+    """Named state tables below a folder, each a ``KeyedTable``: a write costs what it changes, and writers do not lose each other's.
 
-    A version counts once its Parquet files are complete (their success mark); a lost write leaves the one before in force.
+    Rows have an id that ``read`` leaves out: of files their path, of events one of their own.
     """
 
+    ID, BUCKETS, TRIES = "_id", 4, 20
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
-        there = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = there.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(there):
-            return []
-        done = [s.getPath().getParent().getName() for s in fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v*/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
+    def table(self, name: str) -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.root}/{name}", [self.ID], self.BUCKETS)
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        """With ids of their own, fixed here: stored, since they are drawn."""
+        return written(rows.withColumn(self.ID, F.concat(F.lit(f"{time.time_ns():020d} "), F.uuid())), "rows")
 
     def read(self, name: str) -> DataFrame | None:
-        versions = self._versions(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/v{versions[-1]}") if versions else None
+        rows = self.table(name).read()
+        return None if rows is None else rows.drop(self.ID)
 
-    def write(self, name: str, table: DataFrame) -> DataFrame:
-        k = (self._versions(name) or [0])[-1] + 1
-        table.write.mode("overwrite").parquet(f"{self.root}/{name}/v{k}")
-        return self.spark.read.parquet(f"{self.root}/{name}/v{k}")
+    def write(self, name: str, rows: DataFrame) -> DataFrame:
+        """The rows are the whole table from now on."""
+        self.table(name).commit(self._named(rows), everything=True)
+        return self.read(name)
 
     def append(self, name: str, rows: DataFrame, keep: int | None = None, order: str = "ts") -> DataFrame:
-        """Adds rows; with ``keep`` only the newest stay."""
-        old = self.read(name)
-        every = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
-        return self.write(name, every if keep is None else retained(every, [order], keep))
+        """Adds rows; with ``keep`` only the newest stay (of equal ones those added last)."""
+        table, rows = self.table(name), self._named(rows)
+        old = table.read() if keep is not None else None
+        if old is None:
+            table.commit(rows if keep is None else rows.orderBy(F.desc(order), F.desc(self.ID)).limit(keep))
+            return self.read(name)
+        kept = old.select(order, self.ID).unionByName(rows.select(order, self.ID)).orderBy(F.desc(order), F.desc(self.ID)).limit(keep).select(self.ID)
+        table.commit(rows.join(kept, self.ID, "left_semi"), old.select(self.ID).join(kept, self.ID, "left_anti"))
+        return self.read(name)
+
+    def changed(self, name: str, change: Callable[[DataFrame | None], DataFrame]) -> DataFrame:
+        """Replaces a small table by what ``change`` makes of it; if another writer was faster, of what that one made of it."""
+        table = self.table(name)
+        for _ in range(self.TRIES):
+            m = table.manifest()
+            old = None if m is None else table.read(m.version).drop(self.ID)
+            try:
+                table.commit(self._named(change(old)), base=m.version if m else 0, everything=True)
+                return self.read(name)
+            except Conflict:
+                continue
+        raise Conflict(f"{name} changes faster than it can be written")
 
     def reset(self) -> None:
         there = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -107,9 +131,13 @@ class Tables:
     # What a scan leaves behind
 
     def sync_files(self, current: DataFrame, deleted: DataFrame) -> DataFrame:
-        """The files of a scan replace their rows; only deleted paths go."""
-        old = self.read("files")
-        return self.write("files", current if old is None else merged(old, current, deleted))
+        """The files of a scan replace their rows, those that say something new; only deleted paths go."""
+        table, rows = self.table("files"), current.withColumn(self.ID, F.col("path"))
+        old = table.read()
+        if old is not None:
+            rows = rows.join(old.select(self.ID, F.col("hash").alias("was")), self.ID, "left").where("was is null or was <> hash").drop("was")
+        table.commit(rows, deleted.select(F.col("path").alias(self.ID)))
+        return self.read("files")
 
     def replace_issues(self, issues: DataFrame) -> DataFrame:
         return self.write("issues", issues.drop("category"))
@@ -132,9 +160,8 @@ class Tables:
         """The newest fifty events stay; totals are a table of their own, which retention does not change."""
         full, emitted = max(0, full), max(0, emitted)
         row = self.spark.createDataFrame([(ts, command, full, emitted)], "ts string, command string, full_tokens long, emitted_tokens long")
-        totals = self.read("savings_totals")
-        both = row.select("full_tokens", "emitted_tokens") if totals is None else totals.unionByName(row.select("full_tokens", "emitted_tokens"))
-        self.write("savings_totals", both.agg(F.sum("full_tokens").alias("full_tokens"), F.sum("emitted_tokens").alias("emitted_tokens")))
+        own, sums = row.select("full_tokens", "emitted_tokens"), [F.sum(c).alias(c) for c in ("full_tokens", "emitted_tokens")]
+        self.changed("savings_totals", lambda totals: (own if totals is None else totals.unionByName(own)).agg(*sums))
         return self.append("savings", row, 50)
 
     def update_suggestions(self, suggestions: DataFrame) -> DataFrame:

@@ -16,8 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import fresh_and_cached, merged
-from .store import written
+from .files import merged
 
 DEFAULTS: dict[str, Any] = {
     "scan_interval_seconds": 300, "important_extensions": [".py", ".js", ".ts", ".go", ".rs", ".md", ".json", ".toml"], "ignore_dirs": [".git", "node_modules", "__pycache__", ".venv"],
@@ -27,8 +26,6 @@ DEFAULTS: dict[str, Any] = {
 }
 BUDGETS = ("tiny", "small", "medium", "large")
 TRUE = {"1", "true", "yes", "on", "apply", "run"}
-#: Bumped when facts change their meaning; caches of other versions are not read.
-CACHE_VERSION = 1
 
 
 def read_json(path: str, default: Any) -> Any:
@@ -166,47 +163,3 @@ def git_source(source: str) -> str:
     """An existing path resolved; any other address as it is."""
     path = Path(source).expanduser()
     return str(path.resolve()) if path.exists() else source
-
-
-def cached_scan(listing: DataFrame, cache: str, mode: str, extract) -> tuple[DataFrame, dict[str, int]]:
-    """Facts of all files of ``listing`` (path, size, modified, ...), and how many came from the cache.
-
-    ``extract`` turns the rows that the cache does not hold into facts with the same keys. A full scan's facts serve any later one,
-    a fast one's (``mode``: full, or fast with its sample size) its own mode only. The cache is a Parquet table for each mode; what
-    a scan returns becomes the cache.
-    """
-    spark, at = listing.sparkSession, lambda m: f"{cache.rstrip('/')}/v{CACHE_VERSION}/{m}"
-    from pyspark.errors import AnalysisException
-
-    held = None
-    for m in dict.fromkeys(("full", mode)):
-        try:
-            rows = spark.read.parquet(at(m) + "/" + _newest(spark, at(m)))
-        except (AnalysisException, LookupError):
-            continue
-        held = rows if held is None else held.unionByName(rows.join(held.select("path", "size", "modified"), ["path", "size", "modified"], "left_anti"))
-    if held is None:
-        facts, hits = written(extract(listing), "facts"), 0
-    else:
-        fresh, valid = fresh_and_cached(listing, held)
-        facts, hits = written(extract(fresh).unionByName(valid), "facts"), valid.count()
-    total = facts.count()
-    facts.write.parquet(f"{at(mode)}/{total:012d}-{_count(spark, at(mode)):06d}")
-    return facts, {"hits": hits, "misses": total - hits, "writes": total}
-
-
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted((s.getPath().getName() for s in fs.listStatus(there)), key=lambda n: n.rsplit("-", 1)[-1]) if fs.exists(there) else []
-
-
-def _count(spark: SparkSession, path: str) -> int:
-    return len(_folders(spark, path))
-
-
-def _newest(spark: SparkSession, path: str) -> str:
-    names = _folders(spark, path)
-    if not names:
-        raise LookupError(path)
-    return names[-1]

@@ -19,14 +19,18 @@ SAMPLE = 65_536
 
 def read_tree(
     spark: SparkSession, root: str, extensions: Iterable[str] | None = None, ignored: Iterable[str] = IGNORED, most_bytes: int = MOST_BYTES,
-    sample_bytes: int | None = None,
+    sample_bytes: int | None = None, only: list[str] | None = None,
 ) -> DataFrame:
     """path (relative, POSIX), content, size, modified of the text files below ``root``, any file system that Spark reads.
 
     Size and path filters are decided on the listing, before a file is opened. Invalid UTF-8 bytes are dropped. With
-    ``sample_bytes`` content is cut after so many bytes; size and hash stay those of the whole file.
+    ``sample_bytes`` content is cut after so many bytes; size and hash stay those of the whole file. With ``only`` no other files than
+    these (relative paths) are opened or listed.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= most_bytes)
+    if only == []:
+        return spark.createDataFrame([], "path string, content string, size long, hash string, modified timestamp")
+    places = root if only is None else [re.sub(r"([*?{}\[\]\\])", r"\\\1", f"{root.rstrip('/')}/{p}") for p in only]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(places).where(F.col("length") <= most_bytes)
     base = re.sub(r"^file:/*", "/", root.rstrip("/")) if root.startswith(("file:", "/")) else root.rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(base) + "/", "")
     files = raw.withColumn("path", path)
