@@ -307,3 +307,55 @@ def st6_st7_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [table.read(v).withColumn("version", F.lit(v)) for v in range(1, 5)]
     every = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
     return every.groupBy("version", "lang").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")).withColumn("refused", F.lit(refused))
+
+
+#: Modules whose functions are named by the words of a document: at most so many.
+_FUNCTIONS = 6
+
+
+def _spoken_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module of each document: a function for each of its first words, which calls the next one, and one of the next document's."""
+    words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]{3,12})"), 1)), 1, _FUNCTIONS)
+    docs = _documents(spark, sf_dir).where("doc_id is not null").select(F.col("doc_id").alias("i"), words.alias("w"))
+    after = docs.select((F.col("i") - 1).alias("i"), F.coalesce(F.get("w", F.lit(0)), F.lit("absent")).alias("there"))
+    docs = docs.join(after, "i", "left").withColumn("there", F.coalesce("there", F.lit("absent")))
+    nxt = F.concat(F.lit("pkg.m"), (F.col("i") + 1).cast("string"))
+    head = F.concat(F.lit("import os\nimport "), nxt, F.lit(" as mod\nfrom "), nxt, F.lit(" import f_"), F.col("there"), F.lit(" as other\n\n"))
+    one = lambda w, k: F.concat(F.lit("def f_"), w, F.lit("(x):\n    f_"), F.coalesce(F.get("w", k + 1), F.get("w", F.lit(0))), F.lit("(x)\n    other(x)\n    mod.f_"), F.col("there"), F.lit("(os.getcwd())\n\n"))
+    last = F.concat(F.lit("class C"), F.col("i").cast("string"), F.lit(":\n    def run(self):\n        self.stop(missing())\n\n    def stop(self, x):\n        return x\n"))
+    return docs.select(F.concat(F.lit("pkg/m"), F.col("i").cast("string"), F.lit(".py")).alias("path"), F.concat(head, F.array_join(F.transform("w", one), ""), last).alias("content"))
+
+
+_SPOKEN = f"""with w as (select doc_id as i, list_distinct_in_order[1:{_FUNCTIONS}] as w from (select doc_id, list_filter(a, lambda x, k: list_position(a, x) = k) as list_distinct_in_order from (
+    select doc_id, regexp_extract_all(lower(coalesce(text, '')), '([a-z]{{3,12}})', 1) as a from documents where doc_id is not null) q) z),
+m as (select a.i, a.w, coalesce(b.w[1], 'absent') as there, b.w[1] is not null as known, 'pkg.m' || a.i as me, 'pkg.m' || (a.i + 1) as nxt from w a left join w b on b.i = a.i + 1),
+f as (select *, unnest(range(1, len(w) + 1)) as t from m),
+calls as (select 'pkg/m' || i || '.py' as path, me || '.f_' || w[t] as owner, unnest(['f_' || coalesce(w[t + 1], w[1]), 'other', 'mod.f_' || there, 'os.getcwd']) as name,
+    unnest([me || '.f_' || coalesce(w[t + 1], w[1]), nxt || '.f_' || there, nxt || '.f_' || there, 'os.getcwd']) as target, unnest([true, known, known, false]) as resolved from f
+  union all select 'pkg/m' || i || '.py', me || '.C' || i || '.run', unnest(['self.stop', 'missing']), unnest([me || '.C' || i || '.stop', 'missing']), unnest([true, false]) from m)"""
+
+
+@registered(f"{_SPOKEN} select path, owner, name, target, resolved from calls")
+def g5_resolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls between modules that differ by their documents' words, with the qualified names that they mean."""
+    return pygraph.resolved_calls(pygraph.python_graph(_spoken_modules(spark, sf_dir))).select("path", "owner", "name", "target", "resolved")
+
+
+@registered(f"""{_SPOKEN} select (select count(*) from m) as modules, (select sum(len(w) + 3)::bigint from m) as symbols, (select count(*) * 2 from m)::bigint as imports, 0::bigint as parse_errors,
+  (select count(*) from calls) as call_sites, (select count(*) from calls where resolved) as resolved_calls""")
+def a12_call_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = pygraph.python_graph(_spoken_modules(spark, sf_dir))
+    return pygraph.graph_totals(graph, pygraph.resolved_calls(graph))
+
+
+@registered(f"{_SPOKEN} select 'pkg/m' || i || '.py' as path, 'f_' || w[t] as name, me || '.f_' || w[t] as symbol from f")
+def g1_spoken_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of modules that differ by row."""
+    rows = pygraph.symbol_table(pygraph.python_graph(_spoken_modules(spark, sf_dir))).where("kind = 'function' and symbol like '%.f!_%' escape '!'")
+    return rows.select("path", F.substring_index("symbol", ".", -1).alias("name"), "symbol")
+
+
+@registered(f"{_SPOKEN} select target, count(*) as calls, count(distinct path) as modules from calls where resolved group by target order by calls desc, target limit 40")
+def j17_most_called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = pygraph.resolved_calls(pygraph.python_graph(_spoken_modules(spark, sf_dir))).where("resolved")
+    return calls.groupBy("target").agg(F.count("*").alias("calls"), F.countDistinct("path").alias("modules")).orderBy(F.desc("calls"), "target").limit(40)

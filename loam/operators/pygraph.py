@@ -33,14 +33,32 @@ def _called(node: ast.expr) -> str:
     return ".".join(reversed(parts))
 
 
+def module_of(path: str) -> str:
+    """The dotted name of a module's file; a package's own file is the package."""
+    parts = path.removesuffix(".py").split("/")
+    return ".".join(parts[:-1] if parts[-1] == "__init__" and len(parts) > 1 else parts)
+
+
+def _aliases(node: ast.AST, own: str) -> list[tuple[str, str]]:
+    """(local name, dotted target) of an import; of ``import a.b`` the name is ``a.b``. Relative ones are resolved from the module ``own``."""
+    if isinstance(node, ast.Import):
+        return [(a.asname or a.name, a.name) for a in node.names]
+    if not isinstance(node, ast.ImportFrom):
+        return []
+    above = own.split(".")[: -node.level] if node.level else []
+    base = ".".join([*above, *([node.module] if node.module else [])])
+    return [(a.asname or a.name, f"{base}.{a.name}" if base else a.name) for a in node.names if a.name != "*"]
+
+
 def module_rows(path: str, text: str) -> list[tuple]:
-    """Rows of kind class, function, async_function, import, call or error."""
+    """Rows of kind class, function, async_function, import, alias (a local name and its dotted ``target``), call or error."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError) as e:
         return [(path, "error", type(e).__name__, "", "", getattr(e, "lineno", 0) or 0, 0, "", str(e)[:200], 0)]
     out: list[tuple] = []
     seen: set[str] = set()
+    own = module_of(path)
     kinds = {ast.ClassDef: "class", ast.FunctionDef: "function", ast.AsyncFunctionDef: "async_function"}
 
     def visit(node: ast.AST, scope: list[str]) -> None:
@@ -55,6 +73,8 @@ def module_rows(path: str, text: str) -> list[tuple]:
                 name = _called(child.func)
                 if name:
                     out.append((path, "call", name, ".".join(scope), "", child.lineno, child.lineno, "", name, len(out)))
+            for local, target in _aliases(child, own):
+                out.append((path, "alias", local, ".".join(scope), "", child.lineno, child.lineno, "", target, len(out)))
             names = [a.name for a in child.names] if isinstance(child, ast.Import) else ["." * child.level + (child.module or "")] if isinstance(child, ast.ImportFrom) else []
             for name in names:
                 if name and name not in seen:
@@ -117,3 +137,45 @@ def runtime_paths(edges: DataFrame, entries: DataFrame, limit: int = 25, depth:
         front = step.select("entry", F.col("dst").alias("src")).distinct()
     ordered = reached.distinct().orderBy("entry", "src", "k")
     return ordered.groupBy("entry").applyInPandas(_paths(limit, depth, fan), "entry string, k long, steps string")
+
+
+def _module(path: str = "path"):
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), "/__init__$", ""), "/", ".")
+
+
+def symbol_table(graph: DataFrame) -> DataFrame:
+    """symbol (module and qualified name), kind, path; of names that a module defines again the first."""
+    rows = graph.where(F.col("kind").isin("class", "function", "async_function"))
+    named = rows.select(F.concat_ws(".", _module(), "qualname").alias("symbol"), F.struct("ord", "kind", "path").alias("row"))
+    return named.groupBy("symbol").agg(F.min("row").alias("row")).select("symbol", "row.kind", "row.path")
+
+
+def resolved_calls(graph: DataFrame) -> DataFrame:
+    """path, owner, line, name, target, resolved: every call, with the qualified name that it means and whether the corpus defines it.
+
+    A name is looked up as Python finds it: ``self.x`` in the class around, a plain or dotted name in its module, else the longest of its
+    dotted beginnings that an import binds in that module, put in the place of what is bound. All of it is equality joins: of a
+    call's few beginnings with the aliases of its file, and of targets with the symbol table. A symbol that very many calls mean
+    is one row of that table, and Spark splits the partition of its calls.
+    """
+    module, dotted = _module(), F.split("name", r"\.")
+    calls = graph.where(F.col("kind") == "call").select("path", module.alias("module"), "qualname", "line", "name", "ord")
+    around = F.regexp_extract("qualname", r"^(.*)\.[^.]*$", 1)
+    own = F.when(F.startswith("name", F.lit("self.")) & (around != ""), F.concat_ws(".", "module", around, F.substring("name", F.lit(6), F.length("name")))).otherwise(F.concat_ws(".", "module", "name"))
+    heads = F.transform(F.sequence(F.lit(1), F.size(dotted)), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(dotted, F.lit(1), i), ".").alias("head"), F.array_join(F.slice(dotted, i + 1, F.size(dotted)), ".").alias("rest")))
+    bound = graph.where(F.col("kind") == "alias").groupBy("path", F.col("name").alias("head")).agg(F.max_by("target", "ord").alias("bound"))  # the last import of a name holds
+    by_alias = calls.select("path", "ord", F.explode(heads).alias("h")).select("path", "ord", "h.*").join(bound, ["path", "head"])
+    target = F.when(F.col("rest") == "", F.col("bound")).otherwise(F.concat_ws(".", "bound", "rest"))
+    by_alias = by_alias.groupBy("path", "ord").agg(F.max_by(target, "n").alias("by_alias"))
+    known = symbol_table(graph).select("symbol")
+    found = calls.withColumn("own", own).join(known.withColumnRenamed("symbol", "own").withColumn("here", F.lit(True)), "own", "left").join(by_alias, ["path", "ord"], "left")
+    found = found.withColumn("target", F.when(F.col("here"), F.col("own")).otherwise(F.coalesce("by_alias", "name")))
+    found = found.join(known.withColumn("resolved", F.lit(True)), F.col("target") == F.col("symbol"), "left")
+    return found.select("path", F.concat_ws(".", "module", "qualname").alias("owner"), "line", "name", "target", F.coalesce("resolved", F.lit(False)).alias("resolved"))
+
+
+def graph_totals(graph: DataFrame, calls: DataFrame) -> DataFrame:
+    """modules, symbols, imports, call_sites, resolved_calls, parse_errors: one row."""
+    kind = lambda *k: F.count(F.when(F.col("kind").isin(*k), 1))
+    sums = graph.agg(F.countDistinct("path").alias("modules"), kind("class", "function", "async_function").alias("symbols"), kind("import").alias("imports"), kind("error").alias("parse_errors"))
+    return sums.crossJoin(calls.agg(F.count("*").alias("call_sites"), F.count(F.when(F.col("resolved"), 1)).alias("resolved_calls")))

@@ -155,3 +155,24 @@ def test_scan_once(spark, tmp_path):
     assert [(r.ts, r.new_count, r.modified_count, r.deleted_count) for r in t.last("scans").collect()] == [("1", 2, 0, 0), ("2", 1, 1, 1)]
     focus = spark.createDataFrame([("src/a.py",), ("src/b.py",), ("",)], "path string")
     assert [r.path for r in state.stale_focus(focus, t.read("files")).collect()] == ["src/b.py"]
+
+
+def test_resolved_calls(spark):
+    """As Python binds names: relative and renamed imports, self, shadowing, dotted modules, methods of other modules."""
+    files = {
+        "pkg/__init__.py": "def boot():\n    pass\n",
+        "pkg/a.py": "from . import boot as start\nfrom .b import tool, Deep\nimport pkg.b\nimport os.path as p\n\ndef go():\n    start()\n    tool()\n    pkg.b.tool()\n    p.join('x')\n    Deep.make()\n    late()\n\ndef late():\n    print(1)\n",
+        "pkg/b.py": "from pkg.a import go as tool2\n\ndef tool():\n    tool2()\n\nclass Deep:\n    def make(self):\n        self.rest()\n        tool()\n    def rest(self):\n        return self.make().x()\n",
+        "top.py": "import pkg\nfrom pkg.a import go\n\ndef go2():\n    go()\n    pkg.boot()\n",
+    }
+    graph = pygraph.python_graph(spark.createDataFrame(list(files.items()), "path string, content string"))
+    got = {(r.owner, r.name): (r.target, r.resolved) for r in pygraph.resolved_calls(graph).collect()}
+    assert got == {
+        ("pkg.a.go", "start"): ("pkg.boot", True), ("pkg.a.go", "tool"): ("pkg.b.tool", True), ("pkg.a.go", "pkg.b.tool"): ("pkg.b.tool", True),
+        ("pkg.a.go", "p.join"): ("os.path.join", False), ("pkg.a.go", "Deep.make"): ("pkg.b.Deep.make", True), ("pkg.a.go", "late"): ("pkg.a.late", True), ("pkg.a.late", "print"): ("print", False),
+        ("pkg.b.tool", "tool2"): ("pkg.a.go", True), ("pkg.b.Deep.make", "self.rest"): ("pkg.b.Deep.rest", True), ("pkg.b.Deep.make", "tool"): ("pkg.b.tool", True),
+        ("pkg.b.Deep.rest", "self.make"): ("pkg.b.Deep.make", True), ("pkg.b.Deep.rest", "self.make.x"): ("self.make.x", False),
+        ("top.go2", "go"): ("pkg.a.go", True), ("top.go2", "pkg.boot"): ("pkg.boot", True),
+    }
+    totals = pygraph.graph_totals(graph, pygraph.resolved_calls(graph)).first()
+    assert (totals.modules, totals.call_sites, totals.resolved_calls, totals.parse_errors) == (4, 14, 11, 0)
