@@ -13,16 +13,20 @@ from loam.sources import config
 from loam.sources.files import read_tree, without_ignored
 
 
-def main(argv: list[str] | None = None) -> int:
+def options() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="loam", description="Analyses of a tree of source files")
-    parser.add_argument("command", choices=["scan", "overview", "markdown", "html", "context", "prompt", "ask", "graph", "bundle", "doctor", "list"])
+    parser.add_argument("command", choices=["scan", "overview", "markdown", "html", "context", "prompt", "ask", "graph", "bundle", "doctor", "release", "list"])
     parser.add_argument("folder", nargs="?", default=".")
     parser.add_argument("--config")
     parser.add_argument("--budget", default="small")
     parser.add_argument("--goal", default="next")
     parser.add_argument("--question", default="")
     parser.add_argument("--out", default="report")
-    args = parser.parse_args(argv)
+    return parser
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = options().parse_args(argv)
     if args.command == "list":
         print("\n".join(sorted(registry.queries())))
         return 0
@@ -39,7 +43,12 @@ def main(argv: list[str] | None = None) -> int:
     engine = Engine.from_corpus(tree)
     if args.command == "scan":
         out = state.scan_once(engine, state.Tables(spark, str(config.resolved(root, settings["knowledge_base_path"]))), config.now())
-        print(json.dumps({"health": out["health"].first().asDict(), "suggestions": [r.title for r in out["suggestions"].orderBy("rank").collect()]}, indent=2, default=str))
+        alerts = state.budget_alerts(engine, settings["performance_budgets"])
+        print(json.dumps({"measured": engine.measured, "alerts": [r.message for r in alerts.collect()], "health": out["health"].first().asDict(), "suggestions": [r.title for r in out["suggestions"].orderBy("rank").collect()]}, indent=2, default=str))
+    elif args.command == "release":
+        rows = state.release_checks(engine, settings, root, options().format_help()).orderBy("ord").collect()
+        print("\n".join(f"{'ok ' if r.ok else 'no '} {r.name}: {r.message}" for r in rows))
+        return 0 if all(r.ok for r in rows) else 1
     elif args.command == "bundle":
         print("\n".join(render.save_bundle(engine, args.out, budget)))
     elif args.command in ("ask", "graph"):

@@ -421,8 +421,7 @@ def j10_test_relationships(d: Spark) -> str:
       join (select st, max({X.module_name(d, 'path')}) as module from files where suf = '.py' and not is_test_file group by st) s on t.k = s.st"""
 
 
-@query
-def j12_related_tests(d: Spark) -> str:
+def related_tests_sql(d: Spark) -> str:
     """Tests below tests/ to run for new and modified Python files: changed ones, those of a changed stem, and those whose text holds one.
 
     A stem of letters, digits and underscores lies within one such word of the text, so holding it is an equality with one of the

@@ -16,7 +16,7 @@ from loam.sources.keyed import Conflict, KeyedTable
 from loam.sources.store import remove, work_dir
 from loam.streaming.watch import watch
 
-from . import catalog, pygraph, retrieve, state
+from . import catalog, pygraph, related, retrieve, state
 
 EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -359,3 +359,46 @@ def g1_spoken_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j17_most_called(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = pygraph.resolved_calls(pygraph.python_graph(_spoken_modules(spark, sf_dir))).where("resolved")
     return calls.groupBy("target").agg(F.count("*").alias("calls"), F.countDistinct("path").alias("modules")).orderBy(F.desc("calls"), "target").limit(40)
+
+
+@registered(plan(DUCK, catalog.related_tests_sql(DUCK)))
+def j12_related_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests of new and modified files, of changed stems, and those whose text holds a changed stem: one automaton for all stems."""
+    engine = Engine.from_documents(spark, sf_dir)
+    changed = engine.relation("diff").where("status in ('new', 'modified')").select("path")
+    return related.related_tests(engine.relation("files"), engine.sql("select path, content from corpus"), changed)
+
+
+@registered(plan(DUCK, "select count(*) as files, sum(size)::bigint as bytes, sum(line_count)::bigint as lines, count(*) filter (line_count = 0) as empty, true as timed from files"))
+def o18_scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scan counted while it stored its facts."""
+    m = Engine.from_documents(spark, sf_dir).measured
+    return spark.range(1).select(*[F.lit(int(m[k])).cast("long").alias(k) for k in ("files", "bytes", "lines", "empty")], F.lit(m["scan_seconds"] > 0).alias("timed"))
+
+
+@registered(plan(DUCK, "select name, budget from (select 'scan_seconds' as name, 0::double as budget, 1 as actual union all select 'files', 150, total_files from metrics union all select 'context_tokens', 10, compact_tokens from llm_readiness) b where actual > budget"))
+def a20_measured_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets that the scan went over, its duration among them."""
+    return state.budget_alerts(Engine.from_documents(spark, sf_dir), {"scan_seconds": 0, "files": 150, "context_tokens": 10, "other": 1}).select("name", "budget")
+
+
+@registered("""with t as (select conv_id, turn, (length(trim(coalesce(text, ''), ' ')) + 3) // 4 as n from conversations),
+e as (select conv_id, sum(n)::bigint as full_tokens, max_by(n, turn)::bigint as emitted from t group by conv_id),
+s as (select sum(full_tokens)::bigint as full_tokens, sum(emitted)::bigint as emitted_tokens from e)
+select full_tokens, emitted_tokens, greatest(0, full_tokens - emitted_tokens) as saved, case when full_tokens <= 0 then 0.0 else greatest(0.0, round_even(100 * (1 - emitted_tokens / full_tokens::double), 0)) end as percent from s""")
+def r2_st14_savings_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers recorded with their savings, a third of them twice and all of them again: each counts once."""
+    turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    n = F.floor((F.length(F.trim(F.coalesce("text", F.lit("")))) + 3) / 4)
+    events = turns.groupBy("conv_id").agg(F.sum(n).alias("full_tokens"), F.max_by(n, F.col("turn")).alias("emitted_tokens"))
+    events = events.select(F.lit("2024").alias("ts"), F.lit("ask").alias("command"), F.col("conv_id").cast("string").alias("scan"), "full_tokens", "emitted_tokens")
+    tables = state.Tables(spark, f"{work_dir(spark)}/kb")
+    tables.record_once(events.unionByName(events.where("cast(scan as long) % 3 = 0")))
+    return tables.record_once(events)
+
+
+@registered(plan(DUCK, "select path, cast(to_json({'extension': extension, 'imports': imports, 'line_count': line_count, 'path': path, 'role': role, 'symbols': symbols}) as varchar) as json from files"))
+def p13_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's facts as JSON with sorted keys."""
+    names = sorted(["path", "extension", "role", "line_count", "imports", "symbols"])
+    return Engine.from_documents(spark, sf_dir).relation("files").select("path", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("json"))

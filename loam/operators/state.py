@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loam.sources import config
 from loam.sources.keyed import Conflict, KeyedTable
 from loam.sources.store import written
 
@@ -164,6 +165,16 @@ class Tables:
         self.changed("savings_totals", lambda totals: (own if totals is None else totals.unionByName(own)).agg(*sums))
         return self.append("savings", row, 50)
 
+    def record_once(self, events: DataFrame) -> DataFrame:
+        """Emitted answers (ts, command, scan, full_tokens, emitted_tokens), each once however often it is recorded: its command and scan say which it is.
+
+        Returns the totals of all events. The newest fifty are listed by ``last("savings_events", 50)``.
+        """
+        named = events.withColumn(self.ID, F.sha2(F.concat_ws("\x00", "command", "scan"), 256)).dropDuplicates([self.ID])
+        counts = [F.greatest(F.col(c), F.lit(0)).alias(c) for c in ("full_tokens", "emitted_tokens")]
+        self.table("savings_events").commit(named.select("ts", "command", "scan", *counts, self.ID))
+        return savings_summary(self.read("savings_events"))
+
     def update_suggestions(self, suggestions: DataFrame) -> DataFrame:
         """The columns that are kept, with defaults for those that are missing."""
         defaults = {"title": "", "priority": "low", "category": "general", "reason": "", "action": "", "prompt": "", "impact": "medium", "effort": "medium", "label": "", "confidence": "", "evidence": ""}
@@ -175,6 +186,34 @@ class Tables:
         return None if rows is None else rows.orderBy(F.desc("ts")).limit(max(1, limit)).orderBy("ts")
 
 
+def budget_alerts(engine, budgets: Mapping[str, object]) -> DataFrame:
+    """name, actual, budget, message: what a scan took more of than its budget: seconds, files, tokens of the compact context.
+
+    Seconds and files were measured by the scan itself; budgets that are missing or no numbers are not looked at.
+    """
+    tokens = engine.relation("llm_readiness").first().compact_tokens if budgets.get("context_tokens") is not None else 0
+    actual = {"scan_seconds": float(engine.measured["scan_seconds"]), "files": int(engine.measured["files"]), "context_tokens": int(tokens)}
+    rows = []
+    for name, value in actual.items():
+        try:
+            budget = float(budgets.get(name))  # type: ignore[arg-type]
+        except (TypeError, ValueError):
+            continue
+        if value > budget:
+            rows.append((name, float(value), budget, f"{name} {value} exceeds budget {budgets[name]}"))
+    return engine.spark.createDataFrame(rows, "name string, actual double, budget double, message string")
+
+
+def release_checks(engine, settings: Mapping[str, object], root: str, usage: str) -> DataFrame:
+    """ord, name, ok, message of the seven checks: five that files decide, the command line's own help text, and the doctor's."""
+    from .catalog import QUERIES
+
+    doctor = config.doctor(engine.spark, settings, root).agg(F.coalesce(F.bool_and("ok"), F.lit(False)).alias("ok"))
+    help_ = engine.spark.createDataFrame([(6, "CLI help", "usage: loam" in usage, "help renders" if usage else "no help")], "ord int, name string, ok boolean, message string")
+    state = doctor.select(F.lit(7).alias("ord"), F.lit("doctor").alias("name"), "ok", F.when(F.col("ok"), "doctor ready").otherwise("doctor found issues").alias("message"))
+    return engine.sql(QUERIES["a25_release_checks"](engine.dialect)).unionByName(help_).unionByName(state)
+
+
 def stale_focus(focus: DataFrame, files: DataFrame) -> DataFrame:
     """path: focus files that no longer exist; while there is one, an exported context is stale."""
     return focus.select("path").where("path <> ''").distinct().join(files.select("path"), "path", "left_anti")

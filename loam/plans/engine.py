@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from loam.sources.store import written
 
@@ -46,7 +48,11 @@ class Engine:
         self.kept: dict[str, object] = {}  # what operators derive from this corpus once
         for name, df in views.items():
             self._view(name, df)
-        self.files = written(self.sql("select * from files").drop("content"), "files")
+        began, seen = time.perf_counter(), Observation("scan")
+        facts = self.sql("select * from files").drop("content")
+        self.files = written(facts.observe(seen, F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum("line_count").alias("lines"), F.count(F.when(F.col("line_count") == 0, 1)).alias("empty")), "files")
+        # Counted by the pass that stores the facts.
+        self.measured: dict[str, float] = {k: v or 0 for k, v in seen.get.items()} | {"scan_seconds": round(time.perf_counter() - began, 3)}
         self._view("files", self.files)
 
     @classmethod
