@@ -11,12 +11,13 @@ from loam.functions import extract as X
 from loam.plans.dialect import DUCK
 from loam.plans.engine import Engine
 from loam.plans.relations import plan
+from loam.plans.understanding import PATTERNS, patterns_sql
 from loam.sources import config, files, scancache
 from loam.sources.keyed import Conflict, KeyedTable
 from loam.sources.store import remove, work_dir
 from loam.streaming.watch import watch
 
-from . import catalog, pygraph, related, retrieve, state
+from . import catalog, pygraph, related, retrieve, rules, state
 
 EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -402,3 +403,24 @@ def p13_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each file's facts as JSON with sorted keys."""
     names = sorted(["path", "extension", "role", "line_count", "imports", "symbols"])
     return Engine.from_documents(spark, sf_dir).relation("files").select("path", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("json"))
+
+
+#: Beside the rules that there are: each kind of condition, alone and together, and names that SQL would stumble over.
+_RULES = [
+    *PATTERNS,
+    {"name": "it's \"quoted\"", "description": "a \\ b", "extension_in": [".GO"]},
+    {"name": "entry in src", "description": "", "path_contains_any": ["SRC/", "nowhere"], "requires_main": True, "extension_in": [".py", ".cpp"]},
+    {"name": "frameworks", "description": "by import", "import_contains_any": ["FastAPI", "lib1"], "file_name_in": ["main.py"]},
+    {"name": "no such file", "description": "", "import_contains_any": ["fastapi"], "extension_in": [".md"]},
+    {"name": "folders", "description": "all there", "requires_directories": ["Docs", "vendor", "src"]},
+    {"name": "no such folder", "description": "", "requires_directories": ["docs", "nowhere"]},
+    {"name": "both", "description": "", "requires_directories": ["src"], "file_name_in": ["package.json"]},
+    {"name": "anything", "description": ""},
+    {"description": "without a name", "requires_directories": []},
+]
+
+
+@registered(plan(DUCK, patterns_sql(DUCK, _RULES)))
+def p3_p4_rules_as_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a table of rules hold."""
+    return rules.matching_rules(Engine.from_documents(spark, sf_dir).relation("files"), *rules.rule_table(spark, _RULES))

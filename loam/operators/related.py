@@ -21,16 +21,42 @@ from loam.sources.store import remove, stored
 BLOCK = 4 << 20
 
 
+def _automaton(words: list[str]):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        automaton.add_word(w, w)
+    automaton.make_automaton()
+    return automaton
+
+
+def _found(sent):
+    """(path, word) for each word that a text holds, once for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(sent.value)
+        for rows in batches:
+            found = [(p, w) for p, t in zip(rows.column("path").to_pylist(), rows.column("text").to_pylist(), strict=True) if t is not None for w in sorted({w for _, w in automaton.iter(t)})]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], ["path", "word"])
+
+    return run
+
+
+def found_words(texts: DataFrame, words: DataFrame, block: int = BLOCK) -> DataFrame:
+    """path, word: which of ``words`` (one column) each of ``texts`` (path, text) holds; a pass for each block of words, as a rule one."""
+    spark, out = texts.sparkSession, None
+    for some in blocks(words.where(F.length(words.columns[0]) > 0), block):
+        new = texts.select("path", "text").mapInArrow(_found(spark.sparkContext.broadcast(some)), "path string, word string")
+        out = new if out is None else out.unionByName(new)
+    return texts.select("path", F.lit("").alias("word")).where("false") if out is None else out.distinct()
+
+
 def _holding(sent):
     """Rows of (path, text) whose text holds one of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for w in sent.value:
-            automaton.add_word(w)
-        automaton.make_automaton()
+        automaton = _automaton(sent.value)
         for rows in batches:
             keep = [t is not None and next(automaton.iter(t), None) is not None for t in rows.column("text").to_pylist()]
             yield rows.filter(pa.array(keep, pa.bool_())).select(["path"])

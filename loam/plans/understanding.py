@@ -67,12 +67,12 @@ def pattern_condition(d: Spark, rule: dict) -> str:
 
 
 def patterns_sql(d: Spark, rules=PATTERNS) -> str:
-    """ord, name, description of the rules that hold; one pass over the files."""
-    flags = ", ".join(f"{pattern_condition(d, r)} as p{i}" for i, r in enumerate(rules))
-    rows = " union all ".join(
-        f"select {i} as ord, '{r.get('name', 'unnamed_pattern')}' as name, '{r.get('description', '')}' as description from (select {flags} from files) x where p{i}" for i, r in enumerate(rules)
-    )
-    return rows
+    """ord, name, description of the rules that hold; one aggregate over the files for all of them."""
+    text = lambda k, missing: d.array(*[d.lit(str(r.get(k, missing))) for r in rules])
+    holds = f"select {d.array(*[pattern_condition(d, r) for r in rules])} as p from files"
+    each = f"select p, {d.explode(d.sequence('1', str(len(rules))))} as i from ({holds}) x"
+    return f"""select cast(i - 1 as int) as ord, {d.at(text('name', 'unnamed_pattern'), 'cast(i as int)')} as name, {d.at(text('description', ''), 'cast(i as int)')} as description
+      from ({each}) y where {d.at('p', 'cast(i as int)')}"""
 
 
 @relation
