@@ -699,12 +699,6 @@ def w17_focus_files(d: Spark) -> str:
 # Small functions, each over a table's rows
 
 
-@query
-def w1_ordered_files(d: Spark) -> str:
-    """The facts in the order of their paths, as a scan lists them."""
-    return "select cast(row_number() over (order by path) as bigint) as k, path, size, line_count from files"
-
-
 @query
 def c4_role_labels(d: Spark) -> str:
     """A role as words."""

@@ -424,3 +424,9 @@ _RULES = [
 def p3_p4_rules_as_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of a table of rules hold."""
     return rules.matching_rules(Engine.from_documents(spark, sf_dir).relation("files"), *rules.rule_table(spark, _RULES))
+
+
+@registered(plan(DUCK, "select cast(row_number() over (order by path) as bigint) as k, path, size, line_count from files"))
+def w1_ordered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts in the order of their paths, as a scan lists them."""
+    return state.numbered(Engine.from_documents(spark, sf_dir).relation("files").select("path", "size", "line_count"), ["path"], "k").select("k", "path", "size", "line_count")

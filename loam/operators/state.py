@@ -66,6 +66,19 @@ def ordered_union(sources: list[DataFrame], key: str, keep: int) -> DataFrame:
     return every.groupBy(key).agg(F.min("source").alias("source")).orderBy("source", key).limit(keep)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their numbers from 1 in the order of columns that tell them apart.
+
+    Rows are dealt out by ranges and numbered range by range; of each range one count is summed up, so no task orders all rows.
+    """
+    part = "_part"
+    dealt = written(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "dealt")
+    counts = dealt.groupBy(part).agg(F.count("*").alias("_n"))
+    before = counts.select(part, (F.sum("_n").over(Window.orderBy(part)) - F.col("_n")).alias("_before"))  # a row for each range
+    local = dealt.withColumn(name, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    return local.join(F.broadcast(before), part).select(*rows.columns, (F.col(name) + F.col("_before")).alias(name))
+
+
 def savings_summary(events: DataFrame) -> DataFrame:
     """full_tokens, emitted_tokens, saved, percent over all events."""
     sums = events.agg(F.coalesce(F.sum("full_tokens"), F.lit(0)).alias("full_tokens"), F.coalesce(F.sum("emitted_tokens"), F.lit(0)).alias("emitted_tokens"))

@@ -144,9 +144,11 @@ def all_frameworks(d: Spark) -> str:
 def entry_firsts(d: Spark) -> str:
     """The best entry point of some categories, and how many there are."""
     best = lambda cond: f"max(case when {cond} then path end)"
+    order = "category_rank, score desc, path"
+    three = f"select path, row_number() over (order by {order}) as every from (select * from entry_points order by {order} limit 3) e"
     return f"""select {best("category = 'runtime' and k = 1")} as runtime, coalesce({best("category = 'build' and k = 1")}, {best("category = 'generator' and k = 1")}) as build,
-      {best("category = 'environment' and k = 1")} as environment, count(*) as entries, {best('every = 1')} as first, {best('every = 2')} as second, {best('every = 3')} as third
-      from (select *, row_number() over (partition by category order by score desc, path) as k, row_number() over (order by category_rank, score desc, path) as every from entry_points) x"""
+      {best("category = 'environment' and k = 1")} as environment, count(*) as entries, {"(select path from (" + three + ") t where every = 1)"} as first, {"(select path from (" + three + ") t where every = 2)"} as second, {"(select path from (" + three + ") t where every = 3)"} as third
+      from (select *, row_number() over (partition by category order by score desc, path) as k from entry_points) x"""
 
 
 @relation
@@ -319,11 +321,13 @@ def primary_hotspots(d: Spark) -> str:
 def important_files(d: Spark) -> str:
     """rank, path, reason: entry points, project definitions, hotspots and the largest runtime files, each once, at most eight."""
     names = ("README.md", "readme.md", "pyproject.toml", "package.json", "setup.py", "requirements.txt", "go.mod")
-    spots = "select path, row_number() over (order by bucket desc, score desc, line_count desc, path) as k from hotspots where bucket in ('runtime', 'build_tooling')"
+    best, first = "bucket desc, score desc, line_count desc, path", "category_rank, score desc, path"
+    spots = f"select path, row_number() over (order by {best}) as k from (select * from hotspots where bucket in ('runtime', 'build_tooling') order by {best} limit 4) h"
+    entries = f"select path, row_number() over (order by {first}) as ord from (select * from entry_points order by {first} limit 8) e"
     return f"""select cast(row_number() over (order by source, ord, path) as bigint) as rank, path, reason from (select *, row_number() over (partition by path order by source, ord) as again from (
-      select * from (select 1 as source, row_number() over (order by category_rank, score desc, path) as ord, path, 'entry point' as reason from entry_points order by ord limit 8) a
+      select 1 as source, ord, path, 'entry point' as reason from ({entries}) a
       union all select 2, {case('path', [(p, i) for i, p in enumerate(names)])}, path, 'project definition' from files where path in {listed(names)}
-      union all select 3, k, path, 'high-leverage hotspot' from ({spots} order by k limit 4) b
+      union all select 3, k, path, 'high-leverage hotspot' from ({spots}) b
       union all select 4, 0, path, 'high-leverage hotspot' from (select path, hotspot from files order by line_count desc, size desc, path limit 4) c where hotspot = 'runtime') x) y
       where again = 1 order by rank limit 8"""
 
