@@ -430,3 +430,57 @@ def p3_p4_rules_as_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w1_ordered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts in the order of their paths, as a scan lists them."""
     return state.numbered(Engine.from_documents(spark, sf_dir).relation("files").select("path", "size", "line_count"), ["path"], "k").select("k", "path", "size", "line_count")
+
+
+@registered("select 'd' || doc_id || '.py' as filename, n / 1000.0::double as line_rate, round_even(n / 1000.0::double * 100, 1) as percent from (select doc_id, length(coalesce(text, '')) % 1000 as n from documents) x")
+def s12_coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage files with a class for each document, read back."""
+    at, rate = f"{work_dir(spark)}/coverage", F.concat(F.lit("0."), F.lpad((F.length(F.coalesce("text", F.lit(""))) % 1000).cast("string"), 3, "0"))
+    one = F.concat(F.lit('<class name="x" filename="d'), F.col("doc_id").cast("string"), F.lit('.py" line-rate="'), rate, F.lit('"><lines/></class>'))
+    # A report is one document with its classes below it; there are as many as a build has shards.
+    report = F.concat(F.lit("<coverage><classes>"), F.array_join(F.collect_list(one), ""), F.lit("</classes></coverage>")).alias("value")
+    _documents(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 100).alias("shard")).agg(report).repartition("shard").write.partitionBy("shard").text(at)
+    return files.coverage_report(spark, at).select("filename", "line_rate", "percent")
+
+
+_HIDDEN = "select distinct case when line_count % 3 = 0 then path else regexp_replace(path, '/[^/]*$', '') end as path from files where line_count % 7 = 0 and contains(path, '/')"
+
+
+@registered(plan(DUCK, f"select f.path from files f where not exists (select 1 from ({_HIDDEN}) h where f.path = h.path or starts_with(f.path, h.path || '/'))"))
+def s22_without_own_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are not, and are not below, paths that a scan leaves out."""
+    engine = Engine.from_documents(spark, sf_dir)
+    return files.without_ignored(engine.relation("files").select("path"), engine.sql(_HIDDEN))
+
+
+@registered(plan(DUCK, "select path, replace(regexp_replace(regexp_replace(path, '\\.py$', ''), '/__init__$', ''), '/', '.') as module from files where ends_with(path, '.py') and not list_has_any(string_split(path, '/'), ['.git', '__pycache__', '.venv', 'venv', 'node_modules', 'dist', 'build', '.mypy_cache', '.pytest_cache', 'site-packages'])"))
+def s23_python_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pygraph.python_sources(Engine.from_documents(spark, sf_dir).relation("files").select("path")).select("path", "module")
+
+
+@registered(plan(DUCK, """select 'issue' as what, file as key, type || ': ' || message as value from all_issues union all select 'issue', 'README.md', 'manual: look at it'
+  union all select * from (select 'decision', cast(rank as varchar), title || ' because ' || reason from suggestions order by rank desc limit 3) d
+  union all select 'file', path, hash from files where line_count % 5 <> 0 union all select 'file', path, 'changed' from files where line_count % 5 = 0 and line_count % 10 <> 0"""))
+def st8_st11_st19_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues replaced and one added, decisions appended and the newest listed, files updated and removed; all in state tables."""
+    engine, tables = Engine.from_documents(spark, sf_dir), state.Tables(spark, f"{work_dir(spark)}/kb")
+    every = engine.relation("files").select("path", "hash", "line_count")
+    tables.replace_issues(engine.relation("all_issues").limit(1).select("type", "severity", "category", "file", "message"))
+    tables.replace_issues(engine.relation("all_issues").select("type", "severity", "category", "file", "message"))
+    tables.add_issue("1", "look at it", file="README.md")
+    tables.append("decisions", engine.relation("suggestions").select(F.lpad(F.col("rank").cast("string"), 3, "0").alias("ts"), F.col("title").alias("decision"), "reason"))
+    tables.sync_files(every, every.limit(0).select("path"))
+    tables.sync_files(every.where("line_count % 5 = 0 and line_count % 10 <> 0").withColumn("hash", F.lit("changed")), every.where("line_count % 10 = 0").select("path"))
+    said = tables.read("issues").select(F.lit("issue").alias("what"), F.col("file").alias("key"), F.concat("type", F.lit(": "), "message").alias("value"))
+    said = said.unionByName(tables.last("decisions", 3).select(F.lit("decision").alias("what"), F.col("ts").cast("int").cast("string").alias("key"), F.concat("decision", F.lit(" because "), "reason").alias("value")))
+    return said.unionByName(tables.read("files").select(F.lit("file").alias("what"), F.col("path").alias("key"), F.col("hash").alias("value")))
+
+
+@registered(plan(DUCK, """select '1' as ts, total_files as new_count, 0::bigint as modified_count, 0::bigint as deleted_count, score as health_score, total_files as files_scanned, title as top_suggestion from metrics cross join health cross join (select title from suggestions where rank = 1) s
+  union all select '2', 0, 0, 0, score, total_files, title from metrics cross join health cross join (select title from suggestions where rank = 1) s"""))
+def st16_scan_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans of one state: all files are new, then none is."""
+    engine, tables = Engine.from_documents(spark, sf_dir), state.Tables(spark, f"{work_dir(spark)}/kb")
+    for ts in ("1", "2"):
+        state.scan_once(engine, tables, ts)
+    return tables.last("scans").select("ts", "new_count", "modified_count", "deleted_count", "health_score", "files_scanned", "top_suggestion")

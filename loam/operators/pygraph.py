@@ -93,11 +93,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _COLUMNS)
 
 
+def python_sources(corpus: DataFrame) -> DataFrame:
+    """The Python files outside ignored folders, with the module that each is."""
+    parts = F.split("path", "/")
+    return corpus.where(F.col("path").endswith(".py") & ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in sorted(IGNORED)]))).withColumn("module", _module())
+
+
 def python_graph(corpus: DataFrame) -> DataFrame:
     """All rows of the Python files of ``corpus`` (path, content), outside ignored folders."""
-    parts = F.split("path", "/")
-    own = corpus.where(F.col("path").endswith(".py") & ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in sorted(IGNORED)])))
-    return own.select("path", "content").mapInArrow(_parse, ROWS)
+    return python_sources(corpus).select("path", "content").mapInArrow(_parse, ROWS)
 
 
 def _paths(limit: int, depth: int, fan: int):
