@@ -13,7 +13,7 @@ from loam.sources.store import written
 
 from .dialect import BY_REPO, SPARK, Spark
 from . import understanding  # noqa: F401  (registers its relations)
-from .relations import RELATIONS, needed, plan
+from .relations import RELATIONS, needed
 
 #: Relations that others use again and again: each is stored when it is first needed, so no plan holds them twice.
 STORED = (
@@ -91,10 +91,12 @@ class Engine:
         for name in needed(self.dialect, query, self.views):
             if name in STORED and name not in self.views:
                 self._view(name, written(self.sql(RELATIONS[name](self.dialect)), name))
-        text = plan(self.dialect, query, self.views)
-        for name, view in self.views.items():
-            text = re.sub(rf"\b(from|join) {name}\b", rf"\1 {view}", text)
-        return self.spark.sql(text)
+        bodies = needed(self.dialect, query, self.views)
+        # Stored relations come in by their names, as the others do; the texts themselves stay as they are.
+        said = set(re.findall(r"\w+", " ".join([query, *bodies.values()])))
+        chain = [f"{name} as (select * from {view})" for name, view in self.views.items() if name in said]
+        chain += [f"{name} as ({body})" for name, body in bodies.items()]
+        return self.spark.sql(f"with {', '.join(chain)} select * from ({query}) the_result" if chain else query)
 
     def relation(self, name: str) -> DataFrame:
         return self.sql(f"select * from {name}")

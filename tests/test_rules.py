@@ -82,3 +82,11 @@ def test_plan_has_no_cross_joins(files):
     for name in ("coverage", "degree", "risks"):
         assert "Cartesian" not in e.relation(name)._jdf.queryExecution().toString()
         assert "BroadcastNestedLoopJoin" not in e.relation(name)._jdf.queryExecution().toString()
+
+
+def test_texts_that_look_like_sql(spark):
+    """A text that names a relation is a text."""
+    from loam.plans.engine import Engine
+
+    engine = Engine.from_corpus(spark.createDataFrame([("a.py", "x")], "path string, content string"))
+    assert engine.sql("select 'taken from files, or join metrics' as t, path from files").first().t == "taken from files, or join metrics"
