@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +39,12 @@ def bucket(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
 
 
+def bucket_of(value: str) -> int:
+    """``bucket`` of one value."""
+    h = xxhash.xxh64_intdigest(value.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % BUCKETS
+
+
 def about() -> Column:
     """What describes a file: its path, summary, symbols and imports."""
     return F.lower(F.concat_ws(" ", "path", "summary", F.array_join("symbols", " "), F.array_join("imports", " ")))
@@ -82,20 +88,21 @@ class TextIndex:
 
     def _among(self, table: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
         """Rows of the few values; only their buckets are listed and read."""
-        held = self.spark.range(1).select(*[bucket(F.lit(v)).alias(f"b{i}") for i, v in enumerate(values)]).first() if values else ()
-        return table.where(F.col("b").isin(sorted(set(held)))).where(F.col(column).isin(list(values)))
+        return table.where(F.col("b").isin(sorted({bucket_of(v) for v in values}))).where(F.col(column).isin(list(values)))
 
     def matching(self, terms: Sequence[str]) -> DataFrame:
-        """term, word: every word that contains the term. Each distinct term once."""
-        found = []
+        """term, word: every word that contains the term, by one look at the grams of all terms. Each distinct term once."""
+        rows = []
         for t in dict.fromkeys(terms):
             if len(t) < 2 or not re.fullmatch("[a-z0-9_]+", t):
                 raise ValueError(f"not a term: {t!r}")
             n = min(3, len(t))
-            grams = sorted({t[i : i + n] for i in range(len(t) - n + 1)})
-            some = self._among(self.grams, "gram", grams).groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") == len(grams)) & F.contains("word", F.lit(t)))
-            found.append(some.select(F.lit(t).alias("term"), "word"))
-        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], "term string, word string")
+            grams = {t[i : i + n] for i in range(len(t) - n + 1)}
+            rows += [(t, g, len(grams)) for g in sorted(grams)]
+        asked = self.spark.createDataFrame(rows, "term string, gram string, n int")
+        some = self._among(self.grams, "gram", sorted({g for _, g, _ in rows})).select("gram", "word").join(F.broadcast(asked), "gram")
+        some = some.groupBy("term", "word").agg(F.count("*").alias("held"), F.max("n").alias("n"))
+        return some.where((F.col("held") == F.col("n")) & F.contains("word", F.col("term"))).select("term", "word")
 
     def postings_of(self, matched: DataFrame, field: str) -> DataFrame:
         """term, word, path, lines; by a join that prunes the buckets of other words."""
