@@ -102,10 +102,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own[b""] += len(words)
         seen += len(data)
         if sum(map(len, counts.values())) > 200_000 or seen > 1 << 26:
-            yield rows()
+            yield from in_slices(rows())
             counts, seen = {}, 0
     if counts:
-        yield rows()
+        yield from in_slices(rows())
     give_back()
 
 
@@ -188,24 +188,32 @@ def summed(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [rows[:, k].astype(c.dtype) for k, c in enumerate(columns)], n
 
 
+def in_slices(rows: pa.RecordBatch, size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """What goes to the JVM at once stays small: it is held twice on the way."""
+    for k in range(0, rows.num_rows, size):
+        yield rows.slice(k, size)
+
+
 def _gather(parts: Iterator[list[np.ndarray]], stream: Stream, width: int) -> Iterator[pa.RecordBatch]:
     """lang, h1.., c: rows of (language, hashes), summed GATHERED at a time; a hash of 0 becomes null."""
     held: list[list[np.ndarray]] = []
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[pa.RecordBatch]:
         columns, n = summed([np.concatenate(c) for c in zip(*held, strict=True)])
         lang = pa.array(stream.langs, pa.string()).take(pa.array(columns[0]))
         hashes = [pa.array(c.view(np.int64), mask=c == 0) for c in columns[1:]]
-        return pa.RecordBatch.from_arrays([lang, *hashes, pa.array(n.astype(np.int64))], ["lang", *[f"h{k + 1}" for k in range(width)], "c"])
+        rows = pa.RecordBatch.from_arrays([lang, *hashes, pa.array(n.astype(np.int64))], ["lang", *[f"h{k + 1}" for k in range(width)], "c"])
+        del columns, n, hashes
+        yield from in_slices(rows)
 
     for columns in parts:
         if len(columns[0]):
             held.append(columns)
         if sum(len(c[0]) for c in held) >= GATHERED:
-            yield flush()
+            yield from flush()
             held = []
     if held:
-        yield flush()
+        yield from flush()
     give_back()
 
 
