@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bigru import BiGRU
-from .common import LOWER, table, text_chunks
+from .common import LOWER, table, text_chunks, written
 
 PIECE, STEP = 24, 4 << 20
 PER_LANGUAGE, LONGEST, WORDS, STEPS, MAX_LANGUAGES = 300, 20_000, 40_000, 350, 200
@@ -36,18 +36,37 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3, F.lit(1))
 
 
+def least_hashes(rows: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """lang, h, t: distinct rows of each language up to a hash below which PER_LANGUAGE of them are, or all there are.
+
+    Hashes are uniform, so a few times PER_LANGUAGE rows are below the share of the hashes that is tried first, whatever the language's
+    size; where ids are repeated there may be fewer, and a larger share is tried.
+    """
+    share = {lang: min(1.0, 4 * PER_LANGUAGE / n) for lang, n in sizes.items()}
+    while True:
+        upto = [(lang, 2**63 - 1 if s >= 1 else -(2**63) + int(s * 2**64)) for lang, s in share.items()]
+        bound = F.broadcast(rows.sparkSession.createDataFrame(upto, "lang string, upto long"))
+        some = written(rows.join(bound, "lang").where(F.col("h") <= F.col("upto")).select("lang", "h", "t").distinct(), "least")
+        found = {r.lang: r.n for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        short = [lang for lang, s in share.items() if s < 1 and found.get(lang, 0) < PER_LANGUAGE]
+        if not short:
+            return some
+        share |= {lang: min(1.0, 8 * share[lang]) for lang in short}
+
+
 def train(docs: DataFrame) -> tuple[list[str], BiGRU] | None:
     """The languages and the network, from documents of which the fold is not 1."""
     rows = docs.where((fold(F.col("doc_id")) != 1) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     h, text = F.xxhash64(F.col("doc_id").cast("string")), F.col("text").cast("string")
     rows = rows.select(F.col("lang").cast("string").alias("lang"), h.alias("h"), F.xxhash64(text).alias("t"), text.alias("text"))
-    names = [r.lang for r in rows.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not names:
+    if not sizes:
         return None
+    names = sorted(sizes)
     # The least hashes of doc_id of each language, of equal ones the least of the text; equal rows are one.
-    ranked = rows.select("lang", "h", "t").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t")))
+    ranked = least_hashes(rows.select("lang", "h", "t"), sizes).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t")))
     chosen = F.broadcast(ranked.where(F.col("k") <= PER_LANGUAGE).drop("k"))  # PER_LANGUAGE * MAX_LANGUAGES short rows at most
     longest = min(LONGEST, SAMPLED // (PER_LANGUAGE * len(names)))
     place = F.pmod("h", F.greatest(F.length("text") - longest, F.lit(0)) + 1).cast("int")

@@ -49,3 +49,15 @@ def test_every_language_is_learned_where_all_share_an_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = [sorted(tuple(r)[1:] for r in langid.identify(df.repartition(n)).collect()) for n in (7, 3)]
     assert found[0] == found[1] and sum(r[1] == "bb" for r in found[0]) == 15
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_least_hashes(spark, shared):
+    """All rows below the bound are there, and enough of them, whether hashes are uniform or nearly all the same."""
+    rng = random.Random(7)
+    sizes = {"aa": 20_000, "bb": 40, "cc": 1500}
+    rows = [(lang, 2**62 if shared and rng.random() < 0.99 else rng.randrange(-(2**63), 2**63), rng.randrange(5 if shared else 2**60)) for lang, n in sizes.items() for _ in range(n)]
+    got = [tuple(r) for r in langid.least_hashes(spark.createDataFrame(rows, "lang string, h long, t long"), sizes).collect()]
+    for lang, n in sizes.items():
+        every, own = sorted({r for r in rows if r[0] == lang}), sorted(r for r in got if r[0] == lang)
+        assert own == every[: len(own)] and len(own) >= min(langid.PER_LANGUAGE, len(every)) and (shared or len(own) < 6 * langid.PER_LANGUAGE)
