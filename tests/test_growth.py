@@ -38,3 +38,20 @@ def test_facts_are_stored_when_they_are_asked_for(spark):
     engine = Engine.from_corpus(docs)
     assert engine.sql("select count(*) as n from corpus").first().n == 1 and "files" not in engine.views
     assert engine.relation("files").first().imports == ["os"] and "files" in engine.views
+
+
+def test_parts_of_stems_are_not_gathered_before_they_are_joined(spark):
+    """Related tests as by looking at all pairs; parts leave their task as they are made, no table of them is held."""
+    names = [f"test_m{i}.py" for i in (1, 12, 3)] + ["test_.py", "ab_m7_test.py"]
+    files = [f"tests/{n}" for n in names] + [f"src/{s}.py" for s in ("m1", "m123", "xm12y", "abc", "m7", "ab", "q", "mm")]
+    engine = Engine.from_corpus(spark.createDataFrame([(p, "x\n") for p in files], "path string, content string"))
+    got = {r.path: (r.status, r.test_file) for r in engine.relation("coverage").collect()}
+    stem = lambda p: p.rsplit("/", 1)[-1][:-3]
+    norm = lambda p: stem(p).removeprefix("test_").removesuffix("_test")
+    tests = [f"tests/{n}" for n in names]
+    for p in files:
+        same = [t for t in tests if norm(t) == stem(p)]
+        near = [t for t in tests if norm(t) in stem(p) or stem(p) in norm(t).split("_")]
+        assert got[p] == (("paired", min(same)) if same else ("related", min(near)) if near else ("none", None)), p
+    plan = engine.relation("stem_parts")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "Aggregate" not in plan[: plan.index("Generate")]
