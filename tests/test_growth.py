@@ -3,6 +3,7 @@
 import itertools
 
 from loam.functions import extract as X
+from loam.operators import textindex
 from loam.plans.dialect import SPARK as D
 from loam.plans.engine import Engine
 
@@ -55,3 +56,23 @@ def test_parts_of_stems_are_not_gathered_before_they_are_joined(spark):
         assert got[p] == (("paired", min(same)) if same else ("related", min(near)) if near else ("none", None)), p
     plan = engine.relation("stem_parts")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan and "Aggregate" not in plan[: plan.index("Generate")]
+
+
+def test_words_of_a_file_are_gathered_where_it_is(spark, monkeypatch):
+    """No occurrence is shuffled; files are cut into pieces of words, and two rows of a path are one file."""
+    monkeypatch.setattr(textindex, "AT_ONCE", 3)
+    texts = [("a", "X y x\n\nx z"), ("b", ""), ("c", "y\ny"), ("c", "y\nw"), ("d", "one two three four five one")]
+    rows = spark.createDataFrame(texts, "path string, content string").repartition(1)
+    plan = textindex.text_postings(rows.selectExpr("path", "split(content, '\\n') as rows"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the test's own
+    facts = rows.selectExpr("path", "'' as summary", "array('q q') as symbols", "cast(array() as array<string>) as imports")
+    index = textindex.TextIndex.build(facts, rows)
+    want: dict = {}
+    for p, t in texts:
+        for i, line in enumerate(t.split("\n")):
+            for w in line.lower().split():
+                want.setdefault((w, p), set()).add(i)
+    assert {(r.word, r.path): r.lines for r in index.postings.where("field = 'text'").collect()} == {k: sorted(v) for k, v in want.items()}
+    assert index.postings.where("field = 'text'").count() == len(want)
+    assert {r.word: (r.about, r.text) for r in index.words.collect()}["q"] == (4, 0) and {r.word: r.text for r in index.words.collect()}["y"] == 2
+    assert spark.conf.get(textindex.WRITERS) == "0"
