@@ -74,7 +74,8 @@ def fresh_and_cached(listing: DataFrame, cache: DataFrame) -> tuple[DataFrame, D
 
 def coverage_report(spark: SparkSession, path: str) -> DataFrame:
     """filename, line_rate, percent of a coverage XML."""
-    rows = spark.read.format("xml").option("rowTag", "class").option("mode", "FAILFAST").load(path)
+    # The two attributes that are read, so that no pass over the reports infers them.
+    rows = spark.read.schema("`_filename` string, `_line-rate` string").format("xml").option("rowTag", "class").option("mode", "FAILFAST").load(path)
     rate = F.col("`_line-rate`").cast("double")
     return rows.select(F.col("_filename").alias("filename"), rate.alias("line_rate"), F.bround(rate * 100, 1).alias("percent"))
 
