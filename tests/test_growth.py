@@ -1,9 +1,11 @@
 """Steps whose cost must not grow faster than their input, and the ways of doing them that must give the same."""
 
+import glob
 import itertools
+import xml.etree.ElementTree as ET
 
 from loam.functions import extract as X
-from loam.operators import textindex
+from loam.operators import extra, textindex
 from loam.plans.dialect import SPARK as D
 from loam.plans.engine import Engine
 
@@ -76,3 +78,13 @@ def test_words_of_a_file_are_gathered_where_it_is(spark, monkeypatch):
     assert index.postings.where("field = 'text'").count() == len(want)
     assert {r.word: (r.about, r.text) for r in index.words.collect()}["q"] == (4, 0) and {r.word: r.text for r in index.words.collect()}["y"] == 2
     assert spark.conf.get(textindex.WRITERS) == "0"
+
+
+def test_coverage_reports_are_as_many_as_their_bytes_need(spark, monkeypatch, tmp_path):
+    """Each is one well-formed document; none is lost, also where there are several."""
+    for classes, most in ((10_000, 1), (50, 5)):
+        monkeypatch.setattr(extra, "_CLASSES", classes)
+        monkeypatch.setattr(extra, "work_dir", lambda _, n=classes: str(tmp_path / str(n)))
+        found = extra.s12_coverage_report(spark, SF).count()
+        reports = glob.glob(f"{tmp_path}/{classes}/coverage/shard=*/*.txt")
+        assert 0 < len(reports) <= most and found == sum(len(ET.parse(p).getroot().findall("classes/class")) for p in reports) == spark.read.parquet(f"{SF}/documents.parquet").count()
