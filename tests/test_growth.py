@@ -2,6 +2,7 @@
 
 import glob
 import itertools
+import time
 import xml.etree.ElementTree as ET
 
 from loam.functions import extract as X
@@ -88,3 +89,34 @@ def test_coverage_reports_are_as_many_as_their_bytes_need(spark, monkeypatch, tm
         found = extra.s12_coverage_report(spark, SF).count()
         reports = glob.glob(f"{tmp_path}/{classes}/coverage/shard=*/*.txt")
         assert 0 < len(reports) <= most and found == sum(len(ET.parse(p).getroot().findall("classes/class")) for p in reports) == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_symbols_are_found_by_one_look_at_each_run_of_words(spark):
+    """The same as by looking from each line's beginning; many lines without punctuation take no time that grows with their square."""
+    w = r"[\p{L}\p{N}_]"
+    run, m = r"[\p{L}\p{N}_][\p{L}\p{N}_\s]*\s", "(?md)"
+    parts = ["a", " b", "\n", "(", "::", "é", "\t", ";", "class x", "\r\n", "\x85"]
+    texts = ["".join(t) for n in range(6) for t in itertools.product(parts[:8], repeat=n)] + ["".join(t) for t in itertools.product(parts, repeat=4)]
+    spark.createDataFrame([(t,) for t in texts], "x string").repartition(16).createOrReplaceTempView("some_symbols")
+    old = [rf"regexp_extract_all(x, r'{m}^\s*{p}', 1)" for p in (rf"(?:{run})?({w}+)::{w}*\s*\(", rf"{run}({w}+)\s*\(", rf"class\s+({w}+)")]
+    new = X.symbols(D, "x", "'.cpp'")
+    wrong = spark.sql(f"select x from some_symbols where not slice(array_distinct(concat({', '.join(old)})), 1, 8) <=> {new}")
+    assert wrong.take(3) == [] and spark.sql(f"select count_if(size({new}) > 0) as n from some_symbols").first().n > 1000
+    heads = {".py": [r"import\s+([\p{L}\p{N}_.]+)", r"from\s+([\p{L}\p{N}_.]+)\s+import"], ".go": [r"import\s+[\x22\x27]([^\x22\x27]+)[\x22\x27]"], ".h": [r"#include\s*[<\x22]([^>\x22]+)[>\x22]"]}
+    lines = ["import a", "from b import", "from b\nimport c", '#include "d"', 'import "e"', "\n", " ", "\x0b", "x", "\r"]
+    spark.createDataFrame([("".join(t),) for n in range(5) for t in itertools.product(lines, repeat=n)], "x string").createOrReplaceTempView("some_imports")
+    for ext, patterns in heads.items():
+        before = f"concat({', '.join(rf"regexp_extract_all(x, r'{m}^\s*{p}', 1)" for p in patterns)})"
+        assert spark.sql(f"select x from some_imports where not slice(array_distinct({before}), 1, 20) <=> {X.imports(D, 'x', repr(ext))}").take(3) == [], ext
+    began = time.perf_counter()
+    assert spark.sql(f"select {new} as s from (select repeat('some words of a line\\n', 60000) || '; a::b(' || repeat('\\n', 60000) || 'x' as x)").first().s == []
+    assert time.perf_counter() - began < 30
+
+
+def test_lines_are_cut_where_they_are_looked_at(spark):
+    """Facts of lines are the same whether a text has markers or is a document or not; null stays null."""
+    rows = [("a.py", "x\n# TODO: y\n"), ("b.py", "x\ny"), ("c.md", "# T\n\nA line that says enough.\n"), ("d.txt", ""), ("e.py", "Hack (z"), ("README", "# A\n\n\n\n\n\nx"), ("f.py", None)]
+    got = {r.path: r for r in Engine.from_corpus(spark.createDataFrame(rows, "path string, content string")).relation("files").collect()}
+    assert {p: r.todo_count for p, r in got.items() if p != "f.py"} == {"a.py": 1, "b.py": 0, "c.md": 0, "d.txt": 0, "e.py": 1, "README": 0}
+    assert got["c.md"].summary == "A line that says enough." and got["README"].empty_headings == 1 and got["f.py"].line_count is None
+    assert [got[p].line_count for p in ("a.py", "b.py", "d.txt")] == [2, 2, 0]
