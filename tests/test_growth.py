@@ -6,7 +6,7 @@ import time
 import xml.etree.ElementTree as ET
 
 from loam.functions import extract as X
-from loam.operators import extra, textindex
+from loam.operators import catalog, extra, textindex
 from loam.plans.dialect import SPARK as D
 from loam.plans.engine import Engine
 
@@ -120,3 +120,19 @@ def test_lines_are_cut_where_they_are_looked_at(spark):
     assert {p: r.todo_count for p, r in got.items() if p != "f.py"} == {"a.py": 1, "b.py": 0, "c.md": 0, "d.txt": 0, "e.py": 1, "README": 0}
     assert got["c.md"].summary == "A line that says enough." and got["README"].empty_headings == 1 and got["f.py"].line_count is None
     assert [got[p].line_count for p in ("a.py", "b.py", "d.txt")] == [2, 2, 0]
+
+
+def test_what_paths_and_hashes_tell_waits_for_no_facts(spark):
+    """Changes, untested changed files and release checks: the same before and after facts are stored, and none stores them."""
+    cols = "path string, content string"
+    new = spark.createDataFrame([("src/A.py", "x"), ("src/b.py", "y"), ("tests/test_b.py", "new"), ("README.md", "# r"), ("setup.py", "version = '1.2'")], cols)
+    old = spark.createDataFrame([("src/A.py", "old"), ("src/b.py", "y"), ("tests/test_b.py", "old"), ("gone.py", "z")], cols)
+    engine = Engine.from_corpus(new, old)
+    asked = [catalog.QUERIES[q](D) for q in ("sg2_modified_without_tests", "a25_release_checks")] + ["select * from diff_counts", "select path, hash, bare from paths"]
+    first = [sorted(map(tuple, engine.sql(q).collect())) for q in asked]
+    assert "files" not in engine.views and first[0] == [("src/A.py",)] and first[2] == [(2, 2, 1)]
+    assert [r[2] for r in first[1]] == [True, False, True, True, True]
+    engine.relation("files")
+    assert "files" in engine.views and [sorted(map(tuple, engine.sql(q).collect())) for q in asked] == first
+    repos = Engine.from_repositories(new.selectExpr("'r' as repo", "*"), old.selectExpr("'r' as repo", "*"))
+    assert tuple(repos.sql("select * from diff_counts").first()) == ("r", 2, 2, 1) and "files" not in repos.views
