@@ -477,6 +477,16 @@ def budgets(d: Spark) -> str:
     return " union all ".join(f"select '{b}' as budget, " + ", ".join(f"{n} as {k}" for k, n in limits.items()) for b, limits in BUDGETS.items())
 
 
+#: Issues of files first.
+ISSUE_ORDER = "case when file is null then 1 else 0 end, file, ord, type"
+
+
+@relation
+def first_issues(d: Spark) -> str:
+    """As many as a context lists at most: its limits stand in a join, where Spark does not see them and would number all in one task."""
+    return f"select * from all_issues order by {ISSUE_ORDER} limit {max(x['issues'] for x in BUDGETS.values())}"
+
+
 @relation
 def context_lines(d: Spark) -> str:
     """budget, section, ord, line: the compact context of each budget; every list is cut at its budget's limit."""
@@ -485,6 +495,7 @@ def context_lines(d: Spark) -> str:
     many = lambda section, limit, line, source: f"select budget, {section}, cast(o as bigint), {line} from budgets join ({source}) s on s.o <= {limit}"
     by_category = [("Runtime Entry Points", "runtime"), ("Build Entry Points", "build"), ("Generator Entry Points", "generator"), ("Environment Setup", "environment")]
     cut = lambda name: f"select {name}, row_number() over (order by"
+    first_issues = "first_issues" if d.name == "spark" else "all_issues"
     parts = [
         one(1, 0, "'# Project Knowledge Base'", "(select 1 as z) z"), one(2, 0, "'## Summary'", "(select 1 as z) z"),
         one(2, 1, "'- Project: ' || project_name", "understanding"), one(2, 2, "'- Type: ' || project_type", "understanding"), one(2, 3, "'- Primary Language: ' || language", "primary_language"),
@@ -497,7 +508,7 @@ def context_lines(d: Spark) -> str:
              f"select c.key, c.file_count, c.line_count, r.role, row_number() over (order by c.line_count desc, c.file_count desc, c.key) as o from kept_components c join ({R.component_roles(d, 'select key from kept_components')}) r on c.key = r.key"),
         one(5, 0, "'## Important Files'", "(select count(*) as n from important_files) c where n > 0"), many(5, "files", "'- ' || path || ': ' || reason", "select path, reason, rank as o from important_files"),
         one(6, 0, "'## Architecture'", "(select 1 as z) z"),
-        many(9, "issues", "'- [' || severity || '] ' || message || case when file is null then '' else ' (' || file || ')' end", f"{cut('severity, message, file')} case when file is null then 1 else 0 end, file, ord, type) as o from all_issues"),
+        many(9, "issues", "'- [' || severity || '] ' || message || case when file is null then '' else ' (' || file || ')' end", f"{cut('severity, message, file')} {ISSUE_ORDER}) as o from {first_issues}"),
         one(9, 0, "'## Recent Review Signals'", "(select count(*) as n from all_issues) c where n > 0"),
         one(8, 0, "'## Patterns'", "(select count(*) as n from patterns) c where n > 0"), many(8, "patterns", "'- ' || name || ': ' || description", f"{cut('name, description')} ord) as o from patterns"),
         one(10, 0, "'## Suggested Next Move'", "(select count(*) as n from suggestions) c where n > 0"),

@@ -9,6 +9,8 @@ from loam.functions import extract as X
 from loam.operators import catalog, extra, textindex
 from loam.plans.dialect import SPARK as D
 from loam.plans.engine import Engine
+from loam.plans.relations import RELATIONS
+from loam.plans.understanding import ISSUE_ORDER
 
 SF = "/root/testdata/sf0.001"
 
@@ -122,6 +124,15 @@ def test_lines_are_cut_where_they_are_looked_at(spark):
     assert [got[p].line_count for p in ("a.py", "b.py", "d.txt")] == [2, 2, 0]
 
 
+def test_contexts_sort_no_more_issues_than_they_list(spark):
+    """The ten first issues, by file, chosen before they are numbered in one task."""
+    rows = [("todo", "low", "maintainability", f"f{i:02}", "m", 1) for i in range(30)] + [("no_tests", "high", "test", None, "m", 9)]
+    engine = Engine(spark, {"all_issues": spark.createDataFrame(rows[::-1], "type string, severity string, category string, file string, message string, ord int")})
+    assert [r.file for r in engine.relation("first_issues").orderBy("file").collect()] == [f"f{i:02}" for i in range(10)]
+    said = RELATIONS["context_lines"](D)
+    assert f"order by {ISSUE_ORDER}) as o from first_issues" in said and f"order by {ISSUE_ORDER}) as o from all_issues" not in said
+
+
 def test_what_paths_and_hashes_tell_waits_for_no_facts(spark):
     """Changes, untested changed files and release checks: the same before and after facts are stored, and none stores them."""
     cols = "path string, content string"
