@@ -7,6 +7,7 @@ import xml.etree.ElementTree as ET
 
 from loam.functions import extract as X
 from loam.operators import catalog, extra, textindex
+from loam.plans import engine as engines
 from loam.plans.dialect import SPARK as D
 from loam.plans.engine import Engine
 from loam.plans.relations import RELATIONS
@@ -147,3 +148,14 @@ def test_what_paths_and_hashes_tell_waits_for_no_facts(spark):
     assert "files" in engine.views and [sorted(map(tuple, engine.sql(q).collect())) for q in asked] == first
     repos = Engine.from_repositories(new.selectExpr("'r' as repo", "*"), old.selectExpr("'r' as repo", "*"))
     assert tuple(repos.sql("select * from diff_counts").first()) == ("r", 2, 2, 1) and "files" not in repos.views
+
+
+def test_large_files_are_dealt_out_however_many_there_are(spark, monkeypatch, tmp_path):
+    """A row group is one task of Spark's; where files are large, their rows are dealt out in tasks of bounded size."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(cores * 200).repartition(cores + 1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert "Exchange" not in engines.spread(table, str(tmp_path / "t"))._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(engines, "TASK_BYTES", 100)
+    dealt = engines.spread(table, str(tmp_path / "t"))
+    assert dealt.rdd.getNumPartitions() == -(-engines.length(spark, str(tmp_path / "t")) // 100) and dealt.count() == cores * 200
