@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +13,15 @@ from pyspark.sql.window import Window
 from loam.functions import extract as X
 from loam.plans.dialect import SPARK
 from loam.plans.engine import Engine
+from loam.sources.store import written
 
 from .catalog import GOAL_BOOST
 from .textindex import TextIndex
 
 #: Words that say nothing about a file.
 STOP = {"a", "an", "and", "are", "for", "from", "how", "implemented", "in", "is", "of", "on", "or", "the", "to", "what", "where", "which", "who", "why", "with"}
+#: Call hints that one part of an answer's text holds at most.
+PART = 10_000
 
 
 def terms_of(question: str) -> list[str]:
@@ -77,8 +81,8 @@ def include_symbol_files(files: list[dict], symbols: list[dict], known: dict[str
 
 
 def _of_paths(column: Column, paths: list[str]) -> Column:
-    """Whether a module's path is one of ``paths`` or the end of one."""
-    return F.exists(F.array(*[F.lit(p) for p in paths]), lambda p: F.endswith(p, column)) if paths else F.lit(False)
+    """Whether a module's path is one of ``paths`` or the end of one: all ends of these few are one set, looked up once for each row."""
+    return column.isin(sorted({p[i:] for p in paths for i in range(len(p) + 1)})) if paths else F.lit(False)
 
 
 def import_hints(graph: DataFrame, paths: list[str], most: int = 10) -> DataFrame:
@@ -98,11 +102,32 @@ def call_hints(graph: DataFrame, terms: list[str], paths: list[str], most: int =
     return ranked.groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]).alias("calls"))
 
 
-def retrieve(engine: Engine, question: str, graph: DataFrame, goal: str = "", limit: int = 8) -> dict:
-    """Files, symbols, snippets, imports and calls for a question, the text that shows them, and the tokens that it saves.
+def hint_lines(calls: DataFrame) -> tuple[DataFrame, int]:
+    """part, nth, line: the call hints by owner as a text shows them, PART to a part, and how many characters they take with their line ends.
+
+    A term that is in many functions' names has a hint for each of them, so they are sorted by ranges, stored, and numbered by how
+    many the ranges before hold; only these counts come to the driver.
+    """
+    spark, line = calls.sparkSession, F.concat(F.lit("- "), "owner", F.lit(": "), F.array_join("calls", ", "))
+    ranges = written(calls.select("owner", line.alias("line")).orderBy("owner").select("line", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("at")), "hints")
+    found = ranges.groupBy("range").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.sum(F.length("line") + 1).alias("chars")).orderBy("range").collect()
+    starts = [(r.range, before - r.first) for r, before in zip(found, accumulate((r.n for r in found), initial=0), strict=False)]
+    nth = F.col("at") + F.col("start")
+    lines = ranges.join(F.broadcast(spark.createDataFrame(starts, "range int, start long")), "range").select(F.floor(nth / PART).cast("int").alias("part"), nth.alias("nth"), "line")
+    return lines, sum(r.chars for r in found)
+
+
+def text_parts(head: str, lines: DataFrame) -> DataFrame:
+    """part, text: a text in parts that follow each other, the first of which begins with ``head``; no task has more than its parts."""
+    parts = lines.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return parts.select("part", F.concat(F.when(F.col("part") == 0, F.lit(head)).otherwise(""), "text", F.lit("\n")).alias("text"))
 
-    Only the ``limit`` files and 2 * ``limit`` symbols that are shown come to the driver; the calls are those of their modules and
-    of functions named by a term.
+
+def retrieved(engine: Engine, question: str, graph: DataFrame, goal: str = "", limit: int = 8) -> dict:
+    """Files, symbols, snippets, imports and calls for a question, the text that shows them in parts, and the tokens that it saves.
+
+    Only the ``limit`` files and 2 * ``limit`` symbols that are shown come to the driver. The calls are those of their modules and of
+    functions named by a term, which may be as many as there are modules: they and the parts of the text (part, text) stay tables.
     """
     terms = terms_of(question)
     ranked = rank_files(engine, question, goal, limit)
@@ -118,9 +143,17 @@ def retrieve(engine: Engine, question: str, graph: DataFrame, goal: str = "", li
     lines += [f"- {s['qualname']} [{s['kind']}] at {s['path']}:{s['line']}" for s in symbols[:12]] or ["- None matched"]
     lines += ["", "Snippets:", *([x for s in found for x in (f"--- {s['path']}:{s['start_line']}", s["text"])] or ["- No direct line matches; start with the relevant files above."])]
     lines += ["", "Import Hints:", *([f"- {r.path}: {', '.join(r.imports)}" for r in imports.orderBy("path").toLocalIterator()] or ["- None"])]
-    lines += ["", "Call Hints:", *([f"- {r.owner}: {', '.join(r.calls)}" for r in calls.orderBy("owner").toLocalIterator()] or ["- None"])]
-    text = "\n".join(lines).rstrip() + "\n"
+    lines += ["", "Call Hints:"]
+    hints, chars = hint_lines(calls)
+    head = "\n".join(lines if chars else [*lines, "- None"]) + "\n"
+    parts = text_parts(head, hints) if chars else engine.spark.createDataFrame([(0, head)], "part int, text string")
     full = engine.relation("metrics").first().total_size_bytes // 4
-    emitted = max(1, (len(text.strip()) + 3) // 4)
+    emitted = max(1, (len(head) + chars - 1 + 3) // 4)
     saved = 0 if full <= 0 else max(0, round((1 - emitted / full) * 100))
-    return {"files": files, "symbols": symbols, "snippets": found, "imports": imports, "calls": calls, "text": text, "full_tokens": full, "retrieved_tokens": emitted, "saved_percent": saved}
+    return {"files": files, "symbols": symbols, "snippets": found, "imports": imports, "calls": calls, "parts": parts, "full_tokens": full, "retrieved_tokens": emitted, "saved_percent": saved}
+
+
+def retrieve(engine: Engine, question: str, graph: DataFrame, goal: str = "", limit: int = 8) -> dict:
+    """``retrieved`` with its whole ``text`` on the driver, for a reader; where the text may be long, take the parts."""
+    got = retrieved(engine, question, graph, goal, limit)
+    return got | {"text": "".join(r.text for r in got["parts"].orderBy("part").toLocalIterator())}

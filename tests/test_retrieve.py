@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from loam.operators import pygraph, retrieve
+from loam.operators import extra, pygraph, retrieve
 from loam.plans.engine import Engine
 
 
@@ -31,3 +32,25 @@ def test_one_answer(spark):
     known = {"c": {"line_count": 1, "summary": ""}, "a": {"line_count": 1, "summary": ""}}
     kept = retrieve.include_symbol_files(files, [{"path": "a", "score": 9}, {"path": "c", "score": 5}, {"path": "z", "score": 5}], known, 2)
     assert [f["path"] for f in kept] == ["a", "c"]
+
+
+def test_hints_of_every_module_stay_a_table(spark, monkeypatch):
+    """A term in a function's name of every module: the text comes in parts, none longer than its hints, that joined are the text in one."""
+    monkeypatch.setattr(retrieve, "PART", 7)
+    got = extra.r1_r5_retrieval(spark, "/root/testdata/sf0.001").orderBy("part").collect()
+    hints = [line for r in got for line in r.text.split("\nCall Hints:\n")[-1].splitlines()]
+    modules = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert [r.part for r in got] == list(range(-(-modules // 7))) and len({r[:6] for r in got}) == 1
+    assert hints == sorted(f"- pkg.m{i}.helper: C{i}.run, C{i}" for i in range(modules))
+    whole = "".join(r.text for r in got)
+    assert got[0].text.startswith("RETRIEVAL") and all("RETRIEVAL" not in r.text for r in got[1:]) and got[0].retrieved_tokens == (len(whole.strip()) + 3) // 4
+    monkeypatch.setattr(retrieve, "PART", 10_000)
+    (one,) = extra.r1_r5_retrieval(spark, "/root/testdata/sf0.001").collect()
+    assert one.text == whole and one[:6] == got[0][:6]
+
+
+def test_modules_are_those_of_the_paths_or_their_ends(spark):
+    paths = ["src/pkg/a.py", "b.py"]
+    asked = ["src/pkg/a.py", "pkg/a.py", "a.py", "src/pkg", "xa.py", "b.py", "x/b.py", "kg/a.py", "", None]
+    rows = spark.createDataFrame([(p,) for p in asked], "path string").withColumn("held", retrieve._of_paths(F.col("path"), paths))
+    assert {r.path: r.held for r in rows.collect()} == {p: None if p is None else any(q.endswith(p) for q in paths) for p in asked}
