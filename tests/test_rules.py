@@ -2,6 +2,8 @@
 
 import pytest
 
+from loam.operators.catalog import QUERIES
+from loam.plans.dialect import SPARK
 from loam.plans.engine import Engine
 
 ROLES = {
@@ -90,3 +92,15 @@ def test_texts_that_look_like_sql(spark):
 
     engine = Engine.from_corpus(spark.createDataFrame([("a.py", "x")], "path string, content string"))
     assert engine.sql("select 'taken from files, or join metrics' as t, path from files").first().t == "taken from files, or join metrics"
+
+
+def test_all_changed_files_with_a_risk_are_shown(spark):
+    """More changes than fifty and more risks than eighty; files that stayed are not shown, whatever their risk."""
+    corpus = {f"src/m{i:03}.py": f"def f{i}(): pass\n" for i in range(120)} | {f"a/same{i:03}.py": "class A: pass\ndef f(): pass\nif __name__ == '__main__':\n    f()\n" for i in range(90)}
+    old = {p: t for p, t in corpus.items() if p.startswith("a/")} | {"src/m000.py": "x = 1\n", "a/gone.py": "def f(): pass\n"}
+    new, old = (spark.createDataFrame(list(x.items()), "path string, content string") for x in (corpus, old))
+    engine = Engine.from_corpus(new, old)
+    got = {r.path: (r.status, r.score, r.level) for r in engine.sql(QUERIES["j7_diff_impact"](SPARK)).collect()}
+    risks = {r.file: (r.score, r.level) for r in engine.relation("risks").collect()}
+    assert len(risks) == 210 and engine.relation("top_risks").count() == 80
+    assert got == {f"src/m{i:03}.py": ("new" if i else "modified", *risks[f"src/m{i:03}.py"]) for i in range(120)}
