@@ -16,7 +16,7 @@ from loam.plans.engine import Engine
 from loam.sources.store import written
 
 from .catalog import GOAL_BOOST
-from .textindex import TextIndex
+from .textindex import TextIndex, ranked, scanned_scores, scanned_snippets
 
 #: Words that say nothing about a file.
 STOP = {"a", "an", "and", "are", "for", "from", "how", "implemented", "in", "is", "of", "on", "or", "the", "to", "what", "where", "which", "who", "why", "with"}
@@ -54,7 +54,7 @@ def rank_symbols(symbols: DataFrame, question: str, files: DataFrame, limit: int
     found = symbols.where(F.col("kind").isin("class", "function", "async_function")).withColumn("hay", hay)
     chosen = F.broadcast(files.select("path", F.lit(2).alias("bonus")))
     scored = found.join(chosen, "path", "left").withColumn("score", _score(terms_of(question)) + F.coalesce("bonus", F.lit(0)))
-    return scored.where("score > 0").select("path", "qualname", "kind", "line", "score", "ord").orderBy(F.desc("score"), "path", "ord").limit(limit)
+    return scored.where("score > 0").select("path", "qualname", "kind", "line", "score", "ord").orderBy(F.desc("score"), "path", "ord", "line", "qualname").limit(limit)
 
 
 def answer(engine: Engine, question: str, symbols: DataFrame | None = None, goal: str = "") -> str:
@@ -128,16 +128,19 @@ def retrieved(engine: Engine, question: str, graph: DataFrame, goal: str = "", l
 
     Only the ``limit`` files and 2 * ``limit`` symbols that are shown come to the driver. The calls are those of their modules and of
     functions named by a term, which may be as many as there are modules: they and the parts of the text (part, text) stay tables.
+    Where no index was built (``index_of``), one question builds none: it passes over the facts, and over the contents of the files shown.
     """
-    terms = terms_of(question)
-    ranked = rank_files(engine, question, goal, limit)
-    symbols = [r.asDict() for r in rank_symbols(graph, question, ranked, max(1, 2 * limit)).collect()]
-    files = [r.asDict() for r in ranked.collect()]
+    terms, index = terms_of(question), engine.kept.get("index")
+    facts, boosts = engine.relation("files"), GOAL_BOOST.get(goal, ())
+    files = [r.asDict() for r in (index.rank(facts, terms, boosts, limit) if index else ranked(facts, scanned_scores(facts, terms, boosts), limit)).collect()]
+    chosen = engine.spark.createDataFrame([(p,) for p in dict.fromkeys(f["path"] for f in files)], "path string")
+    symbols = [r.asDict() for r in rank_symbols(graph, question, chosen, max(1, 2 * limit)).collect()]
     paths = [f["path"] for f in files] + [s["path"] for s in symbols]
-    known = {r.path: r.asDict() for r in engine.relation("files").where(F.col("path").isin(paths)).select("path", "line_count", "summary").collect()}
+    known = {r.path: r.asDict() for r in facts.where(F.col("path").isin(paths)).select("path", "line_count", "summary").orderBy("line_count", "summary").collect()}
     files = include_symbol_files([f | {"summary": known[f["path"]]["summary"]} for f in files], symbols, known, limit)
     paths = [f["path"] for f in files]
-    found = [r.asDict() for r in index_of(engine).snippets(terms, paths).orderBy("k", "n").collect()]
+    found = index.snippets(terms, paths) if index else scanned_snippets(engine.sql("select path, content from corpus"), terms, paths)
+    found = [r.asDict() for r in found.orderBy("k", "n").collect()]
     imports, calls = import_hints(graph, paths), call_hints(graph, terms, paths)
     lines = ["RETRIEVAL", f"Query: {question}", f"Goal: {goal}", "", "Relevant Files:", *[f"- {f['path']} (score {f['score']}, {f['line_count']} lines): {f['summary']}" for f in files], "", "Relevant Symbols:"]
     lines += [f"- {s['qualname']} [{s['kind']}] at {s['path']}:{s['line']}" for s in symbols[:12]] or ["- None matched"]

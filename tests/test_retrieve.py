@@ -54,3 +54,18 @@ def test_modules_are_those_of_the_paths_or_their_ends(spark):
     asked = ["src/pkg/a.py", "pkg/a.py", "a.py", "src/pkg", "xa.py", "b.py", "x/b.py", "kg/a.py", "", None]
     rows = spark.createDataFrame([(p,) for p in asked], "path string").withColumn("held", retrieve._of_paths(F.col("path"), paths))
     assert {r.path: r.held for r in rows.collect()} == {p: None if p is None else any(q.endswith(p) for q in paths) for p in asked}
+
+
+def test_one_question_builds_no_index_and_is_answered_alike(spark):
+    """By passes over facts and the shown files' contents as by postings; two rows of a path are one file, repeated terms count again."""
+    rows = [("src/parser.py", '"""Parses the tests."""\nimport os\nclass Parser:\n    def Parse_line(self):\n        return os.getcwd()\n'), ("src/other.py", "def f():\n    parse_all()\n\n\n\n\nx = 'parser'\n# PARSER\n# parser"),
+            ("x.py", "def parse_all(): pass\n"), ("two.py", "def parser(): pass\n"), ("two.py", "a\nclass main_error:\n    parser = 1\n"), ("docs/parser.md", "# A parser\n"), ("n.go", "")]
+    corpus = spark.createDataFrame(rows, "path string, content string")
+    graph, asked = pygraph.python_graph(corpus), [("parser parse parser", "debug", 8), ("parse main tests", "test", 3), ("line os", "", 2), ("zzz", "", 4)]
+    engine, indexed = Engine.from_corpus(corpus), Engine.from_corpus(corpus)
+    retrieve.index_of(indexed)
+    for question, goal, limit in asked:
+        one, two = (retrieve.retrieve(e, question, graph, goal, limit) for e in (engine, indexed))
+        same = ("files", "symbols", "snippets", "text", "full_tokens", "retrieved_tokens", "saved_percent")
+        assert [one[k] for k in same] == [two[k] for k in same] and ("- None matched" in one["text"]) == (question == "zzz")
+    assert "index" not in engine.kept
